@@ -1 +1,16 @@
+"""Registered queries, one module for each section of the operator inventory.
 
+Each module has ``QUERIES``: name -> (function of (spark, sf_dir), SQL or None).
+"""
+
+from __future__ import annotations
+
+MODULES: list = []
+
+
+def queries() -> dict:
+    return {name: run for module in MODULES for name, (run, _) in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict:
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}
