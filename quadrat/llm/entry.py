@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quadrat.llm import bpe, near_dedup, quality, tiff, top_k, toxicity
+from quadrat.llm import bpe, chat, language, licenses, near_dedup, packing, quality, tiff, top_k, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_chat_format": chat.op3_chat_format,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_language_id": language.op6_language_id,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_tiff_media": tiff.op9_tiff_media,
@@ -14,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.SQL,
+    "op3_chat_format": chat.SQL,
     "op10_exact_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
