@@ -1,11 +1,13 @@
-"""Registered queries, one module for each section of the operator inventory.
+"""Registered queries, one module for each part of the operator inventory.
 
 Each module has ``QUERIES``: name -> (function of (spark, sf_dir), SQL or None).
 """
 
 from __future__ import annotations
 
-MODULES: list = []
+from quadrat.plans import keys_plan
+
+MODULES: list = [keys_plan]
 
 
 def queries() -> dict:
