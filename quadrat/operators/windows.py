@@ -37,8 +37,8 @@ def prefix_sum(part: list[str], order: str, value: str) -> Column:
 
 
 def elapsed_hours(df: DataFrame, campaign: str, ts: str) -> DataFrame:
-    first = F.min(ts).over(Window.partitionBy(campaign))
-    return df.withColumn("elapsed_hours", (F.unix_micros(ts) - F.unix_micros(first)) / 3.6e9)
+    first = F.min(F.col(ts).cast("timestamp")).over(Window.partitionBy(campaign))
+    return df.withColumn("elapsed_hours", (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(first)) / 3.6e9)
 
 
 def contiguous_blocks(part: list[str], order: list[str], blocks: int) -> Column:
