@@ -14,7 +14,7 @@ def relative(df: DataFrame, group: list[str], value: str = "n", out: str = "rel"
 
 def zero_filled(df: DataFrame, group: list[str], part: str, value: str = "n") -> DataFrame:
     """Every (group, part) pair of the table, absent cells as 0. Parts are kept few before (top-k, prevalence)."""
-    cells = df.select(*group).distinct().join(F.broadcast(df.select(part).distinct()), how="cross")
+    cells = df.select(*group).distinct().join(df.select(part).distinct(), how="cross")
     return cells.join(df, [*group, part], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
 
 

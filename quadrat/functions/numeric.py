@@ -88,6 +88,7 @@ def tail(name: str, x: float, d1: float | None = None, d2: float | None = None)
     """Two-sided p of normal and t, upper tail of chi-square and F."""
     if x is None or x != x:
         return math.nan
+    x = float(x)
     if name == "normal":
         return math.erfc(abs(x) / math.sqrt(2))
     if name == "t":
