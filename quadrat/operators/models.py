@@ -242,8 +242,8 @@ def gee(df: DataFrame, y: str, x: list[str], cluster: str, rounds: int = 50) ->
         ee = own["yy"].to_numpy(float) - 2 * XY @ new + np.einsum("i,kij,j->k", new, XX, new)
         phi = ee.sum() / max(n - p, 1)
         pairs = (m * (m - 1) / 2).sum() - p
-        rho = float(np.clip(((e1**2 - ee) / 2).sum() / max(pairs, 1) / phi, -0.9 / max(m.max() - 1, 1), 0.99))
-        done, beta = np.abs(new - beta).max() < 1e-10, new
+        before, rho = rho, float(np.clip(((e1**2 - ee) / 2).sum() / max(pairs, 1) / phi, -0.9 / max(m.max() - 1, 1), 0.99))
+        done, beta = np.abs(new - beta).max() < 1e-10 and abs(rho - before) < 1e-10, new
         if done:
             break
     c = rho / (1 - rho + rho * m)
