@@ -62,6 +62,13 @@ def unpack(raw: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+def batches(n: int, size: int, epochs: int, rng, least: int = 1_000) -> Iterator[np.ndarray]:
+    """Shuffled row numbers in parts of about ``size``: ``epochs`` passes, or ``least`` parts where rows are few."""
+    parts = max(1, n // size)
+    for _ in range(max(epochs, -(-least // parts))):
+        yield from np.array_split(rng.permutation(n), parts)
+
+
 def adam(params: dict[str, np.ndarray], grad: Callable, steps: Iterator, rate: float = 3e-3) -> None:
     """Adam on a dictionary of arrays, in place."""
     m = {k: np.zeros_like(v) for k, v in params.items()}

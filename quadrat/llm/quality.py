@@ -101,6 +101,11 @@ def context_table(docs: list[tuple[np.ndarray, np.ndarray]], index: np.ndarray)
     return (table / np.maximum(norm, 1e-6) * np.sqrt(8) + index).astype(np.float32)
 
 
+def scaled(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Standardised, and held within five deviations, so a term unseen in training cannot outweigh the rest."""
+    return np.clip((x - mean) / sd, -5, 5)
+
+
 def _logits(p: dict, x: np.ndarray) -> np.ndarray:
     return np.tanh(x @ p["a"] + p["b"]) @ p["c"] + p["d"]
 
@@ -116,7 +121,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 40) -> dict | None:
     table = context_table([r for r, h in zip(rows, held) if not h], index)
     x = np.array([pooled(*r, table, index) for r in rows])
     mean, sd = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-3
-    x = (x - mean) / sd
+    x = scaled(x, mean, sd)
     rng = np.random.default_rng(4)
     p = {"a": rng.normal(0, 0.1, (x.shape[1], HIDDEN)), "b": np.zeros(HIDDEN), "c": rng.normal(0, 0.1, HIDDEN), "d": np.zeros(1)}
     tx, ty = x[~held], y[~held].astype(float)
@@ -128,7 +133,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 40) -> dict | None:
         back = g[:, None] * p["c"] * (1 - h * h)
         return {"a": tx[at].T @ back + 1e-4 * p["a"], "b": back.sum(axis=0), "c": h.T @ g + 1e-4 * p["c"], "d": np.array([g.sum()])}
 
-    steps = (part for _ in range(epochs) for part in np.array_split(rng.permutation(len(ty)), max(1, len(ty) // 128)))
+    steps = learn.batches(len(ty), 128, epochs, rng)
     learn.adam(p, grad, steps)
     logit, target = (_logits(p, x[held]), y[held]) if held.any() else (_logits(p, tx), ty)
     scales = np.exp(np.linspace(-1.5, 3, 91))
@@ -143,7 +148,7 @@ def scorer(model: dict):
 
     def run(texts: list[str | None]) -> np.ndarray:
         x = np.array([pooled(*rows_of(t, terms), model["table"], index) for t in texts]).reshape(-1, 2 * DIM)
-        return learn.sigmoid(_logits(model, (x - model["mean"]) / model["sd"]) / model["temperature"])
+        return learn.sigmoid(_logits(model, scaled(x, model["mean"], model["sd"])) / model["temperature"])
 
     return run
 

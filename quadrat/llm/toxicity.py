@@ -109,8 +109,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 30) -> dict | None:
             "v": gb.T @ s - gb.sum(axis=0)[:, None] * p["v"] + 1e-3 * p["v"],
         }
 
-    steps = (part for _ in range(epochs) for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)))
-    learn.adam(p, grad, steps, rate=1e-2)
+    learn.adam(p, grad, learn.batches(len(y), 128, epochs, rng), rate=1e-2)
     return {k: v.astype(np.float32) for k, v in p.items()} | {"chosen": chosen}
 
 
