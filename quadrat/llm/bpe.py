@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 #: White space as the rank files' pattern means it (Unicode White_Space; without U+001C..U+001F).
 _SPACE = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_CACHE = 200_000
+_CACHE = 600_000
 _DEAD = 1 << 60
 
 
