@@ -154,7 +154,7 @@ def analyte_kind(col: Column | str) -> Column:
 
 def to_oxide(df: DataFrame, factors: DataFrame, element: str = "element", value: str = "value") -> DataFrame:
     """Element weight to oxide weight by its factor (a short table); elements without one are left out."""
-    return df.join(F.broadcast(factors), element).withColumn("oxide_value", F.col(value) * F.col("factor"))
+    return df.join(factors, element).withColumn("oxide_value", F.col(value) * F.col("factor"))
 
 
 def stable_id(kind: str, *cols: Column | str) -> Column:

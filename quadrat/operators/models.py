@@ -123,7 +123,7 @@ def elemental_axis(df: DataFrame, unit: str, part: str, value: str, strata: list
     ref = [list(m.index).index(r) for r in reference if r in m.index]
     v = v if not ref or v[ref].sum() >= 0 else -v
     load = df.sparkSession.createDataFrame([(str(p), float(a), float(values[-1] / values.sum())) for p, a in zip(m.index, v)], "part string, loading double, share double")
-    scores = x.join(F.broadcast(load), F.col("p").cast("string") == F.col("part")).groupBy(unit).agg(F.sum(F.col("z") * F.col("loading")).alias("score"))
+    scores = x.join(load, F.col("p").cast("string") == F.col("part")).groupBy(unit).agg(F.sum(F.col("z") * F.col("loading")).alias("score"))
     return scores, load
 
 
@@ -281,7 +281,7 @@ def block_cv(df: DataFrame, fold: str, x: list[str], y: str, group: list[str] =
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*group, fold])
     fits = train.mapInPandas(lambda it: (solve(pdf) for pdf in it), f"{kinds}, beta array<double>, train_mean double")
     pred = sum((F.element_at("beta", i + 1) * F.col(c) for i, c in enumerate(x)), F.lit(0.0))
-    scored = df.join(F.broadcast(fits), [*group, fold]).withColumn("e2", F.pow(F.col(y) - pred, 2)).withColumn("b2", F.pow(F.col(y) - F.col("train_mean"), 2))
+    scored = df.join(fits, [*group, fold]).withColumn("e2", F.pow(F.col(y) - pred, 2)).withColumn("b2", F.pow(F.col(y) - F.col("train_mean"), 2))
     return scored.groupBy(*group).agg((1 - F.sum("e2") / F.sum("b2")).alias("skill"), F.sqrt(F.avg("e2")).alias("rmse"), F.count(F.lit(1)).alias("n"), F.count_distinct(fold).alias("n_folds"))
 
 

@@ -218,14 +218,14 @@ def moran(df: DataFrame, edges: DataFrame, unit: str, value: str, reps: int, by:
         a = rows.select(*keys, F.col(unit).alias("a"), F.col("z").alias("za"))
         b = rows.select(*keys, F.col(unit).alias("b"), F.col("z").alias("zb"))
         cross = edges.join(a, "a").join(b, [*keys, "b"]).groupBy(*keys).agg(F.sum(F.col("za") * F.col("zb")).alias("_c"), F.count(F.lit(1)).alias("_e"))
-        j = cross.join(F.broadcast(norm), list(by)) if by else cross.join(F.broadcast(norm))
+        j = cross.join(norm, list(by)) if by else cross.join(F.broadcast(norm))
         return j.select(*keys, (F.col("_n") * F.col("_c") / (F.col("_e") * F.col("_s"))).alias("i"))
 
     obs = index(z, list(by))
     perm = RS.permutations(z, reps, unit, by, seed)
     moved = perm.join(z.withColumnRenamed(unit, "perm_unit"), ["perm_unit", *by]).select("draw", *by, unit, "z")
     null = index(moved, ["draw", *by]).withColumnRenamed("i", "v")
-    j = null.join(F.broadcast(obs), list(by)) if by else null.join(F.broadcast(obs))
+    j = null.join(obs, list(by)) if by else null.join(F.broadcast(obs))
     return RS.perm_p(j, F.col("i"), "v", [*by, "i"])
 
 
@@ -302,7 +302,7 @@ def redundancy_null(abund: DataFrame, ann: DataFrame, group: DataFrame, reps: in
     perm = RS.permutations(ann, reps, "genome", seed=seed)
     moved = perm.join(ann.withColumnRenamed("genome", "perm_unit"), "perm_unit").select("draw", "genome", "ko", "copies")
     null = medians(abund.join(moved, "genome").groupBy("draw", "sample", "ko").agg(F.sum(F.col("w") * F.col("copies")).alias("v")), ["draw"]).withColumnRenamed("m", "v")
-    j = null.join(F.broadcast(obs), "grp")
+    j = null.join(obs, "grp")
     low = RS.perm_p(j, F.col("m"), "v", ["grp", "m"], tail="less").select("grp", "m", F.col("p").alias("p_low"))
     high = RS.perm_p(j, F.col("m"), "v", ["grp"]).select("grp", F.col("p").alias("p_high"))
     mean = null.groupBy("grp").agg(F.avg("v").alias("null_mean"))

@@ -42,9 +42,9 @@ def _(t):
 @query("agg5_rarefy", sql("counts", """
     SELECT profile, feature, count(*) AS n FROM (
       SELECT profile, feature, row_number() OVER (PARTITION BY profile ORDER BY md5('7|' || profile || '|' || feature || '|' || k)) AS r
-      FROM (SELECT profile, feature, unnest(range(1, n + 1)) AS k FROM counts WHERE profile <= 5 AND profile IN (SELECT profile FROM counts GROUP BY 1 HAVING sum(n) >= 2000))) WHERE r <= 2000 GROUP BY 1, 2"""))
+      FROM (SELECT profile, feature, unnest(range(1, n + 1)) AS k FROM counts WHERE profile IN (SELECT profile FROM counts GROUP BY 1 HAVING sum(n) >= 2000))) WHERE r <= 2000 GROUP BY 1, 2"""))
 def _(t):
-    return A.rarefy(t.counts.where("profile <= 5"), 2000, seed=7)
+    return A.rarefy(t.counts, 2000, seed=7)
 
 
 @query("agg6_collapse_rank", sql("counts taxonomy", "SELECT profile, r2 AS taxon, CAST(sum(n) AS BIGINT) AS n FROM counts JOIN taxonomy USING (feature) GROUP BY 1, 2"))
@@ -127,12 +127,12 @@ def _(t):
 
 
 @query("agg15_feature_inventory", """
-    WITH a AS (SELECT DISTINCT l_returnflag AS kind, l_partkey AS term FROM lineitem WHERE l_suppkey <= 5), b AS (SELECT DISTINCT l_returnflag AS kind, l_partkey AS term FROM lineitem WHERE l_suppkey > 95)
+    WITH a AS (SELECT DISTINCT l_returnflag AS kind, l_partkey AS term FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT DISTINCT l_returnflag AS kind, l_partkey AS term FROM lineitem WHERE l_linestatus = 'O')
     SELECT kind, count(a.term) AS n_a, count(b.term) AS n_b, count(*) FILTER (a.term IS NOT NULL AND b.term IS NOT NULL) AS shared, count(*) FILTER (b.term IS NULL) AS only_a, count(*) FILTER (a.term IS NULL) AS only_b
     FROM (SELECT DISTINCT kind, term FROM a UNION SELECT kind, term FROM b) u LEFT JOIN a USING (kind, term) LEFT JOIN b USING (kind, term) GROUP BY 1""")
 def _(t):
-    x = t.table("lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("term"), "l_suppkey")
-    return A.feature_inventory(x.where("l_suppkey <= 5"), x.where("l_suppkey > 95"), "term", "kind")
+    x = t.table("lineitem").select(F.col("l_returnflag").alias("kind"), F.col("l_partkey").alias("term"), "l_linestatus")
+    return A.feature_inventory(x.where("l_linestatus = 'F'"), x.where("l_linestatus = 'O'"), "term", "kind")
 
 
 @query("agg16_trait_prevalence", """
@@ -242,14 +242,14 @@ def _(t):
 
 
 @query("fn3_clr_multiplicative", sql("counts_pos taxonomy", """
-    SELECT profile, taxon, CAST(n AS BIGINT) AS n, round(ln(x) - avg(ln(x)) OVER (PARTITION BY profile), 6) AS clr FROM (
+    SELECT u, taxon, CAST(n AS BIGINT) AS n, round(ln(x) - avg(ln(x)) OVER (PARTITION BY u), 6) AS clr FROM (
       SELECT *, CASE WHEN n = 0 THEN 0.65 / t ELSE n / t * (1 - z * 0.65 / t) END AS x FROM (
-        SELECT *, CAST(sum(n) OVER (PARTITION BY profile) AS DOUBLE) AS t, count(*) FILTER (n = 0) OVER (PARTITION BY profile) AS z FROM (
-          SELECT g.profile, u.taxon, coalesce(p.n, 0) AS n FROM (SELECT DISTINCT profile FROM few) g CROSS JOIN (SELECT DISTINCT taxon FROM few) u LEFT JOIN few p USING (profile, taxon))))""",
-    few="SELECT profile, r2 AS taxon, sum(n) AS n FROM counts_pos JOIN taxonomy USING (feature) WHERE position = 'A' AND campaign = 1 GROUP BY 1, 2"))
+        SELECT *, CAST(sum(n) OVER (PARTITION BY u) AS DOUBLE) AS t, count(*) FILTER (n = 0) OVER (PARTITION BY u) AS z FROM (
+          SELECT g.u, x.taxon, coalesce(p.n, 0) AS n FROM (SELECT DISTINCT u FROM cells) g CROSS JOIN (SELECT DISTINCT taxon FROM cells) x LEFT JOIN cells p USING (u, taxon))))""",
+    cells="SELECT profile || '/' || campaign || '/' || position AS u, r2 AS taxon, sum(n) AS n FROM counts_pos JOIN taxonomy USING (feature) GROUP BY 1, 2"))
 def _(t):
-    few = A.collapse_rank(t.counts_pos.where("position = 'A' and campaign = 1"), t.taxonomy, 2)
-    return R(C.clr(few, ["profile"], "taxon", zero="multiplicative"))
+    cells = A.collapse_rank(t.counts_pos.withColumn("u", F.concat_ws("/", F.col("profile").cast("string"), F.col("campaign").cast("string"), "position")), t.taxonomy, 2, profile=["u"])
+    return R(C.clr(cells, ["u"], "taxon", zero="multiplicative"))
 
 
 @query("fn4_guild_logratio", sql("brands", """
@@ -281,12 +281,12 @@ def _(t):
 
 
 @query("fn8_pulse_exposure", sql("daily", """
-    SELECT obs_id, peak, round(sum(d.value * (lag / peak) * exp(1 - lag / peak)), 4) AS exposure FROM (SELECT event_id AS obs_id, user_id % 25 AS site, CAST(ts AS DATE) AS date FROM events WHERE event_id % 7 = 0 AND day(ts) > 14) obs
-    CROSS JOIN (SELECT CAST(range AS INTEGER) AS lag FROM range(1, 15)) CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(2.0 AS DOUBLE)), (CAST(7.5 AS DOUBLE))) k(peak) JOIN daily d ON d.site = obs.site AND d.date = obs.date - lag GROUP BY 1, 2"""))
+    SELECT obs_id, peak, round(sum(d.value * (lag / peak) * exp(1 - lag / peak)), 4) AS exposure FROM (SELECT event_id AS obs_id, user_id % 25 AS site, CAST(ts AS DATE) AS date FROM events) obs
+    CROSS JOIN (SELECT CAST(range AS INTEGER) AS lag FROM range(1, 15)) CROSS JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(2.0 AS DOUBLE)), (CAST(7.5 AS DOUBLE))) k(peak) LEFT JOIN daily d ON d.site = obs.site AND d.date = obs.date - lag GROUP BY 1, 2"""))
 def _(t):
     from quadrat.operators.joins import lag_matrix
 
-    obs = t.table("events").where("event_id % 7 = 0 and day(ts) > 14").select(F.col("event_id").alias("obs_id"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date"))
+    obs = t.table("events").select(F.col("event_id").alias("obs_id"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date"))
     return R(C.pulse_exposure(lag_matrix(obs, t.daily, 14), "obs_id", "lag", "value", [0.5, 2.0, 7.5]), 4)
 
 

@@ -34,11 +34,11 @@ def _(t):
 
 
 @query("jn4_reconcile_keys", """
-    WITH a AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40 GROUP BY 1), b AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1)
-    SELECT k, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, CASE WHEN b.n IS NULL THEN 'left' WHEN a.n IS NULL THEN 'right' ELSE 'both' END AS presence FROM a FULL JOIN b USING (k)""")
+    WITH a AS (SELECT l_partkey AS k, l_suppkey AS s, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), b AS (SELECT l_partkey AS k, l_suppkey AS s, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+    SELECT k, s, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, CASE WHEN b.n IS NULL THEN 'left' WHEN a.n IS NULL THEN 'right' ELSE 'both' END AS presence FROM a FULL JOIN b USING (k, s)""")
 def _(t):
-    li = t.table("lineitem").where("l_quantity > 40").withColumnRenamed("l_partkey", "k")
-    return J.reconcile_keys(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["k"])
+    li = t.table("lineitem").withColumnsRenamed({"l_partkey": "k", "l_suppkey": "s"})
+    return J.reconcile_keys(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), ["k", "s"])
 
 
 @query("jn5_resolve_cascade", """
@@ -90,11 +90,11 @@ def _(t):
     return J.geo_match(t.sites, right, "site", "hit", 0.5).select("site", "n_hits", "hit")
 
 
-_OBS = "SELECT event_id AS obs_id, user_id % 25 AS site, CAST(ts AS DATE) AS date FROM events WHERE event_id % 7 = 0"
+_OBS = "SELECT event_id AS obs_id, user_id % 25 AS site, CAST(ts AS DATE) AS date FROM events"
 
 
 def _obs(t):
-    return t.table("events").where("event_id % 7 = 0").select(F.col("event_id").alias("obs_id"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date"))
+    return t.table("events").select(F.col("event_id").alias("obs_id"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date"))
 
 
 def _exposure_sql(first: str, last: str) -> str:
@@ -168,20 +168,18 @@ def _(t):
 
 
 @query("jn17_complete_blocks", sql("counts_pos", """
-    SELECT campaign, count(*) AS n, count(DISTINCT profile) AS blocks FROM counts_pos WHERE feature % 50 = 1 AND (profile, campaign) IN (
-      SELECT (profile, campaign) FROM counts_pos WHERE feature % 50 = 1 GROUP BY profile, campaign HAVING count(DISTINCT position) = 3) GROUP BY 1"""))
+    SELECT campaign, count(*) AS n, count(DISTINCT profile) AS blocks FROM (SELECT *, count(*) OVER (PARTITION BY profile, campaign, feature) AS k FROM counts_pos) WHERE k = 3 GROUP BY 1"""))
 def _(t):
-    few = t.counts_pos.where("feature % 50 = 1")
-    return J.complete_blocks(few, ["profile", "campaign"], "position", ["A", "N", "R"]).groupBy("campaign").agg(N, F.count_distinct("profile").alias("blocks"))
+    return J.complete_blocks(t.counts_pos, ["profile", "campaign", "feature"], "position", ["A", "N", "R"]).groupBy("campaign").agg(N, F.count_distinct("profile").alias("blocks"))
 
 
 @query("jn18_allocate_runs", """
     WITH p AS (SELECT s_nationkey AS sample, s_suppkey AS profile, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS np FROM supplier),
-    r AS (SELECT c_nationkey AS sample, c_custkey AS run, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j, count(*) OVER (PARTITION BY c_nationkey) AS nr FROM customer WHERE c_custkey <= 60)
+    r AS (SELECT c_nationkey AS sample, c_custkey AS run, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS j, count(*) OVER (PARTITION BY c_nationkey) AS nr FROM customer)
     SELECT p.sample, profile, run FROM p JOIN r ON p.sample = r.sample AND (np = 1 OR j = least(i, nr))""")
 def _(t):
     p = t.table("supplier").select(F.col("s_nationkey").alias("sample"), F.col("s_suppkey").alias("profile"))
-    r = t.table("customer").where("c_custkey <= 60").select(F.col("c_nationkey").alias("sample"), F.col("c_custkey").alias("run"))
+    r = t.table("customer").select(F.col("c_nationkey").alias("sample"), F.col("c_custkey").alias("run"))
     return J.allocate_runs(p, r)
 
 
