@@ -10,7 +10,7 @@ from quadrat.operators import keys as K
 from quadrat.plans.roles import registry, sql
 
 QUERIES, query = registry()
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 R = lambda df, digits=6, **k: df.withColumns({c: F.round(F.col(c) + 0.0, digits) for c, kind in df.dtypes if kind == "double"})
 
 _ALPHA = "SELECT profile, CAST(sum(n) AS BIGINT) AS depth, count(*) AS richness, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS shannon FROM counts GROUP BY 1"

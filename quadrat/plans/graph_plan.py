@@ -11,7 +11,7 @@ from quadrat.operators.graph import Pattern
 from quadrat.plans.roles import registry, sql
 
 QUERIES, query = registry()
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 R = lambda df, digits=6: df.withColumns({c: F.round(F.col(c) + 0.0, digits) for c, kind in df.dtypes if kind == "double"})
 
 
@@ -27,7 +27,7 @@ def _reified(t):
       SELECT s, p, k AS o_kind FROM (SELECT 'sample/' || sample AS b, 'sample/' || sample || '/' || analyte || '/' || event_id AS q, 'assay/' || event_id AS a FROM readings) x
       CROSS JOIN LATERAL (VALUES (b, 'hasQuality', 'iri'), (q, 'qualityOf', 'iri'), (q, 'type', 'iri'), (a, 'measures', 'iri'), (q, 'measuredBy', 'iri'), (a, 'hasOutput', 'iri'), (q || '/value', 'outputOf', 'iri'), (q || '/value', 'hasValue', 'literal'), (q || '/value', 'hasUnit', 'iri'), (q || '/value', 'type', 'iri'), (a, 'type', 'iri')) v(s, p, k)) GROUP BY 1, 2"""))
 def _(t):
-    return _reified(t).groupBy("p", "o_kind").agg(N, F.count_distinct("s").alias("subjects"))
+    return _reified(t).groupBy("p", "o_kind").agg(N(), F.count_distinct("s").alias("subjects"))
 
 
 @query("kg2_domain_templates", sql("triples", "SELECT s, p, o, o_kind FROM triples WHERE p IN ('partOf', 'locatedIn')"))
@@ -46,7 +46,7 @@ def _(t):
 def _(t):
     g = _reified(t)
     got = G.bgp(g, [Pattern("sample/10", "hasQuality", "?q"), Pattern("?q", "type", "?analyte"), Pattern("?a", "measures", "?q"), Pattern("?a", "hasOutput", "?v"), Pattern("?v", "hasValue", "?value")])
-    return got.groupBy("analyte", F.col("value").cast("double").cast("string").alias("value")).agg(N)
+    return got.groupBy("analyte", F.col("value").cast("double").cast("string").alias("value")).agg(N())
 
 
 @query("kg4_cq2_places", sql("triples", "SELECT n.s AS nation, n.o AS name, r.o AS region FROM triples n JOIN triples p ON p.s = n.s AND p.p = 'partOf' JOIN triples r ON r.s = p.o AND r.p = 'label' WHERE n.p = 'label'"))
@@ -61,7 +61,7 @@ def _(t):
 
 @query("kg4_cq4_ranking", sql("triples", "SELECT o AS place, count(*) AS n FROM triples WHERE p = 'locatedIn' GROUP BY 1 ORDER BY n DESC, place LIMIT 10"))
 def _(t):
-    return G.bgp(t.triples, [Pattern("?x", "locatedIn", "?place")]).groupBy("place").agg(N).orderBy(F.desc("n"), "place").limit(10)
+    return G.bgp(t.triples, [Pattern("?x", "locatedIn", "?place")]).groupBy("place").agg(N()).orderBy(F.desc("n"), "place").limit(10)
 
 
 @query("kg4_cq6_provenance", sql("triples", "SELECT o.s AS \"order\", c.o AS customer, n.o AS nation FROM triples o JOIN triples c ON c.s = o.s AND c.p = 'placedBy' JOIN triples n ON n.s = c.o AND n.p = 'locatedIn' WHERE o.p = 'type' AND o.o = 'Order'"))
@@ -115,7 +115,7 @@ def _inferred(t):
       UNION ALL SELECT a.s, 'within', b.o FROM triples a JOIN triples b ON b.s = a.o AND b.p = 'partOf' WHERE a.p = 'locatedIn'
       UNION ALL SELECT o, 'type', 'Place' FROM triples WHERE p IN ('locatedIn', 'partOf') UNION ALL SELECT a.s, 'orderedFrom', b.o FROM triples a JOIN triples b ON b.s = a.o AND b.p = 'locatedIn' WHERE a.p = 'placedBy')) GROUP BY 1"""))
 def _(t):
-    return _inferred(t)[0].groupBy("p").agg(N)
+    return _inferred(t)[0].groupBy("p").agg(N())
 
 
 @query("kg8_rdf_lists", "SELECT 'l' || o_custkey AS list, count(*) AS n FROM orders GROUP BY 1")
@@ -126,7 +126,7 @@ def _(t):
     o = t.table("orders").select("o_custkey", F.col("o_orderkey").cast("string").alias("m"), F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("o_custkey")).alias("k"))
     name = lambda i: F.when(i == 1, F.concat(F.lit("l"), F.col("o_custkey").cast("string"))).otherwise(F.concat(F.lit("l"), F.col("o_custkey").cast("string"), F.lit("_"), i.cast("string")))
     cells = o.select(name(F.col("i")).alias("s"), F.lit("first").alias("p"), F.col("m").alias("o")).unionByName(o.select(name(F.col("i")).alias("s"), F.lit("rest").alias("p"), F.when(F.col("i") == F.col("k"), F.lit("nil")).otherwise(name(F.col("i") + 1)).alias("o")))
-    return G.rdf_lists(cells).groupBy("list").agg(N)
+    return G.rdf_lists(cells).groupBy("list").agg(N())
 
 
 @query("kg9_schema_audit", sql("triples", "SELECT p, count(*) AS n, count(DISTINCT s) AS subjects, p IN ('type', 'label') AS supported FROM triples GROUP BY 1"))
@@ -148,7 +148,7 @@ def _(t):
 @query("kg12_union_modules", sql("triples", "SELECT CASE WHEN p = 'label' THEN 'labels' ELSE 'facts' END AS g, count(*) AS n FROM triples GROUP BY 1"))
 def _(t):
     g = t.triples
-    return G.union_modules({"labels": g.where("p = 'label'"), "facts": g.where("p <> 'label'")}).groupBy("g").agg(N)
+    return G.union_modules({"labels": g.where("p = 'label'"), "facts": g.where("p <> 'label'")}).groupBy("g").agg(N())
 
 
 @query("kg13_expected_results", sql("triples", "SELECT n.o AS nation, count(*) AS n FROM triples n JOIN triples l ON l.o = n.s AND l.p = 'locatedIn' WHERE n.p = 'label' GROUP BY 1"))
@@ -156,10 +156,10 @@ def _(t):
     """The graph answer, after a multiset comparison with the answer from the tables."""
     from quadrat.operators.windows import multiset_diff
 
-    got = G.bgp(t.triples, [Pattern("?x", "locatedIn", "?n"), Pattern("?n", "label", "?nation")]).groupBy("nation").agg(N)
+    got = G.bgp(t.triples, [Pattern("?x", "locatedIn", "?n"), Pattern("?n", "label", "?nation")]).groupBy("nation").agg(N())
     s, c, n = t.table("supplier"), t.table("customer"), t.table("nation")
     where = s.select(F.col("s_nationkey").alias("k")).unionAll(c.select("c_nationkey")).join(n, F.col("k") == F.col("n_nationkey"))
-    if not multiset_diff(got, where.groupBy(F.col("n_name").alias("nation")).agg(N)).isEmpty():
+    if not multiset_diff(got, where.groupBy(F.col("n_name").alias("nation")).agg(N())).isEmpty():
         raise ValueError("graph and tables disagree")
     return got
 
@@ -207,7 +207,7 @@ def _(t):
     pre = b.select(F.col("id").alias("key"), X.normal_name("label").alias("name"), "rank")
     cand = pre.join(_index(a).select("name", "rank", "id"), ["name", "rank"]).select("key", "id")
     hist = pre.where("key like '%3'").select("key", F.when(F.col("key").like("%33"), "p33").otherwise(F.concat(F.lit("p"), "key")).alias("project_id"))
-    return X.decide(pre, cand, hist).groupBy("reason").agg(N)
+    return X.decide(pre, cand, hist).groupBy("reason").agg(N())
 
 
 @query("tx4_audit_mapping", sql("", """
@@ -217,7 +217,7 @@ def _(t):
 def _(t):
     a, b = _trees(t)
     rows = b.select(F.col("id").alias("key"), F.concat(F.lit("a"), F.substring("id", 2, 20)).alias("id"), "rank", "label", F.concat(F.lit("a"), F.substring("parent", 2, 20)).alias("parent_id"))
-    return X.audit_mapping(rows, a, a.where("parent is not null").select(F.col("id").alias("node"), F.col("parent").alias("ancestor"))).groupBy("code").agg(N)
+    return X.audit_mapping(rows, a, a.where("parent is not null").select(F.col("id").alias("node"), F.col("parent").alias("ancestor"))).groupBy("code").agg(N())
 
 
 @query("tx5_source_anomalies", sql("counts", """
@@ -246,21 +246,21 @@ def _verified(t):
 
 @query("tx7_verify_seeds", sql("", "SELECT verdict, count(*) AS n FROM verdicts GROUP BY 1", **_TX, seeds=_SEEDS, verdicts=_VERDICT))
 def _(t):
-    return _verified(t).groupBy("verdict").agg(N)
+    return _verified(t).groupBy("verdict").agg(N())
 
 
 @query("tx8_resolve_conflicts", sql("", """
     SELECT resolution, count(*) AS n FROM (SELECT CASE WHEN coalesce(votes, 0) >= 2 THEN 'moved' ELSE 'conflict' END AS resolution FROM verdicts LEFT JOIN (SELECT pa, pb, count(*) AS votes FROM verdicts WHERE verdict <> 'strong' AND pa IS NOT NULL AND pb IS NOT NULL GROUP BY 1, 2) USING (pa, pb) WHERE verdict = 'weak') GROUP BY 1""", **_TX, seeds=_SEEDS, verdicts=_VERDICT))
 def _(t):
     v = _verified(t)
-    return X.resolve_conflicts(v, X.parent_votes(v)).groupBy("resolution").agg(N)
+    return X.resolve_conflicts(v, X.parent_votes(v)).groupBy("resolution").agg(N())
 
 
 @query("tx9_merge_hierarchies", None)
 def _(t):
     a, b = _trees(t)
     v = _verified(t)
-    return X.merge_hierarchies(a, b, v.where("verdict = 'strong'"), X.parent_votes(v)).groupBy("component").agg(N).groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("components"))
+    return X.merge_hierarchies(a, b, v.where("verdict = 'strong'"), X.parent_votes(v)).groupBy("component").agg(N()).groupBy(F.col("n").alias("size")).agg(F.count(F.lit(1)).alias("components"))
 
 
 @query("tx10_sense_candidates", sql("", """
@@ -290,7 +290,7 @@ def _(t):
 
 @query("tx13_parent_from_path", "SELECT p_brand AS parent, count(*) AS n FROM part GROUP BY 1")
 def _(t):
-    return t.table("part").groupBy(X.parent_from_path(F.concat("p_type", F.lit("/"), "p_brand")).alias("parent")).agg(N)
+    return t.table("part").groupBy(X.parent_from_path(F.concat("p_type", F.lit("/"), "p_brand")).alias("parent")).agg(N())
 
 
 @query("tx14_disambiguate", """
@@ -324,7 +324,7 @@ def _ledger(t):
       SELECT CASE WHEN c_custkey % 10 <> 0 OR c_custkey % 100 = 0 THEN 'kept' WHEN c_custkey % 30 = 0 THEN 'conflict' ELSE 'corrected' END, CASE WHEN c_custkey % 10 = 0 AND c_custkey % 100 <> 0 AND c_custkey % 30 <> 0 THEN 'FIXED' ELSE c_mktsegment END FROM customer
       UNION ALL SELECT 'unused', NULL FROM customer WHERE c_custkey % 100 = 0) GROUP BY 1, 2""")
 def _(t):
-    return _ledger(t).groupBy("action", (F.col("corrected") == "FIXED").alias("fixed")).agg(N)
+    return _ledger(t).groupBy("action", (F.col("corrected") == "FIXED").alias("fixed")).agg(N())
 
 
 @query("dq4_disposition", """
@@ -333,7 +333,7 @@ def _(t):
     from quadrat.operators.keys import qc_flags
 
     rules = {"range": F.col("value") > 200, "qc": F.col("user_id") % 20 == 0, "date": F.dayofmonth("ts") > 28}
-    return qc_flags(t.table("events"), rules).groupBy("disposition").agg(N)
+    return qc_flags(t.table("events"), rules).groupBy("disposition").agg(N())
 
 
 @query("dq5_successor", """
@@ -343,7 +343,7 @@ def _(t):
     k = F.col("c_custkey")
     old = t.table("customer")
     new = old.where("c_custkey % 9 <> 0").withColumns({"c_acctbal": F.when(k % 4 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")), "c_name": F.when(k % 5 == 0, "x").otherwise(F.col("c_name"))})
-    return Q.apply_successor(old, new, ["c_custkey"], ["c_acctbal"], ["c_name"]).groupBy("status", "changed").agg(N)
+    return Q.apply_successor(old, new, ["c_custkey"], ["c_acctbal"], ["c_name"]).groupBy("status", "changed").agg(N())
 
 
 @query("dq6_diff_versions", """
@@ -352,13 +352,13 @@ def _(t):
     k = F.col("o_orderkey")
     a = t.table("orders")
     b = a.where("o_orderkey % 11 <> 0").withColumns({"o_totalprice": F.when(k % 5 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice")), "o_orderpriority": F.when(k % 3 == 0, "x").otherwise(F.col("o_orderpriority"))})
-    return Q.diff_versions(a, b, ["o_orderkey"], "o_totalprice", ["o_orderpriority"]).groupBy("status").agg(N)
+    return Q.diff_versions(a, b, ["o_orderkey"], "o_totalprice", ["o_orderpriority"]).groupBy("status").agg(N())
 
 
 @query("dq7_sessions", "SELECT session, count(*) AS n FROM (SELECT dense_rank() OVER (ORDER BY user_id % 5, CAST(ts AS DATE)) AS session FROM events) GROUP BY 1")
 def _(t):
     e = t.table("events").select((F.col("user_id") % 5).alias("trip"), F.to_date("ts").alias("day"))
-    return Q.sessions(e, ["trip", "day"]).groupBy(F.col("session").cast("bigint").alias("session")).agg(N)
+    return Q.sessions(e, ["trip", "day"]).groupBy(F.col("session").cast("bigint").alias("session")).agg(N())
 
 
 @query("dq8_reproduces", "SELECT count(*) AS n, count(*) FILTER (o_custkey % 3 <> 0) AS n_match, 0 AS n_not_stored, 0 AS n_not_recomputed FROM (SELECT o_custkey, sum(o_totalprice) FROM orders GROUP BY 1)")
@@ -376,7 +376,7 @@ def _(t):
 
 @query("dq10_label_unique", sql("triples", "SELECT p, count(*) AS n FROM (SELECT DISTINCT s, split_part(s, '/', 1) AS p FROM triples WHERE s NOT IN (SELECT s FROM triples WHERE p = 'label')) GROUP BY 1"))
 def _(t):
-    return G.unique_labels(t.triples).groupBy(F.substring_index("s", "/", 1).alias("p")).agg(N)
+    return G.unique_labels(t.triples).groupBy(F.substring_index("s", "/", 1).alias("p")).agg(N())
 
 
 @query("dq11_registry", """
@@ -398,14 +398,14 @@ def _(t):
 
 @query("dq13_block_checks", sql("triples", "SELECT 'label' AS problem, count(*) AS n FROM triples WHERE p = 'type' AND o = 'Customer'"))
 def _(t):
-    return G.block_checks(t.triples, "Customer", {"type": 1, "locatedIn": 1, "label": 1}).groupBy("problem").agg(N)
+    return G.block_checks(t.triples, "Customer", {"type": 1, "locatedIn": 1, "label": 1}).groupBy("problem").agg(N())
 
 
 @query("dq14_complete", """
     SELECT problem, count(*) AS n FROM (SELECT 'priority missing' AS problem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'priority not allowed' FROM (SELECT o_custkey, min(o_orderpriority) AS p FROM orders GROUP BY 1) WHERE p NOT IN ('1-URGENT')) GROUP BY 1""")
 def _(t):
     o = t.table("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderpriority").alias("priority"))
-    return Q.complete(o, t.table("customer").select(F.col("c_custkey").alias("k")), "k", {"priority": ["1-URGENT"]}).groupBy("problem").agg(N)
+    return Q.complete(o, t.table("customer").select(F.col("c_custkey").alias("k")), "k", {"priority": ["1-URGENT"]}).groupBy("problem").agg(N())
 
 
 @query("dq15_conservation", sql("counts", "SELECT profile, rank, CAST(sum(n) AS BIGINT) + 1 AS n, 'absolute' AS problem FROM counts CROSS JOIN (VALUES (1), (2), (3)) r(rank) WHERE profile % 10 = 1 GROUP BY 1, 2"))
@@ -451,7 +451,7 @@ def _(t):
     p = t.table("part")
     have = p.select(F.col("p_partkey").alias("id"), F.when(m == 0, "CaSO4").when(m == 1, "C6H12O6").when(m == 2, "FeO").alias("formula"))
     ref = p.select(F.col("p_partkey").alias("id"), F.when(m == 0, "CaSO4").when(m == 1, "CH2O").otherwise("Fe2O3").alias("formula"), F.lit(False).alias("obsolete"), F.lit(0).alias("charge"))
-    return Q.formula_audit(have, ref).groupBy("relation").agg(N)
+    return Q.formula_audit(have, ref).groupBy("relation").agg(N())
 
 
 @query("dq22_infer_dictionary", """

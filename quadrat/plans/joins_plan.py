@@ -8,7 +8,7 @@ from quadrat.operators import joins as J
 from quadrat.plans.roles import registry, sql
 
 QUERIES, query = registry()
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 
 
 @query("jn1_checked_join", """
@@ -16,14 +16,14 @@ N = F.count(F.lit(1)).alias("n")
 def _(t):
     s = t.table("supplier").withColumnRenamed("s_nationkey", "site").withColumn("block", F.lit(None).cast("int"))
     n = t.table("nation").select(F.col("n_nationkey").alias("site"), F.col("n_regionkey").alias("region"))
-    return J.checked_join(s.drop("block"), n, ["site"], card="m:1").groupBy(F.col("region").alias("block")).agg(N, F.round(F.sum("s_acctbal"), 2).alias("total"))
+    return J.checked_join(s.drop("block"), n, ["site"], card="m:1").groupBy(F.col("region").alias("block")).agg(N(), F.round(F.sum("s_acctbal"), 2).alias("total"))
 
 
 @query("jn2_lookup", """
     SELECT p_brand AS brand, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def _(t):
     li = t.table("lineitem").select(F.col("l_partkey").alias("k"), "l_quantity")
-    return J.lookup(li, t.table("part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand")), ["k"]).groupBy("brand").agg(N, F.sum("l_quantity").cast("bigint").alias("quantity"))
+    return J.lookup(li, t.table("part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand")), ["k"]).groupBy("brand").agg(N(), F.sum("l_quantity").cast("bigint").alias("quantity"))
 
 
 @query("jn3_anti_keys", """
@@ -56,7 +56,7 @@ def _(t):
     ids = o.select(key.alias("key")).distinct()
     ref = o.select(base.alias("ref")).distinct()
     rules = [("exact", F.col("key")), ("suffix", F.regexp_replace("key", "_x$", ""))]
-    return J.resolve_cascade(ids, ref, "key", "ref", rules).groupBy("rule").agg(N, F.max("n_alike").alias("most_alike"))
+    return J.resolve_cascade(ids, ref, "key", "ref", rules).groupBy("rule").agg(N(), F.max("n_alike").alias("most_alike"))
 
 
 @query("jn6_classify_keys", """
@@ -67,7 +67,7 @@ def _(t):
     rows = c.join(nation, c.c_nationkey == nation.n_nationkey)
     m = F.col("c_custkey") % 4
     key = F.when(m == 0, F.col("c_custkey").cast("string")).when(m == 1, F.col("n_name")).when(m == 2, F.concat("n_name", F.lit("+A"))).otherwise(F.concat(F.lit("somewhere "), F.col("c_custkey").cast("string")))
-    return J.classify_keys(rows.select(key.alias("key")), nation.select(F.col("n_name").alias("label"))).groupBy("kind").agg(N)
+    return J.classify_keys(rows.select(key.alias("key")), nation.select(F.col("n_name").alias("label"))).groupBy("kind").agg(N())
 
 
 @query("jn7_longest_match", """
@@ -80,7 +80,7 @@ def _(t):
     raw = p.select(F.concat(F.lit("run_"), "p_brand", F.lit("_"), size, F.lit("_q")).alias("raw"))
     known = p.select(F.col("p_brand").alias("known")).union(p.where("p_size < 20").select(F.concat("p_brand", F.lit("_"), size)))
     hit = J.longest_match(raw.distinct(), known.distinct())
-    return raw.groupBy("raw").agg(N).join(hit, "raw").select("raw", "known", "n")
+    return raw.groupBy("raw").agg(N()).join(hit, "raw").select("raw", "known", "n")
 
 
 @query("jn8_geo_match", sql("sites", """
@@ -170,7 +170,7 @@ def _(t):
 @query("jn17_complete_blocks", sql("counts_pos", """
     SELECT campaign, count(*) AS n, count(DISTINCT profile) AS blocks FROM (SELECT *, count(*) OVER (PARTITION BY profile, campaign, feature) AS k FROM counts_pos) WHERE k = 3 GROUP BY 1"""))
 def _(t):
-    return J.complete_blocks(t.counts_pos, ["profile", "campaign", "feature"], "position", ["A", "N", "R"]).groupBy("campaign").agg(N, F.count_distinct("profile").alias("blocks"))
+    return J.complete_blocks(t.counts_pos, ["profile", "campaign", "feature"], "position", ["A", "N", "R"]).groupBy("campaign").agg(N(), F.count_distinct("profile").alias("blocks"))
 
 
 @query("jn18_allocate_runs", """

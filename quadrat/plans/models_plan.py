@@ -17,7 +17,7 @@ from quadrat.plans.roles import registry, sql
 from quadrat.sources import sinks, text
 
 QUERIES, query = registry()
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 R = lambda df, digits=6: df.withColumns({c: F.round(F.col(c) + 0.0, digits) for c, kind in df.dtypes if kind == "double"})
 
 
@@ -159,10 +159,10 @@ def _(t):
 
 
 @query("ctl2_batch_screen", sql("counts profiles", f"""
-    SELECT threshold, min_support, count(*) FILTER (p < threshold AND a >= min_support) AS n_called FROM (
+    SELECT threshold, min_support, count(*) FILTER (p < threshold AND a >= min_support) AS n_called FROM (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE))) t(threshold) CROSS JOIN (VALUES (1), (2)) s(min_support) LEFT JOIN (
       SELECT a, CASE WHEN a > 0 THEN least(1.0, {_FISHER}) ELSE 1.0 END AS p FROM (
         SELECT profile % 2 AS batch, feature, count(*) FILTER (is_control) AS a, count(*) AS c FROM counts JOIN pf USING (profile) GROUP BY 1, 2) JOIN (SELECT profile % 2 AS batch, count(*) FILTER (is_control) AS r, count(*) AS nn FROM pf GROUP BY 1) USING (batch)
-      WHERE r >= 2 AND nn > r AND a / CAST(r AS DOUBLE) > (c - a) / CAST(nn - r AS DOUBLE)) CROSS JOIN (VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE))) t(threshold) CROSS JOIN (VALUES (1), (2)) s(min_support) GROUP BY 1, 2""", pf="SELECT profile, profile % 7 = 0 AS is_control FROM profiles"))
+      WHERE r >= 2 AND nn > r AND a / CAST(r AS DOUBLE) > (c - a) / CAST(nn - r AS DOUBLE)) x ON true GROUP BY 1, 2""", pf="SELECT profile, profile % 7 = 0 AS is_control FROM profiles"))
 def _(t):
     roles = t.profiles.select("profile", (F.col("profile") % 7 == 0).alias("is_control"))
     batches = t.profiles.select("profile", (F.col("profile") % 2).alias("batch"))
@@ -234,13 +234,13 @@ def _(t):
     body = t.table("events").groupBy(F.col("user_id").alias("id")).agg(F.concat_ws("\n", F.collect_list(line)).alias("b"))
     doc = F.concat(F.lit("Report\nFormula\tConc\n"), "b", F.lit("\nMaterial\tsoil\nnoise\t1\nFormula\tConc\nMode\tx\nlast\t2"))
     out = text.parse_instrument_blocks(body.select("id", doc.alias("text")), "id", "text")
-    return out.groupBy("id", "formula").agg(N, F.round(F.sum("value"), 2).alias("total"))
+    return out.groupBy("id", "formula").agg(N(), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("src10_parse_nquads", sql("triples", "SELECT p, o_kind, count(*) AS n, count(DISTINCT s || o) AS distinct_n FROM triples GROUP BY 1, 2"))
 def _(t):
     quads, _ = text.parse_nquads(sinks.render_nquads(t.triples))
-    return quads.groupBy("p", "o_kind").agg(N, F.count_distinct(F.concat("s", "o")).alias("distinct_n"))
+    return quads.groupBy("p", "o_kind").agg(N(), F.count_distinct(F.concat("s", "o")).alias("distinct_n"))
 
 
 @query("src11_daily_json", sql("daily", "SELECT site, date, value AS rain FROM daily"))
@@ -346,7 +346,7 @@ def _(t):
 
     rows = qc_flags(t.readings, {"range": F.col("value") > 200, "qc": F.col("sample") % 20 == 0}).where("disposition = 'admitted'")
     red = A.reduce_readings(rows, ["sample", "analyte"], "value", F.struct("ts", "event_id"), "median_positive")
-    return R(red.groupBy("analyte").agg(N, F.avg("value").alias("mean")))
+    return R(red.groupBy("analyte").agg(N(), F.avg("value").alias("mean")))
 
 
 @query("pl11_pathway_structure")
@@ -426,4 +426,4 @@ def _(t):
     SELECT product, count(*) AS n, round(avg(v), 4) AS mean FROM d GROUP BY 1""")
 def _(t):
     d = t.table("events").groupBy(F.col("event_type").alias("product"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date")).agg(F.sum("value").alias("v"))
-    return R(d.groupBy("product").agg(N, F.avg("v").alias("mean")), 4)
+    return R(d.groupBy("product").agg(N(), F.avg("v").alias("mean")), 4)

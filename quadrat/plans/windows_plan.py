@@ -9,7 +9,7 @@ from quadrat.plans.roles import registry, sql
 
 QUERIES, query = registry()
 R = lambda df, digits=6: df.withColumns({c: F.round(F.col(c) + 0.0, digits) for c, kind in df.dtypes if kind == "double"})
-N = F.count(F.lit(1)).alias("n")
+N = lambda: F.count(F.lit(1)).alias("n")
 
 
 @query("win1_rank_taxa", sql("brands", """
@@ -134,7 +134,7 @@ def _(t):
 def _(t):
     c = t.table("customer").select(F.lit("customer").alias("kind"), F.col("c_acctbal").alias("balance"), "c_mktsegment")
     s = t.table("supplier").select("s_name", F.lit("supplier").alias("kind"), F.col("s_acctbal").alias("balance"))
-    return W.union_shared(c, s).groupBy("kind").agg(N, F.round(F.sum("balance"), 2).alias("balance"))
+    return W.union_shared(c, s).groupBy("kind").agg(N(), F.round(F.sum("balance"), 2).alias("balance"))
 
 
 @query("set2_shared_ids", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity = 50 INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity = 1")
@@ -156,7 +156,7 @@ def _(t):
 def _(t):
     g = t.triples.select("s", "p", "o")
     whole = W.graph_add(g.where("p in ('type', 'partOf')"), g.where("p in ('label', 'type')"))
-    return W.graph_delta(g.where("p in ('type', 'locatedIn')"), whole).groupBy("p").agg(N)
+    return W.graph_delta(g.where("p in ('type', 'locatedIn')"), whole).groupBy("p").agg(N())
 
 
 @query("set5_jaccard", sql("counts_pos", """
