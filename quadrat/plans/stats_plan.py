@@ -187,7 +187,7 @@ def _(t):
 
 @query("stat4_spearman_draws", sql("sites daily", f"""
     SELECT draw, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM ({_ranked('SELECT draw, lon, v FROM boot JOIN sites ON site = u JOIN vv USING (site), unnest(range(weight)) r(i)', 'draw', 'lon', 'v')}) GROUP BY 1""",
-    un="SELECT site AS u FROM sites", reps=_REPS, boot=_BOOT, vv="SELECT site, round(avg(value), 3) AS v FROM daily GROUP BY 1"))
+    un="SELECT DISTINCT site AS u FROM daily", reps=_REPS, boot=_BOOT, vv="SELECT site, round(avg(value), 3) AS v FROM daily GROUP BY 1"))
 def _(t):
     v = t.daily.groupBy("site").agg(F.round(F.avg("value"), 3).alias("v"))
     return R(S.spearman_draws(t.sites.join(v, "site").select("site", "lon", "v"), "site", "lon", "v", 50))
@@ -284,7 +284,7 @@ def _ss(by: str, src: str) -> str:
 @query("stat14_permanova", sql("site_brands sites", f"""
     SELECT round(f, 6) AS f, round(r2, 6) AS r2, round((1 + count(*) FILTER (v >= f - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM (
       SELECT draw, (bt / (g - 1)) / (wi / (n - g)) AS v FROM ({_ss('draw,', 'SELECT draw, s.block, c.t, c.v FROM clr c JOIN perm ON perm.u = c.u JOIN sites s ON s.site = perm_unit')})),
-      (SELECT (bt / (g - 1)) / (wi / (n - g)) AS f, bt / (bt + wi) AS r2 FROM ({_ss('', 'SELECT s.block, c.t, c.v FROM clr c JOIN sites s ON s.site = c.u')})) GROUP BY f, r2""", **_SITES_U, clr=_CLR))
+      (SELECT (bt / (g - 1)) / (wi / (n - g)) AS f, bt / (bt + wi) AS r2 FROM ({_ss('', 'SELECT s.block, c.t, c.v FROM clr c JOIN sites s ON s.site = c.u')})) GROUP BY f, r2""", un="SELECT DISTINCT site AS u FROM site_brands", reps=_REPS, perm=_PERM, clr=_CLR))
 def _(t):
     df = _clr(t).join(t.sites.select("site", "block"), "site")
     return R(S.permanova(df, "site", "block", "taxon", "clr", 50))
@@ -320,7 +320,7 @@ def _(t):
 @query("stat17_distance_decay", sql("site_brands sites", """
     SELECT round(slope, 8) AS slope, round((1 + count(*) FILTER (abs(v - mv) >= abs(slope - mv) - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p FROM (
       SELECT *, avg(v) OVER () AS mv FROM (SELECT m.draw, regr_slope(dd.d, m.km) AS v FROM (SELECT p.draw, least(p.perm_unit, q.perm_unit) AS a, greatest(p.perm_unit, q.perm_unit) AS b, km FROM geo JOIN perm p ON p.u = a JOIN perm q ON q.u = b AND q.draw = p.draw) m JOIN dd USING (a, b) GROUP BY 1)),
-      (SELECT regr_slope(d, km) AS slope FROM geo JOIN dd USING (a, b)) GROUP BY slope""", **_SITES_U, **_GEOM))
+      (SELECT regr_slope(d, km) AS slope FROM geo JOIN dd USING (a, b)) GROUP BY slope""", un="SELECT DISTINCT site AS u FROM site_brands", reps=_REPS, perm=_PERM, **_GEOM))
 def _(t):
     p = D.geo_pairs(t.sites).join(D.euclidean(_clr(t), "site", "taxon", "clr"), ["a", "b"])
     return S.distance_decay(p, "km", "d", 50).select(F.round("slope", 8).alias("slope"), F.round("p", 6).alias("p"))
@@ -333,7 +333,7 @@ _KNN = "SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM (SELECT k.sit
     SELECT round(i, 6) AS i, round((1 + count(*) FILTER (v >= i - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM (
       SELECT p.draw, (SELECT count(*) / sum(z * z) FROM zz) * sum(x.z * y.z) / count(*) AS v FROM knn JOIN perm p ON p.u = a JOIN perm q ON q.u = b AND q.draw = p.draw JOIN zz x ON x.site = p.perm_unit JOIN zz y ON y.site = q.perm_unit GROUP BY 1),
       (SELECT (SELECT count(*) / sum(z * z) FROM zz) * sum(x.z * y.z) / count(*) AS i FROM knn JOIN zz x ON x.site = a JOIN zz y ON y.site = b) GROUP BY i""",
-    **_SITES_U, km=_KM, knn=_KNN, zz="SELECT site, v - avg(v) OVER () AS z FROM (SELECT site, avg(value) AS v FROM daily GROUP BY 1)"))
+    un="SELECT DISTINCT site AS u FROM daily", reps=_REPS, perm=_PERM, km=_KM, knn=_KNN, zz="SELECT site, v - avg(v) OVER () AS z FROM (SELECT site, avg(value) AS v FROM daily GROUP BY 1)"))
 def _(t):
     from quadrat.functions.compositional import km_axes
     from quadrat.operators.joins import knn_graph
