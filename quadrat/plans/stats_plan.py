@@ -179,7 +179,12 @@ def _(t):
     return R(S.spearman(t.table("events").withColumn("v", F.round("value", 0)), "v", "user_id", ["event_type"]))
 
 
-@query("stat3_partial_spearman", None)
+@query("stat3_partial_spearman", """
+    WITH e AS (SELECT event_type, value AS x, user_id AS y, hour(ts) AS z FROM events),
+    r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY x) + (count(*) OVER (PARTITION BY event_type, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY event_type ORDER BY y) + (count(*) OVER (PARTITION BY event_type, y) - 1) / 2.0 AS ry,
+          rank() OVER (PARTITION BY event_type ORDER BY z) + (count(*) OVER (PARTITION BY event_type, z) - 1) / 2.0 AS rz FROM e),
+    c AS (SELECT event_type, corr(rx, ry) AS xy, corr(rx, rz) AS xz, corr(ry, rz) AS yz, count(*) AS n FROM r GROUP BY 1)
+    SELECT event_type, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS rho, n FROM c""")
 def _(t):
     e = t.table("events").withColumn("h", F.hour("ts"))
     return R(S.partial_spearman(e, "value", "user_id", "h", ["event_type"]))
@@ -261,7 +266,12 @@ def _(t):
     return R(S.paired_location(_part_diffs(t), "site", "taxon", "diff", 50))
 
 
-@query("stat12_paired_dispersion", None)
+@query("stat12_paired_dispersion", sql("phyla", """
+    SELECT round(o, 6) AS statistic, n_blocks, round((1 + count(*) FILTER (abs(v) >= abs(o) - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM (
+      SELECT draw, avg(sign * diff) AS v FROM pd JOIN flip ON u = site GROUP BY 1), (SELECT avg(diff) AS o, count(*) AS n_blocks FROM pd) GROUP BY o, n_blocks""",
+    dsp="SELECT position, site, sqrt(sum(c * c)) AS v FROM (SELECT *, n - avg(n) OVER (PARTITION BY position, taxon) AS c FROM phyla) GROUP BY 1, 2",
+    pd="SELECT site, max(v) FILTER (position = 'A') - max(v) FILTER (position = 'N') AS diff FROM dsp GROUP BY 1 HAVING max(v) FILTER (position = 'A') - max(v) FILTER (position = 'N') IS NOT NULL",
+    un="SELECT site AS u FROM pd", reps=_REPS, flip=_FLIP))
 def _(t):
     d = D.dispersion(t.phyla, ["position"], ["site"], "taxon", "n").withColumnRenamed("distance", "v")
     return R(S.paired_dispersion(S.paired_differences(d, ["site"], "position", [("A", "N")], "v"), "site", "diff", 50))
@@ -311,7 +321,10 @@ def _(t):
     return R(S.mantel(D.geo_pairs(t.sites).withColumnRenamed("km", "d"), D.euclidean(_clr(t), "site", "taxon", "clr"), 50))
 
 
-@query("stat16_correlogram", None)
+@query("stat16_correlogram", sql("site_brands sites", """
+    SELECT class, n, round(-(s - n * sum(s) OVER () / sum(n) OVER ()) / sqrt(n * (1 - n / sum(n) OVER ()) * (sum(q) OVER () - sum(s) OVER () * sum(s) OVER () / sum(n) OVER ())), 6) AS r FROM (
+      SELECT class, count(*) AS n, sum(d) AS s, sum(d * d) AS q FROM (SELECT d, 1 + CAST(list_sum(list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN km > e[i] THEN 1 ELSE 0 END)) AS INTEGER) AS class FROM pp, (
+        SELECT [quantile_cont(km, 0.16666666666666666), quantile_cont(km, 0.3333333333333333), quantile_cont(km, 0.5), quantile_cont(km, 0.6666666666666666), quantile_cont(km, 0.8333333333333334)] AS e FROM pp)) GROUP BY 1)""", **_GEOM, pp="SELECT km, d FROM geo JOIN dd USING (a, b)"))
 def _(t):
     p = D.geo_pairs(t.sites).join(D.euclidean(_clr(t), "site", "taxon", "clr"), ["a", "b"])
     return R(S.correlogram(p, "km", "d", 6))
@@ -367,7 +380,10 @@ def _(t):
     return R(S.method_agreement(x, "p_brand", "a", "b"))
 
 
-@query("stat22_product_agreement", None)
+@query("stat22_product_agreement", """
+    WITH d AS (SELECT event_type AS product, user_id % 25 AS site, avg(value) AS v FROM events GROUP BY 1, 2), j AS (SELECT x.product AS a, y.product AS b, x.v AS va, y.v AS vb FROM d x JOIN d y ON x.site = y.site AND x.product < y.product),
+    r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM j)
+    SELECT a, b, round(corr(va, vb), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, round(avg(abs(va - vb)), 6) AS mad, count(*) AS n FROM r GROUP BY 1, 2""")
 def _(t):
     e = t.table("events").groupBy(F.col("event_type").alias("product"), (F.col("user_id") % 25).alias("site")).agg(F.avg("value").alias("v"))
     return R(S.product_agreement(e, "product", ["site"], "v"))
