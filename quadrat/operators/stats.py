@@ -88,13 +88,19 @@ def friedman(df: DataFrame, block: list[str], treatment: str, value: str) -> Dat
 
 
 def fisher_greater(a, b, c, d) -> Column:
-    """One-sided Fisher exact p of the table [[a, b], [c, d]] for a larger a, from log gammas."""
+    """One-sided Fisher exact p of the table [[a, b], [c, d]] for a larger a: first term from log gammas, then by ratios."""
     a, b, c, d = (F.col(x).cast("int") if isinstance(x, str) else x.cast("int") for x in (a, b, c, d))
     row, col, n = a + b, a + c, a + b + c + d
     ln = lambda x: lgamma(x + F.lit(1.0))
-    fixed = ln(row) + ln(n - row) + ln(col) + ln(n - col) - ln(n)
-    term = lambda k: F.exp(fixed - ln(k) - ln(row - k) - ln(col - k) - ln(n - row - col + k))
-    return F.least(F.lit(1.0), F.aggregate(F.sequence(a, F.least(row, col)), F.lit(0.0), lambda s, k: s + term(k)))
+    first = ln(row) + ln(n - row) + ln(col) + ln(n - col) - ln(n) - ln(a) - ln(row - a) - ln(col - a) - ln(n - row - col + a)
+    step = lambda k: F.log((row - k).cast("double") * (col - k) / ((k + 1).cast("double") * (n - row - col + k + 1)))
+    total = F.aggregate(
+        F.sequence(a, F.least(row, col)),
+        F.struct(F.lit(0.0).alias("sum"), first.alias("log")),
+        lambda acc, k: F.struct((acc["sum"] + F.exp(acc["log"])).alias("sum"), (acc["log"] + step(k)).alias("log")),
+        lambda acc: acc["sum"],
+    )
+    return F.least(F.lit(1.0), total)
 
 
 def cliffs_delta(df: DataFrame, group: str, first, second, value: str, by: list[str] = ()) -> DataFrame:
