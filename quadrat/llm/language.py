@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrat.llm import learn
+from quadrat.llm.memory import releasing
 
 LEVEL, DICT_BYTES, SNIPPET = 6, 64 << 10, 300
 PER_LANGUAGE, LANGUAGES = 1_000, 64  # learned texts of each language, and languages, at most
@@ -130,7 +131,7 @@ def languages(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, margin double")
+    found = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(releasing(run), f"{id_col} {kind}, lang_pred string, score double, margin double")
     return found.select(
         F.col(id_col).alias("doc_id"),
         (learn.fold(id_col, 5) == 0).alias("held_out"),

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.memory import releasing
+
 
 def fold(id_col: str, of: int):
     """crc32 of the id as text, modulo ``of``; NULL ids fall in fold 0."""
@@ -53,7 +55,7 @@ def train(sample: DataFrame, fit: Callable[[list[str], np.ndarray], dict[str, np
             np.savez(packed, **model)
             yield pa.RecordBatch.from_arrays([pa.array([packed.getvalue()], pa.binary())], names=["model"])
 
-    got = sample.repartition(1).mapInArrow(run, "model binary").head(1)
+    got = sample.repartition(1).mapInArrow(releasing(run), "model binary").head(1)
     return bytes(got[0]["model"]) if got else None
 
 

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.llm.memory import releasing
 from quadrat.operators.components import connected_components
 from quadrat.session import cut
 
@@ -42,7 +43,7 @@ THRESHOLD = 85  # per cent
 BAND_ROWS, BANDS = 6, 24
 SLOTS = BAND_ROWS * BANDS
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 2_000_000
-_CACHE = 300_000
+_CACHE = 200_000
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 
@@ -157,7 +158,7 @@ def _sketch(width: int, slots: int, band_rows: int):
             while at < len(texts):
                 sets, volume = [], 0
                 start = at
-                while at < len(texts) and volume < 2_000_000 and at - start < 2_000:
+                while at < len(texts) and volume < 1_000_000 and at - start < 2_000:
                     sets.append(shingle_set(texts[at].as_py(), words, width))
                     volume += len(sets[-1])
                     at += 1
@@ -317,7 +318,7 @@ def near_duplicates(
     with a NULL id keep their own NULL as component.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = cut(texts.mapInArrow(_sketch(width, bands * band_rows, band_rows), _SKETCH), "sketch")
+    sketch = cut(texts.mapInArrow(releasing(_sketch(width, bands * band_rows, band_rows)), _SKETCH), "sketch")
     nodes = cut(
         sketch.where("node is not null").groupBy("node").agg(
             F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")
@@ -335,7 +336,7 @@ def near_duplicates(
         .repartition(F.col("block"))
         .sortWithinPartitions("block", "node", "side")
     )
-    links = dealt.mapInArrow(_verify(width, threshold), "a binary, b binary")
+    links = dealt.mapInArrow(releasing(_verify(width, threshold)), "a binary, b binary")
     joined = connected_components(links)
     rooted = nodes.select("node", "rep").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))

@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm import learn
+from quadrat.llm.memory import releasing
 
 DIM, ROWS, HIDDEN = 64, 1 << 14, 32
 LIMIT = 5_000  # training rows of each class, at most
 CUTOFF = 0.7
 REJECT = 0.5
-_CACHE = 400_000
+_CACHE = 200_000
 _RUN = re.compile(r"(.)\1+", re.S)
 
 
@@ -168,10 +169,12 @@ def quality_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(learn.unpack(raw)) if raw else lambda texts: np.full(len(texts), 0.5)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1).to_pylist()))], names=[id_col, "score"])
+            for at in range(0, len(batch), 1_000):
+                part = batch.slice(at, 1_000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(part.column(1).to_pylist()))], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, score double")
+    scored = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(releasing(run), f"{id_col} {kind}, score double")
     return scored.select(
         F.col(id_col).alias("doc_id"),
         (learn.fold(id_col, 4) == 2).alias("held_out"),
