@@ -3,7 +3,9 @@
 One raw-content zstandard dictionary is built for each language from a bounded
 sample of learned texts; a text belongs to the language whose dictionary makes
 it smallest. Texts and samples are reduced to lower-cased letters and single
-blanks first, so case, digits and marks say nothing. The sample is cleaned by
+blanks first, so case, digits and marks say nothing. A long text is compressed
+in equal pieces of at most ``PIECE`` bytes, each against the dictionaries alone,
+and the sizes are added up: a margin says the same of a page and of a book. The sample is cleaned by
 its own first dictionaries: a snippet that another language's dictionary makes
 smaller (foreign passages inside a text, boilerplate) is left out of the final
 ones.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from quadrat.llm import learn
 from quadrat.llm.memory import releasing
 
-LEVEL, DICT_BYTES, SNIPPET = 6, 64 << 10, 300
+LEVEL, DICT_BYTES, SNIPPET, PIECE = 6, 64 << 10, 300, 8 << 10
 PER_LANGUAGE, LANGUAGES = 1_000, 64  # learned texts of each language, and languages, at most
 MIN_MARGIN = 0.002
 _OTHER = re.compile(r"[\W\d_]+")
@@ -49,7 +51,10 @@ def compressors(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
 
 
 def sizes(coders: list, text: bytes) -> list[int]:
-    return [len(c.compress(text)) for c in coders]
+    """Compressed size by each coder, summed over equal pieces of at most ``PIECE`` bytes (a text's own past must not stand in for the dictionary)."""
+    n = max(1, -(-len(text) // PIECE))
+    pieces = [text] if n == 1 else [text[len(text) * k // n : len(text) * (k + 1) // n] for k in range(n)]
+    return [sum(len(c.compress(p)) for p in pieces) for c in coders]
 
 
 def fit(texts: list[str], lang: np.ndarray) -> dict | None:

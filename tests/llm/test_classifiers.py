@@ -35,6 +35,17 @@ def test_languages(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
 
 
+def test_margin_of_a_clean_text_does_not_fall_with_its_length():
+    rng = random.Random(4)
+    names = [n for n in STEMS for _ in range(200)]
+    one = language.classifier(language.fit([words(rng, STEMS[n], 40) for n in names], np.array(names)))
+    for name in STEMS:
+        page, book = words(rng, STEMS[name], 1_000), words(rng, STEMS[name], 500_000)
+        assert len(book) > 3_000_000 and one(page)[0] == one(book)[0] == name
+        assert one(book)[2] > max(language.MIN_MARGIN, one(page)[2] / 2)
+    assert len(language.sizes([], b"")) == 0 and one("thiing " * 100_000)[0] == "aa"
+
+
 def test_no_languages_to_learn(spark):
     df = spark.createDataFrame([(1, "some text", None, "c", 0)], DOCS)
     r = language.languages(df).first()
