@@ -1,36 +1,41 @@
 """Corpus preparation in four stages over the documents table.
 
 Each stage is a function of (spark, docs, sf_dir). Its result is written as
-Parquet in the shared folder and read again as the next stage's input.
+Parquet in the shared folder and read again as the next stage's input. The
+stages decide by row: ids may be NULL, repeated, or stand with several texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quadrat.llm import language, near_dedup, packing, quality
 from quadrat.session import cut
 
 
-def _keep(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``kept_ids`` (column ``doc_id``), with their columns as they are."""
-    return docs.join(kept_ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject (equal texts have equal scores)."""
+    """Rows whose text the quality classifier doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _keep(docs, quality.quality_scores(docs, labels).where("not rejected"))
+    return quality.with_scores(docs, labels, score_col="_score").where(F.col("_score") >= quality.REJECT).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told without a narrow margin."""
-    return _keep(docs, language.languages(docs).where("not rejected"))
+    """Rows whose language is told without a narrow margin."""
+    return language.with_languages(docs, prefix="_").where(F.col("_margin") >= language.MIN_MARGIN).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near duplicates."""
-    return _keep(docs, near_dedup.near_duplicates(docs).where("kept"))
+    """One row of each group of near duplicates: the smallest id, and of its rows any one.
+
+    Groups are found over row keys written with the table. A NULL id comes
+    after all ids; texts without words are groups of their own.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_dedup.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quadrat.llm import learn
 from quadrat.llm.memory import releasing
@@ -116,6 +117,28 @@ def learned_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, p
     return plain.join(F.broadcast(picked), ["_id", "y"]).groupBy("_id", "y").agg(F.min("text").alias("text")).select("_id", "text", "y")
 
 
+_FOUND = ("lang_pred", StringType()), ("score", DoubleType()), ("margin", DoubleType())
+
+
+def with_languages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    per_language: int = PER_LANGUAGE, prefix: str = "",
+) -> DataFrame:
+    """``docs`` row by row, all columns as they are, and ``lang_pred``, ``score`` and ``margin`` (names after ``prefix``)."""
+    raw = learn.train(learned_sample(docs, id_col, text_col, lang_col, per_language), fit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = classifier(learn.unpack(raw) if raw else None)
+
+        def judge(texts: list) -> dict[str, pa.Array]:
+            got = zip(*map(one, texts))
+            return {prefix + n: pa.array(g, pa.string() if n == "lang_pred" else pa.float64()) for (n, _), g in zip(_FOUND, got)}
+
+        yield from learn.beside(batches, text_col, judge)
+
+    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, *(StructField(prefix + n, kind) for n, kind in _FOUND)]))
+
+
 def languages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     per_language: int = PER_LANGUAGE, min_margin: float = MIN_MARGIN,
@@ -124,22 +147,10 @@ def languages(
 
     Learns from rows whose crc32(id) mod 5 is not 0; predictions see the text only.
     """
-    raw = learn.train(learned_sample(docs, id_col, text_col, lang_col, per_language), fit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = classifier(learn.unpack(raw) if raw else None)
-        for batch in batches:
-            got = list(zip(*(one(t.as_py()) for t in batch.column(1)))) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.float64())],
-                names=[id_col, "lang_pred", "score", "margin"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(releasing(run), f"{id_col} {kind}, lang_pred string, score double, margin double")
-    return found.select(
-        F.col(id_col).alias("doc_id"),
-        (learn.fold(id_col, 5) == 0).alias("held_out"),
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    return with_languages(plain, per_language=per_language).select(
+        "doc_id",
+        (learn.fold("doc_id", 5) == 0).alias("held_out"),
         "lang_pred",
         "score",
         "margin",

@@ -64,6 +64,15 @@ def unpack(raw: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+def beside(batches: Iterator[pa.RecordBatch], text_col: str, judge: Callable[[list], dict[str, pa.Array]], size: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` as they are, in parts of at most ``size``, with the columns that ``judge`` finds for their texts."""
+    for batch in batches:
+        for at in range(0, len(batch), size):
+            part = batch.slice(at, size)
+            found = judge(part.column(part.schema.get_field_index(text_col)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, *found.values()], names=[*part.schema.names, *found])
+
+
 def batches(n: int, size: int, epochs: int, rng, least: int = 1_000) -> Iterator[np.ndarray]:
     """Shuffled row numbers in parts of about ``size``: ``epochs`` passes, or ``least`` parts where rows are few."""
     parts = max(1, n // size)

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quadrat.llm import learn
 from quadrat.llm.memory import releasing
@@ -154,6 +155,21 @@ def scorer(model: dict):
     return run
 
 
+def with_scores(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    limit: int = LIMIT, score_col: str = "score",
+) -> DataFrame:
+    """``docs`` row by row, all columns as they are, and ``score_col``: a row's score goes with the row, not with its id."""
+    sample = learn.labelled_sample(docs, labels, label_col, id_col, text_col, lambda c: learn.fold(c, 4) != 2, limit)
+    raw = learn.train(sample, fit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(learn.unpack(raw)) if raw else lambda texts: np.full(len(texts), 0.5)
+        yield from learn.beside(batches, text_col, lambda texts: {score_col: pa.array(score(texts), pa.float64())})
+
+    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     limit: int = LIMIT, cutoff: float = CUTOFF, reject: float = REJECT,
@@ -163,21 +179,11 @@ def quality_scores(
     Learns from at most ``limit`` labelled rows of each class whose
     crc32(id) mod 4 is not 2; every row's whole text is scored.
     """
-    sample = learn.labelled_sample(docs, labels, label_col, id_col, text_col, lambda c: learn.fold(c, 4) != 2, limit)
-    raw = learn.train(sample, fit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(learn.unpack(raw)) if raw else lambda texts: np.full(len(texts), 0.5)
-        for batch in batches:
-            for at in range(0, len(batch), 1_000):
-                part = batch.slice(at, 1_000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(part.column(1).to_pylist()))], names=[id_col, "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(releasing(run), f"{id_col} {kind}, score double")
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    scored = with_scores(plain, labels.withColumnRenamed(id_col, "doc_id"), label_col=label_col, limit=limit).drop("text")
     return scored.select(
-        F.col(id_col).alias("doc_id"),
-        (learn.fold(id_col, 4) == 2).alias("held_out"),
+        "doc_id",
+        (learn.fold("doc_id", 4) == 2).alias("held_out"),
         "score",
         F.when(F.col("score") >= cutoff, 1).otherwise(0).alias("predicted"),
         (F.col("score") < reject).alias("rejected"),

@@ -43,3 +43,29 @@ def test_stages(spark, sf):
     assert 1 in seen[3] and 2 in seen[3] and not seen[3] & {500, 501, 502, 503, 504, 600}
     out = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in out.collect()} == seen[3]
+
+
+def test_null_and_repeated_ids(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    kept, rejected, other = text[7], text[8], text[9]
+    rng = random.Random(3)
+    fresh = " ".join("".join(rng.choice(["th", "ing", "er", "and", "ou"]) for _ in range(3)) for _ in range(60))
+    rows = [(None, fresh, "en", "s", 1), (None, fresh, "en", "s", 1)]  # NULL ids alone: one stays
+    rows += [(None, other, "en", "s", 1), (7, kept, "en", "s0", 2), (7, kept, "en", "s1", len(kept))]  # copies of 9 and 7
+    rows += [(7, rejected, "en", "s", 1), (7, text[10], "en", "s", 1)]  # other texts under a kept id
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        seen.append(sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in docs.collect()))
+    for at in seen[:2]:
+        assert at.count((-1, fresh)) == 2 and at.count((-1, other)) == 1 and at.count((7, kept)) == 3
+        assert (7, rejected) not in at and (7, text[10]) in at
+    assert seen[2].count((-1, fresh)) == 1 and (-1, other) not in seen[2] and (9, other) in seen[2]
+    assert [x for i, x in seen[2] if i == 7] == sorted([kept, text[10]]) and (10, text[10]) not in seen[2]
+    out = corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in out) == [i for i, _ in seen[2]]
