@@ -20,6 +20,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import unicodedata
@@ -53,15 +54,19 @@ class Packer:
     """text -> packed 32-bit ids, through the tokenizer library, with distinct words remembered (a bounded number).
 
     The words of a text that are not known yet go to the library together, with blanks between them.
+    With ``added_tokens`` the file's added tokens are found in texts as the
+    library finds them by default (texts that hold one go to it whole);
+    without, their characters are text like any other.
     """
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
 
         self.library = Tokenizer.from_buffer(raw)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added_tokens
+        self.added = [t["content"].lower() for t in json.loads(raw).get("added_tokens") or ()] if added_tokens else []
 
     def _direct(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -79,7 +84,10 @@ class Packer:
             return b""
         if not _PLAIN.fullmatch(text):
             return self._direct(text)
-        words = _WORDS.findall(text.lower())
+        low = text.lower()
+        if any(c in low for c in self.added):
+            return self._direct(text)
+        words = _WORDS.findall(low)
         unknown = set(words).difference(self.known)
         if not unknown:
             return b"".join(map(self.known.__getitem__, words))
@@ -95,26 +103,26 @@ class Packer:
         return out
 
 
-_PACKERS: dict[bytes, Packer] = {}
+_PACKERS: dict[tuple[bytes, bool], Packer] = {}
 
 
-def packer(raw: bytes) -> Packer:
+def packer(raw: bytes, added_tokens: bool = False) -> Packer:
     """The worker's packer for this tokenizer file; it lives as long as the worker, with the words it knows."""
-    key = hashlib.md5(raw).digest()
+    key = hashlib.md5(raw).digest(), added_tokens
     if key not in _PACKERS:
         _PACKERS.clear()
-        _PACKERS[key] = Packer(raw)
+        _PACKERS[key] = Packer(raw, added_tokens)
     return _PACKERS[key]
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, added_tokens: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every whole text; the tokenizer file is read once and broadcast."""
     with open(path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = packer(raw.value)
+        code = packer(raw.value, added_tokens)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -297,13 +305,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, island
 
 
 def pack_documents(
-    docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Tokenize every whole text and pack the pieces: one row for each piece."""
-    return pack(token_pieces(docs, path, capacity, end_id, id_col, text_col), capacity)
+    docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
+    added_tokens: bool = False,
+) -> DataFrame:
+    """Tokenize every whole text and pack the pieces: one row for each piece.
+
+    ``added_tokens``: the tokenizer file's added tokens in a text get their
+    ids, as by an unmodified ``Tokenizer.encode(text, add_special_tokens=False)``.
+    """
+    return pack(token_pieces(docs, path, capacity, end_id, id_col, text_col, added_tokens), capacity)
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), added_tokens=True)

@@ -97,6 +97,19 @@ def test_packing_keeps_every_rule(spark, capacity):
     assert packing.pack_documents(frame(spark).limit(0), P.path("word_bpe_49k.json"), capacity).count() == 0
 
 
+def test_op5_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = [*TEXTS, "end <|endoftext|> here", "a<|startoftext|>b", "<|EndOfText|>", "日本<|endoftext|>", "<| endoftext |> <|endoftext", "end here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.op5_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert tok.encode(texts[len(TEXTS)], add_special_tokens=False).ids == [806, 49407, 763]
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        assert got[i] == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def test_words_equal_the_library_on_latin_text():
     rng = random.Random(2)
     with open(P.path("word_bpe_49k.json"), "rb") as f:
