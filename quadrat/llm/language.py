@@ -1,8 +1,9 @@
 """Language identification by compression.
 
 One raw-content zstandard dictionary is built for each language from a bounded
-sample of learned texts; a text belongs to the language whose dictionary makes
-it smallest. Texts and samples are reduced to lower-cased letters and single
+sample of learned texts: at most ``PER_LANGUAGE`` texts, each of which gives
+snippets drawn by hash from all its letters, every one of them part of the
+dictionary. A text belongs to the language whose dictionary makes it smallest. Texts and samples are reduced to lower-cased letters and single
 blanks first, so case, digits and marks say nothing. A long text is compressed
 in equal pieces of at most ``PIECE`` bytes, each against the dictionaries alone,
 and the sizes are added up: a margin says the same of a page and of a book. The sample is cleaned by
@@ -14,12 +15,17 @@ ones.
 larger; texts with m under ``MIN_MARGIN`` are marked ``rejected``. A NULL text
 or one without letters is ``und`` with score 0 and rejected. Without learned
 languages every text is ``und``. Ties go to the first language in name order.
-Repeated rows get equal results; extra columns are ignored.
+Repeated rows get equal results; extra columns are ignored; an empty table gives
+an empty result; a text of any length is read whole. Every language found is
+learned; more than ``MAX_LANGUAGES`` values of ``lang`` are an error, since a
+worker holds one dictionary for each.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +38,27 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from quadrat.llm import learn
 from quadrat.llm.memory import releasing
 
-LEVEL, DICT_BYTES, SNIPPET, PIECE = 6, 64 << 10, 300, 8 << 10
-PER_LANGUAGE, LANGUAGES = 1_000, 64  # learned texts of each language, and languages, at most
+LEVEL, SNIPPET, PIECE = 6, 300, 8 << 10
+PER_LANGUAGE = 1_000  # learned texts of each language, at most
+MAX_LANGUAGES = 512  # more raise an error
 MIN_MARGIN = 0.002
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def _plain(text: str | None) -> str:
+    return _OTHER.sub(" ", text.lower()).strip() if text else ""
+
+
 def letters(text: str | None) -> bytes:
-    return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    return _plain(text).encode("utf-8", "replace")
+
+
+def snippets_of(ident: int, text: str | None, most: int) -> bytes:
+    """At most ``most`` of the equal snippets that a text's letters fall into, drawn by hash, one a line."""
+    plain = _plain(text)
+    n = -(-len(plain) // SNIPPET)
+    drawn = sorted(range(n), key=lambda i: (zlib.crc32(b"%d/%d" % (ident, i)), i))[:most]
+    return b"\n".join(plain[len(plain) * i // n : len(plain) * (i + 1) // n].encode("utf-8", "replace") for i in drawn)
 
 
 def compressors(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
@@ -58,24 +77,21 @@ def sizes(coders: list, text: bytes) -> list[int]:
     return [sum(len(c.compress(p)) for p in pieces) for c in coders]
 
 
-def fit(texts: list[str], lang: np.ndarray) -> dict | None:
-    """Dictionary bytes for each language of the sample, in name order."""
-    names = sorted(set(lang.tolist()))
-    snippets: dict[str, list[bytes]] = {n: [] for n in names}
-    for text, name in zip(texts, lang.tolist()):
-        whole = letters(text)
-        at = max(0, (len(whole) - SNIPPET) // 2)
-        if whole:
-            snippets[name].append(whole[at : at + SNIPPET].decode("utf-8", "ignore").encode() + b" ")
-    names = [n for n in names if snippets[n]]
+def fit(feats: list[bytes], lang: np.ndarray) -> dict | None:
+    """Dictionary bytes for each language of the sample (lines of snippets), in name order."""
+    snippets: dict[str, list[bytes]] = {}
+    for feat, name in zip(feats, lang.tolist()):
+        if feat:
+            snippets.setdefault(name, []).extend(s + b" " for s in feat.split(b"\n"))
+    names = sorted(snippets)
     if not names:
         return None
-    first = compressors([b"".join(snippets[n])[:DICT_BYTES] for n in names])
+    first = compressors([b"".join(snippets[n]) for n in names])
     final = []
     for i, name in enumerate(names):
         got = [sizes(first, s) for s in snippets[name]]
         clean = [s for s, g in zip(snippets[name], got) if len(g) == 1 or g[i] < min(g[:i] + g[i + 1 :])] or snippets[name]
-        final.append(b"".join(reversed(clean))[:DICT_BYTES])
+        final.append(b"".join(clean))
     return {"names": np.array(names), "dicts": np.frombuffer(b"".join(final), np.uint8), "ends": np.cumsum([len(d) for d in final])}
 
 
@@ -99,22 +115,28 @@ def classifier(model: dict | None):
 
 
 def learned_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """``(_id, text, y)``: per language at most ``per_language`` texts outside fold 0, by hash order of the id.
-
-    Ranks only ids and languages (with a limit before the shuffle); the picked
-    ids are broadcast, at most ``per_language`` x ``LANGUAGES`` of them.
+    """``(_id, feat, y)``: snippets of at most ``per_language`` texts a language outside fold 0, by hash order of the id.
+
+    Distinct ids are counted for each language (one row each, checked); a
+    threshold on the id's hash lets slightly more than enough of a language's
+    ids through, so however many rows a language has, few are ranked. The
+    picked ids are broadcast: at most ``per_language`` x ``MAX_LANGUAGES``.
+    A language of m learned texts takes up to ceil(``per_language`` / m)
+    snippets of each, from anywhere in the whole text.
     """
-    keys = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("bigint").alias("_id"), F.col(lang_col).alias("y")
-    )
-    keys = keys.where(learn.fold("_id", 5) != 0)
-    common = keys.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LANGUAGES).select("y")
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("_id"), "_id"))
-    picked = keys.withColumn("r", rank).where(F.col("r") <= per_language).drop("r").distinct().join(F.broadcast(common), "y")
-    text = F.col(text_col)
-    middle = text.substr(F.greatest(F.lit(1), F.floor((F.length(text) - 4 * SNIPPET) / 2).cast("int")), F.lit(4 * SNIPPET))
-    plain = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(lang_col).alias("y"), middle.alias("text"))
-    return plain.join(F.broadcast(picked), ["_id", "y"]).groupBy("_id", "y").agg(F.min("text").alias("text")).select("_id", "text", "y")
+    spark = docs.sparkSession
+    named = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(lang_col).cast("string").alias("y"), F.col(text_col).cast("string").alias("text"))
+    keys = named.where("y is not null and text is not null and _id is not null").select("_id", "y").where(learn.fold("_id", 5) != 0)
+    sizes_of = keys.groupBy("y").agg(F.approx_count_distinct("_id").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes_of) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    enough = 1.3 * (per_language + 6 * math.sqrt(per_language)) + 64
+    shares = spark.createDataFrame([(r.y, min(1.0, enough / max(r.n, 1)) * (1 << 30)) for r in sizes_of], "y string, share double")
+    near = keys.join(F.broadcast(shares), "y").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= F.col("share")).select("_id", "y").distinct()
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id"))
+    picked = near.withColumn("r", rank).where(F.col("r") <= per_language).drop("r")
+    most = {r.y: -(-per_language // max(1, min(per_language, r.n))) for r in sizes_of}
+    return learn.encoded(named.join(F.broadcast(picked), ["_id", "y"]), lambda _id, y, text: snippets_of(_id, text, most[y]))
 
 
 _FOUND = ("lang_pred", StringType()), ("score", DoubleType()), ("margin", DoubleType())

@@ -2,7 +2,9 @@
 
 A model is trained in one task on a sample of at most ``limit`` rows of each
 class, drawn by hash order of the id, so it is the same on every run. Only the
-label table is ranked; the sampled ids are few, so the texts are not shuffled.
+label table is ranked; the sampled ids are few, so the texts are not shuffled:
+they become features (arrays of numbers) in the tasks that read them, and only
+features meet in the training task.
 """
 
 from __future__ import annotations
@@ -23,10 +25,25 @@ def fold(id_col: str, of: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of, F.lit(0).cast("bigint"))
 
 
+def encoded(rows: DataFrame, encode: Callable[[int, str, str | None, object], bytes]) -> DataFrame:
+    """``(_id, text, y)`` to ``(_id, feat, y)``, one row for each (_id, y): whole texts become compact features where they are read."""
+    kind = rows.schema["y"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, y = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([encode(*r) for r in zip(ids, y, texts)], pa.binary()), batch.column(2)], names=["_id", "feat", "y"]
+            )
+
+    found = rows.select("_id", "text", "y").mapInArrow(releasing(run), f"_id bigint, feat binary, y {kind}")
+    return found.groupBy("_id", "y").agg(F.min("feat").alias("feat")).select("_id", "feat", "y")
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, allowed, limit: int
+    docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, allowed, limit: int, encode: Callable[[str | None], bytes]
 ) -> DataFrame:
-    """``(text, y)``: at most ``limit`` texts of label 0 and of label 1 among ids that ``allowed`` admits.
+    """``(_id, feat, y)``: features of at most ``limit`` texts of label 0 and of label 1 among ids that ``allowed`` admits.
 
     Ids labelled both ways teach nothing. The ids are broadcast: at most
     2 x ``limit`` of them, whatever the size of the tables.
@@ -41,15 +58,15 @@ def labelled_sample(
     picked = [one.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(limit) for y in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(few, "_id").groupBy("_id", "y").agg(F.min("text").alias("text")).select("_id", "text", "y")
+    return encoded(texts.join(few, "_id"), lambda _id, y, text: encode(text))
 
 
-def train(sample: DataFrame, fit: Callable[[list[str], np.ndarray], dict[str, np.ndarray] | None]) -> bytes | None:
-    """Run ``fit`` over the whole (bounded) sample in one task of an executor; its arrays come back packed."""
+def train(sample: DataFrame, fit: Callable[[list[bytes], np.ndarray], dict[str, np.ndarray] | None]) -> bytes | None:
+    """Run ``fit`` over the whole (bounded) sample ``(_id, feat, y)`` in one task of an executor; its arrays come back packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
-        model = fit([r[1] or "" for r in rows], np.array([r[2] for r in rows]))
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], str(r[2])))
+        model = fit([r[1] for r in rows], np.array([r[2] for r in rows]))
         if model is not None:
             packed = io.BytesIO()
             np.savez(packed, **model)

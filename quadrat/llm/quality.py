@@ -11,7 +11,8 @@ fitted on a held-back part of the sample calibrates the probability.
 
 Scores see the text only. A NULL or empty text is scored like any other (its
 vector is zero); without labelled rows of both classes every score is 0.5.
-Repeated rows get equal scores; extra columns are ignored.
+Repeated rows get equal scores; extra columns are ignored. An empty table gives
+an empty result. A text of any length is read whole, token by token.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ _RUN = re.compile(r"(.)\1+", re.S)
 
 
 def _shape(token: str) -> str:
-    kinds = "".join("U" if ch.isupper() else "l" if ch.isalpha() else "d" if ch.isdigit() else ch for ch in token[:64])
-    return _RUN.sub(r"\1", kinds)[:12]
+    """Runs of kinds of the whole token; of a token of many runs, which kinds it has and about how many runs."""
+    runs = _RUN.sub(r"\1", "".join("U" if ch.isupper() else "l" if ch.isalpha() else "d" if ch.isdigit() else ch for ch in token))
+    return runs if len(runs) <= 12 else "".join(sorted(set(runs))) + str(len(runs).bit_length())
 
 
 def _row(kind: bytes, term: str) -> int:
@@ -61,7 +63,9 @@ class Terms(dict):
         else:
             shape = _row(b"s", _shape(token))
             word = "".join(filter(str.isalpha, word))
-        self[token] = out = (_row(b"w", word) if word else 0) * ROWS + shape
+        out = (_row(b"w", word) if word else 0) * ROWS + shape
+        if len(token) <= 64:
+            self[token] = out
         return out
 
 
@@ -74,10 +78,14 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def rows_of(text: str | None, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
-    """(word rows, shape rows) of a text; the shape of a repeated token is row 0."""
+def coded(text: str | None, terms: Terms) -> np.ndarray:
+    """One number for each token of a whole text."""
     tokens = text.split() if text else ()
-    both = np.fromiter(map(terms.__getitem__, tokens), np.int64, len(tokens))
+    return np.fromiter(map(terms.__getitem__, tokens), np.int32, len(tokens))
+
+
+def rows_of(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word rows, shape rows) of a coded text; the shape of a repeated token is row 0."""
     words, shapes = both // ROWS, both & (ROWS - 1)
     if len(both) > 1:
         shapes[1:][both[1:] == both[:-1]] = 0
@@ -112,11 +120,12 @@ def _logits(p: dict, x: np.ndarray) -> np.ndarray:
     return np.tanh(x @ p["a"] + p["b"]) @ p["c"] + p["d"]
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 40) -> dict | None:
+def fit(feats: list[bytes], y: np.ndarray, epochs: int = 40) -> dict | None:
+    """Train on coded texts (32-bit numbers)."""
     if len(set(y.tolist())) < 2:
         return None
-    index, terms = index_vectors(), Terms()
-    rows = [rows_of(t, terms) for t in texts]
+    index = index_vectors()
+    rows = [rows_of(np.frombuffer(f, np.int32)) for f in feats]
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held].tolist())) < 2:
         held[:] = False
@@ -149,7 +158,7 @@ def scorer(model: dict):
     index, terms = index_vectors(), Terms()
 
     def run(texts: list[str | None]) -> np.ndarray:
-        x = np.array([pooled(*rows_of(t, terms), model["table"], index) for t in texts]).reshape(-1, 2 * DIM)
+        x = np.array([pooled(*rows_of(coded(t, terms)), model["table"], index) for t in texts]).reshape(-1, 2 * DIM)
         return learn.sigmoid(_logits(model, scaled(x, model["mean"], model["sd"])) / model["temperature"])
 
     return run
@@ -160,7 +169,9 @@ def with_scores(
     limit: int = LIMIT, score_col: str = "score",
 ) -> DataFrame:
     """``docs`` row by row, all columns as they are, and ``score_col``: a row's score goes with the row, not with its id."""
-    sample = learn.labelled_sample(docs, labels, label_col, id_col, text_col, lambda c: learn.fold(c, 4) != 2, limit)
+    terms = Terms()
+    encode = lambda text: coded(text, terms).tobytes()
+    sample = learn.labelled_sample(docs, labels, label_col, id_col, text_col, lambda c: learn.fold(c, 4) != 2, limit, encode)
     raw = learn.train(sample, fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

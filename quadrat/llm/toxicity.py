@@ -1,16 +1,18 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text's terms are its lower-cased words and their first four and five
-letters, hashed to 2**18 buckets, each counted once. The buckets whose share
-differs most between the two classes of the training sample (by z-score, at
-least ``MIN_Z``, at most ``KEPT`` buckets) are the features. The machine's
-linear weights and rank-``RANK`` factors are trained together, so a pair such
-as an insult with a mention of a group has a weight of its own, which no
-additive model has.
+letters, hashed to 2**18 buckets, each counted once. Every bucket that at least
+``MIN_DOCS`` sampled texts have, whatever their labels, has a linear weight and
+``RANK`` factors, all trained together by AdaGrad, so a pair such as an insult
+with a mention of a group has a weight of its own, even if neither tells
+anything alone. Soft thresholds (``L1`` on a weight, ``GROUP_L1`` on a bucket's
+factors as a whole) set what does not help to zero while training, so the many
+neutral terms of a long text add nothing.
 
 Scores see the text only. A NULL or empty text has no terms and gets the
 score of the bias; without labelled rows of both classes every score is 0.5.
-Repeated rows get equal scores; extra columns are ignored.
+Repeated rows get equal scores; extra columns are ignored; an empty table gives
+an empty result. A text of any length is read whole; it has at most 2**18 terms.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from quadrat.llm import learn
 from quadrat.llm.memory import releasing
 
-BUCKETS, KEPT, RANK, MIN_Z, MIN_DOCS = 1 << 18, 1024, 8, 5.0, 5
+BUCKETS, RANK, MIN_DOCS = 1 << 18, 4, 5
+RATE, L1, GROUP_L1 = 0.1, 3e-3, 1e-2
 LIMIT = 8_000  # training rows of each class, at most
 CUTOFF = 0.7
 _CACHE = 200_000
@@ -55,7 +58,8 @@ class Features(dict):
         found = buckets(word)
         if self.column is not None:
             found = tuple(self.column[b] for b in found if b in self.column)
-        self[word] = found
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
@@ -65,53 +69,44 @@ def features_of(text: str | None, known: Features) -> np.ndarray:
     return np.array(sorted({b for found in map(known.__getitem__, words) for b in found}), np.int64)
 
 
-def _dense(rows: list[np.ndarray], width: int) -> np.ndarray:
-    x = np.zeros((len(rows), width), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    return x
-
-
-def _logits(p: dict, x: np.ndarray) -> np.ndarray:
-    s = x @ p["v"]
-    return p["w0"] + x @ p["w"] + 0.5 * ((s * s).sum(axis=1) - x @ (p["v"] ** 2).sum(axis=1))
-
-
-def fit(texts: list[str], y: np.ndarray, epochs: int = 30) -> dict | None:
+def fit(feats: list[bytes], y: np.ndarray, epochs: int = 12, batch: int = 128) -> dict | None:
+    """Train on the distinct terms of texts (sorted 32-bit numbers); terms of zero weight and factors are left out of the model."""
     if len(set(y.tolist())) < 2:
         return None
-    known = Features(None)
-    rows = [features_of(t, known) for t in texts]
+    rows = [np.frombuffer(f, np.int32) for f in feats]
+    count = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    chosen = np.flatnonzero(count >= MIN_DOCS)
+    column = np.full(BUCKETS, -1, np.int64)
+    column[chosen] = np.arange(len(chosen))
+    rows = [(c := column[r])[c >= 0] for r in rows]
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    count = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for r, label in zip(rows, y):
-        count[label][r] += 1
-    total = count[0] + count[1]
-    share = total / len(y)
-    z = (count[1] / n1 - count[0] / n0) / np.sqrt(np.maximum(share * (1 - share) * (1 / n1 + 1 / n0), 1e-12))
-    z[total < MIN_DOCS] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:KEPT]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= MIN_Z])
-    column = {int(b): i for i, b in enumerate(chosen)}
-    x = _dense([np.array([column[b] for b in r.tolist() if b in column], np.int64) for r in rows], len(chosen))
-    rng = np.random.default_rng(8)
     weight = np.where(y == 1, 0.5 * len(y) / n1, 0.5 * len(y) / n0)
-    p = {"w0": np.zeros(1), "w": np.zeros(len(chosen)), "v": rng.normal(0, 0.02, (len(chosen), RANK))}
-
-    def grad(p, at):
-        b = x[at]
-        s = b @ p["v"]
-        guess = learn.sigmoid(p["w0"] + b @ p["w"] + 0.5 * ((s * s).sum(axis=1) - b @ (p["v"] ** 2).sum(axis=1)))
-        g = weight[at] * (guess - y[at]) / len(at)
-        gb = g[:, None] * b
-        return {
-            "w0": np.array([g.sum()]),
-            "w": gb.sum(axis=0) + 1e-4 * p["w"],
-            "v": gb.T @ s - gb.sum(axis=0)[:, None] * p["v"] + 1e-3 * p["v"],
-        }
-
-    learn.adam(p, grad, learn.batches(len(y), 128, epochs, rng), rate=1e-2)
-    return {k: v.astype(np.float32) for k, v in p.items()} | {"chosen": chosen}
+    rng = np.random.default_rng(8)
+    w0, w, v = 0.0, np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), RANK))
+    q0, qw, qv = 1e-3, np.full(len(chosen), 1e-3), np.full(len(chosen), 1e-3)
+    for at in learn.batches(len(y), batch, epochs, rng):
+        row = np.repeat(np.arange(len(at)), [len(rows[i]) for i in at])
+        term, spot = np.unique(np.concatenate([rows[i] for i in at]), return_inverse=True)
+        vt = v[term]
+        x = vt[spot]
+        s = np.stack([np.bincount(row, x[:, k], len(at)) for k in range(RANK)], axis=1)
+        logit = w0 + np.bincount(row, w[term][spot], len(at)) + 0.5 * ((s * s).sum(axis=1) - np.bincount(row, (x * x).sum(axis=1), len(at)))
+        g = weight[at] * (learn.sigmoid(logit) - y[at]) / len(at)
+        each = g[row]
+        gw = np.bincount(spot, each, len(term))
+        gv = np.stack([np.bincount(spot, each * s[row, k], len(term)) for k in range(RANK)], axis=1) - gw[:, None] * vt
+        q0 += g.sum() ** 2
+        w0 -= RATE * g.sum() / np.sqrt(q0)
+        qw[term] += gw * gw
+        step = RATE / np.sqrt(qw[term])
+        moved = w[term] - step * gw
+        w[term] = np.sign(moved) * np.maximum(np.abs(moved) - step * L1, 0)
+        qv[term] += (gv * gv).sum(axis=1) / RANK
+        step = (RATE / np.sqrt(qv[term]))[:, None]
+        moved = vt - step * gv
+        v[term] = moved * np.maximum(0, 1 - step * GROUP_L1 / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-12))
+    some = (w != 0) | (v != 0).any(axis=1)
+    return {"w0": np.array([w0], np.float32), "w": w[some].astype(np.float32), "v": v[some].astype(np.float32), "chosen": chosen[some]}
 
 
 def scorer(model: dict):
@@ -137,7 +132,9 @@ def toxicity_scores(
     Learns from at most ``limit`` labelled rows of each class whose
     crc32(id) mod 3 is not 1; every row's whole text is scored.
     """
-    sample = learn.labelled_sample(docs, labels, label_col, id_col, text_col, lambda c: learn.fold(c, 3) != 1, limit)
+    terms = Features(None)
+    encode = lambda text: features_of(text, terms).astype(np.int32).tobytes()
+    sample = learn.labelled_sample(docs, labels, label_col, id_col, text_col, lambda c: learn.fold(c, 3) != 1, limit, encode)
     raw = learn.train(sample, fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ def test_languages(spark):
 def test_margin_of_a_clean_text_does_not_fall_with_its_length():
     rng = random.Random(4)
     names = [n for n in STEMS for _ in range(200)]
-    one = language.classifier(language.fit([words(rng, STEMS[n], 40) for n in names], np.array(names)))
+    one = language.classifier(language.fit([language.snippets_of(i, words(rng, STEMS[n], 40), 1) for i, n in enumerate(names)], np.array(names)))
     for name in STEMS:
         page, book = words(rng, STEMS[name], 1_000), words(rng, STEMS[name], 500_000)
         assert len(book) > 3_000_000 and one(page)[0] == one(book)[0] == name
@@ -85,6 +85,86 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == int(r.doc_id % 3 == 0) for r in held]) > 0.95
 
 
+def terms_of(text):
+    return toxicity.features_of(text, toxicity.Features(None)).astype(np.int32).tobytes()
+
+
+def test_terms_that_tell_nothing_alone():
+    """Toxic if exactly one of two terms is there: each term is as common among the toxic as among the others."""
+
+    def made(n, seed):
+        rng = random.Random(seed)
+        some = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(n)]
+        return [" ".join(rng.sample(["fine", "calm", "blue", "tall", "wide", "stone", "river"], 4) + ["insult"] * a + ["group"] * b) for a, b in some], np.array([int(a != b) for a, b in some])
+
+    texts, y = made(4_000, 1)
+    score = toxicity.scorer(toxicity.fit([terms_of(t) for t in texts], y))
+    texts, y = made(1_000, 2)
+    got = score(texts)
+    assert np.mean(np.sort(got[y == 1])[:, None] > np.sort(got[y == 0])[None, :]) > 0.95
+
+
+def test_toxicity_score_equals_the_sum_over_pairs():
+    texts = [f"insult{i % 3} group{i % 2} word{i % 7} calm" if i % 2 else f"word{i % 7} blue group{i % 3}" for i in range(300)]
+    m = toxicity.fit([terms_of(t) for t in texts], np.array([i % 2 for i in range(300)]))
+    for text in ["insult1 group1 Calm", "word3", "", None, "unseen words only", texts[0] * 50]:
+        of = {int(b): i for i, b in enumerate(m["chosen"])}
+        f = sorted({of[b] for w in (text or "").lower().split() for b in toxicity.buckets(w) if b in of})
+        z = float(m["w0"][0]) + sum(float(m["w"][i]) for i in f) + sum(float(np.dot(m["v"][i].astype(float), m["v"][j].astype(float))) for i in f for j in f if i < j)
+        assert toxicity.scorer(m)([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+
+
+def test_quality_score_equals_a_plain_computation():
+    rng = random.Random(2)
+    good, bad = [words(rng, STEMS["aa"], 30).capitalize() for _ in range(60)], [words(rng, STEMS["aa"], 20).upper() + " " + "!a" * 30 for _ in range(60)]
+    m = quality.fit([quality.coded(t, quality.Terms()).tobytes() for t in good + bad], np.array([1] * 60 + [0] * 60), epochs=5)
+    index = quality.index_vectors()
+    for text in [good[0], bad[0], "", None, "x", "same same same", "Ab1!" * 500, good[1] * 200]:
+        tokens, total = (text or "").split(), np.zeros(2 * quality.DIM)
+        for k, t in enumerate(tokens):
+            word, shape = divmod(quality.Terms()[t], quality.ROWS)
+            total += np.concatenate((m["table"][word], index[0 if k and quality.Terms()[tokens[k - 1]] == quality.Terms()[t] else shape]))
+        x = np.clip((total / max(1, len(tokens)) - m["mean"]) / m["sd"], -5, 5)
+        z = (np.tanh(x @ m["a"] + m["b"]) @ m["c"] + m["d"][0]) / m["temperature"]
+        assert quality.scorer(m)([text])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    assert quality._shape("Ab1" * 40) != quality._shape("Ab" * 60) and quality._shape("a" * 70 + "B") == "lU"
+
+
+def test_language_equals_the_smallest_of_plain_compressions():
+    import zstandard
+
+    rng = random.Random(5)
+    m = language.fit([language.snippets_of(i, words(rng, STEMS[n], 80), 2) for n in STEMS for i in range(30)], np.array([n for n in STEMS for _ in range(30)]))
+    raw, ends = m["dicts"].tobytes(), m["ends"].tolist()
+    for text in [words(rng, STEMS["bb"], 9), words(rng, STEMS["cc"], 5_000), "thi ñado", "", "12", None]:
+        plain = language.letters(text)
+        n = max(1, -(-len(plain) // language.PIECE))
+        size = []
+        for a, b in zip([0, *ends], ends):
+            held = zstandard.ZstdCompressionDict(raw[a:b], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=language.LEVEL)
+            coder = zstandard.ZstdCompressor(dict_data=held, level=language.LEVEL, write_content_size=False, write_dict_id=False)
+            size.append(sum(len(coder.compress(plain[len(plain) * k // n : len(plain) * (k + 1) // n])) for k in range(n)))
+        want = sorted(STEMS)[int(np.argmin(size))] if plain else "und"
+        assert language.classifier(m)(text)[0] == want
+
+
+def test_seventy_languages_are_all_learned(spark):
+    rng = random.Random(6)
+    stems = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéñöß") for _ in range(4)) for _ in range(8)] for k in range(70)}
+    rows = [(i, words(rng, stems[f"l{i % 70:02}"], 40), f"l{i % 70:02}", "c", 0) for i in range(840)]
+    got = language.languages(spark.createDataFrame(rows, DOCS)).where("held_out").collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 70:02}" for r in got]) > 0.97 and len({r.lang_pred for r in got}) > 55
+
+
+def test_snippets_come_from_the_whole_text():
+    text = " ".join("".join(random.Random(i).sample("abcdefghijkl", 6)) for i in range(20_000))
+    got = language.snippets_of(7, text, 400).decode().split("\n")
+    spots = sorted(text.index(g) / len(text) for g in got)
+    assert len(got) == 400 and spots[0] < 0.02 and spots[-1] > 0.98 and max(np.diff(spots)) < 0.05
+    assert language.snippets_of(7, "12 !", 5) == b"" and b"\n" not in language.snippets_of(7, "a\nb", 5)
+
+
 def test_pair_of_terms_that_no_additive_model_has():
     rng = random.Random(0)
     texts, y = [], []
@@ -92,7 +172,7 @@ def test_pair_of_terms_that_no_additive_model_has():
         a, b = i % 2, (i // 2) % 2
         texts.append(" ".join(rng.sample(["fine", "calm", "blue", "tall", "wide"], 3) + ["insult"] * a + ["group"] * b))
         y.append(int(a and b))
-    m = toxicity.fit(texts, np.array(y))
+    m = toxicity.fit([terms_of(t) for t in texts], np.array(y))
     score = toxicity.scorer(m)
     assert score(["insult group calm"])[0] > 0.7 > 0.5 > max(score(["insult calm", "group calm"]))
 
@@ -102,13 +182,13 @@ def test_samples_are_bounded_and_ignore_conflicts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(4, 1)], "doc_id bigint, quality int")
     from pyspark.sql import functions as F
 
-    s = learn.labelled_sample(docs, labels, "quality", "doc_id", "text", lambda c: F.lit(True), 10)
+    s = learn.labelled_sample(docs, labels, "quality", "doc_id", "text", lambda c: F.lit(True), 10, str.encode)
     got = s.collect()
     assert len(got) == 20 and sum(r.y for r in got) == 10 and 4 not in {r._id for r in got}
-    whole = learn.labelled_sample(docs, labels, "quality", "doc_id", "text", lambda c: F.lit(True), 1000)
+    whole = learn.labelled_sample(docs, labels, "quality", "doc_id", "text", lambda c: F.lit(True), 1000, str.encode)
     assert whole.count() == 49
 
 
 @pytest.mark.parametrize("fit", [quality.fit, toxicity.fit])
 def test_one_class_gives_no_model(fit):
-    assert fit(["a", "b"], np.array([1, 1])) is None
+    assert fit([b"", b""], np.array([1, 1])) is None
