@@ -3,18 +3,26 @@
 Texts become token ids (and an end id), cut into pieces of at most
 ``capacity``. Full pieces are sequences of their own. The others are dealt at
 random into problems of about ``GROUP`` pieces; every problem is solved on
-``ISLANDS`` islands, each a population of packings. Crossover injects the best
-filled bins of one parent whole into the other, drops the bins that hold the
-same pieces, and places the displaced pieces by best fit, largest first. After
-each epoch the elite of an island moves to the next island of its problem. An
-island rests once a packing needs no more than the lower bound.
+islands, each a population of packings. Crossover injects the best filled bins
+of one parent whole into the other, drops the bins that hold the same pieces,
+and places the displaced pieces by best fit, largest first. After each epoch
+the elite of an island moves to the next island of its problem. An island rests
+once its best packing needs no more bins than the lower bound and all but one
+of them are full.
+
+Fitness counts bins first and then favours full ones, so a problem's free room
+gathers in few bins. The ``HANDED`` emptiest bins of each problem go, opened,
+into a next and much smaller round, until one problem is left: the room of all
+problems together ends in that one's last bins, with more islands and
+generations to search them.
 
 Only lengths travel between islands, never texts or ids. A problem's size is
 bounded by the deal, so a hot key cannot gather in one.
 
 A NULL text counts as empty: one piece with the end id alone. Repeated rows
-and ids are packed like others, each as a row of its own; extra columns are
-ignored; an empty table gives an empty result.
+and ids are packed like others, each as a row of its own; a text of any length
+is cut into pieces; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +46,8 @@ from quadrat.llm.memory import releasing
 from quadrat.session import cut
 
 CAPACITY, END_ID = 4096, 1
-GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 6, 4
+GROUP, LEAST_BINS, HANDED, POPULATION = 4096, 64, 8, 4
+EFFORT, LAST_EFFORT = (2, 2, 4), (4, 3, 40)  # islands, epochs, generations of an epoch: every problem, and the last one
 _CACHE = 450_000
 
 # ---- tokens ----
@@ -54,19 +64,16 @@ class Packer:
     """text -> packed 32-bit ids, through the tokenizer library, with distinct words remembered (a bounded number).
 
     The words of a text that are not known yet go to the library together, with blanks between them.
-    With ``added_tokens`` the file's added tokens are found in texts as the
-    library finds them by default (texts that hold one go to it whole);
-    without, their characters are text like any other.
+    The file's added tokens are found in texts as the library finds them: texts that hold one go to it whole.
     """
 
-    def __init__(self, raw: bytes, added_tokens: bool = False):
+    def __init__(self, raw: bytes):
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
 
         self.library = Tokenizer.from_buffer(raw)
-        self.library.encode_special_tokens = not added_tokens
-        self.added = [t["content"].lower() for t in json.loads(raw).get("added_tokens") or ()] if added_tokens else []
+        self.added = [t["content"].lower() for t in json.loads(raw).get("added_tokens") or ()]
 
     def _direct(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -103,26 +110,26 @@ class Packer:
         return out
 
 
-_PACKERS: dict[tuple[bytes, bool], Packer] = {}
+_PACKERS: dict[bytes, Packer] = {}
 
 
-def packer(raw: bytes, added_tokens: bool = False) -> Packer:
+def packer(raw: bytes) -> Packer:
     """The worker's packer for this tokenizer file; it lives as long as the worker, with the words it knows."""
-    key = hashlib.md5(raw).digest(), added_tokens
+    key = hashlib.md5(raw).digest()
     if key not in _PACKERS:
         _PACKERS.clear()
-        _PACKERS[key] = Packer(raw, added_tokens)
+        _PACKERS[key] = Packer(raw)
     return _PACKERS[key]
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, added_tokens: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every whole text; the tokenizer file is read once and broadcast."""
     with open(path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = packer(raw.value, added_tokens)
+        code = packer(raw.value)
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -163,13 +170,18 @@ def best_fit(bins: list[list[int]], items: list[int], size: list[int], capacity:
             insort(room, (left - size[i], k))
 
 
-def fitness(bins: list[list[int]], size: list[int], capacity: int) -> tuple[int, float]:
+def fills(bins: list[list[int]], size: list[int]) -> list[int]:
+    return [sum([size[i] for i in b]) for b in bins]
+
+
+def fitness(bins: list[list[int]], size: list[int], capacity: int) -> tuple[int, int]:
     """Fewer bins first; among equals, fuller full bins (sum of squares)."""
-    return -len(bins), sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum([f * f for f in fills(bins, size)])
 
 
 def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int, rng) -> list[list[int]]:
-    filled = sorted(range(len(b)), key=lambda k: -sum(size[i] for i in b[k]))
+    fill = fills(b, size)
+    filled = sorted(range(len(b)), key=lambda k: -fill[k])
     taken = [b[k] for k in filled[: max(1, int(len(b) * rng.uniform(0.2, 0.6)))]]
     inside = {i for t in taken for i in t}
     kept = [x for x in a if inside.isdisjoint(x)]
@@ -182,7 +194,8 @@ def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity:
 
 def mutate(bins: list[list[int]], size: list[int], capacity: int, rng) -> list[list[int]]:
     """Empty the least filled bin and a few others, and place their pieces again."""
-    order = sorted(range(len(bins)), key=lambda k: sum(size[i] for i in bins[k]))
+    fill = fills(bins, size)
+    order = sorted(range(len(bins)), key=lambda k: fill[k])
     gone = {order[0], *rng.choice(len(bins), min(len(bins), 4), replace=False).tolist()}
     child = [list(x) for k, x in enumerate(bins) if k not in gone]
     best_fit(child, sorted((i for k in gone for i in bins[k]), key=lambda i: -size[i]), size, capacity)
@@ -206,29 +219,33 @@ def to_labels(bins: list[list[int]], n: int) -> list[int]:
 
 def evolve(size: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int, population: int) -> list[list[int]]:
     """Evolve one island for an epoch; elites are label lists. Returns its two best packings as label lists."""
-    least = -(-sum(size) // capacity)
-    pool = [to_bins(e) for e in elites]
+    total, least = sum(size), -(-sum(size) // capacity)
+    best = -least, (least - 1) * capacity**2 + (total - (least - 1) * capacity) ** 2
+    rated = lambda bins: (fitness(bins, size, capacity), bins)
+    rank = lambda pool: pool.sort(key=lambda x: x[0], reverse=True)
+    pool = [rated(to_bins(e)) for e in elites]
     rng = np.random.default_rng(seed)
     if not pool:
         first: list[list[int]] = []
         best_fit(first, sorted(range(len(size)), key=lambda i: -size[i]), size, capacity)
-        pool = [first]
-    if min(map(len, pool)) > least:
+        pool = [rated(first)]
+    rank(pool)
+    if pool[0][0] < best:
         while len(pool) < population:
-            order = sorted(range(len(size)), key=lambda i: -size[i] * rng.uniform(0.7, 1.3))
-            pool.append([])
-            best_fit(pool[-1], order, size, capacity)
-        rank = lambda: pool.sort(key=lambda b: fitness(b, size, capacity), reverse=True)
-        rank()
+            noise = rng.uniform(0.7, 1.3, len(size)).tolist()
+            bins: list[list[int]] = []
+            best_fit(bins, sorted(range(len(size)), key=lambda i: -size[i] * noise[i]), size, capacity)
+            pool.append(rated(bins))
+        rank(pool)
         for _ in range(generations):
-            if len(pool[0]) <= least:
+            if pool[0][0] >= best:
                 break
             a, b = rng.choice(min(3, len(pool)), 2, replace=False)
-            child = crossover(pool[a], pool[b], size, capacity, rng)
-            pool[-1] = mutate(child, size, capacity, rng)
-            rank()
-    pool.sort(key=lambda b: fitness(b, size, capacity), reverse=True)
-    return [to_labels(b, len(size)) for b in pool[:2]]
+            child = crossover(pool[a][1], pool[b][1], size, capacity, rng)
+            changed = mutate(child, size, capacity, rng)
+            pool[-1] = max(rated(child), rated(changed), key=lambda x: x[0])
+            rank(pool)
+    return [to_labels(b, len(size)) for _, b in pool[:2]]
 
 
 _STATE = "g bigint, island int, size array<int>, elites array<array<int>>, bins int"
@@ -249,8 +266,11 @@ def _epoch(capacity: int, generations: int, population: int, epoch: int):
     return run
 
 
-def _laid_out(kind: str):
-    """Each problem's pieces with their sequence and offset."""
+_PIECE = ("u", "doc_id", "piece", "start", "length", "ids_crc32")
+
+
+def _laid_out(capacity: int, handed: int, stage: int):
+    """Each problem's pieces with their sequence and offset; ``again`` marks those of the ``handed`` emptiest bins with room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,29 +278,24 @@ def _laid_out(kind: str):
                 g, label = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
                 items = batch.column(1)[k].values
                 length = items.field("length").to_pylist()
-                used: dict[int, int] = {}
+                used = [0] * (max(label) + 1)
                 offset = []
                 for i, b in enumerate(label):
-                    offset.append(used.get(b, 0))
-                    used[b] = offset[-1] + length[i]
+                    offset.append(used[b])
+                    used[b] += length[i]
+                opened = {b for f, b in sorted((f, b) for b, f in enumerate(used) if f < capacity)[:handed]}
                 yield pa.RecordBatch.from_arrays(
-                    [items.field(n) for n in ("doc_id", "piece", "start", "length", "ids_crc32")]
-                    + [pa.array([(g << 20) + b for b in label], pa.int64()), pa.array(offset, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                    [items.field(n) for n in _PIECE]
+                    + [pa.array([(stage << 56) + (g << 20) + b for b in label], pa.int64()), pa.array(offset, pa.int64()), pa.array([b in opened for b in label])],
+                    names=[*_PIECE, "sequence_id", "offset", "again"],
                 )
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows ``(doc_id, piece, start, length, ids_crc32)``."""
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    rows = cut(pieces.withColumn("u", F.monotonically_increasing_id()), "pieces")
-    open_rows = rows.where(F.col("length") < capacity)
-    groups = max(1, -(-open_rows.count() // group))
-    item = F.struct((-F.col("length")).alias("k"), "u", "doc_id", "piece", "start", "length", "ids_crc32")
-    dealt = open_rows.groupBy(F.pmod(F.xxhash64("u"), F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    problems = cut(dealt, "problems")
+def _solved(problems: DataFrame, capacity: int, effort: tuple[int, int, int], stage: int) -> DataFrame:
+    """``(g, label)``: the best packing that any island of a problem found."""
+    islands, epochs, generations = effort
     state = problems.select(
         "g",
         F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
@@ -289,34 +304,48 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP, island
         F.lit(0).alias("bins"),
     ).repartition("g", "island")
     for epoch in range(epochs):
-        state = cut(state.mapInArrow(_epoch(capacity, GENERATIONS, POPULATION, epoch), _STATE), "islands")
+        state = cut(state.mapInArrow(_epoch(capacity, generations, POPULATION, stage * 10 + epoch), _STATE), "islands")
         if epoch + 1 < epochs:
             moved = state.select("g", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.element_at("elites", 1).alias("guest"))
             state = state.join(moved, ["g", "island"]).select(
                 "g", "island", "size", F.array_distinct(F.concat("elites", F.array("guest"))).alias("elites"), "bins"
             )
-    best = state.groupBy("g").agg(F.min_by(F.element_at("elites", 1), F.struct("bins", "island")).alias("label"))
-    fields = "piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    packed = problems.join(best, "g").select("g", "items", "label").mapInArrow(_laid_out(kind), f"doc_id {kind}, {fields}")
-    full = rows.where(F.col("length") >= capacity).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("u")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
-    )
-    return packed.unionByName(full)
+    return state.groupBy("g").agg(F.min_by(F.element_at("elites", 1), F.struct("bins", "island")).alias("label"))
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to rows ``(doc_id, piece, start, length, ids_crc32)``."""
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    rows = cut(pieces.withColumn("u", F.monotonically_increasing_id()), "pieces").select(*_PIECE)
+    full = rows.where(F.col("length") >= capacity)
+    done = [full.withColumns({"sequence_id": -1 - F.col("u"), "offset": F.lit(0).cast("bigint")})]
+    loose, stage, groups = rows.where(F.col("length") < capacity), 0, 2
+    fields = f"u bigint, doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, again boolean"
+    while groups > 1:
+        n, volume = loose.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = max(1, min(-(-n // group), volume // (LEAST_BINS * capacity)))
+        item = F.struct((-F.col("length")).alias("k"), *_PIECE)
+        dealt = loose.groupBy(F.pmod(F.xxhash64("u", F.lit(stage)), F.lit(groups)).alias("g")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+        problems = cut(dealt, "problems")
+        best = _solved(problems, capacity, EFFORT if groups > 1 else LAST_EFFORT, stage)
+        packed = problems.join(best, "g").select("g", "items", "label").mapInArrow(_laid_out(capacity, HANDED if groups > 1 else 0, stage), fields)
+        packed = cut(packed, "packed")
+        done.append(packed.where(~F.col("again")).drop("again"))
+        loose, stage = packed.where("again").select(*_PIECE), stage + 1
+    return reduce(DataFrame.unionByName, done).drop("u")
 
 
 def pack_documents(
-    docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
-    added_tokens: bool = False,
-) -> DataFrame:
+    docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Tokenize every whole text and pack the pieces: one row for each piece.
 
-    ``added_tokens``: the tokenizer file's added tokens in a text get their
-    ids, as by an unmodified ``Tokenizer.encode(text, add_special_tokens=False)``.
+    Ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
     """
-    return pack(token_pieces(docs, path, capacity, end_id, id_col, text_col, added_tokens), capacity)
+    return pack(token_pieces(docs, path, capacity, end_id, id_col, text_col), capacity)
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), added_tokens=True)
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

@@ -68,7 +68,6 @@ def library_ids(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -131,6 +130,59 @@ def test_genetic_search_is_never_worse_than_best_fit():
         assert len(bins) <= len(first) and sorted(i for b in bins for i in b) == list(range(200)) and all(sum(size[i] for i in b) <= 4096 for b in bins)
 
 
+def fewest(size, capacity):
+    """Exact optimum: for every set of pieces the fewest bins, and the least fill of the last of them."""
+    best = {0: (0, capacity)}
+    for mask in range(1, 1 << len(size)):
+        options = []
+        for i, s in enumerate(size):
+            if mask >> i & 1:
+                n, f = best[mask ^ 1 << i]
+                options.append((n, f + s) if f + s <= capacity else (n + 1, s))
+        best[mask] = min(options)
+    return best[(1 << len(size)) - 1][0]
+
+
+def test_small_packings_are_optimal():
+    rng = np.random.default_rng(1)
+    for k in range(25):
+        size = rng.integers(10, 70, 10).tolist()
+        assert len(set(packing.evolve(size, 100, k, [], 60, 6)[0])) == fewest(size, 100)
+
+
+def triplets(n, seed, capacity=1000):
+    """Pieces that fill n bins exactly, three to a bin: best fit of the largest first doesn't."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randint(380, 490)
+        b = rng.randint(252, (capacity - a) // 2)
+        out += [a, b, capacity - a - b]
+    rng.shuffle(out)
+    return out
+
+
+def test_crossover_finds_what_best_fit_and_mutation_miss(monkeypatch):
+    bins = lambda size: len(set(packing.evolve(size, 1000, 1, [], 400, 8)[0]))
+    with_it = [bins(triplets(12, seed)) for seed in (0, 4, 5)]
+    monkeypatch.setattr(packing, "crossover", lambda a, b, *rest: [list(x) for x in a])
+    assert with_it == [13, 13, 13] and [bins(triplets(12, seed)) for seed in (0, 4, 5)] == [14, 14, 14]
+
+
+def test_emptiest_bins_of_all_problems_are_packed_again(spark):
+    rng = random.Random(9)
+    rows = [(i, k, 0, rng.choice([1, 7, 30, 200, 900, 2500, 4000, 4096]), i) for i in range(1500) for k in (0, 1)] + [(None, 0, 0, 5, 1), (3, 0, 0, 900, 1)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    got = packing.pack(pieces, group=200).collect()
+    assert sorted((r.doc_id or -1, r.piece, r.length) for r in got) == sorted((r[0] or -1, r[1], r[3]) for r in rows)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for cells in bins.values():
+        assert [o for o, _ in sorted(cells)] == np.cumsum([0, *(n for _, n in sorted(cells))])[:-1].tolist() and sum(n for _, n in cells) <= 4096
+    least = max(-(-sum(r[3] for r in rows) // 4096), sum(r[3] > 2048 for r in rows))
+    assert least <= len(bins) <= least + 1 and len({b >> 56 for b in bins if b >= 0}) > 1
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 4096, 60).tolist()
