@@ -170,7 +170,7 @@ def test_crossover_finds_what_best_fit_and_mutation_miss(monkeypatch):
 
 def test_emptiest_bins_of_all_problems_are_packed_again(spark):
     rng = random.Random(9)
-    rows = [(i, k, 0, rng.choice([1, 7, 30, 4096, rng.randint(1, 1500)]), i) for i in range(1500) for k in (0, 1)] + [(None, 0, 0, 5, 1), (3, 0, 0, 900, 1)]
+    rows = [(i, k, 0, rng.choice([1, 7, 30, 4096, rng.randint(1, 1500)]), i) for i in range(4000) for k in (0, 1)] + [(None, 0, 0, 5, 1), (3, 0, 0, 900, 1)]
     pieces = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
     got = packing.pack(pieces, group=200).collect()
     assert sorted((r.doc_id or -1, r.piece, r.length) for r in got) == sorted((r[0] or -1, r[1], r[3]) for r in rows)
