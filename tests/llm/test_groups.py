@@ -1,5 +1,6 @@
 """Near duplicates, top-k search, and components against brute force."""
 
+import math
 import random
 from itertools import combinations
 
@@ -119,3 +120,35 @@ def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in top_k.exact_top_k(df).collect()] == [(0, 1, 1, 8192)]
     assert top_k.exact_top_k(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_top_k_of_large_finite_components(spark, block):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(0, 0.2, 4).tolist()) for i in range(60)] + [(100, [1e9, 0.0, -1.0, 0.5]), (101, [-3e7, 2.0, 2e7, 0.0]), (110, [1e300, 0.0, 0.0, 1.5e308]), (120, [2e9, 1.0, 1.0, 1.0])] + [(30, [1e9] * 4)] * 2
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = top_k.exact_top_k(df, k=4, every=10, block=block, query_block=5).collect()
+    most, want = (1 << 63) - 1, []
+    whole = [(i, [math.floor(64 * x) if math.isfinite(64 * x) else int(x) * 64 for x in v]) for i, v in rows]
+    for i, q in whole:
+        if i % 10 == 0:
+            best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(q, v)))), j) for j, v in whole if j != i)[:4]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_blocks_under_the_cutoff_are_not_resolved_again(spark):
+    """With many candidates the bounds of most blocks fall under the cutoff, and what phase 1 listed is all they add."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    settled, again, resolved = top_k.phases(df, "vec_id", "embedding", 3, 300, 64, 2, 512, 100)
+    pairs, redone = settled.count() + again.count(), again.count()
+    assert pairs >= 20 * 60 and 0 < redone < pairs / 2
+    assert max(len(r.best) for r in settled.collect()) <= 3 and resolved.count() == redone
+    got = sorted(map(tuple, top_k.exact_top_k(df, k=3, every=300, block=100).collect()))
+    q = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    s = q[::300] @ q.T
+    s[np.arange(20), np.arange(0, 6_000, 300)] = -(1 << 60)
+    want = [(300 * a, r + 1, int(j), int(s[a, j])) for a in range(20) for r, j in enumerate(np.lexsort((np.arange(6_000), -s[a]))[:3])]
+    assert got == sorted(want)
