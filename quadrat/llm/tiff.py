@@ -4,9 +4,16 @@ The reader walks the chain of image directories of a classic TIFF in either
 byte order, decodes strips or tiles (none, PackBits, LZW or deflate), undoes
 the horizontal predictor, and yields the pixels of each page. The writer
 produces the same family, for payloads that must come back byte for byte.
+Samples are whole numbers of 8, 16 or 32 bits. BigTIFF, floating-point samples
+and their predictor, other bit depths and the reversed fill order are reported
+as errors, not read.
 
 A NULL or unreadable value gives one row with page -1 and the reason, never a
-failed job; an empty table gives an empty table; repeated rows repeat.
+failed job: whatever the bytes, the reader raises nothing but ``TiffError``,
+and it allocates a page only when the stored bytes can hold that many samples
+and the page stays within ``MAX_PAGE_BYTES`` (a row of a result holds a page).
+An empty table gives an empty table; repeated rows repeat; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +35,10 @@ STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 27
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 SCHEMES = {"none": NONE, "lzw": LZW, "deflate": DEFLATE, "packbits": PACKBITS}
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
+#: The most samples' bytes that one stored byte can stand for.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 2_731, DEFLATE: 1_032, OLD_DEFLATE: 1_032}
+MAX_PAGE_BYTES = 1 << 30
 FIELD = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4)}
 
 
@@ -133,8 +145,9 @@ def lzw_decode(data: bytes, size: int) -> bytes:
             entry = table[code] if code < len(table) else None
         elif code < len(table):
             entry = table[code]
-            table.append(last + entry[:1])
-        elif code == len(table):
+            if len(table) < 4096:
+                table.append(last + entry[:1])
+        elif code == len(table) < 4096:
             entry = last + last[:1]
             table.append(entry)
         else:
@@ -163,14 +176,22 @@ def _unpack(data: bytes, scheme: int, size: int) -> bytes:
     raise TiffError(f"compression {scheme}")
 
 
-def write_tiff(
-    pages: list[np.ndarray], scheme: str = "deflate", predictor: int = 1, rows_per_strip: int = 128, tile: int = 0
-) -> bytes:
-    """Little-endian TIFF of 8- or 16-bit arrays (height, width, samples), in strips or square tiles."""
-    kind = SCHEMES[scheme]
+@dataclass(frozen=True)
+class Layout:
+    """How a page is stored: in strips, or in square tiles where ``tile`` isn't 0."""
+
+    scheme: str = "deflate"
+    predictor: int = 1
+    rows_per_strip: int = 128
+    tile: int = 0
+
+
+def write_tiff(pages: list[np.ndarray], layouts: Layout | list[Layout]) -> bytes:
+    """Little-endian TIFF of 8- or 16-bit arrays (height, width, samples), with one layout for all pages or one for each."""
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
-    for page in pages:
+    for page, layout in zip(pages, layouts if isinstance(layouts, list) else [layouts] * len(pages)):
+        kind, predictor, rows_per_strip, tile = SCHEMES[layout.scheme], layout.predictor, layout.rows_per_strip, layout.tile
         page = np.ascontiguousarray(page)
         height, width, samples = page.shape
         cells = []
@@ -216,13 +237,17 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
     """Each image directory as (byte order, tag -> values); a loop in the chain ends the walk with an error."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise TiffError("not a TIFF")
+        raise TiffError("not a classic TIFF")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at:
         if at in seen:
             raise TiffError("directories form a loop")
         seen.add(at)
+        if at + 2 > len(data):
+            raise TiffError("a directory starts beyond the file")
         (n,) = struct.unpack_from(order + "H", data, at)
+        if at + 6 + 12 * n > len(data):
+            raise TiffError("a directory ends beyond the file")
         tags = {}
         for i in range(n):
             spot = at + 2 + 12 * i
@@ -238,32 +263,52 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list]]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def _page(data: bytes, order: str, tags: dict[int, list]) -> np.ndarray:
-    one = lambda tag, default=None: tags.get(tag, [default])[0]
+def _page(data: bytes, order: str, tags: dict[int, list], max_bytes: int) -> np.ndarray:
+    def one(tag: int, default: int = 0) -> int:
+        value = (tags.get(tag) or [default])[0]
+        if not isinstance(value, int) or value < 0:
+            raise TiffError(f"tag {tag} is {value!r}")
+        return value
+
     width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
     scheme, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-    if not width or not height or bits not in (8, 16, 32) or len(set(tags[BITS])) > 1:
-        raise TiffError(f"size {width} x {height}, {tags.get(BITS)} bits")
-    if predictor not in (1, 2):
-        raise TiffError(f"predictor {predictor}")
+    if not width or not height or not samples or bits not in (8, 16, 32) or len(set(tags.get(BITS, [1]))) > 1:
+        raise TiffError(f"size {width} x {height} x {samples}, {tags.get(BITS)} bits")
+    if predictor not in (1, 2) or planar not in (1, 2) or scheme not in EXPANSION:
+        raise TiffError(f"predictor {predictor}, planes {planar}, compression {scheme}")
+    if one(FILL_ORDER, 1) != 1 or one(SAMPLE_FORMAT, 1) not in (1, 2):
+        raise TiffError(f"fill order {tags.get(FILL_ORDER)}, sample format {tags.get(SAMPLE_FORMAT)}")
     kind = np.dtype(f"{order}u{bits // 8}")
     tiled = TILE_OFFSETS in tags
     if tiled:
-        cw, ch, offsets, counts = one(TILE_WIDTH), one(TILE_HEIGHT), tags[TILE_OFFSETS], tags[TILE_COUNTS]
+        cw, ch, offsets, counts = one(TILE_WIDTH), one(TILE_HEIGHT), tags[TILE_OFFSETS], tags.get(TILE_COUNTS, [])
     else:
         cw, ch = width, min(one(ROWS_PER_STRIP, height), height)
-        offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+        offsets, counts = tags.get(STRIP_OFFSETS, []), tags.get(STRIP_COUNTS, [])
+    if not cw or not ch:
+        raise TiffError(f"strips or tiles of {cw} x {ch}")
     planes, each = (samples, 1) if planar == 2 else (1, samples)
     across, down = -(-width // cw), -(-height // ch)
-    if len(offsets) < across * down * planes:
+    cells = across * down * planes
+    if min(len(offsets), len(counts)) < cells:
         raise TiffError("too few strips or tiles")
+    spans = list(zip(offsets[:cells], counts[:cells]))
+    if not all(isinstance(x, int) and x >= 0 for span in spans for x in span):
+        raise TiffError("offsets or byte counts are no sizes")
+    cell_bytes = cw * ch * each * kind.itemsize
+    if max(width * height * samples * kind.itemsize, cell_bytes) > max_bytes:
+        raise TiffError(f"a page of {width} x {height} x {samples} is larger than {max_bytes} bytes")
+    for i, (at, count) in enumerate(spans):
+        rows = ch if tiled else min(ch, height - i % (across * down) // across * ch)
+        if min(count, max(0, len(data) - at)) * EXPANSION[scheme] + 8 < rows * cw * each * kind.itemsize:
+            raise TiffError("short strip or tile")
     out = np.empty((height, width, samples), kind.newbyteorder("="))
-    for i in range(across * down * planes):
+    for i, (at, count) in enumerate(spans):
         plane, cell = divmod(i, across * down)
         y, x = cell // across * ch, cell % across * cw
         rows = ch if tiled else min(ch, height - y)
         size = rows * cw * each * kind.itemsize
-        raw = _unpack(data[offsets[i] : offsets[i] + counts[i]], scheme, size)
+        raw = _unpack(data[at : at + count], scheme, size)
         if len(raw) < size:
             raise TiffError("short strip or tile")
         block = np.frombuffer(raw, kind, rows * cw * each).reshape(rows, cw, each)
@@ -274,12 +319,12 @@ def _page(data: bytes, order: str, tags: dict[int, list]) -> np.ndarray:
     return out
 
 
-def read_tiff(data: bytes) -> Iterator[tuple[dict[int, list], np.ndarray]]:
+def read_tiff(data: bytes, max_bytes: int = MAX_PAGE_BYTES) -> Iterator[tuple[dict[int, list], np.ndarray]]:
     """(tags, pixels) of each page."""
     for order, tags in directories(data):
         try:
-            pixels = _page(data, order, tags)
-        except (KeyError, IndexError, zlib.error, struct.error) as e:
+            pixels = _page(data, order, tags, max_bytes)
+        except zlib.error as e:
             raise TiffError(f"page cannot be read: {e}") from e
         yield tags, pixels
 
@@ -312,7 +357,7 @@ def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
             for i, (tags, px) in enumerate(read_tiff(value)):
                 yield (ident, i, px.shape[1], px.shape[0], px.shape[2], px.itemsize * 8, tags.get(COMPRESSION, [1])[0],
                        tags.get(PREDICTOR, [1])[0], feature(px), px.tobytes(), None)
-        except (TiffError, struct.error) as e:
+        except TiffError as e:
             yield (ident, -1, None, None, None, None, None, None, None, None, str(e))
 
     kind = media.schema[id_col].dataType.simpleString()
@@ -321,26 +366,31 @@ def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for i in range(len(batch)):
-                found = list(zip(*rows(ids[i].as_py(), batch.column(1)[i].as_py())))
                 kinds = [ids.type, *[pa.int32()] * 7, pa.string(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, kinds)], names=names)
+                for row in rows(ids[i].as_py(), batch.column(1)[i].as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], names=names)
 
     names = [id_col, *(c.split()[0] for c in _PAGES.split(", "))]
     return media.select(id_col, F.col(media_col).cast("binary")).mapInArrow(run, f"{id_col} {kind}, {_PAGES}")
 
 
-ROW_BYTES = 192
+ROW_BYTES, PAGE_ROWS = 192, 512
+#: The ways in which pages are stored; a payload's checksum picks its first page's, and each page takes the next.
+LAYOUTS = [Layout("deflate", 2), Layout("lzw", 2, tile=16), Layout("packbits", 1, rows_per_strip=32), Layout("deflate", 1, tile=64)]
 
 
 def store_text(text: str | None) -> tuple[bytes, bytes]:
-    """(payload, TIFF of it): UTF-8 padded with blanks to rows of 64 RGB pixels, deflate with the horizontal predictor."""
+    """(payload, TIFF of it): UTF-8 padded with blanks to rows of 64 RGB pixels, in pages of at most ``PAGE_ROWS`` rows."""
     raw = (text or "").encode("utf-8")
     payload = raw + b" " * (max(1, -(-len(raw) // ROW_BYTES)) * ROW_BYTES - len(raw))
-    return payload, write_tiff([np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)], "deflate", predictor=2)
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+    pages = [rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)]
+    first = zlib.crc32(payload)
+    return payload, write_tiff(pages, [LAYOUTS[(first + k) % len(LAYOUTS)] for k in range(len(pages))])
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every whole text as a TIFF, read the stored bytes back, and return digests and a feature."""
+    """Store every whole text as a TIFF, read the stored bytes back page by page, and return digests and a feature of all pages."""
 
     def run(batches):
         for batch in batches:
@@ -348,7 +398,7 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for text in batch.column(1):
                 text = text.as_py()
                 media = store_text(text)[1]
-                ((_, pixels),) = read_tiff(media)
+                pixels = np.concatenate([px for _, px in read_tiff(media)])
                 back = pixels.tobytes()
                 got.append((len((text or "").encode("utf-8")), len(back), hashlib.sha256(back).hexdigest(),
                             zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)))
