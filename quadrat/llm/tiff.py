@@ -80,83 +80,80 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def _lzw_widths(start: int, n: int) -> np.ndarray:
+    """Bits of the codes number ``start``, ``start`` + 1, ... since the table was cleared: widths switch one code early, as the format asks."""
+    table = np.arange(start, start + n) + 259
+    return 9 + (table > 512).astype(np.int64) + (table > 1024) + (table > 2048)
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """Variable width, most significant bit first, widths switched one code early, as the format asks."""
-    out, acc, held, width = bytearray(), 0, 0, 9
-    table = {bytes((i,)): i for i in range(256)}
-    fresh = dict(table)
-    code = 258
-
-    def emit(value):
-        nonlocal acc, held
-        acc = (acc << width) | value
-        held += width
-        while held >= 8:
-            held -= 8
-            out.append((acc >> held) & 255)
-        acc &= (1 << held) - 1
-
-    emit(256)
-    word = b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """Variable width, most significant bit first; the table is cleared when it is full."""
+    codes, since, table, free = [256], [0], {}, 258
+    for byte in data[:1]:
+        word = byte
+    for byte in data[1:]:
+        key = word << 8 | byte
+        if key in table:
+            word = table[key]
             continue
-        emit(table[word])
-        table[longer] = code
-        code += 1
-        if code == 4095:
-            emit(256)
-            table, code, width = dict(fresh), 258, 9
-        elif code + 1 > (1 << width):
-            width += 1
-        word = data[i : i + 1]
-    if word:
-        emit(table[word])
-        code += 1
-        if code + 1 > (1 << width) and width < 12:
-            width += 1
-    emit(257)
-    if held:
-        out.append((acc << (8 - held)) & 255)
-    return bytes(out)
+        codes.append(word)
+        table[key] = free
+        free += 1
+        if free == 4095:
+            codes.append(256)
+            since.append(len(codes) - 1)
+            table, free = {}, 258
+        word = byte
+    codes += [word, 257] if data else [257]
+    code, number = np.array(codes), np.arange(len(codes))
+    starts = np.array(since)
+    within = number - starts[np.searchsorted(starts, number, side="left") - 1] - 1
+    within[0] = 0
+    width = _lzw_widths(0, 4096)[within]
+    bits = (code[:, None] >> np.maximum(width[:, None] - 1 - np.arange(12), 0)) & 1
+    return np.packbits(bits[np.arange(12) < width[:, None]].astype(bool)).tobytes()
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    out, acc, held, width = bytearray(), 0, 0, 9
-    table: list[bytes] = [bytes((i,)) for i in range(256)] + [b"", b""]
-    last = b""
-    for byte in data:
-        acc = (acc << 8) | byte
-        held += 8
-        if held < width:
-            continue
-        held -= width
-        code = acc >> held
-        acc &= (1 << held) - 1
-        if code == 256:
-            del table[258:]
-            width, last = 9, b""
-            continue
-        if code == 257 or len(out) >= size:
+    """At most a table entry more than ``size`` bytes; codes are cut out a table's worth at a time."""
+    out, raw = bytearray(), np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    fresh: list[bytes] = [bytes((i,)) for i in range(256)] + [b"", b""]
+    table, last, at, number = list(fresh), b"", 0, 0
+    while len(out) < size:
+        n = min(4096, (8 * len(data) - at) // 9)
+        width = _lzw_widths(number, max(n, 0))
+        spot = at + np.concatenate(([0], np.cumsum(width)))
+        n = int(np.searchsorted(spot, 8 * len(data), side="right")) - 1
+        if n <= 0:
+            break
+        first = spot[:n] >> 3
+        code = ((raw[first] << 16 | raw[first + 1] << 8 | raw[first + 2]) >> (24 - (spot[:n] & 7) - width[:n])) & ((1 << width[:n]) - 1)
+        marks = np.flatnonzero((code == 256) | (code == 257))
+        read = int(marks[0]) if len(marks) else n
+        for c in code[:read].tolist():
+            if not last:
+                entry = table[c] if c < len(table) else b""
+            elif c < len(table):
+                entry = table[c]
+                if len(table) < 4096:
+                    table.append(last + entry[:1])
+            elif c == len(table) < 4096:
+                entry = last + last[:1]
+                table.append(entry)
+            else:
+                entry = b""
+            if not entry:
+                raise TiffError("bad LZW code")
+            out += entry
+            last = entry
+            if len(out) >= size:
+                return bytes(out)
+        if not len(marks):
+            at, number = int(spot[n]), number + n
+        elif code[read] == 257:
             break
-        if not last:
-            entry = table[code] if code < len(table) else None
-        elif code < len(table):
-            entry = table[code]
-            if len(table) < 4096:
-                table.append(last + entry[:1])
-        elif code == len(table) < 4096:
-            entry = last + last[:1]
-            table.append(entry)
         else:
-            entry = None
-        if not entry:
-            raise TiffError("bad LZW code")
-        out += entry
-        last = entry
-        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+            at, number, table, last = int(spot[read + 1]), 0, list(fresh), b""
     return bytes(out)
 
 
@@ -376,7 +373,7 @@ def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 ROW_BYTES, PAGE_ROWS = 192, 512
 #: The ways in which pages are stored; a payload's checksum picks its first page's, and each page takes the next.
-LAYOUTS = [Layout("deflate", 2), Layout("lzw", 2, tile=16), Layout("packbits", 1, rows_per_strip=32), Layout("deflate", 1, tile=64)]
+LAYOUTS = [Layout("deflate", 2), Layout("lzw", 1, tile=16), Layout("packbits", 1, rows_per_strip=32), Layout("deflate", 1, tile=64)]
 
 
 def store_text(text: str | None) -> tuple[bytes, bytes]:
