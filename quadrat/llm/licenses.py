@@ -1,21 +1,31 @@
-"""Licence scans: passages of a text against licence templates by Dice coefficient.
-
-A passage is a line of a text, or the whole text if it has several lines.
-Passages and templates are normalised (lower case; everything but ASCII
-letters and digits becomes one blank) and compared as bags of word bigrams:
-2 * |common| / (|passage| + |template|). The sizes of two bags alone bound the
-coefficient, so a passage meets only the templates whose size lies between
-t / (2 - t) and (2 - t) / t of its own, and most passages meet none.
+"""Licence scans: windows of a text against licence templates by Dice coefficient.
+
+Texts and templates are normalised (lower case; everything but ASCII letters
+and digits becomes one blank) and compared as bags of word bigrams:
+2 * |common| / (|window| + |template|). A window is a run of words of the whole
+text, over line ends, so a wrapped notice, one in a comment block and one in
+the middle of a paragraph are the same. The sizes of two bags alone bound the
+coefficient: with threshold t and a template of n bigrams a window has at most
+n * (2 - t) / t bigrams, and n * t / (2 - t) of them at least are the
+template's, so a template meets only places where that many of its bigrams
+stand that close together; most texts have none.
+
+At every such place two windows start, with a bigram of the template: of the
+template's size and of the largest size, each less what follows its last
+bigram that the template has.
 
 All of it is column expressions over one row at a time: one scan, no shuffle,
 no join, and templates (a short list) as literals in the plan.
 
 NULL and empty texts match nothing. Ties go to the earlier template, then the
-earlier passage. Repeated rows repeat; extra columns are ignored.
+earlier window, then the shorter one. Texts of any length are searched whole.
+Repeated rows repeat; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -24,7 +34,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-# Short licence notices as they are commonly written.
+# Licence notices and full texts as they are commonly written.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -40,6 +50,45 @@ TEMPLATES = {
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH "
+        "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "Zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+        "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+        "original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
 }
 
 
@@ -48,69 +97,84 @@ def grams(text: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+def bounds(n: int, threshold: float) -> tuple[int, int]:
+    """Fewest bigrams of a template of ``n`` that a matching window has, and most bigrams of such a window."""
+    return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
+
+
 def _words(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _common(known: Column, bag: Counter) -> Column:
-    """How many bigrams a passage's bag (its bigrams that any template has) shares with one template's bag."""
-    parts = F.expr("array(" + ", ".join(f"struct('{g}' AS g, {c} AS c)" for g, c in bag.items()) + ")")
-    return F.aggregate(parts, F.lit(0), lambda total, t: total + F.least(t["c"], F.size(F.filter(known, lambda x: x == t["g"]))))
+def _equals(gram: str):
+    return lambda g: g == gram
+
+
+def _within(bag: Counter):
+    return lambda x: x["g"].isin(sorted(bag))
+
+
+def _common(found: Column, bag: Counter) -> Column:
+    """Size of the common bag of a template and its bigrams in a window."""
+    total = F.size(F.array_distinct(found))
+    for gram, c in sorted(bag.items()):
+        if c > 1:
+            times = F.size(F.filter(found, _equals(gram)))
+            total = total + F.least(F.lit(c), times) - F.least(F.lit(1), times)
+    return total
+
+
+def _best(own: Column, order: int, name: str, bag: Counter, threshold: float) -> Column:
+    """Best window for one template: ``own`` are the places (at, g) of its bigrams in the text."""
+    n = sum(bag.values())
+    need, most = bounds(n, threshold)
+    marked = F.transform(own, lambda x, i: F.struct(x["at"].alias("at"), (F.get(own, i + need - 1)["at"] - x["at"] < most).alias("near"), i.alias("i")))
+    starts = F.filter(marked, lambda x: x["near"])
+
+    def window(x: Column, size: int) -> Column:
+        inside = F.filter(F.slice(own, x["i"] + 1, F.lit(size)), lambda y: y["at"] < x["at"] + size)
+        length = F.element_at(inside, -1)["at"] - x["at"] + 1
+        dice = 2.0 * _common(F.transform(inside, lambda y: y["g"]), bag) / (length + n)
+        return F.struct(dice.alias("dice"), F.lit(-order).alias("order"), (-x["at"]).alias("at"), (-length).alias("length"), F.lit(name).alias("license"))
+
+    windows = F.flatten(F.transform(starts, lambda x: F.array(window(x, n), window(x, most))))
+    return F.array_max(F.filter(windows, lambda m: m["dice"] >= threshold))
 
 
 def license_matches(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``(doc_id, n_lines, n_matches, license, dice, passage)`` for every row of ``docs``.
+    """``(doc_id, n_words, n_matches, license, dice, first_word, n_bigrams)`` for every row of ``docs``.
 
-    ``n_matches`` counts (passage, template) pairs at or above ``threshold``;
-    ``license`` is the best of them and ``passage`` its line from 1 (0: the
-    whole text, -1: none). Templates of fewer than two words cannot match.
+    ``n_matches`` counts the templates that some window reaches ``threshold``
+    with; ``license`` is the best of them, ``first_word`` and ``n_bigrams``
+    tell its window (words are counted from 0; -1 and 0: none). Templates of
+    fewer than two words cannot match.
     """
     bags = {name: c for name, text in (TEMPLATES if templates is None else templates).items() if (c := Counter(grams(text)))}
-    t = threshold
-    bounds = {n: (sum(c.values()) * t / (2 - t), sum(c.values()) * (2 - t) / t) for n, c in bags.items()}
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.split(text, "\n")
-    passages = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.concat(F.array(F.lit("")), lines))
-    sized = F.transform(passages, lambda p, i: F.struct(i.alias("passage"), _words(p).alias("w")))
-    low, high = min((b[0] for b in bounds.values()), default=1), max((b[1] for b in bounds.values()), default=0)
-    near = F.filter(sized, lambda p: (F.size(p["w"]) - 1 >= low) & (F.size(p["w"]) - 1 <= high))
-
     every = sorted({g for c in bags.values() for g in c})
-    smallest = min((sum(c.values()) for c in bags.values()), default=1)
-
-    def with_bag(p: Column) -> Column:
-        pairs = F.zip_with(p["w"], F.slice(p["w"], 2, 1 << 20), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.struct(p["passage"].alias("passage"), (F.size(p["w"]) - 1).alias("n"), F.filter(pairs, lambda g: g.isin(every)).alias("known"))
-
-    able = F.filter(F.transform(near, with_bag), lambda p: 2 * F.size(p["known"]) >= t * (p["n"] + smallest))
-
-    def scored(p: Column) -> Column:
-        return F.array(*(
-            F.struct(
-                F.when(
-                    (p["n"] >= F.lit(bounds[name][0])) & (p["n"] <= F.lit(bounds[name][1])),
-                    2.0 * _common(p["known"], bag) / (p["n"] + sum(bag.values())),
-                ).alias("dice"),
-                F.lit(-k).alias("order"), (-p["passage"]).alias("at"), F.lit(name).alias("license"),
-            )
-            for k, (name, bag) in enumerate(bags.items())
-        ))
-
+    words = docs.select(F.col(id_col).alias("doc_id"), _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    known = F.filter(F.transform(pairs, lambda g, i: F.struct(i.alias("at"), g.alias("g"))), lambda x: x["g"].isin(every)) if every else F.array()
+    found = words.select("doc_id", F.size("w").alias("n_words"), known.alias("known"))
     if not bags:
-        return docs.select(
-            F.col(id_col).alias("doc_id"), F.size(lines).alias("n_lines"), F.lit(0).alias("n_matches"),
-            F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.lit(-1).alias("passage"),
+        return found.select(
+            "doc_id", "n_words", F.lit(0).alias("n_matches"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"),
+            F.lit(-1).alias("first_word"), F.lit(0).alias("n_bigrams"),
         )
-    found = F.filter(F.flatten(F.transform(able, scored)), lambda m: m["dice"] >= t)
-    best = F.array_max("found")
+    own = {
+        name: F.when(F.size("known") >= bounds(sum(bag.values()), threshold)[0], F.filter("known", _within(bag))).otherwise(F.slice("known", 1, 0))
+        for name, bag in bags.items()
+    }
+    found = found.select("doc_id", "n_words", *(c.alias(f"k{i}") for i, c in enumerate(own.values())))
+    best = [_best(F.col(f"k{i}"), i, name, bag, threshold) for i, (name, bag) in enumerate(bags.items())]
+    top = F.array_max("m")
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.size(lines).alias("n_lines"), found.alias("found"))
+        found.select("doc_id", "n_words", F.filter(F.array(*best), lambda m: m.isNotNull()).alias("m"))
         .select(
-            "doc_id", "n_lines", F.size("found").alias("n_matches"), best["license"].alias("license"),
-            F.round(best["dice"], 6).alias("dice"), F.coalesce(-best["at"], F.lit(-1)).alias("passage"),
+            "doc_id", "n_words", F.size("m").alias("n_matches"), top["license"].alias("license"), F.round(top["dice"], 6).alias("dice"),
+            F.coalesce(-top["at"], F.lit(-1)).alias("first_word"), F.coalesce(-top["length"], F.lit(0)).alias("n_bigrams"),
         )
     )
 
@@ -120,39 +184,34 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _values() -> str:
-    rows = ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(TEMPLATES.items()))
-    return f"(VALUES {rows}) t(ord, license, body)"
+    rows = ", ".join("({}, '{}', '{}', {})".format(k, n, t.replace("'", "''"), bounds(len(grams(t)), THRESHOLD)[1]) for k, (n, t) in enumerate(TEMPLATES.items()))
+    return f"(VALUES {rows}) t(ord, license, body, most)"
 
 
+#: Every window of the two sizes that starts with a bigram of a template, without any pruning.
 SQL = f"""
     WITH tw AS (
-      SELECT ord, license, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM {_values()}
-    ), tg AS (
-      SELECT ord, license, len(w) - 1 AS size, w[i] || ' ' || w[i + 1] AS gram, count(*) AS c
-      FROM tw, range(1, 64) r(i) WHERE i < len(w) GROUP BY ALL
-    ), ts AS (SELECT DISTINCT ord, license, size FROM tg),
-    l AS (
-      SELECT doc_id, i AS passage, string_split(coalesce(text, ''), chr(10)) AS lines, string_split(coalesce(text, ''), chr(10))[i] AS body
-      FROM documents, range(1, 20000) r(i) WHERE i <= len(string_split(coalesce(text, ''), chr(10)))
-      UNION ALL
-      SELECT doc_id, 0, string_split(text, chr(10)), text FROM documents WHERE contains(text, chr(10))
-    ), p AS (
-      SELECT doc_id, passage, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM l
-    ), near AS (
-      SELECT row_number() OVER () AS pid, p.*, ts.* FROM p JOIN ts
-      ON len(w) - 1 >= size * CAST({THRESHOLD} AS DOUBLE) / (2 - CAST({THRESHOLD} AS DOUBLE))
-      AND len(w) - 1 <= size * (2 - CAST({THRESHOLD} AS DOUBLE)) / CAST({THRESHOLD} AS DOUBLE)
-    ), pg AS (
-      SELECT pid, ord, w[i] || ' ' || w[i + 1] AS gram, count(*) AS c FROM near, range(1, 64) r(i) WHERE i < len(w) GROUP BY ALL
+      SELECT ord, license, most, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM {_values()}
+    ), ts AS (SELECT ord, license, len(w) - 1 AS size, most FROM tw),
+    tp AS (SELECT ord, unnest(w[1:len(w) - 1]) || ' ' || unnest(w[2:]) AS gram FROM tw),
+    tg AS (SELECT ord, gram, count(*) AS c FROM tp GROUP BY ALL),
+    d AS (
+      SELECT row_number() OVER () AS rid, doc_id,
+             list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents
+    ), p AS (SELECT rid, unnest(w[1:len(w) - 1]) || ' ' || unnest(w[2:]) AS gram, unnest(range(len(w) - 1)) AS pos FROM d WHERE len(w) > 1),
+    k AS (SELECT rid, ord, pos, gram, c FROM p JOIN tg USING (gram)),
+    s AS (
+      SELECT rid, ord, pos, size, size AS span FROM k JOIN ts USING (ord)
+      UNION SELECT rid, ord, pos, size, most FROM k JOIN ts USING (ord)
+    ), g AS (
+      SELECT s.rid, s.ord, s.pos, s.size, s.span, k.gram, least(count(*), any_value(k.c)) AS c, max(k.pos) AS final
+      FROM s JOIN k ON k.rid = s.rid AND k.ord = s.ord AND k.pos >= s.pos AND k.pos < s.pos + s.span GROUP BY ALL
     ), m AS (
-      SELECT n.doc_id, n.passage, n.ord, n.license,
-             2.0 * sum(least(pg.c, tg.c)) / (any_value(len(n.w)) - 1 + any_value(n.size)) AS dice
-      FROM near n JOIN pg USING (pid) JOIN tg ON tg.ord = n.ord AND tg.gram = pg.gram GROUP BY n.pid, n.doc_id, n.passage, n.ord, n.license
+      SELECT rid, ord, pos, max(final) - pos + 1 AS length, 2.0 * sum(c) / (max(final) - pos + 1 + size) AS dice FROM g GROUP BY rid, ord, pos, size, span
     ), hit AS (
-      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, ord, passage) AS r, count(*) OVER (PARTITION BY doc_id) AS n
-      FROM m WHERE dice >= {THRESHOLD}
-    )
-    SELECT d.doc_id, CAST(len(string_split(coalesce(d.text, ''), chr(10))) AS INTEGER) AS n_lines, CAST(coalesce(h.n, 0) AS INTEGER) AS n_matches,
-           h.license, CAST(round(h.dice, 6) AS DOUBLE) AS dice, CAST(coalesce(h.passage, -1) AS INTEGER) AS passage
-    FROM documents d LEFT JOIN hit h ON h.doc_id = d.doc_id AND h.r = 1
+      SELECT m.*, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, ord, pos, length) AS r FROM m WHERE dice >= {THRESHOLD}
+    ), n AS (SELECT rid, count(DISTINCT ord) AS n FROM hit GROUP BY rid)
+    SELECT d.doc_id, CAST(len(d.w) AS INTEGER) AS n_words, CAST(coalesce(n.n, 0) AS INTEGER) AS n_matches, ts.license,
+           CAST(round(hit.dice, 6) AS DOUBLE) AS dice, CAST(coalesce(hit.pos, -1) AS INTEGER) AS first_word, CAST(coalesce(hit.length, 0) AS INTEGER) AS n_bigrams
+    FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN hit ON hit.rid = d.rid AND hit.r = 1 LEFT JOIN ts ON ts.ord = hit.ord
 """

@@ -1,5 +1,6 @@
 """Licence scans and chat formatting against brute force, with hostile rows."""
 
+import math
 import re
 from collections import Counter
 
@@ -11,32 +12,47 @@ from quadrat.llm import chat, licenses
 DOCS = "doc_id bigint, text string, license string"
 
 
-def dice(a: str, b: str) -> float:
-    grams = lambda t: Counter(zip(w := re.sub("[^a-z0-9]+", " ", t.lower()).split(), w[1:]))
-    x, y = grams(a), grams(b)
-    return 2 * sum((x & y).values()) / (sum(x.values()) + sum(y.values())) if x and y else 0.0
-
-
 def brute(text):
-    lines = (text or "").split("\n")
-    passages = [(0, text), *enumerate(lines, 1)] if len(lines) > 1 else list(enumerate(lines, 1))
-    hits = [(-d, k, at) for at, p in passages for k, t in enumerate(licenses.TEMPLATES.values()) if (d := dice(p, t)) >= licenses.THRESHOLD]
-    best = min(hits, default=None)
-    return len(hits), None if best is None else list(licenses.TEMPLATES)[best[1]], -1 if best is None else best[2]
+    """Dice of every window of a template's size and of the largest size that starts with one of its bigrams."""
+    w = re.sub("[^a-z0-9]+", " ", (text or "").lower()).split()
+    g = list(zip(w, w[1:]))
+    hits = []
+    for k, t in enumerate(licenses.TEMPLATES.values()):
+        bag = Counter(zip(x := re.sub("[^a-z0-9]+", " ", t.lower()).split(), x[1:]))
+        n, best = sum(bag.values()), []
+        for i in (i for i, p in enumerate(g) if p in bag):
+            for size in (n, math.floor(n * 1.5 + 1e-9)):
+                part = g[i : i + size]
+                while part[-1] not in bag:
+                    part.pop()
+                d = 2 * sum((Counter(part) & bag).values()) / (len(part) + n)
+                if d >= licenses.THRESHOLD:
+                    best.append((-d, k, i, len(part)))
+        hits += [min(best)] if best else []
+    first = min(hits, default=None)
+    return (len(hits), None, -1, 0) if first is None else (len(hits), list(licenses.TEMPLATES)[first[1]], *first[2:])
 
 
 def test_licences_match_brute_force(spark):
     t = list(licenses.TEMPLATES.values())
+    full = licenses.TEMPLATES["MIT-text"]
+    words = full.split()
     texts = [
         None, "", " \n ", "word", "licensed under", "MIT", t[0], t[0].upper() + "!!", "prose first\n" + t[10] + "\nmore prose follows here", t[7].replace("version", "Version "),
         " ".join(t[8].split()[:16]) + "\n" + " ".join(t[8].split()[16:]), "the the the the the the the", t[1] + " " + t[11], "x " * 30_000 + "\n" + t[4], t[3].replace("4.0", "4 0"), "lïcence " + t[5],
+        "\n".join(f"line {i} of a file" for i in range(60)) + "\n# " + "\n# ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\ncode follows " * 40,
+        "copyright of somebody. Released under the MIT License. And prose goes on in the same line for a good while.",
+        " ".join(words[:100]), " ".join(words[:60] + ["inserted", "words"] * 9 + words[60:]), full + " " + full, " ".join(reversed(words)), licenses.TEMPLATES["BSD-3-Clause"].replace("3.", "neither 3."),
+        " ".join(w + " odd" for w in t[1].split()),
     ]
     rows = [(i, x, "clash") for i, x in enumerate(texts)] + [(6, t[0], None), (None, t[0], None)]
     got = licenses.license_matches(spark.createDataFrame(rows, DOCS)).collect()
     assert len(got) == len(rows)
     want = {i: brute(x) for i, x in enumerate(texts)}
     for r in got:
-        assert (r.n_matches, r.license, r.passage) == want.get(r.doc_id, brute(t[0]))
+        assert (r.n_matches, r.license, r.first_word, r.n_bigrams) == want.get(r.doc_id, brute(t[0])), r.doc_id
+    by = {r.doc_id: r.license for r in got}
+    assert by[16] == "MIT-text" and by[17] == "MIT" and by[19] == "MIT-grant" and by[20] == "MIT-text"
     assert licenses.license_matches(spark.createDataFrame([], DOCS)).count() == 0
     assert licenses.license_matches(spark.createDataFrame(rows, DOCS), templates={}).agg(F.sum("n_matches")).first()[0] == 0
 
