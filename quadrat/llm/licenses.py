@@ -17,8 +17,8 @@ bigram that the template has.
 All of it is column expressions over one row at a time: one scan, no shuffle,
 no join, and templates (a short list) as literals in the plan.
 
-NULL and empty texts match nothing. Ties go to the earlier template, then the
-earlier window, then the shorter one. Texts of any length are searched whole.
+NULL and empty texts match nothing. Ties go to the larger template,
+then the earlier one, then the earlier window, then the shorter one. Texts of any length are searched whole.
 Repeated rows repeat; extra columns are ignored; an empty table gives an empty
 result.
 """
@@ -136,7 +136,7 @@ def _best(own: Column, order: int, name: str, bag: Counter, threshold: float) ->
         inside = F.filter(F.slice(own, x["i"] + 1, F.lit(size)), lambda y: y["at"] < x["at"] + size)
         length = F.element_at(inside, -1)["at"] - x["at"] + 1
         dice = 2.0 * _common(F.transform(inside, lambda y: y["g"]), bag) / (length + n)
-        return F.struct(dice.alias("dice"), F.lit(-order).alias("order"), (-x["at"]).alias("at"), (-length).alias("length"), F.lit(name).alias("license"))
+        return F.struct(dice.alias("dice"), F.lit(n).alias("n"), F.lit(-order).alias("order"), (-x["at"]).alias("at"), (-length).alias("length"), F.lit(name).alias("license"))
 
     windows = F.flatten(F.transform(starts, lambda x: F.array(window(x, n), window(x, most))))
     return F.array_max(F.filter(windows, lambda m: m["dice"] >= threshold))
@@ -207,9 +207,9 @@ SQL = f"""
       SELECT s.rid, s.ord, s.pos, s.size, s.span, k.gram, least(count(*), any_value(k.c)) AS c, max(k.pos) AS final
       FROM s JOIN k ON k.rid = s.rid AND k.ord = s.ord AND k.pos >= s.pos AND k.pos < s.pos + s.span GROUP BY ALL
     ), m AS (
-      SELECT rid, ord, pos, max(final) - pos + 1 AS length, 2.0 * sum(c) / (max(final) - pos + 1 + size) AS dice FROM g GROUP BY rid, ord, pos, size, span
+      SELECT rid, ord, pos, size, max(final) - pos + 1 AS length, 2.0 * sum(c) / (max(final) - pos + 1 + size) AS dice FROM g GROUP BY rid, ord, pos, size, span
     ), hit AS (
-      SELECT m.*, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, ord, pos, length) AS r FROM m WHERE dice >= {THRESHOLD}
+      SELECT m.*, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, size DESC, ord, pos, length) AS r FROM m WHERE dice >= {THRESHOLD}
     ), n AS (SELECT rid, count(DISTINCT ord) AS n FROM hit GROUP BY rid)
     SELECT d.doc_id, CAST(len(d.w) AS INTEGER) AS n_words, CAST(coalesce(n.n, 0) AS INTEGER) AS n_matches, ts.license,
            CAST(round(hit.dice, 6) AS DOUBLE) AS dice, CAST(coalesce(hit.pos, -1) AS INTEGER) AS first_word, CAST(coalesce(hit.length, 0) AS INTEGER) AS n_bigrams

@@ -1,5 +1,6 @@
 """Licence scans and chat formatting against brute force, with hostile rows."""
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -27,10 +28,10 @@ def brute(text):
                     part.pop()
                 d = 2 * sum((Counter(part) & bag).values()) / (len(part) + n)
                 if d >= licenses.THRESHOLD:
-                    best.append((-d, k, i, len(part)))
+                    best.append((-d, -n, k, i, len(part)))
         hits += [min(best)] if best else []
     first = min(hits, default=None)
-    return (len(hits), None, -1, 0) if first is None else (len(hits), list(licenses.TEMPLATES)[first[1]], *first[2:])
+    return (len(hits), None, -1, 0) if first is None else (len(hits), list(licenses.TEMPLATES)[first[2]], *first[3:])
 
 
 def test_licences_match_brute_force(spark):
@@ -71,8 +72,8 @@ def maximal(turns):
     convs = {}
     for c, k, r, x, _ in set(turns):
         if c is not None:
-            convs.setdefault(c, []).append((k is not None, k or 0, r or "", x or ""))
-    lists = {c: [v[2:] for v in sorted(vs)] for c, vs in convs.items()}
+            convs.setdefault(c, []).append((k is not None, k or 0, r or "", hashlib.md5((x or "").encode()).digest(), x or ""))
+    lists = {c: [(v[2], v[4]) for v in sorted(vs)] for c, vs in convs.items()}
     return {
         c: l for c, l in lists.items()
         if not any(o != c and m[: len(l)] == l and (len(m) > len(l) or o < c) for o, m in lists.items())
@@ -87,9 +88,11 @@ def test_snapshots_collapse(spark):
     rows += [(30, 0, None, None, 7), (31, None, "user", "", 7), (31, 5, "user", "z", 7), (31, 5, "user", "a", 7)]
     rows += [(3, 0, "user", "hi", 7)] * 3 + [(None, 0, "user", "hi", 7)]
     rows += [(40, k, "user", f"t{k % 9}", 7) for k in range(700)] + [(41, k, "user", f"t{k % 9}", 7) for k in range(650)]
-    got = chat.format_chats(spark.createDataFrame(rows, TURNS)).collect()
+    rows += [(50, None, "user", f"n{k}", 7) for k in range(600)] + [(51, 3, "user", f"n{k}", 7) for k in range(500)]  # all under one number
+    rows += [(60, 0, "user", "long " * 300_000, 7), (60, 1, "assistant", "é" * 2_000_000, 7), (61, 0, "user", "long " * 300_000, 7)]
+    got = chat.format_chats(spark.createDataFrame(rows, TURNS).repartition(9)).collect()
     want = maximal(rows)
-    assert {r.conv_id for r in got} == set(want) == {3, 20, 30, 31, 40}
+    assert {r.conv_id for r in got} == set(want) == {3, 20, 30, 31, 40, 50, 51, 60}
     for c, turns in want.items():
         mine = sorted((r.place, r.rendered) for r in got if r.conv_id == c)
         assert mine == [(i, f"<|{a}|>\n{b}\n") for i, (a, b) in enumerate(turns, 1)]
