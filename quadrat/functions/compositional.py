@@ -97,16 +97,24 @@ def transect(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame
     return km.join(F.broadcast(m)).withColumn("position", F.col("x") * F.col("_u") + F.col("y") * F.col("_v")).drop("_u", "_v")
 
 
+MAX_LEVELS = 2_000
+
+
 def design(df: DataFrame, numeric: list[str] = (), factors: list[str] = (), quadratic: list[str] = (), interactions: list[tuple[str, str]] = ()) -> DataFrame:
-    """Columns of a linear model: intercept, numeric terms, squares, dummies (first level left out), products."""
+    """Columns of a linear model: intercept, numeric terms, squares, dummies (first level left out), products.
+
+    A factor of more than ``MAX_LEVELS`` levels is an error: each level is a column.
+    """
     out = df.withColumn("one", F.lit(1.0))
     for c in numeric:
         out = out.withColumn(c, F.col(c).cast("double"))
     for c in quadratic:
         out = out.withColumn(f"{c}_2", F.col(c) * F.col(c))
     for c in factors:
-        levels = [r[0] for r in df.select(c).distinct().orderBy(c).limit(1000).collect()][1:]
-        for level in levels:
+        levels = [r[0] for r in df.select(c).distinct().orderBy(c).limit(MAX_LEVELS + 1).collect()]
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+        for level in levels[1:]:
             out = out.withColumn(f"{c}_is_{level}", (F.col(c) == F.lit(level)).cast("double"))
     for a, b in interactions:
         out = out.withColumn(f"{a}_x_{b}", F.col(a) * F.col(b))

@@ -14,6 +14,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else F.lit(c) if not isinstance(c, Column) else c
 
 
+def ratio(top, bottom) -> Column:
+    """``top / bottom`` as a double; NULL where ``bottom`` is 0 or either is NULL, in ANSI mode too."""
+    return F.try_divide(_col(top).cast("double"), _col(bottom).cast("double"))
+
+
+def f_ratio(top, bottom, scale: float | Column = 0.0) -> Column:
+    """An F statistic: infinite where nothing is left to explain (``bottom`` within 1e-12 of ``scale``), NULL if both sides are 0."""
+    small = F.greatest(F.abs(_col(scale).cast("double")) * 1e-12, F.lit(0.0))
+    top, bottom = _col(top).cast("double"), _col(bottom).cast("double")
+    return F.when(bottom > small, F.try_divide(top, bottom)).when(top > small, F.lit(float("inf")))
+
+
 def lgamma(col) -> Column:
     """log gamma of x >= 1 by Stirling's series at x + 8, as plain column arithmetic."""
     x = _col(col).cast("double")
@@ -89,6 +101,8 @@ def tail(name: str, x: float, d1: float | None = None, d2: float | None = None)
     if x is None or x != x:
         return math.nan
     x = float(x)
+    if math.isinf(x):
+        return 0.0 if x > 0 or name in ("normal", "t") else 1.0
     if name == "normal":
         return math.erfc(abs(x) / math.sqrt(2))
     if name == "t":
@@ -110,7 +124,9 @@ def pdist(name: str, x, d1=None, d2=None) -> Column:
 
 
 def t_quantile(p: float, df: float) -> float:
-    """Quantile of Student's t by bisection on its tail."""
+    """Quantile of Student's t by bisection on its tail; NaN without degrees of freedom."""
+    if not df >= 1:
+        return math.nan
     low, high = 0.0, 1e4
     for _ in range(200):
         mid = (low + high) / 2

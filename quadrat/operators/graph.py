@@ -129,6 +129,9 @@ def rdf_lists(triples: DataFrame, first: str = "first", rest: str = "rest", nil:
             break
         out = here if out is None else out.unionByName(here)
         at = here.where(~F.col("bad") & (F.col("next") != nil)).select("list", F.col("next").alias("cell"))
+    else:
+        if not at.isEmpty():
+            raise ValueError(f"a list is longer than {max_length}, or it loops")
     if out is None:
         return triples.sparkSession.createDataFrame([], "list string, position int, member string")
     broken = out.where("bad").select("list").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -181,15 +182,31 @@ def knn_graph(points: DataFrame, k: int, group: list[str] = (), node: str = "nod
 
 
 def proximity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, metres: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Pairs within ``metres`` (haversine), met in grid cells; equator-safe cell size in degrees of latitude,
-    longitude cells widened by the latitude band. For each left row the nearest right row (ties: smaller id)."""
-    size = metres / 1000 / 110.574 * 1.01
-    widen = 4.0  # covers latitudes up to about 75 degrees
-    a = left.select(left_id, F.col(lat).alias("_a"), F.col(lon).alias("_o"))
+    """For each left row the nearest right row within ``metres`` (haversine; ties: smaller id).
+
+    Rows meet in grid cells: bands of latitude, each cut in as many longitude
+    cells as its latitude next to a pole allows, counted around the globe, so
+    pairs near the poles and across the date line are found.
+    """
+    radius = 6371008.8
+    half = math.sin(min(metres / (2 * radius), math.pi / 2))
+    size = max(math.degrees(metres / radius) * 1.0001, 1e-6)
+
+    def cells(band: Column) -> Column:
+        high = F.least(F.greatest(F.abs((band - 1) * size), F.abs((band + 2) * size)), F.lit(89.9999999))
+        reach = F.least(F.lit(half) / F.cos(F.radians(high)), F.lit(1.0))
+        return F.greatest(F.floor(360 / (F.degrees(2 * F.asin(reach)) * 1.0001)), F.lit(1)).cast("bigint")
+
+    def cell(lon: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n).cast("bigint"), n - 1)
+
     shift = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = a.withColumn("_i", F.explode(shift)).withColumn("_j", F.explode(shift))
-    a = a.withColumns({"_gx": _cells(F.col("_a"), size) + F.col("_i"), "_gy": _cells(F.col("_o"), size * widen) + F.col("_j")})
-    b = right.select(right_id, F.col(lat).alias("_ra"), F.col(lon).alias("_ro")).withColumns({"_gx": _cells(F.col("_ra"), size), "_gy": _cells(F.col("_ro"), size * widen)})
+    a = left.select(left_id, F.col(lat).cast("double").alias("_a"), F.col(lon).cast("double").alias("_o"), F.explode(shift).alias("_i"))
+    a = a.withColumn("_gx", F.floor(F.col("_a") / size) + F.col("_i")).withColumn("_n", cells(F.col("_gx")))
+    near = F.array_distinct(F.transform(shift, lambda j: F.pmod(cell(F.col("_o"), F.col("_n")) + j, F.col("_n"))))
+    a = a.withColumn("_gy", F.explode(near)).drop("_n", "_i")
+    b = right.select(right_id, F.col(lat).cast("double").alias("_ra"), F.col(lon).cast("double").alias("_ro")).withColumn("_gx", F.floor(F.col("_ra") / size))
+    b = b.withColumn("_gy", cell(F.col("_ro"), cells(F.col("_gx"))))
     d = a.join(b, ["_gx", "_gy"]).withColumn("metres", 1000 * haversine_km("_a", "_o", "_ra", "_ro")).where(F.col("metres") <= metres)
     best = d.groupBy(left_id).agg(F.min(F.struct("metres", right_id)).alias("m"))
     return best.select(left_id, F.col(f"m.{right_id}").alias(right_id), F.col("m.metres").alias("metres"))

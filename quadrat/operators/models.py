@@ -12,9 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quadrat.functions.numeric import pdist, symmetric_solve, tail
+from quadrat.functions.numeric import f_ratio, pdist, ratio, symmetric_solve, tail
 from quadrat.operators import resample as RS
+from quadrat.session import cut
 
 
 def gram(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
@@ -128,7 +130,10 @@ def elemental_axis(df: DataFrame, unit: str, part: str, value: str, strata: list
 
 
 def multivariate_trend(df: DataFrame, unit: str, part: str, value: str, x: Column, degree: int, reps: int, seed: int = 1) -> DataFrame:
-    """R2 and pseudo-F of a polynomial trend in all parts at once, with a unit-permutation p."""
+    """R2 and pseudo-F of a polynomial trend in all parts at once, with a unit-permutation p.
+
+    A perfect trend has an infinite F; without variation R2 and F are NULL.
+    """
     rows = df.withColumn("_x", x)
     terms = [f"t{i}" for i in range(degree + 1)]
     rows = rows.withColumns({"t0": F.lit(1.0), **{f"t{i}": F.pow("_x", F.lit(i)) for i in range(1, degree + 1)}})
@@ -141,8 +146,8 @@ def multivariate_trend(df: DataFrame, unit: str, part: str, value: str, x: Colum
         sums = r.groupBy(*keys, part).agg(*(F.sum(F.col(t) * F.col(value)).alias(f"s{i}") for i, t in enumerate(terms)), F.sum(F.col(value) * F.col(value)).alias("q"), F.sum(value).alias("s"))
         fit = sum((F.col(f"s{i}") * F.col(f"s{j}") * float(inv[i, j]) for i in range(degree + 1) for j in range(degree + 1)), F.lit(0.0))
         g = sums.groupBy(*keys).agg(F.sum(fit - F.col("s") * F.col("s") / n).alias("between"), F.sum(F.col("q") - F.col("s") * F.col("s") / n).alias("total"))
-        r2 = F.col("between") / F.col("total")
-        return g.select(*keys, r2.alias("r2"), (r2 / degree / ((1 - r2) / (n - degree - 1))).alias("f"))
+        left = ratio(F.col("total") - F.col("between"), F.lit(n - degree - 1))
+        return g.select(*keys, ratio("between", "total").alias("r2"), f_ratio(F.col("between") / degree, left, F.col("total")).alias("f"))
 
     obs = explained(rows, [])
     perm = RS.permutations(design, reps, unit, seed=seed)
@@ -165,7 +170,7 @@ def nested_test(df: DataFrame, unit: str, part: str, value: str, reduced: list[s
 
     def share(r: DataFrame, keys: list[str]) -> DataFrame:
         g = r.groupBy(*keys, "part").agg(F.sum(F.col("rx") * F.col("e")).alias("c"), F.sum(F.col("rx") * F.col("rx")).alias("s"), F.sum(F.col("e") * F.col("e")).alias("q"))
-        return g.groupBy(*keys).agg((F.sum(F.col("c") * F.col("c") / F.col("s")) / F.sum("q")).alias("v"))
+        return g.groupBy(*keys).agg(ratio(F.sum(ratio(F.col("c") * F.col("c"), "s")), F.sum("q")).alias("v"))
 
     obs = share(res.join(rx.select(unit, "rx"), unit), []).withColumnRenamed("v", "partial_r2")
     perm = RS.permutations(rx, reps, unit, [site], seed)
@@ -189,18 +194,63 @@ def scan(y: DataFrame, exposures: DataFrame, obs: str, response: str, key: str,
     quad = sum((F.col(f"a{i}") * F.col(f"a{m}") * float(inv[i, m]) for i in range(k) for m in range(k)), F.lit(0.0))
     j = j.withColumn("sxx", F.col("xx") - quad).withColumn("beta", F.when(F.col("sxx") > 1e-9, F.col("xy") / F.col("sxx")))
     df = n - k - 1
-    sse = F.lit(float(syy)) - F.col("beta") * F.col("xy")
-    return j.select(key, "beta", F.sqrt(sse / df / F.col("sxx")).alias("se"), (F.col("beta") / F.sqrt(sse / df / F.col("sxx"))).alias("t"), (F.col("beta") * F.col("xy") / F.lit(float(syy))).alias("partial_r2"))
+    syy = F.lit(float(syy or 0.0))
+    sse = F.greatest(syy - F.col("beta") * F.col("xy"), F.lit(0.0))
+    se = F.sqrt(ratio(ratio(sse, F.lit(df)), "sxx"))
+    return j.select(key, "beta", se.alias("se"), ratio("beta", se).alias("t"), ratio(F.col("beta") * F.col("xy"), syy).alias("partial_r2"))
+
+
+MAX_TERMS = 4_000  # columns of a design whose cross products fit the driver
+
+
+def long_gram(cells: DataFrame, unit: str, term: str, value: str, terms: list) -> np.ndarray:
+    """Cross products of many columns given in long form; an absent cell counts as 0.
+
+    Rows of the matrix are built where a unit's cells meet, blocks of them are
+    multiplied in their task, and the p x p sums of the tasks are added up.
+    """
+    p = len(terms)
+    if p > MAX_TERMS:
+        raise ValueError(f"{p} terms; at most {MAX_TERMS}")
+    spark = cells.sparkSession
+    numbers = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], T.StructType([T.StructField("_t", cells.schema[term].dataType), T.StructField("_i", T.IntegerType())]))
+    placed = cells.where(F.col(value).isNotNull()).join(F.broadcast(numbers), F.col(term) == F.col("_t"))
+    rows = placed.groupBy(unit).agg(F.collect_list(F.struct("_i", F.col(value).cast("double").alias("v"))).alias("cells"))
+
+    def multiply(parts):
+        total = np.zeros((p, p))
+        for pdf in parts:
+            for at in range(0, len(pdf), 1_000):
+                some = pdf["cells"].iloc[at : at + 1_000]
+                x = np.zeros((len(some), p))
+                for r, one in enumerate(some):
+                    for c in one:
+                        x[r, c["_i"]] += c["v"]
+                total += x.T @ x
+        i, j = np.nonzero(np.triu(total))
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "v": total[i, j]})
+
+    m = np.zeros((p, p))
+    for r in rows.select("cells").mapInPandas(multiply, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        m[r.i, r.j] = m[r.j, r.i] = r.v
+    return m
 
 
 def joint_lags(y: DataFrame, lags: DataFrame, obs: str, response: str, lag: str, value: str, nuisance: list[str]) -> DataFrame:
-    """Omnibus F of all lags together, the largest absolute t among them, and the rank of the design."""
-    names = [r[0] for r in lags.select(lag).distinct().orderBy(lag).limit(400).collect()]
-    wide = lags.groupBy(obs).pivot(lag, names).agg(F.first(value)).withColumnsRenamed({str(n): f"l_{n}" for n in names})
-    cols = [f"l_{n}" for n in names]
-    row = gram(y.join(wide, obs), [*nuisance, *cols, response]).first()
-    m = unpack_gram(row, len(nuisance) + len(cols) + 1)
-    k, p, n = len(nuisance), len(nuisance) + len(cols), row["n_rows"]
+    """Omnibus F of all lags together, the largest absolute t among them, and the rank of the design.
+
+    Every lag takes part (``MAX_TERMS`` columns at most, else an error). F and
+    its p are NULL if the lags add nothing to the rank or no freedom is left.
+    """
+    names = [r[0] for r in lags.select(lag).distinct().orderBy(lag).limit(MAX_TERMS + 1).collect()]
+    if len(names) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} lags")
+    known = lags.join(y.select(obs), obs).select(obs, F.concat(F.lit("l_"), F.col(lag).cast("string")).alias("term"), F.col(value).cast("double").alias("v"))
+    own = y.join(lags.select(obs).distinct(), obs, "left_semi")
+    fixed = own.select(obs, F.explode(F.array(*(F.struct(F.lit(f"n_{i}").alias("term"), F.col(c).cast("double").alias("v")) for i, c in enumerate([*nuisance, response])))).alias("c")).select(obs, "c.term", "c.v")
+    terms = [*(f"n_{i}" for i in range(len(nuisance))), *(f"l_{n}" for n in names), f"n_{len(nuisance)}"]
+    m, n = long_gram(known.unionByName(fixed), obs, "term", "v", terms), own.count()
+    k, p = len(nuisance), len(nuisance) + len(names)
 
     def sse(i):
         b = symmetric_solve(m[:i, :i], m[:i, -1])
@@ -209,51 +259,103 @@ def joint_lags(y: DataFrame, lags: DataFrame, obs: str, response: str, lag: str,
     (full, b), (small, _) = sse(p), sse(k)
     rank = int(np.linalg.matrix_rank(m[:p, :p]))
     q = rank - int(np.linalg.matrix_rank(m[:k, :k]))
-    f = (small - full) / q / (full / (n - rank))
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(m[:p, :p], hermitian=True)), 0) * full / (n - rank))
-    t = np.abs(b[k:] / np.where(se[k:] > 0, se[k:], np.inf)).max()
-    return y.sparkSession.createDataFrame([(float(f), q, n - rank, tail("f", f, q, n - rank), float(t), rank, p)], "f double, df1 int, df2 bigint, p double, max_abs_t double, rank int, columns int")
+    free = n - rank
+    f = float((small - full) / q / (full / free)) if q > 0 and free > 0 and full > 0 else None
+    t = None
+    if free > 0 and names:
+        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(m[:p, :p], hermitian=True)), 0) * max(full, 0) / free)
+        t = float(np.abs(b[k:] / np.where(se[k:] > 0, se[k:], np.inf)).max())
+    out = (f, q, free, None if f is None else tail("f", f, q, free), t, rank, p)
+    return y.sparkSession.createDataFrame([out], "f double, df1 int, df2 bigint, p double, max_abs_t double, rank int, columns int")
 
 
-def gee(df: DataFrame, y: str, x: list[str], cluster: str, rounds: int = 50) -> DataFrame:
-    """Gaussian GEE with exchangeable correlation and robust errors.
+MAX_SIZES = 100_000
+
+
+def gee_fit(df: DataFrame, y: str, x: list[str], cluster: str, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(beta, robust covariance, correlation, clusters) of a Gaussian GEE with exchangeable correlation.
 
-    Per-cluster cross products are aggregated once; the inverse of an
-    exchangeable matrix has a closed form, so a round only needs their sums.
+    The inverse of an exchangeable matrix has a closed form in the cluster's
+    size, so sums over clusters of one size are all that a round needs: the
+    driver gets one row for each distinct size (at most ``MAX_SIZES``), never
+    clusters. The robust covariance is one more aggregation over the clusters.
+    Raises if the rounds do not settle.
     """
     p = len(x)
-    own = df.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("m"), F.sum(y).alias("y1"), F.sum(F.col(y) * F.col(y)).alias("yy"), *(F.sum(c).alias(f"x{i}") for i, c in enumerate(x)),
-        *(F.sum(F.col(c) * F.col(y)).alias(f"xy{i}") for i, c in enumerate(x)), *(F.sum(F.col(a) * F.col(b)).alias(f"xx{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if i <= j),
-    ).toPandas()
-    m, y1 = own["m"].to_numpy(float), own["y1"].to_numpy(float)
-    X1 = own[[f"x{i}" for i in range(p)]].to_numpy(float)
-    XY = own[[f"xy{i}" for i in range(p)]].to_numpy(float)
-    XX = np.empty((len(own), p, p))
-    for i in range(p):
-        for j in range(i, p):
-            XX[:, i, j] = XX[:, j, i] = own[f"xx{i}_{j}"]
-    n, rho, beta = m.sum(), 0.0, symmetric_solve(XX.sum(0), XY.sum(0))
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in [y, *x]))
+    X = [F.col(c).cast("double") for c in x]
+    Y = F.col(y).cast("double")
+    own = cut(rows.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("m"), F.sum(Y).alias("y1"), F.sum(Y * Y).alias("yy"), *(F.sum(c).alias(f"x{i}") for i, c in enumerate(X)),
+        *(F.sum(c * Y).alias(f"xy{i}") for i, c in enumerate(X)), *(F.sum(X[i] * X[j]).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)),
+    ), "clusters")
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    of_size = own.groupBy("m").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("yy").alias("yy"), F.sum(F.col("y1") * F.col("y1")).alias("y1y1"), *(F.sum(f"xy{i}").alias(f"xy{i}") for i in range(p)),
+        *(F.sum(F.col(f"x{i}") * F.col("y1")).alias(f"x1y1{i}") for i in range(p)), *(F.sum(f"xx{i}_{j}").alias(f"xx{i}_{j}") for i, j in upper),
+        *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"x1x1{i}_{j}") for i, j in upper),
+    ).limit(MAX_SIZES + 1).toPandas().sort_values("m")
+    if len(of_size) > MAX_SIZES:
+        raise ValueError(f"more than {MAX_SIZES} distinct cluster sizes")
+
+    def matrices(prefix):
+        out = np.empty((len(of_size), p, p))
+        for i, j in upper:
+            out[:, i, j] = out[:, j, i] = of_size[f"{prefix}{i}_{j}"]
+        return out
+
+    vector = lambda prefix: of_size[[f"{prefix}{i}" for i in range(p)]].to_numpy(float)
+    m, k = of_size["m"].to_numpy(float), of_size["k"].to_numpy(float)
+    XX, S, XY, SY = matrices("xx"), matrices("x1x1"), vector("xy"), vector("x1y1")
+    yy, y1y1 = of_size["yy"].sum(), of_size["y1y1"].sum()
+    n, rho, beta = (m * k).sum(), 0.0, symmetric_solve(XX.sum(0), XY.sum(0))
+    pairs = (k * m * (m - 1) / 2).sum() - p
     for _ in range(rounds):
         c = rho / (1 - rho + rho * m)
-        A = (XX - c[:, None, None] * X1[:, :, None] * X1[:, None, :]).sum(0)
-        new = symmetric_solve(A, (XY - (c * y1)[:, None] * X1).sum(0))
-        e1 = y1 - X1 @ new
-        ee = own["yy"].to_numpy(float) - 2 * XY @ new + np.einsum("i,kij,j->k", new, XX, new)
-        phi = ee.sum() / max(n - p, 1)
-        pairs = (m * (m - 1) / 2).sum() - p
-        before, rho = rho, float(np.clip(((e1**2 - ee) / 2).sum() / max(pairs, 1) / phi, -0.9 / max(m.max() - 1, 1), 0.99))
-        done, beta = np.abs(new - beta).max() < 1e-10 and abs(rho - before) < 1e-10, new
+        A = (XX - c[:, None, None] * S).sum(0)
+        new = symmetric_solve(A, (XY - c[:, None] * SY).sum(0))
+        ee = yy - 2 * XY.sum(0) @ new + new @ XX.sum(0) @ new
+        e1 = y1y1 - 2 * SY.sum(0) @ new + new @ S.sum(0) @ new
+        phi = ee / max(n - p, 1)
+        before, rho = rho, float(np.clip((e1 - ee) / 2 / max(pairs, 1) / phi, -0.9 / max(m.max() - 1, 1), 0.99)) if phi > 0 else 0.0
+        done, beta = np.abs(new - beta).max() < 1e-8 * max(1, np.abs(new).max()) and abs(rho - before) < 1e-8, new
         if done:
             break
+    else:
+        raise RuntimeError(f"the correlation did not settle in {rounds} rounds")
     c = rho / (1 - rho + rho * m)
-    A = (XX - c[:, None, None] * X1[:, :, None] * X1[:, None, :]).sum(0)
-    e1 = y1 - X1 @ beta
-    U = XY - np.einsum("kij,j->ki", XX, beta) - (c * e1)[:, None] * X1
-    bread = np.linalg.pinv(A, hermitian=True)
-    se = np.sqrt(np.maximum(np.diag(bread @ (U.T @ U) @ bread), 0))
-    rows = [(t, float(b), float(s), float(b / s) if s > 0 else None, tail("normal", b / s) if s > 0 else None, rho) for t, b, s in zip(x, beta, se)]
-    return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, z double, p double, rho double")
+    bread = np.linalg.pinv((XX - c[:, None, None] * S).sum(0), hermitian=True)
+    fit = lambda name: sum((F.col(name(j)) * float(b) for j, b in enumerate(beta)), F.lit(0.0))
+    weight = F.lit(rho) / (F.lit(1 - rho) + F.lit(rho) * F.col("m"))
+    cross = lambda i: lambda j: f"xx{min(i, j)}_{max(i, j)}"
+    score = [F.col(f"xy{i}") - fit(cross(i)) - weight * (F.col("y1") - fit(lambda j: f"x{j}")) * F.col(f"x{i}") for i in range(p)]
+    meat = gram(own.select(*(s.alias(f"u{i}") for i, s in enumerate(score))), [f"u{i}" for i in range(p)]).first()
+    return beta, bread @ unpack_gram(meat, p) @ bread, rho, int(k.sum())
+
+
+def gee(df: DataFrame, y: str, x: list[str], cluster: str, rounds: int = 50) -> DataFrame:
+    """Gaussian GEE with exchangeable correlation: each term with its robust error, z, p and 95 % interval."""
+    beta, cov, rho, _ = gee_fit(df, y, x, cluster, rounds)
+    rows = []
+    for t, b, s in zip(x, beta.tolist(), np.sqrt(np.maximum(np.diag(cov), 0)).tolist()):
+        rows.append((t, b, s, b / s if s > 0 else None, tail("normal", b / s) if s > 0 else None, b - 1.959963984540054 * s, b + 1.959963984540054 * s, rho))
+    return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, z double, p double, low double, high double, rho double")
+
+
+def gee_tests(df: DataFrame, y: str, x: list[str], cluster: str, contrasts: dict[str, dict[str, float]], wald: dict[str, list[str]], rounds: int = 50) -> DataFrame:
+    """Contrasts of terms (estimate, robust error, interval, p), and joint Wald tests of sets of terms such as interactions."""
+    beta, cov, rho, n = gee_fit(df, y, x, cluster, rounds)
+    rows = []
+    for name, weights in contrasts.items():
+        w = np.array([weights.get(t, 0.0) for t in x])
+        b, s = float(w @ beta), float(math.sqrt(max(w @ cov @ w, 0)))
+        rows.append((name, "contrast", b, s, b - 1.959963984540054 * s, b + 1.959963984540054 * s, b / s if s > 0 else None, 1, tail("normal", b / s) if s > 0 else None, rho, n))
+    for name, terms in wald.items():
+        at = [x.index(t) for t in terms]
+        own = cov[np.ix_(at, at)]
+        chi, rank = float(beta[at] @ np.linalg.pinv(own, hermitian=True) @ beta[at]), int(np.linalg.matrix_rank(own))
+        rows.append((name, "wald", None, None, None, None, chi, rank, tail("chi2", chi, rank) if rank else None, rho, n))
+    return df.sparkSession.createDataFrame(rows, "test string, kind string, estimate double, se double, low double, high double, statistic double, dof int, p double, rho double, n_clusters int")
 
 
 def block_cv(df: DataFrame, fold: str, x: list[str], y: str, group: list[str] = ()) -> DataFrame:
@@ -282,7 +384,7 @@ def block_cv(df: DataFrame, fold: str, x: list[str], y: str, group: list[str] =
     fits = train.mapInPandas(lambda it: (solve(pdf) for pdf in it), f"{kinds}, beta array<double>, train_mean double")
     pred = sum((F.element_at("beta", i + 1) * F.col(c) for i, c in enumerate(x)), F.lit(0.0))
     scored = df.join(fits, [*group, fold]).withColumn("e2", F.pow(F.col(y) - pred, 2)).withColumn("b2", F.pow(F.col(y) - F.col("train_mean"), 2))
-    return scored.groupBy(*group).agg((1 - F.sum("e2") / F.sum("b2")).alias("skill"), F.sqrt(F.avg("e2")).alias("rmse"), F.count(F.lit(1)).alias("n"), F.count_distinct(fold).alias("n_folds"))
+    return scored.groupBy(*group).agg((1 - ratio(F.sum("e2"), F.sum("b2"))).alias("skill"), F.sqrt(F.avg("e2")).alias("rmse"), F.count(F.lit(1)).alias("n"), F.count_distinct(fold).alias("n_folds"))
 
 
 def route_null(values: DataFrame, maps: DataFrame, site: str, statistic) -> DataFrame:

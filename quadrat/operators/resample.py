@@ -8,6 +8,7 @@ any SQL engine, and every partition can make its own.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +98,16 @@ def max_statistic(null: DataFrame, value: str, draw: str = "draw", by: list[str]
 
 def jackknife(df: DataFrame, unit: str, value: str, by: list[str] = ()) -> DataFrame:
     """Mean over units, delete-one standard error, and bounds of the 95 % t interval."""
-    from quadrat.functions.numeric import t_quantile
+    from quadrat.functions.numeric import ratio, t_quantile
+
+    @F.pandas_udf("double")
+    def quantile(k: pd.Series) -> pd.Series:
+        known = {n: t_quantile(0.975, n - 1) for n in set(k.dropna())}
+        return k.map(known).astype("float64")
 
     u = df.groupBy(*by, unit).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
     w = Window.partitionBy(*by)
-    loo = u.withColumn("_l", (F.sum("s").over(w) - F.col("s")) / (F.sum("k").over(w) - F.col("k")))
+    loo = u.withColumn("_l", ratio(F.sum("s").over(w) - F.col("s"), F.sum("k").over(w) - F.col("k")))
     n = F.count(F.lit(1))
-    out = loo.groupBy(*by).agg((F.sum("s") / F.sum("k")).alias("estimate"), F.sqrt((n - 1) * F.var_pop("_l")).alias("se"), n.alias("n_units"))
-    quant = F.udf(lambda k: float(t_quantile(0.975, k - 1)) if k and k > 1 else None, "double")("n_units")
-    return out.withColumn("_t", quant).withColumns({"low": F.col("estimate") - F.col("_t") * F.col("se"), "high": F.col("estimate") + F.col("_t") * F.col("se")}).drop("_t")
+    out = loo.groupBy(*by).agg(ratio(F.sum("s"), F.sum("k")).alias("estimate"), F.sqrt((n - 1) * F.var_pop("_l")).alias("se"), n.alias("n_units"))
+    return out.withColumn("_t", quantile(F.when(F.col("n_units") > 1, F.col("n_units").cast("double")))).withColumns({"low": F.col("estimate") - F.col("_t") * F.col("se"), "high": F.col("estimate") + F.col("_t") * F.col("se")}).drop("_t")

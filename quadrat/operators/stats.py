@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.functions.numeric import lgamma, pdist
+from quadrat.functions.numeric import f_ratio, lgamma, pdist, ratio
 from quadrat.operators import resample as RS
 from quadrat.operators.windows import avg_rank
 
@@ -29,7 +29,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, by: list[str] = ())
     """Spearman of x and y with z held: closed form from the three rank correlations."""
     r = df.withColumns({"_x": avg_rank(list(by), x), "_y": avg_rank(list(by), y), "_z": avg_rank(list(by), z)})
     c = r.groupBy(*by).agg(safe_corr("_x", "_y").alias("xy"), safe_corr("_x", "_z").alias("xz"), safe_corr("_y", "_z").alias("yz"), F.count(F.lit(1)).alias("n"))
-    rho = (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))
+    rho = ratio(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))))
     return c.select(*by, rho.alias("rho"), "n")
 
 
@@ -54,19 +54,23 @@ def wilcoxon(df: DataFrame, diff: str, by: list[str] = ()) -> DataFrame:
     return g.withColumn("z", F.when(var > 0, z)).drop("_t")
 
 
-def wilcoxon_exact_p(n: Column, w: Column, limit: int = 25) -> Column:
-    """Exact two-sided p of the signed-rank statistic for n up to ``limit`` without ties, as a pandas UDF on result rows."""
+def wilcoxon_exact_p(n: Column, w: Column) -> Column:
+    """Exact two-sided p of the smaller signed-rank sum without ties, for any n, as a pandas UDF on result rows.
+
+    Counts are shares of all sign patterns, up to the observed sum: n times w steps for a row. NULL for n under 1.
+    """
 
     @F.pandas_udf("double")
     def run(n, w):
         def one(k, stat):
-            if k != k or k > limit or k < 1:
+            if k != k or k < 1 or stat != stat:
                 return None
-            ways = np.zeros(int(k * (k + 1) // 2) + 1)
-            ways[0] = 1
+            share = np.zeros(int(stat) + 1)
+            share[0] = 1.0
             for i in range(1, int(k) + 1):
-                ways[i:] = ways[i:] + ways[:-i]
-            return float(min(1.0, 2 * ways[: int(stat) + 1].sum() / ways.sum()))
+                share[i:] += share[: max(len(share) - i, 0)].copy()
+                share /= 2
+            return float(min(1.0, 2 * share.sum()))
 
         import pandas as pd
 
@@ -83,7 +87,7 @@ def friedman(df: DataFrame, block: list[str], treatment: str, value: str) -> Dat
     ties = r.agg(F.sum("_t").alias("ties"), F.count_distinct(F.struct(*block)).alias("n"), F.count_distinct(treatment).alias("k"))
     sums = r.groupBy(treatment).agg(F.sum("_r").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
     n, k = F.col("n"), F.col("k")
-    chi = (12.0 * F.col("ss") / (n * k * (k + 1)) - 3 * n * (k + 1)) / (1 - F.col("ties") / (n * k * (k * k - 1)))
+    chi = ratio(ratio(12.0 * F.col("ss"), n * k * (k + 1)) - 3 * n * (k + 1), 1 - ratio("ties", n * k * (k * k - 1)))
     return ties.join(F.broadcast(sums)).select(n.alias("n_blocks"), k.alias("k"), chi.alias("chi2"))
 
 
@@ -108,7 +112,7 @@ def cliffs_delta(df: DataFrame, group: str, first, second, value: str, by: list[
     r = df.where(F.col(group).isin(first, second)).withColumn("_r", avg_rank(list(by), value))
     g = r.groupBy(*by).agg(F.sum(F.when(F.col(group) == first, F.col("_r"))).alias("s"), F.count_if(F.col(group) == first).alias("n1"), F.count_if(F.col(group) == second).alias("n2"))
     u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2
-    return g.select(*by, (2 * u / (F.col("n1") * F.col("n2")) - 1).alias("delta"), "n1", "n2")
+    return g.select(*by, (ratio(2 * u, F.col("n1") * F.col("n2")) - 1).alias("delta"), "n1", "n2")
 
 
 def paired_differences(df: DataFrame, block: list[str], position: str, contrasts: list[tuple], value: str) -> DataFrame:
@@ -156,8 +160,10 @@ def _group_ss(df: DataFrame, by: list[str], group: str, part: str, value: str) -
 
 
 def _f(ss: DataFrame, by: list[str]) -> DataFrame:
-    f = (F.col("between") / (F.col("g") - 1)) / (F.col("within") / (F.col("n") - F.col("g")))
-    return ss.select(*by, f.alias("f"), (F.col("between") / (F.col("between") + F.col("within"))).alias("r2"))
+    """F (infinite without variation within groups, NULL without any) and explained share (NULL without variation)."""
+    total = F.col("between") + F.col("within")
+    f = f_ratio(ratio("between", F.col("g") - 1), ratio("within", F.col("n") - F.col("g")), total)
+    return ss.select(*by, f.alias("f"), ratio("between", total).alias("r2"))
 
 
 def permanova(df: DataFrame, unit: str, group: str, part: str, value: str, reps: int, strata: list[str] = (), seed: int = 1) -> DataFrame:
@@ -193,7 +199,8 @@ def correlogram(pairs: DataFrame, distance: str, value: str, k: int) -> DataFram
     c = distance_class(pairs, distance, k)
     n, sy, sq = F.sum("n").over(Window.partitionBy()), F.sum("s").over(Window.partitionBy()), F.sum("q").over(Window.partitionBy())
     g = c.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
-    r = (F.col("s") - F.col("n") * sy / n) / F.sqrt(F.col("n") * (1 - F.col("n") / n) * (sq - sy * sy / n))
+    spread = F.greatest(F.col("n") * (1 - F.col("n") / n) * (sq - sy * sy / n), F.lit(0.0))
+    r = ratio(F.col("s") - F.col("n") * sy / n, F.sqrt(F.when(spread > 1e-12 * sq, spread)))
     return g.select("class", "n", (-r).alias("r"))
 
 
@@ -209,13 +216,13 @@ def distance_decay(pairs: DataFrame, x: str, y: str, reps: int, seed: int = 1) -
     own = pairs.select(F.explode(F.array("a", "b")).alias("u"), x, y).groupBy("u").agg(*sums("o"))
     loo = own.join(F.broadcast(pairs.agg(*sums("t"))))
     m = {k: F.col(f"t{k}") - F.col(f"o{k}") for k in ("n", "x", "y", "xy", "xx")}
-    loo = loo.withColumn("s", (m["xy"] - m["x"] * m["y"] / m["n"]) / (m["xx"] - m["x"] * m["x"] / m["n"]))
+    loo = loo.withColumn("s", ratio(m["xy"] - ratio(m["x"] * m["y"], m["n"]), m["xx"] - ratio(m["x"] * m["x"], m["n"])))
     k = F.count(F.lit(1))
     return p.join(F.broadcast(loo.agg(F.sqrt((k - 1) * F.var_pop("s")).alias("jackknife_se"))))
 
 
 def moran(df: DataFrame, edges: DataFrame, unit: str, value: str, reps: int, by: list[str] = (), seed: int = 1) -> DataFrame:
-    """Moran's I over an undirected edge table, with a permutation p within ``by``."""
+    """Moran's I over an undirected edge table, with a permutation p within ``by``; I of a constant is NULL, its p 1."""
     w = Window.partitionBy(*by)
     z = df.select(*by, unit, (F.col(value) - F.avg(value).over(w)).alias("z"))
     norm = z.groupBy(*by).agg(F.sum(F.col("z") * F.col("z")).alias("_s"), F.count(F.lit(1)).alias("_n"))
@@ -225,7 +232,7 @@ def moran(df: DataFrame, edges: DataFrame, unit: str, value: str, reps: int, by:
         b = rows.select(*keys, F.col(unit).alias("b"), F.col("z").alias("zb"))
         cross = edges.join(a, "a").join(b, [*keys, "b"]).groupBy(*keys).agg(F.sum(F.col("za") * F.col("zb")).alias("_c"), F.count(F.lit(1)).alias("_e"))
         j = cross.join(norm, list(by)) if by else cross.join(F.broadcast(norm))
-        return j.select(*keys, (F.col("_n") * F.col("_c") / (F.col("_e") * F.col("_s"))).alias("i"))
+        return j.select(*keys, ratio(F.col("_n") * F.col("_c"), F.col("_e") * F.col("_s")).alias("i"))
 
     obs = index(z, list(by))
     perm = RS.permutations(z, reps, unit, by, seed)
@@ -267,7 +274,7 @@ def method_agreement(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
     log = F.when(pa & pb, F.log10(F.when(pa & pb, F.col(a) / F.col(b))))
     both = F.count_if(pa & pb)
     g = df.groupBy(by).agg(both.alias("both"), F.count_if(pa & ~pb).alias("only_a"), F.count_if(~pa & pb).alias("only_b"), F.count_if(~pa & ~pb).alias("neither"), F.avg(log).alias("bias"), F.stddev(log).alias("sd"), F.median(F.when(pa & pb, F.col(a) / F.col(b))).alias("median_ratio"))
-    return g.withColumns({"positive_agreement": 2.0 * F.col("both") / (2 * F.col("both") + F.col("only_a") + F.col("only_b")), "low": F.col("bias") - 1.96 * F.col("sd"), "high": F.col("bias") + 1.96 * F.col("sd")}).drop("sd")
+    return g.withColumns({"positive_agreement": ratio(2 * F.col("both"), 2 * F.col("both") + F.col("only_a") + F.col("only_b")), "low": F.col("bias") - 1.96 * F.col("sd"), "high": F.col("bias") + 1.96 * F.col("sd")}).drop("sd")
 
 
 def product_agreement(df: DataFrame, product: str, unit: list[str], value: str, by: list[str] = ()) -> DataFrame:
@@ -302,7 +309,7 @@ def redundancy_null(abund: DataFrame, ann: DataFrame, group: DataFrame, reps: in
         low = x.join(y, [*k, "ko"]).where("a < b").groupBy(*k, "a", "b").agg(F.sum(F.least("va", "vb")).alias("low"))
         tot = rows.groupBy(*k, "u").agg(F.sum("v").alias("t"))
         d = low.join(tot.select(*k, F.col("u").alias("a"), F.col("t").alias("ta")), [*k, "a"]).join(tot.select(*k, F.col("u").alias("b"), F.col("t").alias("tb")), [*k, "b"])
-        return d.withColumn("d", 1 - 2 * F.col("low") / (F.col("ta") + F.col("tb"))).groupBy(*k).agg(F.median("d").alias("m"))
+        return d.withColumn("d", 1 - ratio(2 * F.col("low"), F.col("ta") + F.col("tb"))).groupBy(*k).agg(F.median("d").alias("m"))
 
     obs = medians(community_profile(abund, ann), [])
     perm = RS.permutations(ann, reps, "genome", seed=seed)
@@ -320,12 +327,12 @@ def community_weighted(abund: DataFrame, traits: DataFrame, sample: list[str], g
     j = abund.join(traits.select(genome, trait), genome, "left")
     known = F.col(trait).isNotNull()
     top = F.sum(F.when(known, F.col(weight) * F.col(trait)).otherwise(0.0))
-    return j.groupBy(*sample).agg((top / F.sum(weight)).alias("whole"), (top / F.sum(F.when(known, F.col(weight)))).alias("mapped"), (F.sum(F.when(known, F.col(weight)).otherwise(0)) / F.sum(weight)).alias("coverage"))
+    return j.groupBy(*sample).agg(ratio(top, F.sum(weight)).alias("whole"), ratio(top, F.sum(F.when(known, F.col(weight)))).alias("mapped"), ratio(F.sum(F.when(known, F.col(weight)).otherwise(0)), F.sum(weight)).alias("coverage"))
 
 
 def niche(counts: DataFrame, gradient: DataFrame, profile: str, feature: str, n: str, x: str) -> DataFrame:
     """Abundance-weighted mean of a gradient for each feature."""
-    return counts.join(gradient, profile).groupBy(feature).agg((F.sum(F.col(n) * F.col(x)) / F.sum(n)).alias("niche"), F.count(F.lit(1)).alias("n_profiles"))
+    return counts.join(gradient, profile).groupBy(feature).agg(ratio(F.sum(F.col(n) * F.col(x)), F.sum(n)).alias("niche"), F.count(F.lit(1)).alias("n_profiles"))
 
 
 def mde(fits: DataFrame, se: str, power_z: float = 0.8416212335729143, alpha_z: float = 1.959963984540054) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
+    """The shared folder of the cluster; a temporary one only where none is set and all runs in one process."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if root:
@@ -22,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="spark-quadrat-")
     context.setCheckpointDir("file://" + root)
     return "file://" + root

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,50 +11,60 @@ class HeaderError(ValueError):
     pass
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the file they stand in and an order inside it: start of the split, and place there."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+    )
+
+
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """``(_file, _head_id, _head)``: the first line of each file."""
+    own = lines.groupBy("_file").agg(F.min(F.struct("_block", "_id", "value")).alias("m"))
+    return own.select("_file", F.col("m._id").alias("_head_id"), F.col("m.value").alias("_head"))
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\t", fold_last: bool = True, positional: int | None = None) -> DataFrame:
-    """Typed table with a header line in each file.
+    """Typed table with a header line in each file, which alone says where that file's columns are.
 
-    The header must have the required columns (``positional``: its first k
+    Every header must have the required columns (``positional``: its first k
     names must be those of the schema, in order). Extra trailing cells fold
-    into the last column; short rows are padded with NULL; a cell that does
-    not fit its type is NULL.
+    into the file's last column; short rows are padded with NULL; a cell that
+    does not fit its type is NULL. A data row that repeats the header is data.
     """
-    text = spark.read.text(path)
-    header = text.limit(1).first()
-    if header is None:
-        return spark.createDataFrame([], schema)
-    names = header[0].rstrip("\r").split(sep)
-    wanted = schema.fieldNames()
-    if positional is not None:
-        if names[:positional] != wanted[:positional]:
-            raise HeaderError(f"header starts with {names[:positional]}")
-        names, wanted = wanted[:positional], wanted[:positional]
-    elif missing := [c for c in wanted if c not in names]:
-        raise HeaderError(f"missing columns: {missing}")
+    lines = _numbered(spark, path)
+    heads = _first_lines(lines).withColumn("_names", F.split(F.regexp_replace("_head", "\r$", ""), sep.replace("|", r"\|"), -1))
+    wanted = schema.fieldNames()[:positional]
+    names = F.slice("_names", 1, positional) if positional is not None else F.col("_names")
+    required = F.array(*map(F.lit, wanted))
+    wrong = names != required if positional is not None else F.size(F.array_except(required, names)) > 0
+    if bad := heads.where(wrong).select("_file", "_names").first():
+        raise HeaderError(f"{bad[0]} has the header {bad[1]}; required: {wanted}")
     cells = F.split(F.regexp_replace("value", "\r$", ""), sep.replace("|", r"\|"), -1)
-    rows = text.where(F.col("value") != header[0]).where(F.col("value") != "").select(cells.alias("c"))
-    n = len(names)
+    rows = lines.where(F.col("value") != "").join(heads.select("_file", "_head_id", names.alias("_names")), "_file").where(F.col("_id") != F.col("_head_id")).select(cells.alias("c"), "_names")
+    n = F.size("_names")
 
-    def cell(i: int):
-        one = F.try_element_at("c", F.lit(i + 1))
-        return F.when(F.size("c") > n, F.concat_ws(sep, F.slice("c", n, F.size("c") - n + 1))).otherwise(one) if fold_last and i == n - 1 else one
+    def cell(name: str) -> Column:
+        at = F.array_position("_names", name).cast("int")
+        one = F.try_element_at("c", at)
+        return F.when((at == n) & (F.size("c") > n), F.concat_ws(sep, F.slice("c", n, F.size("c") - n + 1))).otherwise(one) if fold_last else one
 
-    return rows.select(*(F.nullif(cell(names.index(c)), F.lit("")).try_cast(schema[c].dataType).alias(c) for c in wanted))
+    return rows.select(*(F.nullif(cell(c), F.lit("")).try_cast(schema[c].dataType).alias(c) for c in wanted))
 
 
 def read_wide_counts(spark: SparkSession, path: str, comment: str = "# Constructed", taxon: str = "Taxon") -> DataFrame:
-    """``(profile, feature, n)`` of a features x profiles matrix; comment line, taxon column and zero cells left out."""
-    text = spark.read.text(path).where(~F.col("value").startswith(comment))
-    header = text.limit(1).first()
-    if header is None:
-        return spark.createDataFrame([], "profile string, feature string, n bigint")
-    names = header[0].split("\t")
-    if len(names) < 2:
-        raise HeaderError("no profile columns")
-    profiles = F.array(*(F.lit(n) for n in names[1:]))
-    cells = F.split("value", "\t")
-    rows = text.where(F.col("value") != header[0]).select(F.element_at(cells, 1).alias("feature"), F.slice(cells, 2, len(names) - 1).alias("v"))
-    long = rows.select("feature", F.explode(F.arrays_zip(profiles.alias("profile"), F.col("v"))).alias("x")).select(F.col("x.profile").alias("profile"), "feature", F.col("x.v").try_cast("double").alias("d"))
+    """``(profile, feature, n)`` of a features x profiles matrix; comment line, taxon column and zero cells left out.
+
+    Each file has a header of its own, its first line that is no comment.
+    """
+    lines = _numbered(spark, path).where(~F.col("value").startswith(comment))
+    heads = _first_lines(lines).withColumn("_names", F.split(F.regexp_replace("_head", "\r$", ""), "\t"))
+    if bad := heads.where(F.size("_names") < 2).select("_file").first():
+        raise HeaderError(f"{bad[0]} has no profile columns")
+    cells = F.split(F.regexp_replace("value", "\r$", ""), "\t")
+    rows = lines.join(heads, "_file").where(F.col("_id") != F.col("_head_id"))
+    pairs = F.arrays_zip(F.slice("_names", 2, F.size("_names")).alias("profile"), F.slice(cells, 2, F.size("_names") - 1).alias("v"))
+    long = rows.select(F.element_at(cells, 1).alias("feature"), F.explode(pairs).alias("x")).select(F.col("x.profile").alias("profile"), "feature", F.col("x.v").try_cast("double").alias("d"))
     return long.where((F.col("profile") != taxon) & (F.col("d") > 0)).select("profile", "feature", F.col("d").cast("bigint").alias("n"))
 
 
@@ -99,10 +109,18 @@ def parse_instrument_blocks(docs: DataFrame, ident: str, text: str, start: str =
 
 
 def read_fastq(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """``(file, record, seq)``: the second line of each record of four, optionally the first ``limit`` of each file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("i", "line")).where("i % 4 = 1")
-    out = lines.select("file", (F.floor(F.col("i") / 4) + 1).alias("record"), F.col("line").alias("seq"))
+    """``(file, record, seq)``: the second line of each record of four, optionally the first ``limit`` of each file.
+
+    Files are read by lines in splits. A line's number is its place in the
+    split plus the lines of the file's splits before it, so no file has to fit a task.
+    """
+    lines = _numbered(spark, path)
+    counts = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("k"))
+    earlier = F.sum("k").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("_file", "_block", F.coalesce(earlier, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_id")) - 1
+    numbered = lines.withColumn("k", place).join(before, ["_file", "_block"]).withColumn("i", F.col("before") + F.col("k"))
+    out = numbered.where("i % 4 = 1").select(F.col("_name").alias("file"), (F.floor(F.col("i") / 4) + 1).alias("record"), F.regexp_replace("value", "\r$", "").alias("seq"))
     return out.where(F.col("record") <= limit) if limit is not None else out
 
 

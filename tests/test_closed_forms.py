@@ -1,6 +1,7 @@
 """Operators against values known in closed form."""
 
 import math
+import random
 
 import pytest
 from conftest import rows
@@ -180,3 +181,46 @@ def test_longest_name_and_allocation(spark):
 def test_multiset_difference_counts_multiplicity(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert rows(W.multiset_diff(a, a.distinct())) == [(1, 2, 1)] and W.multiset_diff(a, a).isEmpty()
+
+
+def test_degenerate_groups_are_no_errors(spark):
+    apart = spark.createDataFrame([(i, "a" if i < 4 else "b", "p", 0.0 if i < 4 else 1.0) for i in range(8)], "u int, g string, p string, v double")
+    r = S.permanova(apart, "u", "g", "p", "v", 19).first()
+    assert r.f == float("inf") and r.r2 == pytest.approx(1)
+    flat = apart.withColumn("v", F.lit(2.0))
+    assert S.permanova(flat, "u", "g", "p", "v", 5).first()["f"] is None
+    edges = spark.createDataFrame([(i, i + 1) for i in range(7)], "a int, b int")
+    assert S.moran(flat, edges, "u", "v", 5).first()["i"] is None
+    pairs = spark.createDataFrame([(i, j, float(j - i), 1.0) for i in range(5) for j in range(i + 1, 5)], "a int, b int, d double, v double")
+    assert {x.r for x in S.correlogram(pairs, "d", "v", 2).collect()} == {None}
+    assert S.distance_decay(pairs.withColumn("d", F.lit(1.0)), "d", "v", 3).count() == 1
+    assert S.cliffs_delta(apart, "g", "a", "zz", "v").first()["delta"] is None
+
+
+def test_exact_signed_rank_of_many(spark):
+    from itertools import product
+
+    rows = [(n, w) for n in (1, 3, 7) for w in range(n * (n + 1) // 4 + 1)] + [(60, 700), (400, 30_000)]
+    got = spark.createDataFrame(rows, "n int, w int").select("n", "w", S.wilcoxon_exact_p(F.col("n"), F.col("w")).alias("p")).collect()
+    for r in got:
+        if r.n <= 7:
+            sums = [sum(i + 1 for i, s in enumerate(signs) if s) for signs in product((0, 1), repeat=r.n)]
+            assert r.p == pytest.approx(min(1, 2 * sum(s <= r.w for s in sums) / len(sums)))
+        else:
+            z = (r.w - r.n * (r.n + 1) / 4) / (r.n * (r.n + 1) * (2 * r.n + 1) / 24) ** 0.5
+            assert r.p == pytest.approx(math.erfc(abs(z) / 2**0.5), rel=0.15)
+
+
+def test_neighbours_at_the_poles_and_the_date_line(spark):
+    from quadrat.operators import joins as J
+
+    rng = random.Random(3)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(150)] + [(85.0, 0.0), (85.0, 4.5), (10.0, 179.99), (10.0, -179.99), (90.0, 12.0), (89.9, -170.0), (-89.8, 5.0), (-89.8, 185.0), (0.0, 0.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id int, lat double, lon double")
+    for metres in (50_000, 400_000, 3_000_000):
+        got = {r.id: (r.other, r.metres) for r in J.proximity_join(df.where("id % 2 = 0"), df.where("id % 2 = 1").withColumnRenamed("id", "other"), "id", "other", metres).collect()}
+        far = lambda a, b: 2 * 6371008.8 * math.asin(min(1, math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2)))
+        for i, p in enumerate(spots):
+            if i % 2 == 0:
+                d, j = min((far(p, q), j) for j, q in enumerate(spots) if j % 2)
+                assert (i in got) == (d <= metres) and (d > metres or got[i][1] == pytest.approx(d, rel=1e-6, abs=1e-3))

@@ -82,3 +82,53 @@ def test_permutation_of_a_clear_trend(spark):
     d = spark.createDataFrame([(i, p, float(i * k)) for i in range(12) for p, k in (("a", 1), ("b", -2))], "u int, p string, v double")
     r = M.multivariate_trend(d, "u", "p", "v", F.col("u").cast("double"), 1, 30).first()
     assert r.p == pytest.approx(1 / 31) and r.r2 == pytest.approx(1)
+
+
+def test_no_variation_and_perfect_fits_are_no_errors(spark):
+    flat = spark.createDataFrame([(i, p, 1.0) for i in range(8) for p in "ab"], "u int, p string, v double")
+    r = M.multivariate_trend(flat, "u", "p", "v", F.col("u").cast("double"), 1, 9).first()
+    assert r is None or (r.r2 is None and r.f is None)
+    d = spark.createDataFrame([(i, i % 2, "a", 1.0, float(i), float(i)) for i in range(8)], "u int, site int, p string, one double, x double, v double")
+    assert M.nested_test(d, "u", "p", "v", ["one"], "x", "site", 9).count() == 1
+    assert M.nested_test(flat.selectExpr("u", "0 AS site", "p", "1D AS one", "1D AS x", "v"), "u", "p", "v", ["one"], "x", "site", 9).first()["partial_r2"] is None
+    e = d.select("u", F.lit("k").alias("key"), F.col("x").alias("e"))
+    exact = M.scan(d, e, "u", "v", "key", "e", ["one"]).first()
+    assert exact.beta == pytest.approx(1) and exact.partial_r2 == pytest.approx(1)
+    assert M.scan(d.withColumn("v", F.lit(3.0)), e, "u", "v", "key", "e", ["one"]).count() == 1
+    assert M.block_cv(d.withColumn("v", F.lit(3.0)), "site", ["one"], "v").first()["skill"] is None
+    tiny = M.joint_lags(d, d.select("u", F.lit(1).alias("lag"), F.col("x").alias("e")), "u", "v", "lag", "e", ["one"]).first()
+    assert tiny["rank"] == 2 and tiny.df1 == 1
+
+
+def test_more_lags_than_four_hundred_all_take_part(spark):
+    rng = np.random.default_rng(4)
+    n, h = 500, 450
+    x, y = rng.normal(size=(n, h)), rng.normal(size=n)
+    y += x[:, 449]
+    obs = spark.createDataFrame([(i, float(v), 1.0) for i, v in enumerate(y)], "i int, y double, one double")
+    lags = spark.createDataFrame(__import__("pandas").DataFrame({"i": np.repeat(np.arange(n), h).astype("int32"), "lag": np.tile(np.arange(h), n).astype("int32"), "v": x.ravel()}))
+    got = M.joint_lags(obs, lags, "i", "y", "lag", "v", ["one"]).first()
+    X = np.column_stack([np.ones(n), x])
+    full, small = y - X @ np.linalg.lstsq(X, y, rcond=None)[0], y - y.mean()
+    assert (got["columns"], got["rank"], got.df1) == (451, 451, 450)
+    assert got.f == pytest.approx(((small @ small) - (full @ full)) / 450 / ((full @ full) / (n - 451)), rel=1e-6)
+
+
+def test_gee_tests_and_convergence(spark):
+    x, y, g, df = data(spark)
+    df = df.withColumn("xg", F.col("x") * (F.col("g") % 2))
+    beta, cov, rho, n = M.gee_fit(df, "y", ["one", "x", "xg"], "g")
+    X, U, A = np.column_stack([np.ones_like(x), x, x * (g % 2)]), [], np.zeros((3, 3))
+    for k in range(6):
+        m = g == k
+        V = np.linalg.inv((1 - rho) * np.eye(m.sum()) + rho)
+        A += X[m].T @ V @ X[m]
+        U.append(X[m].T @ V @ (y[m] - X[m] @ beta))
+    U = np.array(U)
+    want = np.linalg.inv(A) @ (U.T @ U) @ np.linalg.inv(A)
+    assert n == 6 and np.allclose(cov, want, atol=1e-8)
+    got = {r.test: r for r in M.gee_tests(df, "y", ["one", "x", "xg"], "g", {"odd": {"x": 1.0, "xg": 1.0}}, {"interaction": ["xg"]}).collect()}
+    assert got["odd"].estimate == pytest.approx(beta[1] + beta[2]) and got["odd"].se == pytest.approx(np.sqrt(want[1, 1] + want[2, 2] + 2 * want[1, 2]))
+    assert got["interaction"].statistic == pytest.approx(beta[2] ** 2 / want[2, 2]) and got["interaction"].dof == 1
+    with pytest.raises(RuntimeError):
+        M.gee(df, "y", ["one", "x"], "g", rounds=1)

@@ -76,3 +76,28 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(spark.sql("select * from alpha_now"))
     q.stop()
     assert got == rows(alpha_basic(c))
+
+
+def test_each_file_has_a_header_of_its_own(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.tsv").write_text("id\tname\tv\n1\tx\t2.5\nid\tname\tv\n")
+    (tmp_path / "t" / "b.tsv").write_text("v\tid\tname\n7\t2\ty\tz\nbad\t3\t\n")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("v", T.DoubleType())])
+    got = sorted(map(tuple, text.read_table(spark, str(tmp_path / "t"), schema).collect()))
+    assert got == [("1", "x", 2.5), ("2", "y\tz", 7.0), ("3", None, None), ("id", "name", None)]
+    (tmp_path / "t" / "c.tsv").write_text("id\tv\n1\t2\n")
+    with pytest.raises(text.HeaderError):
+        text.read_table(spark, str(tmp_path / "t"), schema)
+
+
+def test_fastq_in_many_splits(spark, tmp_path):
+    for name, n in (("a.fastq", 3000), ("b.fastq", 2)):
+        (tmp_path / name).write_text("".join(f"@r{i}\n{'ACGT'[i % 4] * (i % 50 + 1)}\n+\n@@@@\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = {(r.file, r.record): r.seq for r in text.read_fastq(spark, str(tmp_path / "*.fastq")).collect()}
+        few = text.read_fastq(spark, str(tmp_path / "*.fastq"), limit=5).groupBy("file").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 3002 and all(got["a.fastq", i + 1] == "ACGT"[i % 4] * (i % 50 + 1) for i in range(3000))
+    assert {r.file: r["count"] for r in few} == {"a.fastq": 5, "b.fastq": 2}
