@@ -77,9 +77,9 @@ def to_wide(counts: DataFrame, rows: str, cols: str, values: list, n: str = "n")
     return counts.groupBy(rows).pivot(cols, values).agg(F.sum(n)).na.fill(0)
 
 
-def read_keyed_files(spark: SparkSession, path: str, key_regex: str, key: str = "key", **options) -> DataFrame:
-    """Many small CSV files; ``key`` is taken from the file name."""
-    return spark.read.options(**({"header": True} | options)).csv(path).withColumn(key, F.regexp_extract(F.col("_metadata.file_name"), key_regex, 1))
+def read_keyed_files(spark: SparkSession, path: str, key_regex: str, key: str = "key", whole_path: bool = False, **options) -> DataFrame:
+    """Many small CSV files; ``key`` is taken from the file name (``whole_path``: from the path, folders included)."""
+    return spark.read.options(**({"header": True} | options)).csv(path).withColumn(key, F.regexp_extract(F.col("_metadata.file_path" if whole_path else "_metadata.file_name"), key_regex, 1))
 
 
 def select_one_per_key(files: DataFrame, required: DataFrame, key: str = "key", path: str = "path") -> DataFrame:
@@ -124,9 +124,10 @@ def read_fastq(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return out.where(F.col("record") <= limit) if limit is not None else out
 
 
-def fasta_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Contigs and bases of each file."""
-    records = spark.read.text(path, lineSep=">").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.(fasta|fna|fa))?$", 1).alias("genome"), "value").where(F.trim("value") != "")
+def fasta_stats(spark: SparkSession, path: str, genome_regex: str | None = None) -> DataFrame:
+    """Contigs and bases of each genome: the file's name without its suffix, or what ``genome_regex`` finds in the path."""
+    genome = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.(fasta|fna|fa))?$", 1) if genome_regex is None else F.regexp_extract(F.col("_metadata.file_path"), genome_regex, 1)
+    records = spark.read.text(path, lineSep=">").select(genome.alias("genome"), "value").where(F.trim("value") != "")
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     return records.groupBy("genome").agg(F.count(F.lit(1)).alias("contigs"), F.sum(F.length(seq)).alias("bases"))
 
