@@ -290,7 +290,9 @@ def _(t):
     return R(C.pulse_exposure(lag_matrix(obs, t.daily, 14), "obs_id", "lag", "value", [0.5, 2.0, 7.5]), 4)
 
 
-@query("fn11_design", None)
+@query("fn11_design", sql("sites", """
+    SELECT *, CAST(1 AS DOUBLE) AS one, lat * lat AS lat_2, lat * lon AS lat_x_lon, CAST(block = 1 AS DOUBLE) AS block_is_1, CAST(block = 2 AS DOUBLE) AS block_is_2,
+      CAST(block = 3 AS DOUBLE) AS block_is_3, CAST(block = 4 AS DOUBLE) AS block_is_4 FROM sites"""))
 def _(t):
     return C.design(t.sites, numeric=["lat", "lon"], factors=["block"], quadratic=["lat"], interactions=[("lat", "lon")])
 

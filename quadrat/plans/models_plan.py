@@ -16,6 +16,7 @@ from quadrat.operators import windows as W
 from quadrat.plans.roles import registry, sql
 from quadrat.sources import sinks, text
 
+DRAWS = 999
 QUERIES, query = registry()
 N = lambda: F.count(F.lit(1)).alias("n")
 R = lambda df, digits=6: df.withColumns({c: F.round(F.col(c) + 0.0, digits) for c, kind in df.dtypes if kind == "double"})
@@ -25,9 +26,12 @@ def _clr(t):
     return C.clr(t.site_brands, ["site"], "taxon")
 
 
-def _obs(t, where="day(ts) > 14"):
-    """Observations whose windows lie inside the series."""
-    e = t.table("events").where(where)
+def _obs(t, before: int = 0, after: int = 0):
+    """All observations, or those with so many days of the series before and after them."""
+    e = t.table("events")
+    if before or after:
+        span = t.daily.agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+        e = e.join(F.broadcast(span)).where((F.to_date("ts") >= F.date_add("_a", before)) & (F.to_date("ts") <= F.date_sub("_b", after)))
     return e.select(F.col("event_id").alias("obs_id"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date"), "value", (F.col("user_id") % 5).alias("campaign"))
 
 
@@ -61,25 +65,38 @@ def _(t):
 @query("ml4_multivariate_trend")
 def _(t):
     d = _clr(t).join(C.transect(t.sites).select("site", "position"), "site")
-    return R(M.multivariate_trend(d, "site", "taxon", "clr", F.col("position") / 1000, 2, 50))
+    return R(M.multivariate_trend(d, "site", "taxon", "clr", F.col("position") / 1000, 2, DRAWS))
 
 
 @query("ml5_nested_test")
 def _(t):
     d = _clr(t).join(t.sites, "site").withColumns({"one": F.lit(1.0), "blk": F.col("block").cast("double")})
-    return R(M.nested_test(d, "site", "taxon", "clr", ["one", "blk"], "lon", "block", 50))
+    return R(M.nested_test(d, "site", "taxon", "clr", ["one", "blk"], "lon", "block", DRAWS))
 
 
-@query("ml6_scan")
+_SCAN = """SELECT key, round(beta, 6) AS beta, round(se, 6) AS se, round(beta / se, 6) AS t, round(beta * xy / syy, 6) AS partial_r2{more} FROM (
+      SELECT *, sqrt((syy - beta * xy) / (n - 3) / sxx) AS se FROM (
+        SELECT key, xy / (xx - quad) AS beta, xx - quad AS sxx, xy, syy, n FROM (
+          SELECT key, sum(exposure * exposure) AS xx, sum(exposure * ry) AS xy, any_value(syy) AS syy, any_value(n) AS n,
+            (any_value(dd) * sum(exposure) * sum(exposure) - 2 * any_value(sd) * sum(exposure) * sum(exposure * day) + any_value(n) * sum(exposure * day) * sum(exposure * day)) / (any_value(n) * any_value(dd) - any_value(sd) * any_value(sd)) AS quad
+          FROM ex JOIN ry USING (obs_id) CROSS JOIN (SELECT sum(ry * ry) AS syy, count(*) AS n, sum(day) AS sd, sum(day * day) AS dd FROM ry) GROUP BY key)))"""
+_SCAN_OBS = "SELECT event_id AS obs_id, user_id % 25 AS site, CAST(ts AS DATE) AS date, value, CAST(day(ts) AS DOUBLE) AS day FROM events WHERE CAST(ts AS DATE) BETWEEN (SELECT min(date) FROM daily) + {before} AND (SELECT max(date) FROM daily) - {after}"
+_SCAN_RY = "SELECT obs_id, day, value - (SELECT regr_intercept(value, day) FROM obs) - (SELECT regr_slope(value, day) FROM obs) * day AS ry FROM obs"
+_WINDOW = "SELECT obs_id, {key} AS key, sum(d.value) AS exposure FROM obs CROSS JOIN (VALUES {spans}) s(a, b) JOIN daily d ON d.site = obs.site AND d.date BETWEEN {low} AND {high} GROUP BY obs_id, a, b HAVING count(*) = b - a + 1"
+_PAST = {"low": "obs.date - b", "high": "obs.date - a"}
+_FUTURE = {"low": "obs.date + a", "high": "obs.date + b"}
+
+
+@query("ml6_scan", sql("daily", _SCAN.format(more=""), obs=_SCAN_OBS.format(before=14, after=0), ry=_SCAN_RY, ex=_WINDOW.format(key="a || '-' || b", spans="(1, 3), (4, 7), (8, 14)", **_PAST)))
 def _(t):
-    obs = _obs(t).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
+    obs = _obs(t, 14).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
     e = J.exposure(obs, t.daily, [(1, 3), (4, 7), (8, 14)]).withColumn("key", F.concat_ws("-", "from_lag", "to_lag")).where("exposure is not null")
     return R(M.scan(obs, e, "obs_id", "value", "key", "exposure", ["one", "day"]))
 
 
 @query("ml7_joint_lags")
 def _(t):
-    obs = _obs(t).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
+    obs = _obs(t, 7).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
     return R(M.joint_lags(obs, J.lag_matrix(obs, t.daily, 7), "obs_id", "value", "lag", "value", ["one", "day"]).withColumnRenamed("value", "v"))
 
 
@@ -129,7 +146,7 @@ def _(t):
 
 @query("ml12_stability")
 def _(t):
-    return R(M.network_stability(_net(t), ["position"], "unit", "taxon", "clr", 0.1, 5), 4)
+    return R(M.network_stability(_net(t), ["position"], "unit", "taxon", "clr", 0.1, 200), 4)
 
 
 @query("ml13_compare_networks")
@@ -269,8 +286,8 @@ def _(t):
     """Gate, rank, log-ratio, then location and omnibus tests of positions."""
     cells = A.grouped_counts(t.phyla, ["site", "position"], "taxon", 2000)
     z = C.clr(cells, ["site", "position"], "taxon")
-    loc = S.paired_location(S.paired_differences(z, ["site", "taxon"], "position", [("A", "R")], "clr"), "site", "taxon", "diff", 50)
-    omni = S.omnibus_f(z, "site", "position", "taxon", "clr", 50)
+    loc = S.paired_location(S.paired_differences(z, ["site", "taxon"], "position", [("A", "R")], "clr"), "site", "taxon", "diff", DRAWS)
+    omni = S.omnibus_f(z, "site", "position", "taxon", "clr", DRAWS)
     return R(loc.select(F.lit("location").alias("test"), "statistic", "p").unionByName(omni.select(F.lit("omnibus").alias("test"), F.col("f").alias("statistic"), "p")))
 
 
@@ -278,9 +295,9 @@ def _(t):
 def _(t):
     """Distance decay of composition and Moran's I of richness."""
     p = D.geo_pairs(t.sites).join(D.euclidean(_clr(t), "site", "taxon", "clr"), ["a", "b"])
-    decay = S.distance_decay(p, "km", "d", 50).select(F.lit("decay").alias("test"), F.col("slope").alias("statistic"), "p")
+    decay = S.distance_decay(p, "km", "d", DRAWS).select(F.lit("decay").alias("test"), F.col("slope").alias("statistic"), "p")
     rich = A.collapse_replicates(A.alpha_basic(t.counts).join(t.profiles, "profile"), ["site"], ["richness"])
-    moran = S.moran(rich, J.knn_graph(C.km_axes(t.sites), 5, node="site"), "site", "richness", 50).select(F.lit("moran").alias("test"), F.col("i").alias("statistic"), "p")
+    moran = S.moran(rich, J.knn_graph(C.km_axes(t.sites), 5, node="site"), "site", "richness", DRAWS).select(F.lit("moran").alias("test"), F.col("i").alias("statistic"), "p")
     return R(decay.unionByName(moran))
 
 
@@ -293,10 +310,11 @@ def _(t):
     return R(M.block_cv(x, "fold", ["one", "pos"], "richness"))
 
 
-@query("pl6_response_window")
+@query("pl6_response_window", sql("daily", _SCAN.format(more=", round((1.959963984540054 + 0.8416212335729143) * se, 6) AS mde"), obs=_SCAN_OBS.format(before=9, after=9), ry=_SCAN_RY,
+    ex=_WINDOW.format(key="'past ' || a", spans="(1, 3), (4, 7), (8, 9)", **_PAST) + " UNION ALL " + _WINDOW.format(key="'future ' || a", spans="(1, 3), (4, 7), (8, 9)", **_FUTURE)))
 def _(t):
     """Antecedent windows: exposures, partial scan, past against future placebo."""
-    obs = _obs(t, "day(ts) between 10 and 20").withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
+    obs = _obs(t, 9, 9).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
     spans = [(1, 3), (4, 7), (8, 9)]
     past, future = J.exposure(obs, t.daily, spans), J.exposure(obs, t.daily, spans, future=True)
     both = past.withColumn("key", F.concat(F.lit("past "), "from_lag")).unionByName(future.withColumn("key", F.concat(F.lit("future "), "from_lag")))
@@ -307,7 +325,7 @@ def _(t):
 @query("pl7_pulse_response")
 def _(t):
     """Pulse kernels over daily lags, scanned over peaks, with lag-rotation nulls."""
-    obs = _obs(t).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
+    obs = _obs(t, 14).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
     lags = J.lag_matrix(obs, t.daily, 14).where("value is not null")
     peaks = [1.0, 3.0, 7.0]
     fit = lambda table, key: M.scan(obs, table, "obs_id", "value", key, "exposure", ["one", "day"])
@@ -384,7 +402,7 @@ def _(t):
     p = J.pairs(x, "feature", keep=["niche"]).select("a", "b", F.abs(F.col("niche_a") - F.col("niche_b")).alias("d"))
     sizes = t.table("part").select(F.col("p_partkey").alias("feature"), F.col("p_retailprice").alias("v")).join(common, "feature", "left_semi")
     q = J.pairs(sizes, "feature", keep=["v"]).select("a", "b", F.abs(F.col("v_a") - F.col("v_b")).alias("d"))
-    return R(S.mantel(p, q, 50))
+    return R(S.mantel(p, q, DRAWS))
 
 
 @query("pl19_reading_audit", sql("readings", """

@@ -87,7 +87,9 @@ def _(t):
     return R(D.median_dissimilarity(both, ["site"]))
 
 
-_REPS = "SELECT CAST(range AS INTEGER) AS draw FROM range(1, 51)"
+DRAWS, BOOTS = 999, 2000  # permutations, sign flips and shifts; bootstrap draws
+_REPS = f"SELECT CAST(range AS INTEGER) AS draw FROM range(1, {DRAWS + 1})"
+_BOOT_REPS = f"SELECT CAST(range AS INTEGER) AS draw FROM range(1, {BOOTS + 1})"
 _PERM = """SELECT x.draw, x.u, y.u AS perm_unit FROM (SELECT draw, u, row_number() OVER (PARTITION BY draw ORDER BY u) AS k FROM un CROSS JOIN reps) x
     JOIN (SELECT draw, u, row_number() OVER (PARTITION BY draw ORDER BY md5('1|' || draw || '|' || u), u) AS k FROM un CROSS JOIN reps) y USING (draw, k)"""
 _SITES_U = {"un": "SELECT site AS u FROM sites", "reps": _REPS, "perm": _PERM}
@@ -97,21 +99,21 @@ _SITES_U = {"un": "SELECT site AS u FROM sites", "reps": _REPS, "perm": _PERM}
     SELECT x.draw, x.profile, y.profile AS perm_unit, x.block FROM (SELECT draw, block, profile, row_number() OVER (PARTITION BY draw, block ORDER BY profile) AS k FROM profiles CROSS JOIN reps) x
     JOIN (SELECT draw, block, profile, row_number() OVER (PARTITION BY draw, block ORDER BY md5('3|' || draw || '|' || profile), profile) AS k FROM profiles CROSS JOIN reps) y USING (draw, block, k)""", reps=_REPS))
 def _(t):
-    return RS.permutations(t.profiles, 50, "profile", ["block"], seed=3).select("draw", "profile", "perm_unit", "block")
+    return RS.permutations(t.profiles, DRAWS, "profile", ["block"], seed=3).select("draw", "profile", "perm_unit", "block")
 
 
 @query("rs2_sign_flips", sql("sites", "SELECT draw, site, CASE WHEN CAST('0x' || substr(md5('2|' || draw || '|' || site), 1, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM sites CROSS JOIN reps", reps=_REPS))
 def _(t):
-    return RS.sign_flips(t.sites, 50, "site", seed=2).select("draw", "site", "sign")
+    return RS.sign_flips(t.sites, DRAWS, "site", seed=2).select("draw", "site", "sign")
 
 
 _BOOT = """SELECT p.draw, s.u, count(*) AS weight FROM (SELECT draw, CAST('0x' || substr(md5('1|' || draw || '|' || u), 1, 8) AS BIGINT) % (SELECT count(*) FROM un) AS j FROM un CROSS JOIN reps) p
     JOIN (SELECT u, row_number() OVER (ORDER BY u) - 1 AS j FROM un) s USING (j) GROUP BY 1, 2"""
 
 
-@query("rs3_bootstrap", sql("sites", "SELECT draw, u AS site, weight FROM boot", un="SELECT site AS u FROM sites", reps=_REPS, boot=_BOOT))
+@query("rs3_bootstrap", sql("sites", "SELECT draw, u AS site, weight FROM boot", un="SELECT site AS u FROM sites", reps=_BOOT_REPS, boot=_BOOT))
 def _(t):
-    return RS.bootstrap(t.sites, 50, "site").select("draw", "site", "weight")
+    return RS.bootstrap(t.sites, BOOTS, "site").select("draw", "site", "weight")
 
 
 _OBS = "SELECT event_id AS obs_id, user_id % 4 AS campaign, user_id % 25 AS site, CAST(ts AS DATE) AS date FROM events WHERE day(ts) BETWEEN 12 AND 16"
@@ -131,10 +133,10 @@ _MEANS = "SELECT draw, sum(weight * v) / sum(weight) AS m FROM boot JOIN (SELECT
 
 @query("rs5_interval", sql("sites daily", """
     SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, round(stddev_samp(m), 4) AS se, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 4) AS p_positive, count(*) AS n_draws FROM ms""",
-    un="SELECT site AS u FROM sites", reps=_REPS, boot=_BOOT, ms=_MEANS))
+    un="SELECT site AS u FROM sites", reps=_BOOT_REPS, boot=_BOOT, ms=_MEANS))
 def _(t):
     v = t.daily.groupBy("site").agg((F.avg("value") - 25).alias("v"))
-    m = RS.bootstrap(t.sites, 50, "site").join(v, "site").groupBy("draw").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("m"))
+    m = RS.bootstrap(t.sites, BOOTS, "site").join(v, "site").groupBy("draw").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("m"))
     return R(RS.interval(m, "m"), 4)
 
 
@@ -144,7 +146,7 @@ def _(t):
 def _(t):
     v = t.daily.groupBy("site").agg(F.avg("value").alias("v"))
     obs = t.sites.join(v, "site").agg(F.corr("lon", "v").alias("observed"))
-    null = RS.permutations(t.sites, 50, "site").join(t.sites, "site").join(v.toDF("perm_unit", "v"), "perm_unit").groupBy("draw").agg(F.corr("lon", "v").alias("r"))
+    null = RS.permutations(t.sites, DRAWS, "site").join(t.sites, "site").join(v.toDF("perm_unit", "v"), "perm_unit").groupBy("draw").agg(F.corr("lon", "v").alias("r"))
     return R(RS.perm_p(null.join(F.broadcast(obs)), F.col("observed"), "r", ["observed"], tail="two"))
 
 
@@ -192,10 +194,10 @@ def _(t):
 
 @query("stat4_spearman_draws", sql("sites daily", f"""
     SELECT draw, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM ({_ranked('SELECT draw, lon, v FROM boot JOIN sites ON site = u JOIN vv USING (site), unnest(range(weight)) r(i)', 'draw', 'lon', 'v')}) GROUP BY 1""",
-    un="SELECT DISTINCT site AS u FROM daily", reps=_REPS, boot=_BOOT, vv="SELECT site, round(avg(value), 3) AS v FROM daily GROUP BY 1"))
+    un="SELECT DISTINCT site AS u FROM daily", reps=_BOOT_REPS, boot=_BOOT, vv="SELECT site, round(avg(value), 3) AS v FROM daily GROUP BY 1"))
 def _(t):
     v = t.daily.groupBy("site").agg(F.round(F.avg("value"), 3).alias("v"))
-    return R(S.spearman_draws(t.sites.join(v, "site").select("site", "lon", "v"), "site", "lon", "v", 50))
+    return R(S.spearman_draws(t.sites.join(v, "site").select("site", "lon", "v"), "site", "lon", "v", BOOTS))
 
 
 _DIFF = """SELECT site, campaign, max(v) FILTER (position = 'A') - max(v) FILTER (position = 'N') AS diff FROM (SELECT site, campaign, position, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS v FROM phyla GROUP BY 1, 2, 3) GROUP BY 1, 2"""
@@ -263,7 +265,7 @@ def _part_diffs(t):
       SELECT draw, sqrt(sum(m * m)) AS v FROM (SELECT draw, taxon, avg(sign * diff) AS m FROM pd JOIN flip ON u = site GROUP BY 1, 2) GROUP BY 1), (SELECT sqrt(sum(m * m)) AS o FROM (SELECT taxon, avg(diff) AS m FROM pd GROUP BY 1)) GROUP BY o""",
     pd=_PD, un="SELECT DISTINCT site AS u FROM pd", reps=_REPS, flip=_FLIP))
 def _(t):
-    return R(S.paired_location(_part_diffs(t), "site", "taxon", "diff", 50))
+    return R(S.paired_location(_part_diffs(t), "site", "taxon", "diff", DRAWS))
 
 
 @query("stat12_paired_dispersion", sql("phyla", """
@@ -274,30 +276,37 @@ def _(t):
     un="SELECT site AS u FROM pd", reps=_REPS, flip=_FLIP))
 def _(t):
     d = D.dispersion(t.phyla, ["position"], ["site"], "taxon", "n").withColumnRenamed("distance", "v")
-    return R(S.paired_dispersion(S.paired_differences(d, ["site"], "position", [("A", "N")], "v"), "site", "diff", 50))
+    return R(S.paired_dispersion(S.paired_differences(d, ["site"], "position", [("A", "N")], "v"), "site", "diff", DRAWS))
 
 
-@query("stat13_omnibus_f", None)
+def _ss(by: str, src: str) -> str:
+    return f"""SELECT {by} sum(bt) AS bt, sum(wi) AS wi, max(k) AS n, max(g) AS g FROM (SELECT {by} t, sum(s * s / k) - sum(s) * sum(s) / sum(k) AS bt, sum(q) - sum(s * s / k) AS wi, sum(k) AS k, count(*) AS g
+      FROM (SELECT {by} block, t, sum(v) AS s, sum(v * v) AS q, CAST(count(*) AS DOUBLE) AS k FROM ({src}) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""
+
+
+@query("stat13_omnibus_f", sql("phyla", f"""
+    SELECT round(f, 6) AS f, round(r2, 6) AS r2, round((1 + count(*) FILTER (v >= f - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM (
+      SELECT draw, (bt / (g - 1)) / (wi / (n - g)) AS v FROM ({_ss('draw,', 'SELECT draw, pp AS block, c.t, c.v FROM cen c JOIN mv USING (u)')})),
+      (SELECT (bt / (g - 1)) / (wi / (n - g)) AS f, bt / (bt + wi) AS r2 FROM ({_ss('', 'SELECT position AS block, t, v FROM cen')})) GROUP BY f, r2""",
+    cen="SELECT site, position, site || '/' || position AS u, taxon AS t, v - avg(v) OVER (PARTITION BY site, taxon) AS v FROM (SELECT site, position, taxon, avg(ln(n)) AS v FROM phyla GROUP BY 1, 2, 3)",
+    un="SELECT DISTINCT site, position, u FROM cen", reps=_REPS,
+    mv="""SELECT x.draw, x.u, y.position AS pp FROM (SELECT draw, site, u, row_number() OVER (PARTITION BY draw, site ORDER BY u) AS k FROM un CROSS JOIN reps) x
+      JOIN (SELECT draw, site, position, row_number() OVER (PARTITION BY draw, site ORDER BY md5('1|' || draw || '|' || u), u) AS k FROM un CROSS JOIN reps) y USING (draw, site, k)"""))
 def _(t):
     d = t.phyla.groupBy("site", "position", "taxon").agg(F.avg(F.log("n")).alias("v"))
-    return R(S.omnibus_f(d, "site", "position", "taxon", "v", 50))
+    return R(S.omnibus_f(d, "site", "position", "taxon", "v", DRAWS))
 
 
 _FSTAT = "(sum(bt) / (max(g) - 1)) / (sum(wi) / (max(k) - max(g)))"
 
 
-def _ss(by: str, src: str) -> str:
-    return f"""SELECT {by} sum(bt) AS bt, sum(wi) AS wi, max(k) AS n, max(g) AS g FROM (SELECT {by} t, sum(s * s / k) - sum(s) * sum(s) / sum(k) AS bt, sum(q) - sum(s * s / k) AS wi, sum(k) AS k, count(*) AS g
-      FROM (SELECT {by} block, t, sum(v) AS s, sum(v * v) AS q, CAST(count(*) AS DOUBLE) AS k FROM ({src}) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""
-
-
 @query("stat14_permanova", sql("site_brands sites", f"""
     SELECT round(f, 6) AS f, round(r2, 6) AS r2, round((1 + count(*) FILTER (v >= f - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM (
       SELECT draw, (bt / (g - 1)) / (wi / (n - g)) AS v FROM ({_ss('draw,', 'SELECT draw, s.block, c.t, c.v FROM clr c JOIN perm ON perm.u = c.u JOIN sites s ON s.site = perm_unit')})),
       (SELECT (bt / (g - 1)) / (wi / (n - g)) AS f, bt / (bt + wi) AS r2 FROM ({_ss('', 'SELECT s.block, c.t, c.v FROM clr c JOIN sites s ON s.site = c.u')})) GROUP BY f, r2""", un="SELECT DISTINCT site AS u FROM site_brands", reps=_REPS, perm=_PERM, clr=_CLR))
 def _(t):
     df = _clr(t).join(t.sites.select("site", "block"), "site")
-    return R(S.permanova(df, "site", "block", "taxon", "clr", 50))
+    return R(S.permanova(df, "site", "block", "taxon", "clr", DRAWS))
 
 
 @query("stat15_feature_paired", None)
@@ -318,7 +327,7 @@ _GEOM = {"clr": _CLR, "dd": _DD, "km": _KM, "geo": _GEO}
       SELECT m.draw, corr(m.km, dd.d) AS v FROM (SELECT p.draw, least(p.perm_unit, q.perm_unit) AS a, greatest(p.perm_unit, q.perm_unit) AS b, km FROM geo JOIN perm p ON p.u = a JOIN perm q ON q.u = b AND q.draw = p.draw) m JOIN dd USING (a, b) GROUP BY 1),
       (SELECT corr(km, d) AS r FROM geo JOIN dd USING (a, b)) GROUP BY r""", **_SITES_U, **_GEOM))
 def _(t):
-    return R(S.mantel(D.geo_pairs(t.sites).withColumnRenamed("km", "d"), D.euclidean(_clr(t), "site", "taxon", "clr"), 50))
+    return R(S.mantel(D.geo_pairs(t.sites).withColumnRenamed("km", "d"), D.euclidean(_clr(t), "site", "taxon", "clr"), DRAWS))
 
 
 @query("stat16_correlogram", sql("site_brands sites", """
@@ -336,7 +345,7 @@ def _(t):
       (SELECT regr_slope(d, km) AS slope FROM geo JOIN dd USING (a, b)) GROUP BY slope""", un="SELECT DISTINCT site AS u FROM site_brands", reps=_REPS, perm=_PERM, **_GEOM))
 def _(t):
     p = D.geo_pairs(t.sites).join(D.euclidean(_clr(t), "site", "taxon", "clr"), ["a", "b"])
-    return S.distance_decay(p, "km", "d", 50).select(F.round("slope", 8).alias("slope"), F.round("p", 6).alias("p"))
+    return S.distance_decay(p, "km", "d", DRAWS).select(F.round("slope", 8).alias("slope"), F.round("p", 6).alias("p"))
 
 
 _KNN = "SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM (SELECT k.site AS s, m.site AS o, row_number() OVER (PARTITION BY k.site ORDER BY round(pow(k.x - m.x, 2) + pow(k.y - m.y, 2), 9), m.site) AS r FROM km k JOIN km m ON k.site <> m.site) WHERE r <= 5"
@@ -352,7 +361,7 @@ def _(t):
     from quadrat.operators.joins import knn_graph
 
     v = t.daily.groupBy("site").agg(F.avg("value").alias("v"))
-    return R(S.moran(v, knn_graph(km_axes(t.sites), 5, node="site"), "site", "v", 50))
+    return R(S.moran(v, knn_graph(km_axes(t.sites), 5, node="site"), "site", "v", DRAWS))
 
 
 @query("stat19_adjacency", None)
