@@ -15,13 +15,25 @@ from quadrat.session import cut
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the quality classifier doesn't reject."""
+    """Rows whose text the quality classifier doesn't reject.
+
+    NULL and empty texts have a score like any other and go if it is under the
+    bound; a text of any length is read whole; repeated rows share their fate.
+    Without labelled rows of both classes nothing is rejected. An empty table
+    stays empty. Extra columns are kept, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.with_scores(docs, labels, score_col="_score").where(F.col("_score") >= quality.REJECT).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is told without a narrow margin."""
+    """Rows whose language is told without a narrow margin.
+
+    NULL texts and texts without letters are rejected, and all rows if no row
+    has a ``lang`` to learn from. A long text is judged by the sum over its
+    pieces; repeated rows share their fate; an empty table stays empty. Extra
+    columns are kept, whatever their names.
+    """
     return language.with_languages(docs, prefix="_").where(F.col("_margin") >= language.MIN_MARGIN).select(docs.columns)
 
 
@@ -29,7 +41,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near duplicates: the smallest id, and of its rows any one.
 
     Groups are found over row keys written with the table. A NULL id comes
-    after all ids; texts without words are groups of their own.
+    after all ids; NULL texts and texts without words are groups of their own.
+    Texts of any length are compared whole; an empty table stays empty. Extra
+    columns are kept, but for names that start with ``_row``.
     """
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     groups = near_dedup.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
@@ -39,7 +53,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents, packed into sequences."""
+    """Token pieces of the documents, packed into sequences.
+
+    A NULL or empty text is one piece with the end id alone; a long text is cut
+    into pieces; NULL and repeated ids and rows are packed like others; an empty
+    table gives an empty result. Extra columns are left out.
+    """
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -69,3 +69,31 @@ def test_null_and_repeated_ids(spark, sf, tmp_path):
     assert [x for i, x in seen[2] if i == 7] == sorted([kept, text[10]]) and (10, text[10]) not in seen[2]
     out = corpus_pipeline.run(spark, str(tmp_path)).where("piece = 0").collect()
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in out) == [i for i, _ in seen[2]]
+
+
+def test_empty_table(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0 and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(spark, sf, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(["th", "ing", "er", "and", "ou"]) for _ in range(3))
+    book = " ".join(word() for _ in range(150_000))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(900, book, "en", "s", len(book)), (901, book, "en", "s", len(book)), (902, "x" * 2_000_000, "en", "s", 1)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema)).selectExpr("*", "1 AS score", "'c' AS margin", "2 AS component_id", "'p' AS piece")
+    more.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, columns = spark.read.parquet(str(tmp_path / "documents.parquet")), more.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+    assert {r.doc_id for r in docs.where("doc_id in (900, 901)").collect()} == {900}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).where("doc_id = 900").orderBy("piece").collect()
+    assert len(pieces) > 50 and all(r.length == 4096 for r in pieces[:-1]) and [r.start for r in pieces] == [4096 * i for i in range(len(pieces))]
