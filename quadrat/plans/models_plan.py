@@ -13,6 +13,7 @@ from quadrat.operators import models as M
 from quadrat.operators import resample as RS
 from quadrat.operators import stats as S
 from quadrat.operators import windows as W
+from quadrat.plans import stats_plan as SP
 from quadrat.plans.roles import registry, sql
 from quadrat.sources import sinks, text
 
@@ -281,7 +282,27 @@ def _(t):
     return R(S.paired_contrasts(cells, ["site", "campaign"], "position", [("A", "N"), ("A", "R"), ("N", "R")], "shannon", 100))
 
 
-@query("pl3_composition")
+_PL3 = {
+    "cells": "SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY site, position) AS total FROM (SELECT site, position, taxon, sum(n) AS n FROM phyla GROUP BY 1, 2, 3)) WHERE total >= 2000",
+    "z": """SELECT site, position, taxon, ln(n + 0.5) - avg(ln(n + 0.5)) OVER (PARTITION BY site, position) AS v FROM (
+      SELECT g.site, g.position, p.taxon, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT site, position FROM cells) g CROSS JOIN (SELECT DISTINCT taxon FROM cells) p LEFT JOIN cells c USING (site, position, taxon))""",
+    "pd": "SELECT x.site, x.taxon, x.v - y.v AS diff FROM z x JOIN z y USING (site, taxon) WHERE x.position = 'A' AND y.position = 'R'",
+    "reps": SP._REPS,
+    "flip": "SELECT draw, site, CASE WHEN CAST('0x' || substr(md5('1|' || draw || '|' || site), 1, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (SELECT DISTINCT site FROM pd) CROSS JOIN reps",
+    "cen": "SELECT site, position, site || '/' || position AS u, taxon AS t, v - avg(v) OVER (PARTITION BY site, taxon) AS v FROM z",
+    "un": "SELECT DISTINCT site, position, u FROM cen",
+    "mv": """SELECT x.draw, x.u, y.position AS pp FROM (SELECT draw, site, u, row_number() OVER (PARTITION BY draw, site ORDER BY u) AS k FROM un CROSS JOIN reps) x
+      JOIN (SELECT draw, site, position, row_number() OVER (PARTITION BY draw, site ORDER BY md5('1|' || draw || '|' || u), u) AS k FROM un CROSS JOIN reps) y USING (draw, site, k)""",
+}
+
+
+@query("pl3_composition", sql("phyla", f"""
+    SELECT 'location' AS test, round(o, 6) AS statistic, round((1 + count(*) FILTER (v >= o - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p FROM (
+      SELECT draw, sqrt(sum(m * m)) AS v FROM (SELECT draw, taxon, avg(sign * diff) AS m FROM pd JOIN flip USING (site) GROUP BY 1, 2) GROUP BY 1), (SELECT sqrt(sum(m * m)) AS o FROM (SELECT taxon, avg(diff) AS m FROM pd GROUP BY 1)) GROUP BY o
+    UNION ALL
+    SELECT 'omnibus', round(f, 6), round((1 + count(*) FILTER (v >= f - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) FROM (
+      SELECT draw, (bt / (g - 1)) / (wi / (n - g)) AS v FROM ({SP._ss('draw,', 'SELECT draw, pp AS block, c.t, c.v FROM cen c JOIN mv USING (u)')})),
+      (SELECT (bt / (g - 1)) / (wi / (n - g)) AS f FROM ({SP._ss('', 'SELECT position AS block, t, v FROM cen')})) GROUP BY f""", **_PL3))
 def _(t):
     """Gate, rank, log-ratio, then location and omnibus tests of positions."""
     cells = A.grouped_counts(t.phyla, ["site", "position"], "taxon", 2000)
@@ -301,7 +322,12 @@ def _(t):
     return R(decay.unionByName(moran))
 
 
-@query("pl5_prediction")
+@query("pl5_prediction", sql("counts profiles sites", """
+    SELECT round(1 - sum(pow(y - a - b * x, 2)) / sum(pow(y - m, 2)), 6) AS skill, round(sqrt(avg(pow(y - a - b * x, 2))), 6) AS rmse, count(*) AS n, count(DISTINCT fold) AS n_folds FROM tr JOIN (
+      SELECT o.fold, regr_slope(i.y, i.x) AS b, regr_intercept(i.y, i.x) AS a, avg(i.y) AS m FROM (SELECT DISTINCT fold FROM tr) o JOIN tr i ON i.fold <> o.fold GROUP BY 1) USING (fold)""",
+    km=SP._KM, rich="SELECT site, avg(r) AS y FROM (SELECT profile, count(*) AS r FROM counts WHERE n > 0 GROUP BY 1) JOIN profiles USING (profile) GROUP BY 1",
+    tr="""SELECT site, y, x, floor((row_number() OVER (ORDER BY x, site) - 1) * 5 / count(*) OVER ()) AS fold FROM rich JOIN (
+      SELECT site, (x * cos(a) + y * sin(a)) / 1000 AS x FROM km, (SELECT 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM km)) USING (site)"""))
 def _(t):
     """Blocked leave-out skill of position for richness, along the transect."""
     rich = A.collapse_replicates(A.alpha_basic(t.counts).join(t.profiles, "profile"), ["site"], ["richness"])
@@ -440,8 +466,17 @@ def _(t):
 
 
 @query("pl26_product_exposures", """
-    WITH d AS (SELECT event_type AS product, user_id % 25 AS site, CAST(ts AS DATE) AS date, sum(value) AS v FROM events GROUP BY 1, 2, 3)
-    SELECT product, count(*) AS n, round(avg(v), 4) AS mean FROM d GROUP BY 1""")
-def _(t):
-    d = t.table("events").groupBy(F.col("event_type").alias("product"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date")).agg(F.sum("value").alias("v"))
-    return R(d.groupBy("product").agg(N(), F.avg("v").alias("mean")), 4)
+    WITH d AS (SELECT event_type AS product, user_id % 25 AS site, CAST(ts AS DATE) AS date, round(sum(value), 2) AS v FROM events GROUP BY 1, 2, 3),
+    o AS (SELECT event_id AS obs_id, user_id % 25 AS site, CAST(ts AS DATE) AS date FROM events),
+    e AS (SELECT p.product, a, b, obs_id, CASE WHEN count(d.v) = b - a + 1 THEN sum(d.v) END AS x FROM o CROSS JOIN (SELECT DISTINCT product FROM d) p CROSS JOIN (VALUES (1, 3), (4, 7), (8, 14)) s(a, b)
+      LEFT JOIN d ON d.product = p.product AND d.site = o.site AND d.date BETWEEN o.date - b AND o.date - a GROUP BY 1, 2, 3, 4)
+    SELECT product, a AS from_lag, b AS to_lag, count(*) AS n, count(x) AS n_known, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(max(x), 4) AS high FROM e GROUP BY 1, 2, 3""")
+def _(t):
+    """Trailing exposures of every observation from each product's daily series, with their support."""
+    series = F.concat_ws("/", F.col("product"), F.col("site").cast("string"))
+    d = t.table("events").groupBy(F.col("event_type").alias("product"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date")).agg(F.round(F.sum("value"), 2).alias("value"))
+    products = d.select("product").distinct()
+    obs = _obs(t).crossJoin(F.broadcast(products)).select("product", F.concat_ws("#", "obs_id", "product").alias("obs_id"), series.alias("site"), "date")
+    e = J.exposure(obs, d.select(series.alias("site"), "date", "value"), [(1, 3), (4, 7), (8, 14)])
+    e = e.withColumn("product", F.substring_index("obs_id", "#", -1))
+    return R(e.groupBy("product", "from_lag", "to_lag").agg(N(), F.count("exposure").alias("n_known"), F.avg("exposure").alias("mean"), F.median("exposure").alias("median"), F.max("exposure").alias("high")), 4)
