@@ -42,26 +42,42 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+HOT, SALTS = 512, 64
+
+
+def _beside_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``rows`` (u, v) with their node's ``m`` from ``least`` (u, m, k rows of that node).
+
+    Nodes with more than a 256th of all rows (at most 256 of them, so their
+    table is broadcast) are salted: their rows spread over ``SALTS`` keys.
+    """
+    hot = F.col("k") > max(HOT, 2 * total // 256)
+    few = F.broadcast(least.where(hot).select("u", F.lit(True).alias("_hot")))
+    salted = rows.join(few, "u", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(least.select("u", "m", F.explode(salts).alias("_salt")), ["u", "_salt"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Return ``(node, root)`` for every node that has an edge to another node.
 
     ``root`` is the smallest node of the component and has a row too. Each
     partition is contracted by union-find first; rounds of large and small
     stars then join the partial forests. The edge count never grows, a hot
-    node only meets partial aggregates and joins that AQE can split, and each
-    round is a table in the shared folder. NULL ends and loops are ignored.
+    node meets partial aggregates and salted joins, and each round is a table
+    in the shared folder. NULL ends and loops are ignored.
     """
     kind = edges.schema[a].dataType.simpleString()
     plain = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     links = cut(plain.mapInArrow(_union_find, f"u {kind}, v {kind}").distinct(), "forest")
-    seen = None
+    seen, n = None, links.count()
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count(F.lit(1)).alias("k"))
+        large = _beside_least(both, low, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
         small = (
-            large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _beside_least(large, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
@@ -71,7 +87,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         ).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     pairs = links.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -126,3 +126,26 @@ def test_merge_of_two_hierarchies(spark):
     hints = spark.createDataFrame([("3", "9", 2)], "pa string, pb string, votes int")
     comp = {r.node: r.component for r in X.merge_hierarchies(a, b, none, hints).collect()}
     assert comp["A:1"] == comp["B:7"] and comp["A:3"] == comp["B:9"] and comp["A:2"] != comp["B:8"]
+
+
+def test_components_with_hot_nodes(spark):
+    import random
+
+    from quadrat.operators.components import connected_components
+
+    rng = random.Random(5)
+    edges = [(9_000, i) for i in range(1_500)] + [(i, i + 1) for i in range(20_000, 20_400)] + [(rng.randrange(30_000, 31_000), rng.randrange(30_000, 31_000)) for _ in range(900)] + [(9_000, 9_000), (None, 3), (5, 5)]
+    rng.shuffle(edges)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a int, b int").repartition(40)).collect()}
+    assert got == {x: find(x) for x in parent}
