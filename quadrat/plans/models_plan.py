@@ -312,7 +312,16 @@ def _(t):
     return R(loc.select(F.lit("location").alias("test"), "statistic", "p").unionByName(omni.select(F.lit("omnibus").alias("test"), F.col("f").alias("statistic"), "p")))
 
 
-@query("pl4_geographic_structure")
+@query("pl4_geographic_structure", sql("site_brands counts profiles sites", """
+    SELECT 'decay' AS test, round(slope, 6) AS statistic, round((1 + count(*) FILTER (abs(v - mv) >= abs(slope - mv) - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p FROM (
+      SELECT *, avg(v) OVER () AS mv FROM (SELECT m.draw, regr_slope(dd.d, m.km) AS v FROM (SELECT p.draw, least(p.perm_unit, q.perm_unit) AS a, greatest(p.perm_unit, q.perm_unit) AS b, km FROM geo JOIN perm p ON p.u = a JOIN perm q ON q.u = b AND q.draw = p.draw) m JOIN dd USING (a, b) GROUP BY 1)),
+      (SELECT regr_slope(d, km) AS slope FROM geo JOIN dd USING (a, b)) GROUP BY slope
+    UNION ALL
+    SELECT 'moran', round(i, 6), round((1 + count(*) FILTER (v >= i - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) FROM (
+      SELECT p.draw, (SELECT count(*) / sum(z * z) FROM zz) * sum(x.z * y.z) / count(*) AS v FROM knn JOIN perm p ON p.u = a JOIN perm q ON q.u = b AND q.draw = p.draw JOIN zz x ON x.site = p.perm_unit JOIN zz y ON y.site = q.perm_unit GROUP BY 1),
+      (SELECT (SELECT count(*) / sum(z * z) FROM zz) * sum(x.z * y.z) / count(*) AS i FROM knn JOIN zz x ON x.site = a JOIN zz y ON y.site = b) GROUP BY i""",
+    un="SELECT DISTINCT site AS u FROM site_brands", reps=SP._REPS, perm=SP._PERM, **SP._GEOM, knn=SP._KNN,
+    zz="SELECT site, y - avg(y) OVER () AS z FROM (SELECT site, avg(r) AS y FROM (SELECT profile, count(*) AS r FROM counts WHERE n > 0 GROUP BY 1) JOIN profiles USING (profile) GROUP BY 1)"))
 def _(t):
     """Distance decay of composition and Moran's I of richness."""
     p = D.geo_pairs(t.sites).join(D.euclidean(_clr(t), "site", "taxon", "clr"), ["a", "b"])
