@@ -222,7 +222,7 @@ def distance_decay(pairs: DataFrame, x: str, y: str, reps: int, seed: int = 1) -
 
 
 def moran(df: DataFrame, edges: DataFrame, unit: str, value: str, reps: int, by: list[str] = (), seed: int = 1) -> DataFrame:
-    """Moran's I over an undirected edge table, with a permutation p within ``by``; I of a constant is NULL, its p 1."""
+    """Moran's I over an undirected edge table, with a permutation p within ``by``; of a constant both are NULL."""
     w = Window.partitionBy(*by)
     z = df.select(*by, unit, (F.col(value) - F.avg(value).over(w)).alias("z"))
     norm = z.groupBy(*by).agg(F.sum(F.col("z") * F.col("z")).alias("_s"), F.count(F.lit(1)).alias("_n"))

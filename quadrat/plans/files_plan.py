@@ -10,6 +10,7 @@ from quadrat.functions.numeric import lgamma
 from quadrat.operators import agg as A
 from quadrat.operators import joins as J
 from quadrat.operators import stats as S
+from quadrat.plans import stats_plan as SP
 from quadrat.plans.roles import registry, sql
 from quadrat.session import scratch
 from quadrat.sources import sinks, text
@@ -106,10 +107,24 @@ def _(t):
     return t.counts.groupBy("profile").agg(F.round(F.sum(lgamma(F.col("n") + 1)), 4).alias("total"))
 
 
-_KM = "SELECT site, 111.32 * cos(radians((SELECT avg(lat) FROM sites))) * lon AS x, 110.574 * lat AS y FROM sites"
-
-
-@query("ml14_resolution_sensitivity")
+_ML14 = {
+    "rich": """SELECT resolution, site, CAST(count(DISTINCT taxon) AS DOUBLE) AS r FROM (
+      SELECT site, unnest([{'resolution': 'feature', 'taxon': CAST(feature AS VARCHAR)}, {'resolution': 'rank 2', 'taxon': r2}, {'resolution': 'rank 1', 'taxon': r1}], recursive := true)
+      FROM counts JOIN taxonomy USING (feature) JOIN profiles USING (profile)) GROUP BY 1, 2""",
+    "zz": "SELECT resolution, site, r - avg(r) OVER (PARTITION BY resolution) AS z FROM rich",
+    "norm": "SELECT resolution, count(*) / nullif(sum(z * z), 0) AS w FROM zz GROUP BY 1",
+    "km": SP._KM,
+    "knn": """SELECT DISTINCT neighbours, least(s, o) AS a, greatest(s, o) AS b FROM (VALUES (3), (5), (8)) n(neighbours) JOIN (
+      SELECT k.site AS s, m.site AS o, row_number() OVER (PARTITION BY k.site ORDER BY round(pow(k.x - m.x, 2) + pow(k.y - m.y, 2), 9), m.site) AS r FROM km k JOIN km m ON k.site <> m.site) ON r <= neighbours""",
+    "un": "SELECT DISTINCT site AS u FROM rich", "reps": "SELECT CAST(range AS INTEGER) AS draw FROM range(1, 200)", "perm": SP._PERM,
+    "seen": "SELECT x.resolution, neighbours, w * sum(x.z * y.z) / count(*) AS i FROM knn JOIN zz x ON x.site = a JOIN zz y ON y.site = b AND y.resolution = x.resolution JOIN norm ON norm.resolution = x.resolution GROUP BY 1, 2, w",
+    "moved": """SELECT x.resolution, neighbours, p.draw, w * sum(x.z * y.z) / count(*) AS v FROM knn JOIN perm p ON p.u = a JOIN perm q ON q.u = b AND q.draw = p.draw
+      JOIN zz x ON x.site = p.perm_unit JOIN zz y ON y.site = q.perm_unit AND y.resolution = x.resolution JOIN norm ON norm.resolution = x.resolution GROUP BY 1, 2, 3, w""",
+}
+
+
+@query("ml14_resolution_sensitivity", sql("counts taxonomy profiles sites", """
+    SELECT resolution, neighbours, round(i, 6) AS i, CASE WHEN i IS NOT NULL THEN round((1 + count(*) FILTER (v >= i - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) END AS p FROM seen JOIN moved USING (resolution, neighbours) GROUP BY 1, 2, i""", **_ML14))
 def _(t):
     """Moran's I of richness at two ranks and several neighbour counts."""
     levels = t.counts.join(t.taxonomy, "feature").join(t.profiles.select("profile", "site"), "profile")
