@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrat.llm import bpe, chat, language, licenses, near_dedup, packing, quality, tiff, top_k, toxicity
+from quadrat.llm import bpe, chat, hard_negatives, language, licenses, near_dedup, packing, quality, ranked_search, simhash, tiff, top_k, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_tiff_media": tiff.op9_tiff_media,
     "op10_exact_top_k": top_k.op10_exact_top_k,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_simhash_near_dedup": simhash.op13_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +37,6 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_ranked_search": ranked_search.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
