@@ -10,9 +10,11 @@ n * (2 - t) / t bigrams, and n * t / (2 - t) of them at least are the
 template's, so a template meets only places where that many of its bigrams
 stand that close together; most texts have none.
 
-At every such place two windows start, with a bigram of the template: of the
-template's size and of the largest size, each less what follows its last
-bigram that the template has.
+At every such place all windows of up to the largest size are tried that start
+and end with a bigram of the template (others have a smaller coefficient than
+the windows without their ends). One running count for a start gives the common
+bags of all its ends: a bigram that the template has c times is common to a
+window if the c-th one before it is outside.
 
 All of it is column expressions over one row at a time: one scan, no shuffle,
 no join, and templates (a short list) as literals in the plan.
@@ -107,39 +109,45 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _equals(gram: str):
-    return lambda g: g == gram
-
-
 def _within(bag: Counter):
     return lambda x: x["g"].isin(sorted(bag))
 
 
-def _common(found: Column, bag: Counter) -> Column:
-    """Size of the common bag of a template and its bigrams in a window."""
-    total = F.size(F.array_distinct(found))
-    for gram, c in sorted(bag.items()):
-        if c > 1:
-            times = F.size(F.filter(found, _equals(gram)))
-            total = total + F.least(F.lit(c), times) - F.least(F.lit(1), times)
-    return total
-
-
 def _best(own: Column, order: int, name: str, bag: Counter, threshold: float) -> Column:
     """Best window for one template: ``own`` are the places (at, g) of its bigrams in the text."""
     n = sum(bag.values())
     need, most = bounds(n, threshold)
-    marked = F.transform(own, lambda x, i: F.struct(x["at"].alias("at"), (F.get(own, i + need - 1)["at"] - x["at"] < most).alias("near"), i.alias("i")))
-    starts = F.filter(marked, lambda x: x["near"])
+    starts = F.filter(
+        F.transform(own, lambda x, i: F.struct(x["at"].alias("at"), (F.get(own, i + need - 1)["at"] - x["at"] < most).alias("near"), i.alias("i"))), lambda x: x["near"]
+    )
+
+    def before(x: Column, k: Column) -> Column:
+        """Number of the place whose bigram is the c-th before place ``k`` (-1: none within reach)."""
+        reach = F.slice(own, F.greatest(k - most, F.lit(0)) + 1, F.least(k, F.lit(most)))
+        same = F.filter(F.transform(reach, lambda y, j: F.struct(y["g"].alias("g"), (F.greatest(k - most, F.lit(0)) + j).alias("k"))), lambda y: y["g"] == x["g"])
+        c = F.lit(1)
+        for gram, times in sorted(bag.items()):
+            c = F.when(x["g"] == gram, times).otherwise(c) if times > 1 else c
+        return F.coalesce(F.get(same, F.size(same) - c)["k"], F.lit(-1))
+
+    placed = F.transform(own, lambda x, k: F.struct(x["at"].alias("at"), before(x, k).alias("back")))
+
+    def best_end(p: Column, x: Column) -> Column:
+        """The best window that starts at ``x``; of equal ones the shorter."""
+
+        def longer(seen: Column, y: Column) -> Column:
+            common = seen["common"] + F.when(y["back"] < x["i"], 1).otherwise(0)
+            length = y["at"] - x["at"] + 1
+            dice = 2.0 * common / (length + n)
+            better = (length <= most) & (dice > seen["dice"])
+            return F.struct(common.alias("common"), F.when(better, dice).otherwise(seen["dice"]).alias("dice"), F.when(better, length).otherwise(seen["length"]).alias("length"))
 
-    def window(x: Column, size: int) -> Column:
-        inside = F.filter(F.slice(own, x["i"] + 1, F.lit(size)), lambda y: y["at"] < x["at"] + size)
-        length = F.element_at(inside, -1)["at"] - x["at"] + 1
-        dice = 2.0 * _common(F.transform(inside, lambda y: y["g"]), bag) / (length + n)
-        return F.struct(dice.alias("dice"), F.lit(n).alias("n"), F.lit(-order).alias("order"), (-x["at"]).alias("at"), (-length).alias("length"), F.lit(name).alias("license"))
+        none = F.struct(F.lit(0).alias("common"), F.lit(0.0).alias("dice"), F.lit(0).alias("length"))
+        got = F.aggregate(F.slice(p, x["i"] + 1, F.lit(most)), none, longer)
+        return F.struct(got["dice"].alias("dice"), F.lit(n).alias("n"), F.lit(-order).alias("order"), (-x["at"]).alias("at"), (-got["length"]).alias("length"), F.lit(name).alias("license"))
 
-    windows = F.flatten(F.transform(starts, lambda x: F.array(window(x, n), window(x, most))))
-    return F.array_max(F.filter(windows, lambda m: m["dice"] >= threshold))
+    bound = F.transform(F.array(placed), lambda p: F.array_max(F.filter(F.transform(starts, lambda x: best_end(p, x)), lambda m: m["dice"] >= threshold)))
+    return F.when(F.size(starts) > 0, F.get(bound, F.lit(0)))
 
 
 def license_matches(
@@ -188,7 +196,7 @@ def _values() -> str:
     return f"(VALUES {rows}) t(ord, license, body, most)"
 
 
-#: Every window of the two sizes that starts with a bigram of a template, without any pruning.
+#: Every window of a size that can match, between any two bigrams of a template, without any pruning.
 SQL = f"""
     WITH tw AS (
       SELECT ord, license, most, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM {_values()}
@@ -199,15 +207,14 @@ SQL = f"""
       SELECT row_number() OVER () AS rid, doc_id,
              list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents
     ), p AS (SELECT rid, unnest(w[1:len(w) - 1]) || ' ' || unnest(w[2:]) AS gram, unnest(range(len(w) - 1)) AS pos FROM d WHERE len(w) > 1),
-    k AS (SELECT rid, ord, pos, gram, c FROM p JOIN tg USING (gram)),
+    k AS (SELECT rid, ord, pos, gram, c, row_number() OVER (PARTITION BY rid, ord, gram ORDER BY pos) AS nth FROM p JOIN tg USING (gram)),
     s AS (
-      SELECT rid, ord, pos, size, size AS span FROM k JOIN ts USING (ord)
-      UNION SELECT rid, ord, pos, size, most FROM k JOIN ts USING (ord)
-    ), g AS (
-      SELECT s.rid, s.ord, s.pos, s.size, s.span, k.gram, least(count(*), any_value(k.c)) AS c, max(k.pos) AS final
-      FROM s JOIN k ON k.rid = s.rid AND k.ord = s.ord AND k.pos >= s.pos AND k.pos < s.pos + s.span GROUP BY ALL
+      SELECT a.rid, a.ord, a.pos, b.pos AS final, b.gram, b.c, count(*) OVER (PARTITION BY a.rid, a.ord, a.pos, b.gram ORDER BY b.pos) AS times
+      FROM k a JOIN k b ON b.rid = a.rid AND b.ord = a.ord AND b.pos >= a.pos JOIN ts ON ts.ord = a.ord AND b.pos < a.pos + ts.most
     ), m AS (
-      SELECT rid, ord, pos, size, max(final) - pos + 1 AS length, 2.0 * sum(c) / (max(final) - pos + 1 + size) AS dice FROM g GROUP BY rid, ord, pos, size, span
+      SELECT rid, ord, pos, size, final - pos + 1 AS length,
+             2.0 * sum(CASE WHEN times <= c THEN 1 ELSE 0 END) OVER (PARTITION BY rid, ord, pos ORDER BY final) / (final - pos + 1 + size) AS dice
+      FROM s JOIN ts USING (ord)
     ), hit AS (
       SELECT m.*, row_number() OVER (PARTITION BY rid ORDER BY dice DESC, size DESC, ord, pos, length) AS r FROM m WHERE dice >= {THRESHOLD}
     ), n AS (SELECT rid, count(DISTINCT ord) AS n FROM hit GROUP BY rid)

@@ -14,22 +14,27 @@ DOCS = "doc_id bigint, text string, license string"
 
 
 def brute(text):
-    """Dice of every window of a template's size and of the largest size that starts with one of its bigrams."""
+    """Dice of every window of a template's bigrams and more, from any word to any other, up to the largest size that can match."""
     w = re.sub("[^a-z0-9]+", " ", (text or "").lower()).split()
     g = list(zip(w, w[1:]))
     hits = []
     for k, t in enumerate(licenses.TEMPLATES.values()):
         bag = Counter(zip(x := re.sub("[^a-z0-9]+", " ", t.lower()).split(), x[1:]))
-        n, best = sum(bag.values()), []
-        for i in (i for i, p in enumerate(g) if p in bag):
-            for size in (n, math.floor(n * 1.5 + 1e-9)):
-                part = g[i : i + size]
-                while part[-1] not in bag:
-                    part.pop()
-                d = 2 * sum((Counter(part) & bag).values()) / (len(part) + n)
+        n, best = sum(bag.values()), None
+        if not bag.keys() & set(g):
+            continue
+        for i in range(len(g)):
+            if len(g) > 2_000 and g[i] not in bag:  # can't be the start of a best window
+                continue
+            left, common = Counter(bag), 0
+            for j in range(i, min(len(g), i + math.floor(n * 1.5 + 1e-9))):
+                if left[g[j]] > 0:
+                    left[g[j]] -= 1
+                    common += 1
+                d = 2 * common / (j - i + 1 + n)
                 if d >= licenses.THRESHOLD:
-                    best.append((-d, -n, k, i, len(part)))
-        hits += [min(best)] if best else []
+                    best = min(best or (1,), (-d, -n, k, i, j - i + 1))
+        hits += [best] if best else []
     first = min(hits, default=None)
     return (len(hits), None, -1, 0) if first is None else (len(hits), list(licenses.TEMPLATES)[first[2]], *first[3:])
 
@@ -45,6 +50,9 @@ def test_licences_match_brute_force(spark):
         "copyright of somebody. Released under the MIT License. And prose goes on in the same line for a good while.",
         " ".join(words[:100]), " ".join(words[:60] + ["inserted", "words"] * 9 + words[60:]), full + " " + full, " ".join(reversed(words)), licenses.TEMPLATES["BSD-3-Clause"].replace("3.", "neither 3."),
         " ".join(w + " odd" for w in t[1].split()),
+        "This Source Code Form indeed is subject to the terms of the Mozilla Public great License, v. 2.0.",
+        "This Source Code Form indeed is subject to the terms of the Mozilla Public great License, v. 2.0. use of the may to to the be for the the code",
+        "of the terms of the " + t[12].replace("subject", "very subject") + " of the Mozilla Public terms of the",
     ]
     rows = [(i, x, "clash") for i, x in enumerate(texts)] + [(6, t[0], None), (None, t[0], None)]
     got = licenses.license_matches(spark.createDataFrame(rows, DOCS)).collect()
@@ -54,6 +62,7 @@ def test_licences_match_brute_force(spark):
         assert (r.n_matches, r.license, r.first_word, r.n_bigrams) == want.get(r.doc_id, brute(t[0])), r.doc_id
     by = {r.doc_id: r.license for r in got}
     assert by[16] == "MIT-text" and by[17] == "MIT" and by[19] == "MIT-grant" and by[20] == "MIT-text"
+    assert by[24] == by[25] == "MPL-2.0"
     assert licenses.license_matches(spark.createDataFrame([], DOCS)).count() == 0
     assert licenses.license_matches(spark.createDataFrame(rows, DOCS), templates={}).agg(F.sum("n_matches")).first()[0] == 0
 
