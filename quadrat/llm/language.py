@@ -1,15 +1,15 @@
 """Language identification by compression.
 
 One raw-content zstandard dictionary is built for each language from a bounded
-sample of learned texts: at most ``PER_LANGUAGE`` texts, each of which gives
-snippets drawn by hash from all its letters, every one of them part of the
-dictionary. A text belongs to the language whose dictionary makes it smallest. Texts and samples are reduced to lower-cased letters and single
-blanks first, so case, digits and marks say nothing. A long text is compressed
+sample of learned texts: at most ``PER_LANGUAGE`` texts, all letters of each. A
+text belongs to the language whose dictionary makes it smallest. Texts and
+samples are reduced to lower-cased letters and single blanks first, so case,
+digits and marks say nothing. A long text is compressed
 in equal pieces of at most ``PIECE`` bytes, each against the dictionaries alone,
-and the sizes are added up: a margin says the same of a page and of a book. The sample is cleaned by
-its own first dictionaries: a snippet that another language's dictionary makes
-smaller (foreign passages inside a text, boilerplate) is left out of the final
-ones.
+and the sizes are added up: a margin says the same of a page and of a book. The
+sample is cleaned: each half of a language's texts is judged by dictionaries of
+the other halves, and a snippet that another language's makes smaller (a foreign
+passage inside a text) is left out of the final ones.
 
 ``score`` is 1 - exp(-50 m), m the share by which the second best language is
 larger; texts with m under ``MIN_MARGIN`` are marked ``rejected``. A NULL text
@@ -25,22 +25,19 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 
 from quadrat.llm import learn
-from quadrat.llm.memory import releasing
 
 LEVEL, SNIPPET, PIECE = 6, 300, 8 << 10
-PER_LANGUAGE = 1_000  # learned texts of each language, at most
-MAX_LANGUAGES = 512  # more raise an error
+PER_LANGUAGE = 256  # learned texts of each language, at most, each with all its letters
+MAX_LANGUAGES = 128  # more raise an error
 MIN_MARGIN = 0.002
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -53,12 +50,11 @@ def letters(text: str | None) -> bytes:
     return _plain(text).encode("utf-8", "replace")
 
 
-def snippets_of(ident: int, text: str | None, most: int) -> bytes:
-    """At most ``most`` of the equal snippets that a text's letters fall into, drawn by hash, one a line."""
+def snippets_of(text: str | None) -> bytes:
+    """All letters of a whole text, in equal snippets of at most ``SNIPPET``, one a line."""
     plain = _plain(text)
     n = -(-len(plain) // SNIPPET)
-    drawn = sorted(range(n), key=lambda i: (zlib.crc32(b"%d/%d" % (ident, i)), i))[:most]
-    return b"\n".join(plain[len(plain) * i // n : len(plain) * (i + 1) // n].encode("utf-8", "replace") for i in drawn)
+    return b"\n".join(plain[len(plain) * i // n : len(plain) * (i + 1) // n].encode("utf-8", "replace") for i in range(n))
 
 
 def compressors(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
@@ -78,20 +74,29 @@ def sizes(coders: list, text: bytes) -> list[int]:
 
 
 def fit(feats: list[bytes], lang: np.ndarray) -> dict | None:
-    """Dictionary bytes for each language of the sample (lines of snippets), in name order."""
-    snippets: dict[str, list[bytes]] = {}
+    """Dictionary bytes for each language of the sample (lines of snippets), in name order.
+
+    Texts of one half are judged by dictionaries of the other, so no snippet is
+    found in a dictionary only because it was put there.
+    """
+    halves: dict[str, tuple[list[bytes], list[bytes]]] = {}
     for feat, name in zip(feats, lang.tolist()):
         if feat:
-            snippets.setdefault(name, []).extend(s + b" " for s in feat.split(b"\n"))
-    names = sorted(snippets)
+            own = halves.setdefault(name, ([], []))
+            own[sum(map(len, own[0])) > sum(map(len, own[1]))].extend(s + b" " for s in feat.split(b"\n"))
+    names = sorted(halves)
     if not names:
         return None
-    first = compressors([b"".join(snippets[n]) for n in names])
+    first = [compressors([b"".join(halves[n][h] or halves[n][1 - h]) for n in names]) for h in (0, 1)]
     final = []
     for i, name in enumerate(names):
-        got = [sizes(first, s) for s in snippets[name]]
-        clean = [s for s, g in zip(snippets[name], got) if len(g) == 1 or g[i] < min(g[:i] + g[i + 1 :])] or snippets[name]
-        final.append(b"".join(clean))
+        clean = []
+        for h in (0, 1):
+            for s in halves[name][h]:
+                g = sizes(first[1 - h], s)
+                if len(g) == 1 or g[i] <= min(g[:i] + g[i + 1 :]):
+                    clean.append(s)
+        final.append(b"".join(clean or halves[name][0] + halves[name][1]))
     return {"names": np.array(names), "dicts": np.frombuffer(b"".join(final), np.uint8), "ends": np.cumsum([len(d) for d in final])}
 
 
@@ -115,14 +120,12 @@ def classifier(model: dict | None):
 
 
 def learned_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """``(_id, feat, y)``: snippets of at most ``per_language`` texts a language outside fold 0, by hash order of the id.
+    """``(_id, feat, y)``: all letters of at most ``per_language`` texts a language outside fold 0, by hash order of the id.
 
     Distinct ids are counted for each language (one row each, checked); a
     threshold on the id's hash lets slightly more than enough of a language's
     ids through, so however many rows a language has, few are ranked. The
     picked ids are broadcast: at most ``per_language`` x ``MAX_LANGUAGES``.
-    A language of m learned texts takes up to ceil(``per_language`` / m)
-    snippets of each, from anywhere in the whole text.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(lang_col).cast("string").alias("y"), F.col(text_col).cast("string").alias("text"))
@@ -135,8 +138,7 @@ def learned_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, p
     near = keys.join(F.broadcast(shares), "y").where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= F.col("share")).select("_id", "y").distinct()
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id"))
     picked = near.withColumn("r", rank).where(F.col("r") <= per_language).drop("r")
-    most = {r.y: -(-per_language // max(1, min(per_language, r.n))) for r in sizes_of}
-    return learn.encoded(named.join(F.broadcast(picked), ["_id", "y"]), lambda _id, y, text: snippets_of(_id, text, most[y]))
+    return learn.encoded(named.join(F.broadcast(picked), ["_id", "y"]), lambda _id, y, text: snippets_of(text))
 
 
 _FOUND = ("lang_pred", StringType()), ("score", DoubleType()), ("margin", DoubleType())
@@ -149,16 +151,11 @@ def with_languages(
     """``docs`` row by row, all columns as they are, and ``lang_pred``, ``score`` and ``margin`` (names after ``prefix``)."""
     raw = learn.train(learned_sample(docs, id_col, text_col, lang_col, per_language), fit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         one = classifier(learn.unpack(raw) if raw else None)
+        return lambda texts: [pa.array(g, pa.string() if n == "lang_pred" else pa.float64()) for (n, _), g in zip(_FOUND, zip(*map(one, texts)))]
 
-        def judge(texts: list) -> dict[str, pa.Array]:
-            got = zip(*map(one, texts))
-            return {prefix + n: pa.array(g, pa.string() if n == "lang_pred" else pa.float64()) for (n, _), g in zip(_FOUND, got)}
-
-        yield from learn.beside(batches, text_col, judge)
-
-    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, *(StructField(prefix + n, kind) for n, kind in _FOUND)]))
+    return learn.beside(docs, text_col, [StructField(prefix + n, kind) for n, kind in _FOUND], judge)
 
 
 def languages(

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quadrat.llm.memory import releasing
 
@@ -81,13 +82,25 @@ def unpack(raw: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def beside(batches: Iterator[pa.RecordBatch], text_col: str, judge: Callable[[list], dict[str, pa.Array]], size: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` as they are, in parts of at most ``size``, with the columns that ``judge`` finds for their texts."""
-    for batch in batches:
-        for at in range(0, len(batch), size):
-            part = batch.slice(at, size)
-            found = judge(part.column(part.schema.get_field_index(text_col)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, *found.values()], names=[*part.schema.names, *found])
+def beside(docs: DataFrame, text_col: str, fields: list[StructField], judge: Callable[[], Callable[[list], list[pa.Array]]], size: int = 1_000) -> DataFrame:
+    """``docs`` row by row, columns as they are whatever their names, and the ``fields`` that a task's judge finds for texts.
+
+    Columns travel by number: names with dots or in two cases would be looked up as paths or as one.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = judge()
+        for batch in batches:
+            for start in range(0, len(batch), size):
+                part = batch.slice(start, size)
+                more = found(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[f"c{i}" for i in range(len(part.columns) + len(more))])
+
+    kinds = [*docs.schema.fields, *fields]
+    numbered = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(kinds)])
+    plain = docs.toDF(*numbered.names[: len(docs.columns)])
+    return plain.mapInArrow(releasing(run), numbered).toDF(*(f.name for f in kinds))
 
 
 def batches(n: int, size: int, epochs: int, rng, least: int = 1_000) -> Iterator[np.ndarray]:

@@ -19,16 +19,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
 from quadrat.llm import learn
-from quadrat.llm.memory import releasing
 
 DIM, ROWS, HIDDEN = 64, 1 << 14, 32
 LIMIT = 5_000  # training rows of each class, at most
@@ -174,11 +172,11 @@ def with_scores(
     sample = learn.labelled_sample(docs, labels, label_col, id_col, text_col, lambda c: learn.fold(c, 4) != 2, limit, encode)
     raw = learn.train(sample, fit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge():
         score = scorer(learn.unpack(raw)) if raw else lambda texts: np.full(len(texts), 0.5)
-        yield from learn.beside(batches, text_col, lambda texts: {score_col: pa.array(score(texts), pa.float64())})
+        return lambda texts: [pa.array(score(texts), pa.float64())]
 
-    return docs.mapInArrow(releasing(run), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return learn.beside(docs, text_col, [StructField(score_col, DoubleType())], judge)
 
 
 def quality_scores(

@@ -38,7 +38,7 @@ def test_languages(spark):
 def test_margin_of_a_clean_text_does_not_fall_with_its_length():
     rng = random.Random(4)
     names = [n for n in STEMS for _ in range(200)]
-    one = language.classifier(language.fit([language.snippets_of(i, words(rng, STEMS[n], 40), 1) for i, n in enumerate(names)], np.array(names)))
+    one = language.classifier(language.fit([language.snippets_of(words(rng, STEMS[n], 40)) for i, n in enumerate(names)], np.array(names)))
     for name in STEMS:
         page, book = words(rng, STEMS[name], 1_000), words(rng, STEMS[name], 500_000)
         assert len(book) > 3_000_000 and one(page)[0] == one(book)[0] == name
@@ -134,7 +134,7 @@ def test_language_equals_the_smallest_of_plain_compressions():
     import zstandard
 
     rng = random.Random(5)
-    m = language.fit([language.snippets_of(i, words(rng, STEMS[n], 80), 2) for n in STEMS for i in range(30)], np.array([n for n in STEMS for _ in range(30)]))
+    m = language.fit([language.snippets_of(words(rng, STEMS[n], 80)) for n in STEMS for i in range(30)], np.array([n for n in STEMS for _ in range(30)]))
     raw, ends = m["dicts"].tobytes(), m["ends"].tolist()
     for text in [words(rng, STEMS["bb"], 9), words(rng, STEMS["cc"], 5_000), "thi ñado", "", "12", None]:
         plain = language.letters(text)
@@ -157,12 +157,26 @@ def test_seventy_languages_are_all_learned(spark):
     assert np.mean([r.lang_pred == f"l{r.doc_id % 70:02}" for r in got]) > 0.97 and len({r.lang_pred for r in got}) > 55
 
 
-def test_snippets_come_from_the_whole_text():
+def test_snippets_are_all_letters_of_a_text():
     text = " ".join("".join(random.Random(i).sample("abcdefghijkl", 6)) for i in range(20_000))
-    got = language.snippets_of(7, text, 400).decode().split("\n")
-    spots = sorted(text.index(g) / len(text) for g in got)
-    assert len(got) == 400 and spots[0] < 0.02 and spots[-1] > 0.98 and max(np.diff(spots)) < 0.05
-    assert language.snippets_of(7, "12 !", 5) == b"" and b"\n" not in language.snippets_of(7, "a\nb", 5)
+    got = language.snippets_of(text).decode().split("\n")
+    assert "".join(got) == text and max(map(len, got)) <= language.SNIPPET
+    assert language.snippets_of("12 !") == language.snippets_of(None) == b"" and b"\n" not in language.snippets_of("a\nb")
+
+
+def test_dictionaries_hold_whole_texts_but_for_foreign_passages():
+    rng = random.Random(7)
+    own = [words(rng, STEMS["bb"], 3_000) for _ in range(6)]
+    foreign = words(rng, STEMS["cc"], 400)
+    mixed = words(rng, STEMS["bb"], 400) + " " + foreign + " " + words(rng, STEMS["bb"], 400)
+    other = [words(rng, STEMS["cc"], 3_000) for _ in range(6)]
+    m = language.fit([language.snippets_of(t) for t in [*own, mixed, *other]], np.array(["bb"] * 7 + ["cc"] * 6))
+    learned, end = m["dicts"].tobytes(), m["ends"].tolist()[0]
+    held = b"".join(learned[:end].split(b" "))
+    for t in own:
+        assert language.letters(t).replace(b" ", b"") in held
+    middle = language.letters(foreign).replace(b" ", b"")
+    assert middle[len(middle) // 3 : -len(middle) // 3] not in held
 
 
 def test_pair_of_terms_that_no_additive_model_has():

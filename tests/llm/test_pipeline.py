@@ -97,3 +97,15 @@ def test_very_long_texts_and_clashing_columns(spark, sf, tmp_path):
     assert {r.doc_id for r in docs.where("doc_id in (900, 901)").collect()} == {900}
     pieces = corpus_pipeline.run(spark, str(tmp_path)).where("doc_id = 900").orderBy("piece").collect()
     assert len(pieces) > 50 and all(r.length == 4096 for r in pieces[:-1]) and [r.start for r in pieces] == [4096 * i for i in range(len(pieces))]
+
+
+@pytest.mark.parametrize("names", [["_score", "_margin", "_row", "a.b", "a`b", "component_id", "node"], ["_SCORE", "__lang_pred", "_Row", "__row", "_row_at", "n_shingles", "C0"]])
+def test_columns_of_any_name_are_kept(spark, sf, names):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = docs.columns
+    docs = docs.select("*", *((docs.doc_id + 1000 * (i + 1)).alias(f"m{i}") for i in range(len(names)))).toDF(*plain, *names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        got = out.toDF(*plain, *(f"m{i}" for i in range(len(names)))).drop("text").collect()
+        assert len(got) > 50 and all(r[f"m{i}"] == r.doc_id + 1000 * (i + 1) for r in got for i in range(len(names)))
