@@ -208,20 +208,25 @@ def bucket_keys(fp: Column, radius: int, parts: int) -> list[Column]:
     return [F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)]
 
 
-def _tiled(prints: DataFrame, radius: int, parts: int, block: int) -> DataFrame:
-    """``(tile, fp, side)``: where each fingerprint is compared.
+def _met(rows: DataFrame, one: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row for each ``key`` and the number ``k`` of its rows.
 
-    Buckets with more than a 256th of all keyed rows (so at most 256) are
-    broadcast and their rows meet their size over ``SALTS`` keys.
+    Keys with more than a 256th of all ``total`` rows (so at most 256 of them,
+    which are broadcast) meet over ``SALTS`` keys, by the hash of ``spread``.
     """
+    hot = F.col("k") > max(HOT, total // 256)
+    few = F.broadcast(one.where(hot).select(key, F.lit(True).alias("hot")))
+    salted = rows.join(few, key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(one.withColumn("salt", F.explode(salts)), [key, "salt"]).drop("salt", "hot")
+
+
+def _tiled(prints: DataFrame, radius: int, parts: int, block: int) -> DataFrame:
+    """``(tile, fp, side)``: where each fingerprint is compared."""
     keys = bucket_keys(F.col("fp"), radius, parts)
     keyed = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "buckets")
-    hot = F.col("k") > max(HOT, prints.count() * len(keys) // 256)
-    few = F.broadcast(sizes.where(hot).select("key", F.lit(True).alias("hot")))
-    salted = keyed.join(few, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(0))
-    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    met = salted.join(sizes.select("key", "k", F.explode(salts).alias("salt")), ["key", "salt"])
+    met = _met(keyed, sizes, "key", "fp", prints.count() * len(keys))
     met = met.withColumn("g", F.ceil(F.col("k") / F.lit(block)).cast("int"))
     met = met.withColumn("i", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("g")).cast("int"))
     i = F.col("i")
@@ -244,14 +249,15 @@ def near_duplicates(
         raise ValueError("radius must be less than parts")
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     sketch = cut(texts.mapInArrow(releasing(_sketch(width, seed)), "id bigint, fp bigint"), "fingerprints")
-    prints = cut(sketch.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
-    dealt = _tiled(prints, radius, parts, block).repartition(F.col("tile")).sortWithinPartitions("tile")
+    prints = cut(sketch.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")), "prints")
+    dealt = _tiled(prints.select("fp"), radius, parts, block).repartition(F.col("tile")).sortWithinPartitions("tile")
     links = dealt.mapInArrow(releasing(_compare(radius)), "a bigint, b bigint")
     groups = connected_components(links).withColumnRenamed("node", "fp")
     grouped = prints.join(groups, "fp")
     least = grouped.groupBy("root").agg(F.min("rep").alias("component"))
     owner = prints.join(grouped.join(least, "root").select("fp", "component"), "fp", "left")
-    found = sketch.join(owner.select("fp", F.coalesce("component", "rep").alias("component_id")), "fp")
+    owner = cut(owner.select("fp", F.coalesce("component", "rep").alias("component_id"), "k"), "owners")
+    found = _met(sketch, owner, "fp", "id", sketch.count())
     return found.select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
