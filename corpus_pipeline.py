@@ -14,6 +14,14 @@ from quadrat.llm import language, near_dedup, packing, quality
 from quadrat.session import cut
 
 
+def unused(docs: DataFrame, *stems: str) -> list[str]:
+    """The stems after as many underscores as no column name begins like, in any case."""
+    taken, mark = {c.lower() for c in docs.columns}, "_"
+    while any((mark + s).lower() in taken for s in stems):
+        mark += "_"
+    return [mark + s for s in stems]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the quality classifier doesn't reject.
 
@@ -23,7 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stays empty. Extra columns are kept, whatever their names.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.with_scores(docs, labels, score_col="_score").where(F.col("_score") >= quality.REJECT).select(docs.columns)
+    (score,) = unused(docs, "score")
+    return quality.with_scores(docs, labels, score_col=score).where(F.col(score) >= quality.REJECT).drop(score)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +43,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     pieces; repeated rows share their fate; an empty table stays empty. Extra
     columns are kept, whatever their names.
     """
-    return language.with_languages(docs, prefix="_").where(F.col("_margin") >= language.MIN_MARGIN).select(docs.columns)
+    found = unused(docs, "lang_pred", "score", "margin")
+    judged = language.with_languages(docs, prefix=found[0].removesuffix("lang_pred"))
+    return judged.where(F.col(found[2]) >= language.MIN_MARGIN).drop(*found)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +54,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Groups are found over row keys written with the table. A NULL id comes
     after all ids; NULL texts and texts without words are groups of their own.
     Texts of any length are compared whole; an empty table stays empty. Extra
-    columns are kept, but for names that start with ``_row``.
+    columns are kept, whatever their names.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = near_dedup.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(docs.columns)
+    (row,) = unused(docs, "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_dedup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    kept = rows.select(row, "doc_id").join(groups, row).groupBy("component_id").agg(first.alias("first")).select(F.col("first")[row].alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
