@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.functions.numeric import ratio
+
 
 def relative(df: DataFrame, group: list[str], value: str = "n", out: str = "rel") -> DataFrame:
-    return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy(*group)))
+    return df.withColumn(out, ratio(value, F.sum(value).over(Window.partitionBy(*group))))
 
 
 def zero_filled(df: DataFrame, group: list[str], part: str, value: str = "n") -> DataFrame:
@@ -31,15 +33,15 @@ def clr(df: DataFrame, group: list[str], part: str, value: str = "n", pseudo: fl
     else:
         total = F.sum(value).over(w)
         empty = F.sum(F.when(F.col(value) == 0, 1).otherwise(0)).over(w)
-        delta = F.lit(0.65) / total
-        x = F.log(F.when(F.col(value) == 0, delta).otherwise(F.col(value) / total * (1 - empty * delta)))
+        delta = ratio(F.lit(0.65), total)
+        x = F.log(F.when(F.col(value) == 0, delta).otherwise(ratio(value, total) * (1 - empty * delta)))
     return full.withColumn("_x", x).withColumn("clr", F.col("_x") - F.avg("_x").over(w)).drop("_x")
 
 
 def guild_logratio(df: DataFrame, group: list[str], part: str, members: list, value: str = "n", pseudo: float = 0.5) -> DataFrame:
     inside = F.sum(F.when(F.col(part).isin(*members), F.col(value)).otherwise(0))
     outside = F.sum(F.when(F.col(part).isin(*members), 0).otherwise(F.col(value)))
-    return df.groupBy(*group).agg(F.log((inside + pseudo) / (outside + pseudo)).alias("log_ratio"))
+    return df.groupBy(*group).agg(F.log(ratio(inside + pseudo, outside + pseudo)).alias("log_ratio"))
 
 
 def pulse_kernel(lag: Column, peak: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.functions.numeric import lgamma
+from quadrat.functions.numeric import lgamma, ratio
 
 
 def alpha_basic(counts: DataFrame, profile: list[str] = ("profile",), n: str = "n") -> DataFrame:
@@ -68,7 +68,7 @@ def abundance_by_rank(counts: DataFrame, taxonomy: DataFrame, ranks: int, featur
     levels = F.explode(F.sequence(F.lit(1), F.lit(ranks))).alias("rank")
     at = cells.select(profile, "lineage", "n", levels).withColumn("taxon", F.concat_ws(";", F.slice("lineage", F.lit(1), F.col("rank"))))
     sums = at.groupBy(profile, "rank", "taxon").agg(F.sum("n").alias("n"), F.min(F.element_at("lineage", F.col("rank"))).alias("label"))
-    return sums.withColumn("relative", F.col("n") / F.sum("n").over(Window.partitionBy(profile, "rank")))
+    return sums.withColumn("relative", ratio("n", F.sum("n").over(Window.partitionBy(profile, "rank"))))
 
 
 def collapse_replicates(df: DataFrame, keys: list[str], rates: list[str], totals: list[str] = ()) -> DataFrame:
@@ -94,7 +94,7 @@ def merge_duplicates(df: DataFrame, ident: str, normalized: Column, feature: str
     rows = df.withColumn("_id", normalized)
     k = rows.select("_id", ident).distinct().groupBy("_id").agg(F.count(F.lit(1)).alias("n_merged"))
     sums = rows.groupBy("_id", feature).agg(F.sum(value).alias("_v")).join(k, "_id")
-    out = F.col("_v") / F.col("n_merged") if how == "avg" else F.col("_v") / F.sum("_v").over(Window.partitionBy("_id"))
+    out = F.col("_v") / F.col("n_merged") if how == "avg" else ratio("_v", F.sum("_v").over(Window.partitionBy("_id")))
     return sums.select(F.col("_id").alias(ident), feature, out.alias(value), "n_merged")
 
 
@@ -197,8 +197,8 @@ def removal_summary(counts: DataFrame, called: DataFrame, group: str, feature: s
     """Per group: mean, median and largest share of a profile's reads that called features carry, and the pooled share."""
     mark = counts.join(called.select(feature).distinct().withColumn("_c", F.lit(True)), feature, "left")
     per = mark.groupBy(group, profile).agg(F.sum(n).alias("t"), F.sum(F.when(F.col("_c"), F.col(n)).otherwise(0)).alias("r"))
-    f = F.col("r") / F.col("t")
-    return per.groupBy(group).agg(F.count(F.lit(1)).alias("profiles"), F.avg(f).alias("mean_share"), F.median(f).alias("median_share"), F.max(f).alias("max_share"), (F.sum("r") / F.sum("t")).alias("pooled_share"))
+    f = ratio("r", "t")
+    return per.groupBy(group).agg(F.count(F.lit(1)).alias("profiles"), F.avg(f).alias("mean_share"), F.median(f).alias("median_share"), F.max(f).alias("max_share"), ratio(F.sum("r"), F.sum("t")).alias("pooled_share"))
 
 
 def scenario_grid(scores: DataFrame, score: str, support: str, thresholds: list[float], supports: list[int]) -> DataFrame:

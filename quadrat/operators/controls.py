@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrat.functions.numeric import ratio
 from quadrat.operators.agg import alpha_basic, role_presence, scenario_grid
 from quadrat.operators.stats import fisher_greater
 
@@ -14,7 +15,7 @@ def contaminant_scores(counts: DataFrame, roles: DataFrame, profile: str = "prof
     totals = roles.agg(F.count_if("is_control").alias("_k"), F.count_if(~F.col("is_control")).alias("_s"))
     p = role_presence(counts.join(roles.select(profile, "is_control"), profile), "is_control").join(F.broadcast(totals))
     a, b = F.col("in_controls"), F.col("in_samples")
-    return p.withColumn("p", F.when(a > 0, fisher_greater(a, F.col("_k") - a, b, F.col("_s") - b)).otherwise(1.0)).withColumn("share_controls", a / F.col("_k")).withColumn("share_samples", b / F.col("_s")).drop("_k", "_s")
+    return p.withColumn("p", F.when(a > 0, fisher_greater(a, F.col("_k") - a, b, F.col("_s") - b)).otherwise(1.0)).withColumn("share_controls", ratio(a, "_k")).withColumn("share_samples", ratio(b, "_s")).drop("_k", "_s")
 
 
 def contaminant_screen(counts: DataFrame, roles: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -45,7 +46,7 @@ def spillover(counts: DataFrame, roles: DataFrame, taxonomy: DataFrame, expected
     rows = counts.join(wanted, "feature", "left_semi").join(roles, "profile")
     carried = rows.where((F.col("role") == positive) & (F.col("n") > 0)).select("feature").distinct()
     depth = counts.groupBy("profile").agg(F.sum("n").alias("depth"))
-    return rows.join(carried, "feature", "left_semi").where("n > 0").join(depth, "profile").groupBy("feature", "role").agg(F.count(F.lit(1)).alias("profiles"), F.sum("n").alias("reads"), F.max(F.col("n") / F.col("depth")).alias("max_share"))
+    return rows.join(carried, "feature", "left_semi").where("n > 0").join(depth, "profile").groupBy("feature", "role").agg(F.count(F.lit(1)).alias("profiles"), F.sum("n").alias("reads"), F.max(ratio("n", "depth")).alias("max_share"))
 
 
 def apply_removal(counts: DataFrame, called: DataFrame) -> tuple[DataFrame, DataFrame]:

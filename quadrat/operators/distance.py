@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.functions.numeric import ratio
+
 
 def shared(df: DataFrame, unit: str, part: str, value: str) -> DataFrame:
     """``(a, b, low, both, sum_a, sum_b, n_a, n_b)`` for all unit pairs a < b, with 0 where nothing is shared."""
@@ -65,13 +67,16 @@ def geo_pairs(points: DataFrame, ident: str = "site") -> DataFrame:
 
 
 def ratio_jackknife(pairs: DataFrame, top: str, bottom: str) -> DataFrame:
-    """Mean of one pair value over the mean of another, with its delete-one-unit jackknife standard error."""
+    """Mean of one pair value over the mean of another, with its delete-one-unit jackknife standard error.
+
+    NULL where the bottom is 0; ``n_units`` are the units without which it is not.
+    """
     total = pairs.agg(F.sum(top).alias("all_top"), F.sum(bottom).alias("all_bottom"))
     own = pairs.select(F.explode(F.array("a", "b")).alias("u"), top, bottom).groupBy("u").agg(F.sum(top).alias("own_top"), F.sum(bottom).alias("own_bottom"))
-    loo = own.join(F.broadcast(total)).withColumn("r", (F.col("all_top") - F.col("own_top")) / (F.col("all_bottom") - F.col("own_bottom")))
-    n = F.count(F.lit(1))
-    se = F.sqrt((n - 1) / n * (F.sum(F.col("r") * F.col("r")) - n * F.avg("r") * F.avg("r")))
-    return loo.agg((F.max("all_top") / F.max("all_bottom")).alias("ratio"), F.avg("r").alias("jackknife_mean"), se.alias("se"), n.alias("n_units"))
+    loo = own.join(F.broadcast(total)).withColumn("r", ratio(F.col("all_top") - F.col("own_top"), F.col("all_bottom") - F.col("own_bottom")))
+    n = F.count("r")
+    se = F.sqrt(ratio(n - 1, n) * (F.sum(F.col("r") * F.col("r")) - n * F.avg("r") * F.avg("r")))
+    return loo.agg(ratio(F.max("all_top"), F.max("all_bottom")).alias("ratio"), F.avg("r").alias("jackknife_mean"), se.alias("se"), n.alias("n_units"))
 
 
 def median_dissimilarity(pairs: DataFrame, group: list[str | Column], d: str = "d") -> DataFrame:

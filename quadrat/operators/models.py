@@ -473,7 +473,7 @@ def compare_networks(edges: DataFrame, group: str, first, second, possible: int)
     b = edges.where(F.col(group) == second).select("a", "b", F.lit(1).alias("y"))
     j = a.join(b, ["a", "b"], "full_outer")
     g = j.agg(F.count("x").alias("n_first"), F.count("y").alias("n_second"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("shared"), F.count(F.lit(1)).alias("either"))
-    return g.withColumns({"density_difference": (F.col("n_first") - F.col("n_second")) / F.lit(float(possible)), "jaccard": F.when(F.col("either") > 0, F.col("shared") / F.col("either"))})
+    return g.withColumns({"density_difference": ratio(F.col("n_first") - F.col("n_second"), F.lit(float(possible))), "jaccard": F.when(F.col("either") > 0, F.col("shared") / F.col("either"))})
 
 
 def design_rank(df: DataFrame, x: list[str], tol: float = 1e-9) -> DataFrame:

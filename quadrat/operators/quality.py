@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 class RuleError(ValueError):
@@ -133,17 +136,118 @@ def conservation(abundance: DataFrame, source: DataFrame, keys: list[str], tol:
     return j.withColumn("problem", F.when(F.abs(F.col("relative") - 1) > tol, "relative").when(~F.col("n").eqNullSafe(F.col("source_n")), "absolute")).where("problem is not null")
 
 
+def tolerance_windows(df: DataFrame, group: list[str], value: str, abs_tol: float, rel_tol: float, out: str) -> DataFrame:
+    """``df`` with a number ``out`` of each run of rows of a group whose neighbouring values are within tolerance.
+
+    Rows of different runs are never within tolerance (for ``rel_tol`` up to 1).
+    The order is dealt by ranges; a range learns the last row before it and the
+    runs before it from a table of one row a range, so no group sits in one task.
+    """
+    from quadrat.session import cut
+
+    order = [*group, value]
+    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    w, ranges = Window.partitionBy("_p").orderBy(*order), Window.orderBy("_p")
+    last = ranged.groupBy("_p").agg(F.max(F.struct(*order)).alias("_z"))
+    last = F.broadcast(last.select("_p", F.lag("_z").over(ranges).alias("_z")))
+    before = F.coalesce(F.lag(F.struct(*order)).over(w), F.col("_z"))
+    reach = F.greatest(F.lit(abs_tol), F.greatest(F.abs(value), F.abs(before[value])) * rel_tol)
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(before[c]) for c in group), F.lit(True))
+    opened = F.when(before.isNotNull() & same & (F.col(value) - before[value] <= reach), 0).otherwise(1)
+    marked = ranged.join(last, "_p").withColumn("_open", opened)
+    total = marked.groupBy("_p").agg(F.sum("_open").alias("_o"))
+    total = F.broadcast(total.select("_p", F.coalesce(F.sum("_o").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o")))
+    return marked.join(total, "_p").withColumn(out, F.col("_o") + F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_p", "_z", "_open", "_o")
+
+
+def matching(actual: np.ndarray, expected: np.ndarray, n_actual: list[int], n_expected: list[int], abs_tol: float, rel_tol: float) -> int:
+    """Size of a largest matching of rows within tolerance in every number; equal rows stand once, with how many they are.
+
+    Augmenting paths over the distinct rows: a path moves as many rows as its
+    narrowest part has.
+    """
+    near = [np.flatnonzero((np.abs(actual - e) <= np.maximum(abs_tol, np.abs(e) * rel_tol)).all(axis=1)).tolist() for e in expected]
+    free, flow, size = list(n_actual), [dict() for _ in actual], 0
+    for e, wanted in enumerate(n_expected):
+        while wanted:
+            came, queue, end = {}, [e], None
+            came_from = {e: None}
+            for x in queue:
+                for a in near[x]:
+                    if a in came:
+                        continue
+                    came[a] = x
+                    if free[a]:
+                        end = a
+                        break
+                    for y in flow[a]:
+                        if y not in came_from:
+                            came_from[y] = a
+                            queue.append(y)
+                if end is not None:
+                    break
+            if end is None:
+                break
+            path, a = [], end
+            while a is not None:
+                path.append((came[a], a))
+                a = came_from[came[a]]
+            moved = min([wanted, free[end], *(flow[a][came[b]] for (_, b), (_, a) in zip(path, path[1:]))])
+            free[end] -= moved
+            for i, (x, a) in enumerate(path):
+                flow[a][x] = flow[a].get(x, 0) + moved
+                if i + 1 < len(path):
+                    held = path[i + 1][1]
+                    flow[held][x] -= moved
+                    if not flow[held][x]:
+                        del flow[held][x]
+            wanted -= moved
+            size += moved
+    return size
+
+
 def compare_golden(actual: DataFrame, expected: DataFrame, cats: list[str], nums: list[str], abs_tol: float = 1e-12, rel_tol: float = 1e-12) -> DataFrame:
-    """Categorical groups in which actual and expected rows do not match one to one.
+    """``(cats, n_actual, n_expected, n_matched)`` of categorical groups without a perfect matching.
 
-    Rows of a group are matched in sorted order of their numbers (optimal for
-    one number; for several, ties are settled by the first). Multiplicity counts.
+    A row matches one expected row at most, if every number is within
+    ``max(abs_tol, rel_tol * |expected|)`` of it; NULL, NaN and infinities match
+    their own kind only. Equal rows are counted first, so repeats cost nothing.
+    Groups are cut where a sorted number leaves a gap beyond the tolerance, for
+    one number after another; what hangs together is matched in one task.
     """
-    order = lambda df, side: df.groupBy(*cats).agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("double").alias(c) for c in nums)))).alias(side), F.count(F.lit(1)).alias(f"n_{side}"))
-    j = order(actual, "actual").join(order(expected, "expected"), cats, "full_outer").na.fill(0, ["n_actual", "n_expected"])
-    near = lambda x, y: reduce(lambda p, q: p & q, ((F.abs(x[c] - y[c]) <= F.greatest(F.lit(abs_tol), F.abs(y[c]) * rel_tol)) | (x[c].isNull() & y[c].isNull()) for c in nums))
-    ok = F.coalesce((F.col("n_actual") == F.col("n_expected")) & F.forall(F.zip_with("actual", "expected", near), lambda b: F.coalesce(b, F.lit(False))), F.lit(False))
-    return j.where(~ok).select(*cats, "n_actual", "n_expected")
+    if rel_tol > 1:
+        raise ValueError("rel_tol is at most 1")
+    kinds, values = [f"_k{i}" for i in range(len(nums))], [f"_v{i}" for i in range(len(nums))]
+    inf = float("inf")
+
+    def counted(df: DataFrame, side: str) -> DataFrame:
+        x = [F.col(c).cast("double") for c in nums]
+        kind = [F.when(v.isNull(), 1).when(F.isnan(v), 2).when(v == inf, 3).when(v == -inf, 4).otherwise(0).alias(k) for v, k in zip(x, kinds)]
+        plain = df.select(*cats, *kind, *(F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < inf), v + 0.0).otherwise(0.0).alias(n) for v, n in zip(x, values)))
+        return plain.groupBy(*cats, *kinds, *values).agg(F.count(F.lit(1)).alias(side))
+
+    a, e = counted(actual, "_a"), counted(expected, "_e")
+    rows = a.withColumn("_e", F.lit(0).cast("bigint")).unionByName(e.withColumn("_a", F.lit(0).cast("bigint")))
+    rows = rows.groupBy(*cats, *kinds, *values).agg(F.sum("_a").alias("_a"), F.sum("_e").alias("_e"))
+    group = [*cats, *kinds]
+    for i, v in enumerate(values):
+        rows = tolerance_windows(rows, group, v, abs_tol, rel_tol, f"_w{i}")
+        group = [*cats, *kinds, f"_w{i}"]
+    schema = StructType([*(rows.schema[c] for c in cats), *(StructField(c, LongType()) for c in ("n_actual", "n_expected", "n_matched"))])
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["_a"] > 0], pdf[pdf["_e"] > 0]
+        found = matching(x[values].to_numpy(), y[values].to_numpy(), x["_a"].tolist(), y["_e"].tolist(), abs_tol, rel_tol)
+        return pd.DataFrame([[*key[: len(cats)], int(pdf["_a"].sum()), int(pdf["_e"].sum()), found]], columns=schema.names)
+
+    # a window of one distinct row, or of one side only, needs no task of its own
+    own = Window.partitionBy(*group)
+    rows = rows.withColumns({"_m": F.count(F.lit(1)).over(own), "_sa": F.sum("_a").over(own), "_se": F.sum("_e").over(own)})
+    hard = (F.col("_m") > 1) & (F.col("_sa") > 0) & (F.col("_se") > 0)
+    easy = rows.where(~hard).select(*cats, F.col("_a").alias("n_actual"), F.col("_e").alias("n_expected"), F.when(F.col("_m") == 1, F.least("_a", "_e")).otherwise(F.lit(0).cast("bigint")).alias("n_matched"))
+    met = rows.where(hard).groupBy(*group).applyInPandas(solve, schema)
+    sums = easy.unionByName(met).groupBy(*cats).agg(*(F.sum(c).alias(c) for c in ("n_actual", "n_expected", "n_matched")))
+    return sums.where("n_matched < greatest(n_actual, n_expected)")
 
 
 def reconcile_counts(counts: dict[str, DataFrame | Column], expected: dict[str, int], spark) -> DataFrame:

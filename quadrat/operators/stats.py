@@ -115,6 +115,13 @@ def cliffs_delta(df: DataFrame, group: str, first, second, value: str, by: list[
     return g.select(*by, (ratio(2 * u, F.col("n1") * F.col("n2")) - 1).alias("delta"), "n1", "n2")
 
 
+def t_of_rho(rho: str, n: str) -> Column:
+    """Student's t of a correlation; infinite where it is perfect, NULL without freedom."""
+    r, free = F.col(rho).cast("double"), F.col(n) - 2
+    t = r * F.sqrt(ratio(free, F.greatest(1 - r * r, F.lit(0.0))))
+    return F.when((free > 0) & (F.abs(r) >= 1), F.signum(r) * F.lit(float("inf"))).when(free > 0, t)
+
+
 def paired_differences(df: DataFrame, block: list[str], position: str, contrasts: list[tuple], value: str) -> DataFrame:
     """``(contrast, block, diff)`` of blocks that have both positions."""
     wide = df.groupBy(*block).pivot(position, sorted({p for c in contrasts for p in c})).agg(F.avg(value))
@@ -128,7 +135,7 @@ def paired_contrasts(df: DataFrame, block: list[str], position: str, contrasts:
 
     d = paired_differences(df, block, position, contrasts, value).withColumn("unit", F.concat_ws("/", *block))
     main = d.groupBy("contrast").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"), F.median("diff").alias("median"), F.avg(F.when(F.col("diff") > 0, 1.0).otherwise(0.0)).alias("share_positive"))
-    draws = RS.bootstrap(d, reps, "unit", ["contrast"], seed).join(d, ["contrast", "unit"]).groupBy("contrast", "draw").agg((F.sum(F.col("weight") * F.col("diff")) / F.sum("weight")).alias("m"))
+    draws = RS.bootstrap(d, reps, "unit", ["contrast"], seed).join(d, ["contrast", "unit"]).groupBy("contrast", "draw").agg(ratio(F.sum(F.col("weight") * F.col("diff")), F.sum("weight")).alias("m"))
     ci = RS.interval(draws, "m", ["contrast"]).select("contrast", "low", "high")
     w = wilcoxon(d, "diff", ["contrast"]).select("contrast", "w_plus", "w_minus", "z")
     out = main.join(ci, "contrast").join(w, "contrast", "left").withColumn("p", pdist("normal", "z"))
@@ -245,7 +252,7 @@ def moran(df: DataFrame, edges: DataFrame, unit: str, value: str, reps: int, by:
 def adjacency_delta(pairs: DataFrame, adjacent: Column, strata: list[str], value: str) -> DataFrame:
     """Weighted mean over strata of the difference between adjacent and other pairs."""
     g = pairs.groupBy(*strata).agg(F.avg(F.when(adjacent, F.col(value))).alias("m1"), F.avg(F.when(~adjacent, F.col(value))).alias("m0"), F.count_if(adjacent).alias("n1")).where("m1 is not null and m0 is not null")
-    return g.agg((F.sum(F.col("n1") * (F.col("m1") - F.col("m0"))) / F.sum("n1")).alias("delta"), F.sum("n1").alias("n_adjacent"), F.count(F.lit(1)).alias("n_strata"))
+    return g.agg(ratio(F.sum(F.col("n1") * (F.col("m1") - F.col("m0"))), F.sum("n1")).alias("delta"), F.sum("n1").alias("n_adjacent"), F.count(F.lit(1)).alias("n_strata"))
 
 
 def adjacency_test(pairs: DataFrame, rank: DataFrame, unit: str, gap: int, strata: list[str], value: str, reps: int, seed: int = 1) -> DataFrame:
@@ -258,7 +265,7 @@ def adjacency_test(pairs: DataFrame, rank: DataFrame, unit: str, gap: int, strat
     obs = adjacency_delta(marked(rank, []), F.col("adj"), strata, value)
     perm = RS.permutations(rank, reps, unit, seed=seed).join(rank.withColumnRenamed(unit, "perm_unit"), "perm_unit").select("draw", unit, "rank")
     g = marked(perm, ["draw"]).groupBy("draw", *strata).agg(F.avg(F.when(F.col("adj"), F.col(value))).alias("m1"), F.avg(F.when(~F.col("adj"), F.col(value))).alias("m0"), F.count_if("adj").alias("n1")).where("m1 is not null and m0 is not null")
-    null = g.groupBy("draw").agg((F.sum(F.col("n1") * (F.col("m1") - F.col("m0"))) / F.sum("n1")).alias("v"))
+    null = g.groupBy("draw").agg(ratio(F.sum(F.col("n1") * (F.col("m1") - F.col("m0"))), F.sum("n1")).alias("v"))
     return RS.perm_p(null.join(F.broadcast(obs)), F.col("delta"), "v", ["delta", "n_adjacent", "n_strata"])
 
 

@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.functions.numeric import ratio
+
 
 def rank_taxa(rel: DataFrame, total: int | Column, prevalence: float, taxon: str = "taxon", unit: str = "profile", value: str = "rel") -> DataFrame:
     """Taxa seen in a share of the units, ranked by mean relative abundance over all units (ties by name)."""
     n = F.lit(total) if isinstance(total, int) else total
-    g = rel.groupBy(taxon).agg((F.sum(value) / n).alias("mean_rel"), (F.count_distinct(F.when(F.col(value) > 0, F.col(unit))) / n).alias("prevalence"))
+    g = rel.groupBy(taxon).agg(ratio(F.sum(value), n).alias("mean_rel"), ratio(F.count_distinct(F.when(F.col(value) > 0, F.col(unit))), n).alias("prevalence"))
     return g.where(F.col("prevalence") >= prevalence).withColumn("rank", F.row_number().over(Window.orderBy(F.round("mean_rel", 12).desc(), taxon)))
 
 
@@ -81,7 +83,7 @@ def distance_class(df: DataFrame, d: str, k: int, out: str = "class") -> DataFra
 
 def cumulative_share(df: DataFrame, value: str, order: list[Column], target: float) -> DataFrame:
     w = Window.orderBy(*order)
-    cum = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy())
+    cum = ratio(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum(value).over(Window.partitionBy()))
     out = df.withColumn("axis", F.row_number().over(w)).withColumn("cumulative", cum)
     return out.withColumn("reaches", F.col("axis") == F.min(F.when(F.col("cumulative") >= target, F.col("axis"))).over(Window.partitionBy()))
 

@@ -425,12 +425,28 @@ def _(t):
     return Q.reproduces(got, t.readings.select("event_id", F.round("value", 2).alias("x")), ["event_id"], "x", 1e-9)
 
 
-@query("dq17_golden", "SELECT event_type, count(*) AS n_actual, count(*) - CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS n_expected FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+@query("dq17_golden", """
+    SELECT event_type, count(*) AS n_actual, count(*) - CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS n_expected, CASE WHEN event_type = 'view' THEN count(*) - 1 ELSE 0 END AS n_matched
+    FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
 def _(t):
+    """Numbers are values and event ids, so only a row's own expectation is near it."""
     e = t.table("events")
     low = e.where("event_type = 'view'").agg(F.min("event_id").alias("m"))
     expected = e.join(F.broadcast(low)).where("event_id <> m").withColumn("value", F.when(F.col("event_type") == "click", F.col("value") + 0.001).otherwise(F.col("value") + 1e-13))
-    return Q.compare_golden(e, expected, ["event_type"], ["value"], 1e-9, 1e-12)
+    return Q.compare_golden(e, expected, ["event_type"], ["event_id", "value"], 1e-9, 1e-12)
+
+
+@query("dq17_matching", """
+    SELECT user_id, 2 * count(*) AS n_actual, 2 * count(*) AS n_expected, count(*) + (SELECT count(*) FROM events i WHERE i.user_id = o.user_id AND i.event_id % 3 <> 0) AS n_matched
+    FROM events o GROUP BY 1 HAVING count(*) FILTER (event_id % 3 = 0) > 0""")
+def _(t):
+    """Two rows an event whose first numbers are within tolerance of each other: sorted order pairs them wrongly, a
+    matching doesn't; every third event expects two rows near one and none near the other."""
+    e = t.table("events").select("user_id", "event_id", F.col("event_id").cast("double").alias("x"))
+    row = lambda x, y: F.struct((F.col("x") + x).alias("x"), (F.lit(1.0 * y) if isinstance(y, int) else y).alias("y"))
+    two = lambda *rows: e.select("user_id", "event_id", F.explode(F.array(*rows)).alias("r")).select("user_id", "event_id", "r.*")
+    crossed = F.when(F.col("event_id") % 3 == 0, F.lit(1.0)).otherwise(F.lit(5.0))
+    return Q.compare_golden(two(row(0.0, 1), row(0.01, 5)), two(row(0.0, crossed), row(0.01, 1)), ["user_id"], ["x", "y"], 0.1, 0.0)
 
 
 @query("dq19_reconcile_counts", "SELECT 'orders' AS layer, count(*) AS n, CAST(100 AS BIGINT) AS expected, false AS ok FROM orders UNION ALL SELECT 'regions', count(*), 5, true FROM region")

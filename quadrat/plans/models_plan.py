@@ -378,7 +378,7 @@ def _(t):
     clim = A.site_climatology(A.monthly(t.daily, ["value"], ["value"]), ["mean_value", "sum_value"])
     x = A.collapse_replicates(A.alpha_basic(t.counts).join(t.profiles, "profile"), ["site"], ["shannon", "richness"]).join(clim, "site")
     cells = x.select("site", F.explode(F.array(*(F.struct(F.lit(f"{a}~{b}").alias("pair"), F.col(a).alias("x"), F.col(b).cast("double").alias("y")) for a in ("mean_value", "sum_value") for b in ("shannon", "richness")))).alias("c")).select("site", "c.*")
-    rho = S.spearman(cells, "x", "y", ["pair"]).withColumn("t", F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
+    rho = S.spearman(cells, "x", "y", ["pair"]).withColumn("t", S.t_of_rho("rho", "n"))
     return R(W.with_bh(M.with_p(rho.withColumn("dof", F.col("n") - 2), "t", "dof"), "p", ties=["pair"]))
 
 

@@ -1,5 +1,9 @@
 """Rule closure, hierarchies, shapes, ledgers and versions, one defect each."""
 
+import math
+import random
+
+import numpy as np
 import pytest
 from conftest import rows
 
@@ -149,3 +153,51 @@ def test_components_with_hot_nodes(spark):
             parent[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a int, b int").repartition(40)).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def matched(actual, expected, tol):
+    """Size of a largest matching, by trying all assignments of the smaller side."""
+    import itertools
+    small, large = sorted((actual, expected), key=len)
+    near = lambda x, y: all(abs(p - q) <= tol for p, q in zip(x, y))
+    return max((sum(near(x, large[j]) for x, j in zip(small, p)) for p in itertools.permutations(range(len(large)), len(small))), default=0)
+
+
+def test_golden_rows_are_matched_one_to_one(spark):
+    schema = "c string, x double, y double"
+    act = [("cross", 1.0, 5.0), ("cross", 1 + 1e-9, 1.0), ("short", 1.0, 1.0), ("short", 9.0, 1.0), ("chain", 1.0, 0.0), ("chain", 2.0, 0.0), ("chain", 3.0, 0.0), ("none", None, math.nan), ("none", math.inf, -math.inf), ("more", 1.0, 1.0)]
+    exp = [("cross", 1.0, 1.0), ("cross", 1 + 1e-9, 5.0), ("short", 1.0, 1.0), ("short", 1 + 1e-9, 1.0), ("chain", 1 + 9e-7, 0.0), ("chain", 2.0, 0.0), ("chain", 3 - 9e-7, 0.0), ("none", None, math.nan), ("none", math.inf, -math.inf), ("lack", 1.0, 1.0)]
+    got = Q.compare_golden(spark.createDataFrame(act, schema), spark.createDataFrame(exp, schema), ["c"], ["x", "y"], 1e-6, 0.0).collect()
+    assert sorted(map(tuple, got)) == [("lack", 0, 1, 0), ("more", 1, 0, 0), ("short", 2, 2, 1)]
+    # the first expected row must give up the row it took first
+    a, e = np.array([[1.0], [2.0]]), np.array([[1.5], [0.5]])
+    assert Q.matching(a, e, [1, 1], [1, 1], 0.6, 0.0) == 2 and Q.matching(a, e, [3, 2], [3, 3], 0.6, 0.0) == 5
+
+
+def test_golden_matching_equals_all_assignments(spark):
+    rng = random.Random(3)
+    act, exp = [], []
+    for g in range(60):
+        for rows in (act, exp):
+            rows += [(g, round(rng.uniform(0, 1.2), 1), round(rng.uniform(0, 0.4), 1)) for _ in range(rng.randint(0, 6))]
+    schema = "c int, x double, y double"
+    got = {r.c: tuple(r)[1:] for r in Q.compare_golden(spark.createDataFrame(act, schema).repartition(3), spark.createDataFrame(exp, schema), ["c"], ["x", "y"], 0.1500001, 0.0).collect()}
+    for g in range(60):
+        a, e = [r[1:] for r in act if r[0] == g], [r[1:] for r in exp if r[0] == g]
+        n = matched(a, e, 0.1500001)
+        assert got.get(g) == (None if n == len(a) == len(e) else (len(a), len(e), n)), g
+
+
+def test_tolerance_windows_of_one_group_over_many_ranges(spark):
+    rng = random.Random(4)
+    v = sorted(rng.uniform(0, 100) for _ in range(3000))
+    df = spark.createDataFrame([("g", x) for x in v], "g string, x double").repartition(7)
+    got = Q.tolerance_windows(df, ["g"], "x", 0.05, 0.0, "w").orderBy("x").collect()
+    want, w = [], 0
+    for i, x in enumerate(v):
+        w += i == 0 or x - v[i - 1] > 0.05
+        want.append(w)
+    assert [r.w for r in got] == want and want[-1] > 100
+    repeats = spark.range(200_000).selectExpr("'a' AS c", "1.0D AS x")
+    assert Q.compare_golden(repeats, repeats, ["c"], ["x"]).isEmpty()
+    assert tuple(Q.compare_golden(repeats, repeats.limit(199_999), ["c"], ["x"]).first()) == ("a", 200_000, 199_999, 199_999)
