@@ -178,17 +178,17 @@ def nested_test(df: DataFrame, unit: str, part: str, value: str, reduced: list[s
     return RS.perm_p(null.join(F.broadcast(obs)), F.col("partial_r2"), "v", ["partial_r2"])
 
 
-def scan(y: DataFrame, exposures: DataFrame, obs: str, response: str, key: str, value: str, nuisance: list[str]) -> DataFrame:
-    """Each exposure alone after partialling the nuisance out of both sides: beta, se, t, partial R2.
+def scan(y: DataFrame, exposures: DataFrame, obs: str, response: str, key: str | list[str], value: str, nuisance: list[str]) -> DataFrame:
+    """Each exposure (``key``, one column or several) alone after partialling the nuisance out of both sides: beta, se, t, partial R2.
 
     The nuisance projection is shared: cross products of every exposure with
     the nuisance columns and the residual response come from one aggregation.
     """
-    k = len(nuisance)
+    k, by = len(nuisance), [key] if isinstance(key, str) else key
     inv = np.linalg.pinv(unpack_gram(gram(y, nuisance).first(), k), hermitian=True)
     ry = residualize(y, [response], nuisance).select(obs, F.col(f"r_{response}").alias("ry"), *nuisance)
     n, syy = ry.agg(F.count(F.lit(1)), F.sum(F.col("ry") * F.col("ry"))).first()
-    j = exposures.join(ry, obs).groupBy(key).agg(
+    j = exposures.join(ry, obs).groupBy(*by).agg(
         *(F.sum(F.col(value) * F.col(c)).alias(f"a{i}") for i, c in enumerate(nuisance)), F.sum(F.col(value) * F.col(value)).alias("xx"), F.sum(F.col(value) * F.col("ry")).alias("xy")
     )
     quad = sum((F.col(f"a{i}") * F.col(f"a{m}") * float(inv[i, m]) for i in range(k) for m in range(k)), F.lit(0.0))
@@ -197,7 +197,7 @@ def scan(y: DataFrame, exposures: DataFrame, obs: str, response: str, key: str,
     syy = F.lit(float(syy or 0.0))
     sse = F.greatest(syy - F.col("beta") * F.col("xy"), F.lit(0.0))
     se = F.sqrt(ratio(ratio(sse, F.lit(df)), "sxx"))
-    return j.select(key, "beta", se.alias("se"), ratio("beta", se).alias("t"), ratio(F.col("beta") * F.col("xy"), syy).alias("partial_r2"))
+    return j.select(*by, "beta", se.alias("se"), ratio("beta", se).alias("t"), ratio(F.col("beta") * F.col("xy"), syy).alias("partial_r2"))
 
 
 MAX_TERMS = 4_000  # columns of a design whose cross products fit the driver

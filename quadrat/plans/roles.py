@@ -66,6 +66,12 @@ class Roles:
         c = self.counts_pos.join(self.taxonomy, "feature").join(self.profiles, "profile")
         return c.groupBy("site", "campaign", "position", F.element_at("lineage", 1).alias("taxon")).agg(F.sum("n").alias("n"))
 
+    @property
+    def names(self) -> DataFrame:
+        """Counts of the last rank by (site, campaign, position): a composition of more parts."""
+        c = self.counts_pos.join(self.taxonomy, "feature").join(self.profiles, "profile")
+        return c.groupBy("site", "campaign", "position", F.element_at("lineage", 3).alias("taxon")).agg(F.sum("n").alias("n"))
+
     @property
     def brands(self) -> DataFrame:
         """Counts of the second rank by profile."""
@@ -131,6 +137,7 @@ VIEWS = {
     "daily": ("SELECT user_id % 25 AS site, CAST(ts AS DATE) AS date, round(sum(value), 2) AS value FROM events GROUP BY 1, 2", ()),
     "readings": ("SELECT user_id AS sample, event_type AS analyte, value, ts, event_id FROM events", ()),
     "phyla": ("SELECT site, campaign, position, r1 AS taxon, sum(n) AS n FROM counts_pos JOIN taxonomy USING (feature) JOIN profiles USING (profile) GROUP BY 1, 2, 3, 4", ("counts_pos", "taxonomy", "profiles")),
+    "names": ("SELECT site, campaign, position, r3 AS taxon, sum(n) AS n FROM counts_pos JOIN taxonomy USING (feature) JOIN profiles USING (profile) GROUP BY 1, 2, 3, 4", ("counts_pos", "taxonomy", "profiles")),
     "brands": ("SELECT profile, r2 AS taxon, sum(n) AS n FROM counts JOIN taxonomy USING (feature) GROUP BY 1, 2", ("counts", "taxonomy")),
     "site_brands": ("SELECT site, r2 AS taxon, sum(n) AS n FROM counts JOIN taxonomy USING (feature) JOIN profiles USING (profile) GROUP BY 1, 2", ("counts", "taxonomy", "profiles")),
     "triples": (_TRIPLES, ()),
