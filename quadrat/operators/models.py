@@ -403,11 +403,11 @@ def order_alias(visits: DataFrame, campaign: str, elapsed: str, position: str, l
     return g.withColumn("status", F.when(F.abs("spearman") >= limit, "aliased").when(F.col("spearman").isNull(), "undefined").otherwise("separable"))
 
 
-def glasso(s: np.ndarray, alpha: float, rounds: int = 100, tol: float = 1e-3) -> np.ndarray:
-    """Sparse inverse covariance by block coordinate descent."""
+def glasso(s: np.ndarray, alpha: float, rounds: int = 100, tol: float = 1e-3, start: np.ndarray | None = None, with_start: bool = False):
+    """Sparse inverse covariance by block coordinate descent; ``start``: coefficients of a fit at a near penalty."""
     p = len(s)
     w = s + alpha * np.eye(p)
-    betas = np.zeros((p, p))
+    betas = np.zeros((p, p)) if start is None else start.copy()
     for _ in range(rounds):
         before = w.copy()
         for j in range(p):
@@ -429,42 +429,8 @@ def glasso(s: np.ndarray, alpha: float, rounds: int = 100, tol: float = 1e-3) ->
         rest = np.arange(p) != j
         theta[j, j] = 1 / (w[j, j] - w[rest, j] @ betas[rest, j])
         theta[rest, j] = -betas[rest, j] * theta[j, j]
-    return (theta + theta.T) / 2
-
-
-def network(df: DataFrame, group: list[str], unit: str, part: str, value: str, alphas: list[float]) -> DataFrame:
-    """Partial-correlation edges (a < b) of each group and penalty; a group holds one table of a bounded number of parts."""
-    keys = [*group, "alpha"]
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group)
-    grid = df.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot_table(index=unit, columns=part, values=value).sort_index(axis=1)
-        x = x.fillna(x.mean()).loc[:, lambda d: d.std() > 0]
-        names, z = list(x.columns), ((x - x.mean()) / x.std(ddof=0)).to_numpy()
-        theta = glasso(z.T @ z / len(z), float(pdf["alpha"].iloc[0]))
-        rows = []
-        for i in range(len(names)):
-            for j in range(i + 1, len(names)):
-                r = -theta[i, j] / math.sqrt(theta[i, i] * theta[j, j])
-                if abs(r) > 1e-8:
-                    rows.append([*(pdf[c].iloc[0] for c in keys), str(names[i]), str(names[j]), float(r)])
-        return pd.DataFrame(rows, columns=[*keys, "a", "b", "partial_r"])
-
-    return grid.groupBy(*keys).applyInPandas(solve, f"{kinds}, alpha double, a string, b string, partial_r double")
-
-
-def network_stability(df: DataFrame, group: list[str], unit: str, part: str, value: str, alpha: float, reps: int, seed: int = 1) -> DataFrame:
-    """Share of bootstrap draws with each edge, sign consistency, and the same share with values permuted per part."""
-    boot = RS.bootstrap(df.select(unit).distinct(), reps, unit, seed=seed)
-    rows = boot.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))).join(df, unit).withColumn("_u", F.concat_ws("#", F.col(unit).cast("string"), F.col("_i").cast("string")))
-    edges = network(rows, ["draw", *group], "_u", part, value, [alpha])
-    stable = edges.groupBy(*group, "a", "b").agg((F.count(F.lit(1)) / F.lit(reps)).alias("stability"), F.greatest(F.avg((F.col("partial_r") > 0).cast("double")), F.avg((F.col("partial_r") < 0).cast("double"))).alias("sign_consistency"), F.avg("partial_r").alias("mean_r"))
-    strata = [part]
-    null_units = RS.permutations(df.select(unit, part), reps, unit, strata, seed + 1)
-    moved = null_units.join(df.withColumnRenamed(unit, "perm_unit"), ["perm_unit", part]).select("draw", *group, unit, part, value)
-    null = network(moved, ["draw", *group], unit, part, value, [alpha]).groupBy(*group, "a", "b").agg((F.count(F.lit(1)) / F.lit(reps)).alias("null_frequency"))
-    return stable.join(null, [*group, "a", "b"], "left").na.fill(0.0, ["null_frequency"])
+    theta = (theta + theta.T) / 2
+    return (theta, betas) if with_start else theta
 
 
 def compare_networks(edges: DataFrame, group: str, first, second, possible: int) -> DataFrame:

@@ -10,6 +10,7 @@ from quadrat.operators import controls as K
 from quadrat.operators import distance as D
 from quadrat.operators import joins as J
 from quadrat.operators import models as M
+from quadrat.operators import networks as NW
 from quadrat.operators import resample as RS
 from quadrat.operators import stats as S
 from quadrat.operators import windows as W
@@ -142,21 +143,33 @@ def _net(t):
 
 @query("ml12_network")
 def _(t):
-    return R(M.network(_net(t), ["position"], "unit", "taxon", "clr", [0.05, 0.2]), 4)
+    return R(NW.network(_net(t), ["position"], "unit", "taxon", "clr", [0.05, 0.2]), 4)
 
 
 @query("ml12_stability")
 def _(t):
-    return R(M.network_stability(_net(t), ["position"], "unit", "taxon", "clr", 0.1, 200), 4)
+    return R(NW.stability(_net(t), ["position"], "unit", "taxon", "clr", 0.1, 200), 4)
+
+
+@query("ml12_calibration")
+def _(t):
+    """Penalty of each position: the smallest whose permuted tables have at most a fifth of its edges."""
+    return R(NW.calibrate(_net(t), ["position"], "unit", "taxon", "clr", [0.05, 0.1, 0.2, 0.3, 0.5], 199, 0.2, within=["campaign"]), 4)
 
 
 @query("ml13_compare_networks")
 def _(t):
-    edges = M.network(_net(t), ["position"], "unit", "taxon", "clr", [0.1])
+    edges = NW.network(_net(t), ["position"], "unit", "taxon", "clr", [0.1])
     k = t.phyla.select("taxon").distinct().count()
     return R(M.compare_networks(edges, "position", "A", "R", k * (k - 1) // 2))
 
 
+@query("ml13_density_interval")
+def _(t):
+    """Density difference of two positions' networks, its interval over draws of sites, and its sign over penalties."""
+    return R(NW.compare(_net(t), "position", "A", "R", "unit", "taxon", "clr", "site", [0.05, 0.1, 0.2, 0.3], 0.1, 2000), 4)
+
+
 @query("ml15_design_rank")
 def _(t):
     d = C.design(t.sites, numeric=["lat"], factors=["block"]).withColumn("twice", F.col("lat") * 2)
