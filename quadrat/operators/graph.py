@@ -114,29 +114,52 @@ def cycles(closed: DataFrame) -> DataFrame:
     return closed.where("node = ancestor").select("node").distinct()
 
 
-def rdf_lists(triples: DataFrame, first: str = "first", rest: str = "rest", nil: str = "nil", max_length: int = 10_000) -> DataFrame:
-    """``(list, position, member)``; lists that branch or miss a part are given with position -1 (a pure loop has no head)."""
+def rdf_lists(triples: DataFrame, first: str = "first", rest: str = "rest", nil: str = "nil") -> DataFrame:
+    """``(list, position, member)`` of every list, named by its head.
+
+    A list with a branching, incomplete or missing cell has one row of position
+    -1, one that runs into a loop one of position -2; a loop without a head is
+    named by its smallest cell. Lists may share a tail.
+
+    Pointers double: after round k a cell knows the cell 2^k on, whether the
+    list has ended on the way, and the smallest cell passed, so a list of n
+    cells takes log2(n) rounds, and what still moves after as many rounds as
+    all cells could need is in a loop. Places are dealt by the same pointers.
+    """
     cell = triples.where(F.col("p") == first).groupBy(F.col("s").alias("cell")).agg(F.count(F.lit(1)).alias("nf"), F.min("o").alias("member"))
     link = triples.where(F.col("p") == rest).groupBy(F.col("s").alias("cell")).agg(F.count(F.lit(1)).alias("nr"), F.min("o").alias("next"))
-    cells = cut(cell.join(link, "cell", "full_outer"), "cells")
-    bad = (F.coalesce("nf", F.lit(0)) != 1) | (F.coalesce("nr", F.lit(0)) != 1)
-    heads = cells.join(cells.select(F.col("next").alias("cell")), "cell", "left_anti").select(F.col("cell").alias("list"))
-    out = None
-    at = heads.select("list", F.col("list").alias("cell"))
-    for i in range(max_length):
-        here = cut(at.join(cells, "cell", "left").select("list", F.lit(i + 1).alias("position"), "member", "next", (bad | F.col("member").isNull()).alias("bad")), "list")
-        if here.isEmpty():
+    cells = cell.join(link, "cell", "full_outer")
+    known = cells.select(F.col("cell").alias("next"), F.lit(True).alias("there"))
+    bad = (F.coalesce("nf", F.lit(0)) != 1) | (F.coalesce("nr", F.lit(0)) != 1) | ((F.col("next") != nil) & F.col("there").isNull())
+    state = F.when(bad, "bad").when(F.col("next") == nil, "end").otherwise("on")
+    cells = cut(cells.join(known, "next", "left").select("cell", "member", "next", state.alias("state")), "cells")
+    jump = cells.select("cell", F.col("next").alias("to"), "state", F.col("cell").alias("least"))
+    n, jumps, ended = cells.count(), [], None
+    while True:
+        jumps.append(cut(jump, "jumps"))
+        moving = jumps[-1].where("state = 'on'")
+        # 2 ** (rounds - 1) steps are made; a path without a loop has at most n - 1
+        if 2 ** (len(jumps) - 1) >= n or moving.isEmpty():
             break
-        out = here if out is None else out.unionByName(here)
-        at = here.where(~F.col("bad") & (F.col("next") != nil)).select("list", F.col("next").alias("cell"))
-    else:
-        if not at.isEmpty():
-            raise ValueError(f"a list is longer than {max_length}, or it loops")
-    if out is None:
-        return triples.sparkSession.createDataFrame([], "list string, position int, member string")
-    broken = out.where("bad").select("list").distinct()
-    fine = out.join(broken, "list", "left_anti").select("list", "position", "member")
-    return fine.unionByName(broken.select("list", F.lit(-1).alias("position"), F.lit(None).cast("string").alias("member")))
+        on = jumps[-1].select(F.col("cell").alias("to"), F.col("to").alias("to2"), F.col("state").alias("state2"), F.col("least").alias("least2"))
+        further = moving.join(on, "to").select("cell", F.col("to2").alias("to"), F.col("state2").alias("state"), F.least("least", "least2").alias("least"))
+        jump = jumps[-1].where("state <> 'on'").unionByName(further)
+    ended = jumps[-1]
+    heads = cells.join(cells.select(F.col("next").alias("cell")), "cell", "left_anti").select(F.col("cell").alias("list"))
+    judged = cut(heads.join(ended.withColumnRenamed("cell", "list"), "list").select("list", "state", "to"), "heads")
+    # where a moving cell has got to lies on its loop, and the smallest cell seen from there names the loop
+    loop_of = ended.select(F.col("cell").alias("to"), F.col("least").alias("loop"))
+    loops = ended.where("state = 'on'").select("to").distinct().join(loop_of, "to").select("loop").distinct()
+    entered = judged.where("state = 'on'").join(loop_of, "to").select("loop").distinct()
+    headless = loops.join(entered, "loop", "left_anti").select(F.col("loop").alias("list"), F.lit(-2).alias("position"))
+    wrong = judged.where("state <> 'end'").select("list", F.when(F.col("state") == "bad", -1).otherwise(-2).alias("position"))
+    placed = judged.where("state = 'end'").select("list", F.col("list").alias("cell"), F.lit(1).alias("position"))
+    for k, j in enumerate(jumps):
+        on = j.where("state = 'on'").select("cell", "to")
+        further = placed.join(on, "cell").select("list", F.col("to").alias("cell"), (F.col("position") + (1 << k)).alias("position"))
+        placed = cut(placed.unionByName(further), "places")
+    fine = placed.join(cells, "cell").select("list", "position", "member")
+    return fine.unionByName(wrong.unionByName(headless).select("list", "position", F.lit(None).cast("string").alias("member")))
 
 
 @dataclass
@@ -245,36 +268,52 @@ def _rules(schema: Schema, everything: DataFrame, delta: DataFrame) -> dict[str,
     return out
 
 
-def materialize(asserted: DataFrame, schema: Schema, max_passes: int = 50) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Inferred triples (none of them asserted) at the fixed point, and (pass, new triples) counts.
+def materialize(asserted: DataFrame, schema: Schema, max_passes: int = 50) -> tuple[DataFrame, list[tuple[int, str, int]]]:
+    """Inferred triples (none of them asserted) at the fixed point, and how many (pass, rule, new) each rule gave in each pass.
 
     Semi-naive: a rule fires on the last pass's new triples joined with all.
-    Literal subjects never arise, since rules that swap ends drop literals.
+    What is known is one table in buckets of (s, p, o) that every pass appends
+    its new triples to: nothing is written twice, and the known triples stay in
+    their buckets where new ones are held against them. A triple that several
+    rules find in one pass counts for the first of them in rule order. Literal
+    subjects never arise, since rules that swap ends drop literals.
     """
-    cols = ["s", "p", "o", "o_kind"]
-    base = cut(asserted.select(*cols).distinct(), "asserted")
-    start = [(x, TYPE, c, "iri") for c, members in schema.one_of for x in members]
+    from quadrat.session import scratch
+
+    spark, cols = asserted.sparkSession, ["s", "p", "o", "o_kind"]
+    path = scratch(spark, "closure")
+    name = "closure_" + path.rsplit("-", 1)[-1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(df: DataFrame, number: int) -> None:
+        rows = df.withColumn("pass", F.lit(number)).repartition(buckets, "s", "p", "o")
+        rows.write.format("parquet").mode("append").partitionBy("pass").bucketBy(buckets, "s", "p", "o").option("path", path).saveAsTable(name)
+
+    append(asserted.select(*cols).distinct().withColumn("rule", F.lit(None).cast("string")), 0)
+    start = [(x, TYPE, c, "iri", "one_of") for c, members in schema.one_of for x in members]
     if start:
-        seed = asserted.sparkSession.createDataFrame(start, "s string, p string, o string, o_kind string").join(base, cols, "left_anti")
-    else:
-        seed = base.limit(0)
-    inferred = cut(seed, "inferred")
-    delta, passes = base.unionByName(inferred), []
-    for i in range(max_passes):
-        everything = base.unionByName(inferred)
-        rules = _rules(schema, everything, delta)
+        seed = spark.createDataFrame(start, "s string, p string, o string, o_kind string, rule string")
+        append(seed.join(spark.table(name).select(*cols), cols, "left_anti"), 1)
+    counts = []
+    for number in range(1, max_passes + 1):
+        known = spark.table(name)
+        delta = known.select(*cols) if number == 1 else known.where(F.col("pass") == number - 1).select(*cols)
+        rules = _rules(schema, known.select(*cols), delta)
         if not rules:
             break
-        found = reduce(lambda a, b: a.unionByName(b), rules.values()).distinct()
-        delta = cut(found.join(everything, cols, "left_anti"), "delta")
-        n = delta.count()
-        passes.append((i + 1, n))
-        if not n:
-            return inferred, passes
-        inferred = cut(inferred.unionByName(delta), "inferred")
+        found = reduce(lambda a, b: a.unionByName(b), (df.withColumn("_r", F.lit(i)) for i, df in enumerate(rules.values())))
+        names = F.array(*map(F.lit, rules))
+        first = found.groupBy(*cols).agg(F.min("_r").alias("_r"))
+        append(first.join(known.select(*cols), cols, "left_anti").select(*cols, F.get(names, F.col("_r")).alias("rule")), number)
+        new = spark.table(name).where(F.col("pass") == number).groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy("rule").collect()
+        counts += [(number, r.rule, r.n) for r in new]
+        if not any(r.rule != "one_of" for r in new):
+            break
     else:
         raise RuntimeError(f"no fixed point after {max_passes} passes")
-    return inferred, passes
+    schema_of = spark.table(name).schema
+    spark.sql(f"DROP TABLE {name}")  # its name only: the files stay in the shared folder
+    return spark.read.schema(schema_of).parquet(path).where(F.col("pass") > 0).select(*cols), counts
 
 
 def schema_audit(triples: DataFrame, supported: list[str]) -> DataFrame:

@@ -118,6 +118,18 @@ def _(t):
     return _inferred(t)[0].groupBy("p").agg(N())
 
 
+@query("kg7_rule_counts", sql("triples", """
+    SELECT 1 AS pass, 'subclass' AS rule, CAST(2 * count(DISTINCT s) AS BIGINT) AS new FROM triples WHERE p = 'type' AND o IN ('Supplier', 'Customer')
+    UNION ALL SELECT 1, 'subproperty', count(*) FROM (SELECT DISTINCT s, o FROM triples WHERE p IN ('locatedIn', 'partOf'))
+    UNION ALL SELECT 1, 'inverse', count(*) FROM (SELECT DISTINCT s, o FROM triples WHERE p = 'placedBy')
+    UNION ALL SELECT 1, 'chain_0', count(*) FROM (SELECT DISTINCT a.s, b.o FROM triples a JOIN triples b ON b.s = a.o AND b.p = 'locatedIn' WHERE a.p = 'placedBy')
+    UNION ALL SELECT 2, 'range', count(DISTINCT o) FROM triples WHERE p IN ('locatedIn', 'partOf')
+    UNION ALL SELECT 2, 'transitive', count(*) FROM (SELECT DISTINCT a.s, b.o FROM triples a JOIN triples b ON b.s = a.o AND b.p = 'partOf' WHERE a.p = 'locatedIn')"""))
+def _(t):
+    """New triples of each rule in each pass of the closure."""
+    return t.spark.createDataFrame(_inferred(t)[1], "pass int, rule string, new bigint")
+
+
 @query("kg8_rdf_lists", "SELECT 'l' || o_custkey AS list, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
     from pyspark.sql import Window

@@ -201,3 +201,54 @@ def test_tolerance_windows_of_one_group_over_many_ranges(spark):
     repeats = spark.range(200_000).selectExpr("'a' AS c", "1.0D AS x")
     assert Q.compare_golden(repeats, repeats, ["c"], ["x"]).isEmpty()
     assert tuple(Q.compare_golden(repeats, repeats.limit(199_999), ["c"], ["x"]).first()) == ("a", 200_000, 199_999, 199_999)
+
+
+def lists(spark, data):
+    return {(r.list, r.position): r.member for r in G.rdf_lists(triples(spark, data).repartition(3)).collect()}
+
+
+def test_lists_with_loops_shared_tails_and_gaps(spark):
+    cell = lambda c, m, n: [(c, "first", m), (c, "rest", n)]
+    data = [t for c in [("a", "1", "b"), ("b", "2", "c"), ("c", "3", "nil"), ("x", "9", "b"), ("one", "1", "nil"),  # two lists with one tail
+                        ("q", "1", "r"), ("r", "2", "s"), ("s", "3", "r"),  # runs into a loop
+                        ("k", "1", "j"), ("j", "2", "i"), ("i", "3", "k"),  # a loop alone
+                        ("self", "1", "self"), ("gap", "1", "lost")] for t in cell(*c)]
+    data += [("two", "first", "1"), ("two", "first", "2"), ("two", "rest", "nil"), ("half", "first", "1")]
+    got = lists(spark, data)
+    assert got == {("a", 1): "1", ("a", 2): "2", ("a", 3): "3", ("x", 1): "9", ("x", 2): "2", ("x", 3): "3", ("one", 1): "1",
+                   ("q", -2): None, ("i", -2): None, ("self", -2): None, ("gap", -1): None, ("two", -1): None, ("half", -1): None}
+    assert lists(spark, []) == {}
+
+
+def test_a_list_of_fifty_thousand_cells(spark, monkeypatch):
+    n, cuts = 50_000, []
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name="cut": cuts.append(name) or cut(df, name))
+    cells = spark.range(n).selectExpr("explode(array(struct(concat('c', id) AS s, 'first' AS p, concat('m', id) AS o), struct(concat('c', id) AS s, 'rest' AS p, if(id = 49999, 'nil', concat('c', id + 1)) AS o))) AS t").selectExpr("t.s", "t.p", "t.o", "'iri' AS o_kind")
+    got = G.rdf_lists(cells).selectExpr("count(*) AS n", "max(position) AS m", "count_if(member = concat('m', position - 1)) AS k", "count(DISTINCT list) AS l").first()
+    assert tuple(got) == (n, n, n, 1) and cuts.count("jumps") < 20
+
+
+def test_closure_appends_and_counts_by_rule(spark, monkeypatch):
+    import os
+
+    from quadrat import session
+
+    paths = []
+    scratch = session.scratch
+    monkeypatch.setattr(session, "scratch", lambda spark, name: paths.append(scratch(spark, name)) or paths[-1])
+    data = [(f"n{i}", "next", f"n{i + 1}") for i in range(9)] + [("n0", "type", "A"), ("n3", "before", "n9")]
+    schema = G.Schema(subclass=[("A", "B"), ("B", "C")], subproperty=[("next", "before")], transitive=["before"])
+    inferred, counts = G.materialize(triples(spark, data), schema)
+    got = {tuple(r)[:3] for r in inferred.collect()}
+    want = {(f"n{i}", "before", f"n{j}") for i in range(10) for j in range(i + 1, 10)} - {("n3", "before", "n9")} | {("n0", "type", "B"), ("n0", "type", "C")}
+    assert got == want and inferred.count() == len(want) == sum(n for _, _, n in counts)
+    assert counts[:2] == [(1, "subclass", 2), (1, "subproperty", 9)] and all(r == "transitive" for p, r, _ in counts if p > 1)
+    # every triple is written once: the table's rows are the asserted and the inferred ones, a folder for each pass
+    root = next(p for p in paths if "closure" in p).removeprefix("file://")
+    rows = {d: spark.read.parquet(f"{root}/{d}").count() for d in os.listdir(root) if d.startswith("pass=")}
+    new = {}
+    for p, _, n in counts:
+        new[f"pass={p}"] = new.get(f"pass={p}", 0) + n
+    assert rows == {"pass=0": len(data)} | new
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("closure_")]
