@@ -14,6 +14,15 @@ from quadrat.llm import language, near_dedup, packing, quality
 from quadrat.session import cut
 
 
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Texts travel to Python 2,000 at a time, where the session has Spark's own 10,000: batches stand in memory twice on either side."""
+    if spark.conf.get(ARROW) == "10000":
+        spark.conf.set(ARROW, "2000")
+
+
 def unused(docs: DataFrame, *stems: str) -> list[str]:
     """The stems after as many underscores as no column name begins like, in any case."""
     taken, mark = {c.lower() for c in docs.columns}, "_"
@@ -30,6 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Without labelled rows of both classes nothing is rejected. An empty table
     stays empty. Extra columns are kept, whatever their names.
     """
+    short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     (score,) = unused(docs, "score")
     return quality.with_scores(docs, labels, score_col=score).where(F.col(score) >= quality.REJECT).drop(score)
@@ -43,6 +53,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     pieces; repeated rows share their fate; an empty table stays empty. Extra
     columns are kept, whatever their names.
     """
+    short_batches(spark)
     found = unused(docs, "lang_pred", "score", "margin")
     judged = language.with_languages(docs, prefix=found[0].removesuffix("lang_pred"))
     return judged.where(F.col(found[2]) >= language.MIN_MARGIN).drop(*found)
@@ -56,6 +67,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts of any length are compared whole; an empty table stays empty. Extra
     columns are kept, whatever their names.
     """
+    short_batches(spark)
     (row,) = unused(docs, "row")
     rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     groups = near_dedup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias(row), "component_id")
@@ -71,6 +83,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     into pieces; NULL and repeated ids and rows are packed like others; an empty
     table gives an empty result. Extra columns are left out.
     """
+    short_batches(spark)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
