@@ -41,17 +41,43 @@ def choose_depth(depths: DataFrame, retain: float = 0.95, round_to: int = 1000,
     return depths.agg(F.greatest(F.floor(q / round_to) * round_to, F.lit(round_to)).cast("bigint").alias("depth_choice"))
 
 
-def rarefy(counts: DataFrame, depth: int, seed: int = 1, profile: str = "profile", feature: str = "feature", n: str = "n") -> DataFrame:
-    """Random subsample of ``depth`` counts of each profile without replacement.
-
-    Every single count gets a place by hash order; those among the first
-    ``depth`` stay. Shallower profiles give nothing.
+def rarefy(counts: DataFrame, depth: int, seed: int = 1, profile: str = "profile", feature: str = "feature", n: str = "n", parts: int = 64) -> DataFrame:
+    """Random subsample of ``depth`` counts of each profile without replacement; shallower profiles give nothing.
+
+    A profile's counts are numbered from 0 over its features, and distinct
+    numbers are drawn by hashes: those that stay, or those that go where these
+    are fewer. So a profile makes about 2 x ``depth`` rows however large its
+    counts are. Features are dealt in ``parts`` by hash; a drawn number finds
+    its part by the parts' sums and its feature by the sums inside the part, so
+    no task orders a whole profile.
     """
-    single = counts.where(F.col(n) > 0).select(profile, feature, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias("_k"))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col(profile), F.col(feature), F.col("_k")))
-    place = F.row_number().over(Window.partitionBy(profile).orderBy(key))
-    enough = counts.groupBy(profile).agg(F.sum(n).alias("_t")).where(F.col("_t") >= depth).select(profile)
-    return single.join(enough, profile, "left_semi").withColumn("_r", place).where(F.col("_r") <= depth).groupBy(profile, feature).agg(F.count(F.lit(1)).alias(n))
+    def hashed(*cols: Column, digits: int = 15) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *cols)), 1, digits), 16, 10).cast("bigint")
+
+    rows = counts.where(F.col(n) > 0).select(profile, feature, F.col(n).cast("bigint").alias("_n")).withColumn("_part", (hashed(F.col(feature), digits=8) % parts).cast("int"))
+    sums = rows.groupBy(profile, "_part").agg(F.sum("_n").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(profile).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    laid = sums.withColumn("_from", F.coalesce(before, F.lit(0)))
+    totals = laid.groupBy(profile).agg(F.sum("_s").alias("_t"), F.sort_array(F.collect_list(F.struct("_from", "_part"))).alias("_parts")).where(F.col("_t") >= depth)
+    totals = totals.withColumn("_k", F.least(F.lit(depth), F.col("_t") - depth))
+    # k of at least 2k numbers are distinct after 1.4 k tries on the average
+    tries = totals.where("_k > 0").select(profile, "_t", "_k", F.explode(F.sequence(F.lit(1), (2 * F.col("_k") + 200).cast("int"))).alias("_i"))
+    tries = tries.withColumn("_at", hashed(F.col(profile), F.col("_i")) % F.col("_t")).groupBy(profile, "_at", "_k").agg(F.min("_i").alias("_i"))
+    w = Window.partitionBy(profile)
+    drawn = tries.withColumns({"_r": F.row_number().over(w.orderBy("_i")), "_c": F.count(F.lit(1)).over(w)})
+    drawn = drawn.where(F.when(F.col("_c") >= F.col("_k"), F.col("_r") <= F.col("_k")).otherwise(F.raise_error(F.lit("too few distinct draws"))))
+    at = drawn.join(totals.select(profile, "_parts"), profile)
+    of = F.element_at(F.filter("_parts", lambda p: p["_from"] <= F.col("_at")), -1)
+    at = at.select(profile, of["_part"].alias("_part"), (F.col("_at") - of["_from"]).alias("_at"))
+    ends = F.sum("_n").over(Window.partitionBy(profile, "_part").orderBy(feature))
+    none = rows.schema[feature].dataType.simpleString()
+    spots = rows.join(totals.select(profile), profile, "left_semi").withColumn("_at", ends - F.col("_n")).select(profile, "_part", "_at", F.lit(0).alias("_drawn"), feature)
+    both = spots.unionByName(at.select(profile, "_part", "_at", F.lit(1).alias("_drawn"), F.lit(None).cast(none).alias(feature)))
+    found = both.withColumn(feature, F.last(feature, ignorenulls=True).over(Window.partitionBy(profile, "_part").orderBy("_at", "_drawn").rowsBetween(Window.unboundedPreceding, 0)))
+    picked = found.where("_drawn = 1").groupBy(profile, feature).agg(F.count(F.lit(1)).alias("_m"))
+    whole = rows.join(totals.select(profile, (F.col("_t") - depth < depth).alias("_gone")), profile).join(picked, [profile, feature], "left")
+    m = F.coalesce("_m", F.lit(0))
+    return whole.select(profile, feature, F.when(F.col("_gone"), F.col("_n") - m).otherwise(m).alias(n)).where(F.col(n) > 0)
 
 
 def collapse_rank(counts: DataFrame, taxonomy: DataFrame, rank: int, keep_missing: bool = False, feature: str = "feature", profile: list[str] = ("profile",)) -> DataFrame:

@@ -8,9 +8,13 @@ any SQL engine, and every partition can make its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _key(seed: int, *parts) -> Column:
@@ -54,7 +58,7 @@ def bootstrap(units: DataFrame, reps: int, unit: str, strata: list[str] = (), se
     return chosen.groupBy("draw", *part, "_i").agg(F.count(F.lit(1)).alias("weight")).join(numbered.drop("_n"), [*part, "_i"]).drop("_i")
 
 
-def time_shifts(obs: DataFrame, daily: DataFrame, reps: int, campaign: str, site: str, day: str, before: int, minimum: int, seed: int = 1) -> DataFrame:
+def time_shifts(obs: DataFrame, daily: DataFrame, reps: int, campaign: str, site: str, day: str, before: int, minimum: int, seed: int = 1, admit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(draw, campaign, shift)``: one common shift of days per campaign, at least ``minimum`` either way,
     such that every observation keeps ``before`` days of series; shifts of a campaign are distinct."""
     span = daily.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
@@ -62,10 +66,43 @@ def time_shifts(obs: DataFrame, daily: DataFrame, reps: int, campaign: str, site
     low = F.datediff("_lo", "_a") + before
     high = F.datediff("_hi", "_b")
     options = room.where(low <= high).select(campaign, F.explode(F.sequence(low, high)).alias("shift")).where(F.abs("shift") >= minimum)
+    options = options if admit is None else admit(options)
     order = F.row_number().over(Window.partitionBy(campaign).orderBy(_key(seed, F.col(campaign), F.col("shift")), "shift"))
     return options.withColumn("draw", order).where(F.col("draw") <= reps).select("draw", campaign, "shift")
 
 
+def estimable_shifts(
+    obs: DataFrame, daily: DataFrame, options: DataFrame, spans: list[tuple[int, int]], nuisance: list[str], campaign: str, site: str = "site", day: str = "date", obs_id: str = "obs_id", value: str = "value",
+) -> DataFrame:
+    """Candidate shifts (campaign, shift) under which the design of nuisance columns and shifted exposures keeps its rank.
+
+    Exposures of all candidates come from the same prefix sums, and their cross
+    products from one aggregation; only the ranks of small matrices are left.
+    Observations whose window leaves the series don't count.
+    """
+    from quadrat.operators.joins import exposure
+    from quadrat.operators.models import gram, unpack_gram
+
+    moved = obs.join(F.broadcast(options), campaign).withColumns({day: F.date_add(day, F.col("shift")), "_id": F.concat_ws("|", F.col(obs_id), F.col("shift"))})
+    e = exposure(moved.select("_id", site, day), daily, spans, site, day, value, "_id")
+    names = [f"_x{i}" for i in range(len(spans))]
+    wide = e.groupBy("_id").agg(*(F.max(F.when((F.col("from_lag") == a) & (F.col("to_lag") == b), F.col("exposure"))).alias(n) for (a, b), n in zip(spans, names)))
+    columns = [*nuisance, *names]
+    whole = moved.join(wide.dropna(), "_id")
+    sums = gram(whole, columns, [campaign, "shift"])
+
+    def ranked(parts):
+        for pdf in parts:
+            keep = []
+            for _, r in pdf.iterrows():
+                m = unpack_gram(r, len(columns))
+                scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+                keep.append(bool((np.diag(m) > 0).all()) and np.linalg.matrix_rank(m / scale[:, None] / scale[None, :], tol=1e-10) == len(columns))
+            yield pdf.loc[keep, [campaign, "shift"]]
+
+    return sums.mapInPandas(ranked, T.StructType([options.schema[campaign], options.schema["shift"]]))
+
+
 def lag_rotations(lags: DataFrame, horizon: int, shifts: DataFrame, lag: str = "lag") -> DataFrame:
     """Lag tables with the lag axis rotated by each draw's ``shift``."""
     return lags.join(F.broadcast(shifts)).withColumn(lag, F.pmod(F.col(lag) - 1 + F.col("shift"), F.lit(horizon)) + 1)

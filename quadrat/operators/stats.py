@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quadrat.functions.numeric import f_ratio, lgamma, pdist, ratio
 from quadrat.operators import resample as RS
 from quadrat.operators.windows import avg_rank
+from quadrat.session import cut
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -249,6 +250,36 @@ def moran(df: DataFrame, edges: DataFrame, unit: str, value: str, reps: int, by:
     return RS.perm_p(j, F.col("i"), "v", [*by, "i"])
 
 
+def moran_multivariate(df: DataFrame, edges: DataFrame, unit: str, part: str, value: str, reps: int, seed: int = 1) -> DataFrame:
+    """Moran's I of many responses (or residuals) at once: the trace form n tr(E'WE) / (sum W tr(E'E)), with a p from exchanged rows.
+
+    The products of all responses are summed once for each pair of units; a
+    draw only looks pairs up. Units are few (their pairs are a table).
+    """
+    z = df.select(F.col(unit).alias("u"), F.col(part).alias("t"), (F.col(value) - F.avg(value).over(Window.partitionBy(part))).alias("z"))
+    norm = z.agg(F.sum(F.col("z") * F.col("z")).alias("_s"), F.count_distinct("u").alias("_n"))
+    pair = z.toDF("a", "t", "za").join(z.toDF("b", "t", "zb"), "t").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("za") * F.col("zb")).alias("g"))
+    pair = cut(pair, "products")
+    links = edges.select("a", "b")
+
+    def index(moved: DataFrame, keys: list[str]) -> DataFrame:
+        got = moved.join(pair, ["a", "b"]).groupBy(*keys).agg(F.sum("g").alias("_c"), F.count(F.lit(1)).alias("_e"))
+        return got.join(F.broadcast(norm)).select(*keys, ratio(F.col("_n") * F.col("_c"), F.col("_e") * F.col("_s")).alias("i"))
+
+    obs = index(links, [])
+    perm = RS.permutations(z.select("u").distinct(), reps, "u", seed=seed)
+    moved = links.join(perm.select("draw", F.col("u").alias("a"), F.col("perm_unit").alias("pa")), "a").join(perm.select("draw", F.col("u").alias("b"), F.col("perm_unit").alias("pb")), ["draw", "b"])
+    null = index(moved.select("draw", F.col("pa").alias("a"), F.col("pb").alias("b")), ["draw"]).withColumnRenamed("i", "v")
+    return RS.perm_p(null.join(F.broadcast(obs)), F.col("i"), "v", ["i"])
+
+
+def residual_trend(df: DataFrame, part: str, value: str, x: str, out: str = "residual") -> DataFrame:
+    """What is left of each part after its straight line on ``x``."""
+    w = Window.partitionBy(part)
+    slope = F.regr_slope(value, x).over(w)
+    return df.withColumn(out, F.col(value) - F.avg(value).over(w) - slope * (F.col(x) - F.avg(x).over(w)))
+
+
 def adjacency_delta(pairs: DataFrame, adjacent: Column, strata: list[str], value: str) -> DataFrame:
     """Weighted mean over strata of the difference between adjacent and other pairs."""
     g = pairs.groupBy(*strata).agg(F.avg(F.when(adjacent, F.col(value))).alias("m1"), F.avg(F.when(~adjacent, F.col(value))).alias("m0"), F.count_if(adjacent).alias("n1")).where("m1 is not null and m0 is not null")

@@ -13,6 +13,7 @@ from quadrat.operators import stats as S
 from quadrat.plans.roles import registry, sql
 
 QUERIES, query = registry()
+MIN_SHIFT = 60  # days that a shifted series is away at least
 R = lambda df, digits=6: df.withColumns({c: F.round(F.col(c) + 0.0, digits) for c, kind in df.dtypes if kind == "double"})
 _PAIR = """SELECT a, b, sa, sb, ka, kb, coalesce(low, 0) AS low, coalesce(k, 0) AS k FROM (
       SELECT x.u AS a, y.u AS b, x.s AS sa, y.s AS sb, x.k AS ka, y.k AS kb FROM sz x JOIN sz y ON x.u < y.u) e
@@ -116,15 +117,35 @@ def _(t):
     return RS.bootstrap(t.sites, BOOTS, "site").select("draw", "site", "weight")
 
 
-_OBS = "SELECT event_id AS obs_id, user_id % 4 AS campaign, user_id % 25 AS site, CAST(ts AS DATE) AS date FROM events WHERE day(ts) BETWEEN 12 AND 16"
 
 
-@query("rs4_time_shifts", sql("daily", """
-    SELECT draw, campaign, shift FROM (SELECT campaign, shift, row_number() OVER (PARTITION BY campaign ORDER BY md5('5|' || campaign || '|' || shift), shift) AS draw FROM (
-      SELECT campaign, unnest(range(CAST((SELECT min(date) FROM daily) - min(date) AS BIGINT) + 5, CAST((SELECT max(date) FROM daily) - max(date) AS BIGINT) + 1)) AS shift FROM obs GROUP BY 1) WHERE abs(shift) >= 3) WHERE draw <= 8""", obs=_OBS))
+_LAGGED = {
+    "obs": "SELECT o_orderkey AS obs_id, o_custkey % 4 AS campaign, o_custkey % 25 AS site, CAST(o_orderdate AS DATE) AS date FROM orders",
+    "days": "SELECT site, CAST(d AS DATE) AS date FROM range(25) s(site), (SELECT unnest(generate_series(min(CAST(l_shipdate AS DATE)), max(CAST(l_shipdate AS DATE)), INTERVAL 1 DAY)) AS d FROM lineitem)",
+    "series": "SELECT site, date, coalesce(value, 0) AS value FROM days LEFT JOIN (SELECT l_suppkey % 25 AS site, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2) USING (site, date)",
+    "options": f"""SELECT campaign, shift FROM (SELECT campaign, unnest(range(date_diff('day', min(date), (SELECT min(date) FROM series)) + 7, date_diff('day', max(date), (SELECT max(date) FROM series)) + 1)) AS shift FROM obs GROUP BY 1) WHERE abs(shift) >= {MIN_SHIFT}""",
+    "pre": "SELECT site, date, sum(value) OVER (PARTITION BY site ORDER BY date) AS p FROM series",
+    "moved": "SELECT campaign, shift, 1.0 AS one, CAST(dayofyear(o.date) AS DOUBLE) AS day, b.p - coalesce(a.p, 0) AS x FROM obs o JOIN options USING (campaign) JOIN pre b ON b.site = o.site AND b.date = o.date + CAST(shift - 1 AS INTEGER) LEFT JOIN pre a ON a.site = o.site AND a.date = o.date + CAST(shift - 8 AS INTEGER)",
+    "able": "SELECT campaign, shift FROM moved GROUP BY 1, 2 HAVING var_pop(x) * var_pop(day) - covar_pop(x, day) * covar_pop(x, day) > 1e-9 * var_pop(x) * var_pop(day) AND var_pop(x) > 0",
+}
+
+
+def _lagged(t):
+    """Orders of four campaigns, and a whole daily series of shipped quantities that goes on after the last order."""
+    o = t.table("orders").select(F.col("o_orderkey").alias("obs_id"), (F.col("o_custkey") % 4).alias("campaign"), (F.col("o_custkey") % 25).alias("site"), F.to_date("o_orderdate").alias("date"))
+    ship = t.table("lineitem").groupBy((F.col("l_suppkey") % 25).alias("site"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("value"))
+    span = t.table("lineitem").agg(F.min(F.to_date("l_shipdate")).alias("a"), F.max(F.to_date("l_shipdate")).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("date")).withColumn("site", F.explode(F.sequence(F.lit(0), F.lit(24)).cast("array<bigint>")))
+    return o.withColumns({"one": F.lit(1.0), "day": F.dayofyear("date").cast("double")}), days.join(ship, ["site", "date"], "left").na.fill(0.0, ["value"])
+
+
+@query("rs4_time_shifts", sql("", f"""
+    SELECT draw, campaign, shift FROM (SELECT campaign, shift, row_number() OVER (PARTITION BY campaign ORDER BY md5('5|' || campaign || '|' || shift), shift) AS draw FROM able) WHERE draw <= {DRAWS}""", **_LAGGED))
 def _(t):
-    obs = t.table("events").where("day(ts) between 12 and 16").select((F.col("user_id") % 4).alias("campaign"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date"))
-    s = RS.time_shifts(obs, t.daily, 8, "campaign", "site", "date", 5, 3, seed=5)
+    """Common shifts of each campaign by two months at least that keep the whole week before within the series and the design estimable."""
+    obs, series = _lagged(t)
+    admit = lambda options: RS.estimable_shifts(obs, series, options, [(1, 7)], ["one", "day"], "campaign")
+    s = RS.time_shifts(obs, series, DRAWS, "campaign", "site", "date", 7, MIN_SHIFT, seed=5, admit=admit)
     return s.select(F.col("draw").cast("bigint").alias("draw"), "campaign", F.col("shift").cast("bigint").alias("shift"))
 
 
@@ -364,6 +385,23 @@ def _(t):
     return R(S.moran(v, knn_graph(km_axes(t.sites), 5, node="site"), "site", "v", DRAWS))
 
 
+@query("stat18_moran_residuals", sql("sites site_brands", """
+    SELECT round(i, 6) AS i, round((1 + count(*) FILTER (v >= i - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM (
+      SELECT p.draw, (SELECT count(DISTINCT u) / sum(z * z) FROM zz) * sum(g) / count(*) AS v FROM knn JOIN perm p ON p.u = a JOIN perm q ON q.u = b AND q.draw = p.draw JOIN gg ON gg.x = p.perm_unit AND gg.y = q.perm_unit GROUP BY 1),
+      (SELECT (SELECT count(DISTINCT u) / sum(z * z) FROM zz) * sum(g) / count(*) AS i FROM knn JOIN gg ON x = a AND y = b) GROUP BY i""",
+    un="SELECT DISTINCT site AS u FROM site_brands", reps=_REPS, perm=_PERM, km=_KM, knn=_KNN, clr=_CLR,
+    pos="SELECT site AS u, x * cos(a) + y * sin(a) AS x FROM km, (SELECT 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM km)",
+    zz="SELECT u, t, v - avg(v) OVER w - regr_slope(v, x) OVER w * (x - avg(x) OVER w) AS z FROM clr JOIN pos USING (u) WINDOW w AS (PARTITION BY t)",
+    gg="SELECT p.u AS x, q.u AS y, sum(p.z * q.z) AS g FROM zz p JOIN zz q USING (t) WHERE p.u <> q.u GROUP BY 1, 2"))
+def _(t):
+    """Composition left after a straight trend along the transect: are near sites still alike?"""
+    from quadrat.functions.compositional import km_axes, transect
+    from quadrat.operators.joins import knn_graph
+
+    rows = S.residual_trend(_clr(t).join(transect(t.sites).select("site", "position"), "site"), "taxon", "clr", "position")
+    return R(S.moran_multivariate(rows, knn_graph(km_axes(t.sites), 5, node="site"), "site", "taxon", "residual", DRAWS))
+
+
 @query("stat19_adjacency", None)
 def _(t):
     few = t.counts

@@ -224,3 +224,25 @@ def test_neighbours_at_the_poles_and_the_date_line(spark):
             if i % 2 == 0:
                 d, j = min((far(p, q), j) for j, q in enumerate(spots) if j % 2)
                 assert (i in got) == (d <= metres) and (d > metres or got[i][1] == pytest.approx(d, rel=1e-6, abs=1e-3))
+
+
+def test_rarefied_means_over_draws_are_the_expected_richness(spark):
+    n = [1, 1, 2, 3, 5, 8, 13, 40, 200]
+    c = spark.createDataFrame([(f"p{k}", f"f{i}", v) for k in range(150) for i, v in enumerate(n)], "profile string, feature string, n bigint")
+    for depth in (20, 200):  # drawn directly, and by what goes
+        want = A.rarefied_richness(c, depth).first()["rarefied"]
+        got = A.rarefy(c, depth, 5).collect()
+        depths = {}
+        for r in got:
+            depths[r.profile] = depths.get(r.profile, 0) + r.n
+        assert set(depths.values()) == {depth} and len(depths) == 150 and all(0 < r.n <= n[int(r.feature[1:])] for r in got)
+        assert abs(len(got) / 150 - want) < 0.3
+        assert sum(r.n for r in got if r.feature == "f8") / 150 == pytest.approx(depth * 200 / sum(n), rel=0.04)
+
+
+def test_rarefying_counts_of_a_billion(spark):
+    c = spark.createDataFrame([("p", "a", 10**9), ("p", "b", 3 * 10**9), ("p", "c", 1), ("q", "a", 4), ("r", "a", 5)], "profile string, feature string, n bigint")
+    got = {(r.profile, r.feature): r.n for r in A.rarefy(c, 5).collect()}
+    assert sum(v for (p, _), v in got.items() if p == "p") == 5 and ("q", "a") not in got and got[("r", "a")] == 5
+    many = {(r.profile, r.feature): r.n for r in A.rarefy(c, 4000, seed=3).collect()}
+    assert many[("p", "a")] + many[("p", "b")] == 4000 and many[("p", "b")] == pytest.approx(3000, abs=120)

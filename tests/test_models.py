@@ -132,3 +132,39 @@ def test_gee_tests_and_convergence(spark):
     assert got["interaction"].statistic == pytest.approx(beta[2] ** 2 / want[2, 2]) and got["interaction"].dof == 1
     with pytest.raises(RuntimeError):
         M.gee(df, "y", ["one", "x"], "g", rounds=1)
+
+
+def test_multivariate_moran_equals_matrix_algebra(spark):
+    from quadrat.operators import stats as S
+
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=(12, 4))
+    edges = [(i, j) for i in range(12) for j in range(i + 1, 12) if rng.random() < 0.3]
+    w = np.zeros((12, 12))
+    for i, j in edges:
+        w[i, j] = w[j, i] = 1
+    c = e - e.mean(0)
+    want = 12 / w.sum() * np.trace(c.T @ w @ c) / np.trace(c.T @ c)
+    df = spark.createDataFrame([(i, f"p{j}", float(e[i, j])) for i in range(12) for j in range(4)], "u int, t string, v double")
+    got = S.moran_multivariate(df.withColumnsRenamed({"u": "unit", "t": "part"}), spark.createDataFrame(edges, "a int, b int"), "unit", "part", "v", 19).first()
+    assert got.i == pytest.approx(want) and got.n_draws == 19
+    one = S.moran(df.where("t = 'p0'"), spark.createDataFrame(edges, "a int, b int"), "u", "v", 19).first()
+    alone = S.moran_multivariate(df.where("t = 'p0'").withColumnsRenamed({"u": "unit", "t": "part"}), spark.createDataFrame(edges, "a int, b int"), "unit", "part", "v", 19).first()
+    assert (alone.i, alone.p) == pytest.approx((one.i, one.p))
+
+
+def test_shifts_that_make_the_design_singular_are_left_out(spark):
+    import datetime
+
+    from quadrat.operators import resample as RS
+
+    day = lambda k: datetime.date(2024, 1, 1) + datetime.timedelta(k)
+    # a series that is constant from day 40 on: its week sums then equal the intercept
+    series = spark.createDataFrame([(0, day(k), float(k % 5 if k < 40 else 2)) for k in range(80)], "site bigint, date date, value double")
+    obs = spark.createDataFrame([(i, 0, 0, day(8 + i), 1.0, float(i)) for i in range(10)], "obs_id bigint, campaign bigint, site bigint, date date, one double, day double")
+    options = spark.createDataFrame([(0, s) for s in (0, 5, 20, 45, 55, 70)], "campaign bigint, shift int")
+    got = RS.estimable_shifts(obs, series, options, [(1, 3)], ["one", "day"], "campaign").collect()
+    assert sorted(r["shift"] for r in got) == [0, 5, 20]
+    all_draws = RS.time_shifts(obs, series, 99, "campaign", "site", "date", 3, 4).collect()
+    some = RS.time_shifts(obs, series, 99, "campaign", "site", "date", 3, 4, admit=lambda o: RS.estimable_shifts(obs, series, o, [(1, 3)], ["one", "day"], "campaign")).collect()
+    assert 0 < len(some) < len(all_draws) and max(r["shift"] for r in some) < 35 and sorted(r.draw for r in some) == list(range(1, len(some) + 1))
