@@ -368,6 +368,34 @@ def community_weighted(abund: DataFrame, traits: DataFrame, sample: list[str], g
     return j.groupBy(*sample).agg(ratio(top, F.sum(weight)).alias("whole"), ratio(top, F.sum(F.when(known, F.col(weight)))).alias("mapped"), ratio(F.sum(F.when(known, F.col(weight)).otherwise(0)), F.sum(weight)).alias("coverage"))
 
 
+def weighted_contrast(
+    scores: DataFrame, visits: DataFrame, positions: tuple, reference: str, reps: int, seed: int = 1, sample: str = "sample", spec: str = "spec", score: str = "score",
+) -> DataFrame:
+    """Difference of a weighted trait between two positions, per specification, with a block-bootstrap interval.
+
+    ``scores``: sample, specification, score. ``visits``: sample, site, visit,
+    position, block. Only visits with both positions count (for every
+    specification); a site's value is the mean of its visits' differences.
+    Blocks of sites are drawn, the same for all specifications, so the
+    difference to the ``reference`` specification has an interval of its own.
+    """
+    first, second = positions
+    placed = scores.select(F.col(sample).alias("_s"), F.col(spec).alias("spec"), F.col(score).alias("v")).join(visits.withColumnRenamed(sample, "_s"), "_s")
+    cell = lambda p: F.avg(F.when(F.col("position") == p, F.col("v")))
+    pairs = placed.groupBy("spec", "site", "block", "visit").agg(cell(first).alias("a"), cell(second).alias("b")).where("a is not null and b is not null")
+    site = pairs.groupBy("spec", "site", "block").agg(F.avg(F.col("a") - F.col("b")).alias("d"), F.count(F.lit(1)).alias("k"))
+    ref = site.where(F.col("spec") == reference).select("site", F.col("d").alias("r"))
+    site = cut(site.join(ref, "site", "left").withColumn("e", F.col("d") - F.col("r")), "site-differences")
+    main = site.groupBy("spec").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("k").alias("n_visits"), F.avg("d").alias("estimate"), F.avg("e").alias("delta"))
+    sums = site.groupBy("spec", "block").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("m"), F.sum("e").alias("e"), F.count("e").alias("me"))
+    draws = RS.bootstrap(site.select("block").distinct(), reps, "block", seed=seed).join(sums, "block").groupBy("spec", "draw").agg(
+        ratio(F.sum(F.col("weight") * F.col("d")), F.sum(F.col("weight") * F.col("m"))).alias("d"), ratio(F.sum(F.col("weight") * F.col("e")), F.sum(F.col("weight") * F.col("me"))).alias("e")
+    )
+    q = lambda c, x: F.percentile(c, F.lit(x))
+    ci = draws.groupBy("spec").agg(q("d", 0.025).alias("low"), q("d", 0.975).alias("high"), F.stddev("d").alias("se"), q("e", 0.025).alias("delta_low"), q("e", 0.975).alias("delta_high"), F.count(F.lit(1)).alias("n_draws"))
+    return main.join(ci, "spec").withColumn("excludes_zero", (F.col("low") > 0) | (F.col("high") < 0))
+
+
 def niche(counts: DataFrame, gradient: DataFrame, profile: str, feature: str, n: str, x: str) -> DataFrame:
     """Abundance-weighted mean of a gradient for each feature."""
     return counts.join(gradient, profile).groupBy(feature).agg(ratio(F.sum(F.col(n) * F.col(x)), F.sum(n)).alias("niche"), F.count(F.lit(1)).alias("n_profiles"))

@@ -64,13 +64,30 @@ def _(t):
     return R(scores)
 
 
-@query("ml4_multivariate_trend")
+_MOVES = "SELECT draw, u, perm_unit AS rk FROM perm UNION ALL SELECT 0, u, u FROM un"
+_POS = "SELECT site AS u, (x * cos(a) + y * sin(a)) / 1000 AS x FROM km, (SELECT 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM km)"
+
+
+@query("ml4_multivariate_trend", sql("sites site_brands", """
+    SELECT round(o.r2, 6) AS r2, round(o.f, 6) AS f, round((1 + count(*) FILTER (d.f >= o.f - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM fs d, (SELECT * FROM fs WHERE draw = 0) o WHERE d.draw > 0 GROUP BY o.r2, o.f""",
+    un="SELECT DISTINCT site AS u FROM site_brands", reps=SP._REPS, perm=SP._PERM, moves=_MOVES, km=SP._KM, pos=_POS, clr=SP._CLR,
+    ds="SELECT var_pop(x) AS s11, var_pop(x * x) AS s22, covar_pop(x, x * x) AS s12 FROM pos JOIN un USING (u)",
+    cv="SELECT draw, t, covar_pop(x, v) AS c1, covar_pop(x * x, v) AS c2, var_pop(v) AS vv, count(*) AS n FROM moves JOIN pos USING (u) JOIN clr ON clr.u = rk GROUP BY 1, 2",
+    ex="SELECT draw, any_value(n) AS n, sum(n * (s22 * c1 * c1 - 2 * s12 * c1 * c2 + s11 * c2 * c2) / (s11 * s22 - s12 * s12)) AS b, sum(n * vv) AS w FROM cv CROSS JOIN ds GROUP BY 1",
+    fs="SELECT draw, b / w AS r2, (b / 2) / ((w - b) / (n - 3)) AS f FROM ex"))
 def _(t):
     d = _clr(t).join(C.transect(t.sites).select("site", "position"), "site")
     return R(M.multivariate_trend(d, "site", "taxon", "clr", F.col("position") / 1000, 2, DRAWS))
 
 
-@query("ml5_nested_test")
+@query("ml5_nested_test", sql("sites site_brands", """
+    SELECT round(o.v, 6) AS partial_r2, round((1 + count(*) FILTER (d.v >= o.v - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM sh d, (SELECT * FROM sh WHERE draw = 0) o WHERE d.draw > 0 GROUP BY o.v""",
+    clr=SP._CLR, reps=SP._REPS, xs="SELECT site AS u, lon AS x, CAST(block AS DOUBLE) AS k, block FROM sites WHERE site IN (SELECT site FROM site_brands)",
+    rx="SELECT u, x - regr_intercept(x, k) OVER () - regr_slope(x, k) OVER () * k AS rx FROM xs",
+    re="SELECT c.u, t, v - regr_intercept(v, k) OVER w - regr_slope(v, k) OVER w * k AS e FROM clr c JOIN xs USING (u) WINDOW w AS (PARTITION BY t)",
+    pm="""SELECT draw, x.u, y.u AS rk FROM (SELECT draw, block, u, row_number() OVER (PARTITION BY draw, block ORDER BY u) AS n FROM xs CROSS JOIN reps) x
+      JOIN (SELECT draw, block, u, row_number() OVER (PARTITION BY draw, block ORDER BY md5('1|' || draw || '|' || u), u) AS n FROM xs CROSS JOIN reps) y USING (draw, block, n) UNION ALL SELECT 0, u, u FROM xs""",
+    sh="SELECT draw, sum(c * c / s) / sum(q) AS v FROM (SELECT draw, t, sum(rx * e) AS c, sum(rx * rx) AS s, sum(e * e) AS q FROM pm JOIN rx USING (u) JOIN re ON re.u = rk GROUP BY 1, 2) GROUP BY 1"))
 def _(t):
     d = _clr(t).join(t.sites, "site").withColumns({"one": F.lit(1.0), "blk": F.col("block").cast("double")})
     return R(M.nested_test(d, "site", "taxon", "clr", ["one", "blk"], "lon", "block", DRAWS))
@@ -288,11 +305,12 @@ def _alpha(t):
     return A.alpha_basic(t.counts_pos.join(t.profiles.where("not is_control"), "profile"), ["profile", "site", "campaign", "position"])
 
 
-@query("pl2_diversity_contrasts")
+@query("pl2_diversity_contrasts", sql("counts_pos profiles", SP.CONTRASTS, **SP.contrast_parts(
+    "SELECT site, campaign, position, avg(h) AS v FROM (SELECT profile, campaign, position, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM counts_pos WHERE n > 0 GROUP BY 1, 2, 3) JOIN profiles USING (profile) WHERE NOT is_control GROUP BY 1, 2, 3", "('A', 'N'), ('A', 'R'), ('N', 'R')", "site, campaign")))
 def _(t):
     """Replicate collapse, then paired contrasts between positions."""
     cells = A.collapse_replicates(_alpha(t), ["site", "campaign", "position"], ["shannon", "richness"], ["depth"])
-    return R(S.paired_contrasts(cells, ["site", "campaign"], "position", [("A", "N"), ("A", "R"), ("N", "R")], "shannon", 100))
+    return R(S.paired_contrasts(cells, ["site", "campaign"], "position", [("A", "N"), ("A", "R"), ("N", "R")], "shannon", SP.BOOTS))
 
 
 _PL3 = {
@@ -434,11 +452,12 @@ def _(t):
     return R(S.agreement_by_sample(prod(1), prod(2), "profile", "taxon", "v").agg(F.count(F.lit(1)).alias("n_profiles"), F.median("rho").alias("median_rho")))
 
 
-@query("pl14_paired_endpoint")
+@query("pl14_paired_endpoint", sql("counts", SP.CONTRASTS, **SP.contrast_parts(
+    "SELECT CAST(floor(profile / 2) AS BIGINT) AS pair, CASE WHEN profile % 2 = 0 THEN 'treated' ELSE 'control' END AS position, count(*) AS v FROM counts WHERE n > 0 GROUP BY 1, 2, profile", "('treated', 'control')", "pair")))
 def _(t):
     """Paired endpoint: richness of the two members of each supplier pair, signed-rank and interval."""
     a = A.alpha_basic(t.counts).withColumns({"pair": F.floor(F.col("profile") / 2), "arm": F.when(F.col("profile") % 2 == 0, "treated").otherwise("control")})
-    return R(S.paired_contrasts(a, ["pair"], "arm", [("treated", "control")], "richness", 100))
+    return R(S.paired_contrasts(a, ["pair"], "arm", [("treated", "control")], "richness", SP.BOOTS))
 
 
 @query("pl16_gradient_signal")

@@ -177,14 +177,6 @@ def _(t):
     return R(RS.jackknife(t.daily, "site", "value").select("estimate", "se", "n_units"))
 
 
-@query("fn12_p_values", None)
-def _(t):
-    from quadrat.functions.numeric import pdist
-
-    w = S.wilcoxon(t.table("events").withColumn("d", F.col("value") - 20), "d", ["event_type"])
-    return w.withColumn("p", pdist("normal", "z")).withColumn("p_t", pdist("t", "z", "n"))
-
-
 @query("stat1_pearson", "SELECT event_type, round(corr(value, user_id), 6) AS r, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     return R(S.pearson(t.table("events"), "value", "user_id", ["event_type"]))
@@ -267,9 +259,65 @@ def _(t):
     return R(S.cliffs_delta(t.table("events").withColumn("v", F.round("value", 1)), "event_type", "click", "view", "v"))
 
 
-@query("stat10_paired_contrasts", None)
+def p_normal(z: str) -> str:
+    """Two-sided normal p by Simpson's rule over 2,000 steps."""
+    ends = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"CASE WHEN {z} IS NOT NULL THEN greatest(0.0, 1 - 2 * abs({z}) / 6000.0 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: {ends} * exp(-pow(abs({z}) * i / 2000.0, 2) / 2)))) END"
+
+
+def signed_rank(by: str, diffs: str) -> str:
+    """Signed ranks of ``diff`` in each ``by``."""
+    return f"""SELECT {by}, n, w_plus, w_minus, CASE WHEN var > 0 THEN (least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(var) END AS z FROM (
+      SELECT {by}, count(*) AS n, sum(CASE WHEN diff > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN diff < 0 THEN r ELSE 0 END) AS w_minus, count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - sum(k * k - 1) / 48.0 AS var FROM (
+        SELECT {by}, diff, rank() OVER (PARTITION BY {by} ORDER BY a) + (count(*) OVER (PARTITION BY {by}, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {by}, a) AS k
+        FROM (SELECT *, abs(round(diff, 9)) AS a FROM {diffs} WHERE diff <> 0)) GROUP BY 1)"""
+
+
+def adjusted(by: str, rows: str) -> str:
+    """Benjamini-Hochberg and Bonferroni columns beside ``rows`` with ``p``."""
+    return f"""SELECT * EXCLUDE (k, m), least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q, least(1.0, p * m) AS q_bonferroni FROM (
+      SELECT *, row_number() OVER (ORDER BY p, {by}) AS k, count(*) OVER () AS m FROM ({rows}) WHERE p IS NOT NULL)
+      UNION ALL SELECT *, NULL, NULL FROM ({rows}) WHERE p IS NULL"""
+
+
+def contrast_parts(cells: str, contrasts: str, block: str) -> dict[str, str]:
+    """Named parts for ``CONTRASTS``: ``cells`` has the columns of ``block``, ``position`` and ``v``; ``contrasts`` are pairs of positions."""
+    unit = "concat_ws('/', " + block + ")"
+    return {
+        "cells": cells,
+        "df": f"SELECT x || '-' || y AS contrast, {unit} AS unit, avg(v) FILTER (position = x) - avg(v) FILTER (position = y) AS diff FROM cells CROSS JOIN (VALUES {contrasts}) c(x, y) GROUP BY ALL HAVING avg(v) FILTER (position = x) - avg(v) FILTER (position = y) IS NOT NULL".replace("GROUP BY ALL", f"GROUP BY x, y, {block}"),
+        "nu": "SELECT contrast, unit, diff, row_number() OVER (PARTITION BY contrast ORDER BY unit) - 1 AS j, count(*) OVER (PARTITION BY contrast) AS m FROM df",
+        "reps": _BOOT_REPS,
+        "bo": "SELECT p.contrast, draw, avg(s.diff) AS mean FROM (SELECT contrast, draw, CAST('0x' || substr(md5('1|' || draw || '|' || unit), 1, 8) AS BIGINT) % m AS j FROM nu CROSS JOIN reps) p JOIN nu s ON s.contrast = p.contrast AND s.j = p.j GROUP BY 1, 2",
+        "ci": "SELECT contrast, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM bo GROUP BY 1",
+        "sr": signed_rank("contrast", "df"),
+        "rws": f"""SELECT main.*, low, high, w_plus, w_minus, z, {p_normal("z")} AS p FROM (SELECT contrast, count(*) AS n, avg(diff) AS mean, median(diff) AS median, avg(CASE WHEN diff > 0 THEN 1.0 ELSE 0.0 END) AS share_positive FROM df GROUP BY 1) main
+          JOIN ci USING (contrast) LEFT JOIN (SELECT contrast, w_plus, w_minus, z FROM sr) USING (contrast)""",
+    }
+
+
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "median", "share_positive", "low", "high", "w_plus", "w_minus", "z", "p", "q", "q_bonferroni"))
+CONTRASTS = f"SELECT contrast, n, {_ROUNDED} FROM ({adjusted('contrast', 'SELECT * FROM rws')})"
+
+
+def p_student(t: str, dof: str) -> str:
+    """Two-sided p of Student's t by Simpson's rule over 2,000 steps."""
+    ends = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    scale = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt({dof} * pi())"
+    return f"CASE WHEN {t} IS NOT NULL THEN greatest(0.0, 1 - 2 * {scale} * abs({t}) / 6000.0 * list_sum(list_transform(range(0, 2001), lambda i: {ends} * pow(1 + pow({t} * i / 2000.0, 2) / {dof}, -({dof} + 1) / 2.0)))) END"
+
+
+@query("fn12_p_values", sql("", f"SELECT event_type, n, w_plus, w_minus, round(z, 6) AS z, round({p_normal('z')}, 6) AS p, round({p_student('z', 'n')}, 6) AS p_t FROM sr", d="SELECT event_type, value - 20 AS diff FROM events", sr=signed_rank("event_type", "d")))
 def _(t):
-    return R(S.paired_contrasts(_diversity(t), ["site", "campaign"], "position", [("A", "N"), ("A", "R"), ("N", "R")], "shannon"))
+    from quadrat.functions.numeric import pdist
+
+    w = S.wilcoxon(t.table("events").withColumn("d", F.col("value") - 20), "d", ["event_type"])
+    return R(w.withColumn("p", pdist("normal", "z")).withColumn("p_t", pdist("t", "z", "n")))
+
+
+@query("stat10_paired_contrasts", sql("phyla", CONTRASTS, **contrast_parts("SELECT site, campaign, position, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS v FROM phyla GROUP BY 1, 2, 3", "('A', 'N'), ('A', 'R'), ('N', 'R')", "site, campaign")))
+def _(t):
+    return R(S.paired_contrasts(_diversity(t), ["site", "campaign"], "position", [("A", "N"), ("A", "R"), ("N", "R")], "shannon", BOOTS))
 
 
 _PD = "SELECT site, taxon, avg(CASE WHEN position = 'A' THEN v END) - avg(CASE WHEN position = 'N' THEN v END) AS diff FROM (SELECT *, ln(n) AS v FROM phyla) GROUP BY 1, 2 HAVING avg(CASE WHEN position = 'A' THEN v END) IS NOT NULL AND avg(CASE WHEN position = 'N' THEN v END) IS NOT NULL"
@@ -330,7 +378,8 @@ def _(t):
     return R(S.permanova(df, "site", "block", "taxon", "clr", DRAWS))
 
 
-@query("stat15_feature_paired", None)
+@query("stat15_feature_paired", sql("phyla", "SELECT taxon, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("w_plus", "w_minus", "z", "p", "q", "q_bonferroni")) + f" FROM ({adjusted('taxon', 'SELECT * FROM rws')})",
+    pd=_PD, sr=signed_rank("taxon", "pd"), rws=f"SELECT *, {p_normal('z')} AS p FROM sr"))
 def _(t):
     from quadrat.functions.numeric import pdist
     from quadrat.operators.windows import with_bh
@@ -402,7 +451,22 @@ def _(t):
     return R(S.moran_multivariate(rows, knn_graph(km_axes(t.sites), 5, node="site"), "site", "taxon", "residual", DRAWS))
 
 
-@query("stat19_adjacency", None)
+def adjacency_parts(strata: str, draws: int) -> dict[str, str]:
+    """Named parts for ``ADJACENCY``: pairs ``ap`` (a, b, d and ``strata``) of profiles that are numbered by themselves."""
+    mean = f"SELECT draw, sum(n1 * (m1 - m0)) / sum(n1) AS v, sum(n1) AS n1, count(*) AS k FROM (SELECT draw, {strata}, avg(d) FILTER (adj) AS m1, avg(d) FILTER (NOT adj) AS m0, count(*) FILTER (adj) AS n1 FROM marked GROUP BY ALL) WHERE m1 IS NOT NULL AND m0 IS NOT NULL GROUP BY 1"
+    return {
+        "un": "SELECT DISTINCT profile AS u FROM counts", "reps": f"SELECT CAST(range AS INTEGER) AS draw FROM range(1, {draws + 1})", "perm": _PERM,
+        "moves": "SELECT draw, u, perm_unit AS rk FROM perm UNION ALL SELECT 0, u, u FROM un",
+        "marked": f"SELECT x.draw, {strata}, d, abs(x.rk - y.rk) <= 2 AS adj FROM ap JOIN moves x ON x.u = ap.a JOIN moves y ON y.u = ap.b AND y.draw = x.draw",
+        "deltas": mean,
+    }
+
+
+ADJACENCY = """SELECT round(o.v, 6) AS delta, o.n1 AS n_adjacent, o.k AS n_strata, round((1 + count(*) FILTER (x.v >= o.v - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws
+      FROM deltas x, (SELECT * FROM deltas WHERE draw = 0) o WHERE x.draw > 0 GROUP BY o.v, o.n1, o.k"""
+
+
+@query("stat19_adjacency", sql("counts profiles", ADJACENCY, **_PF, ap="SELECT a, b, 1 - 2 * low / (sa + sb) AS d, p.block = q.block AS same FROM pr JOIN profiles p ON p.profile = a JOIN profiles q ON q.profile = b", **adjacency_parts("same", 50)))
 def _(t):
     few = t.counts
     d = D.bray_curtis(few, "profile", "feature", "n").join(t.profiles.toDF("a", "site_a", "block_a", "c_a"), "a").join(t.profiles.toDF("b", "site_b", "block_b", "c_b"), "b")
@@ -465,6 +529,36 @@ def _(t):
     return R(S.community_weighted(ab, tr, ["sample"], "genome", "w", "size"))
 
 
+_TRAITS = """SELECT l_suppkey AS sample, spec, 100 * sum(CASE spec WHEN 'size' THEN w * s WHEN 'large' THEN CASE WHEN s > 25 THEN w * 50 ELSE 0 END ELSE w * (p_retailprice - 900) / 20 END) / sum(w) AS score
+      FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2) JOIN (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, p_retailprice FROM part WHERE p_partkey % 3 <> 0) ON p_partkey = l_partkey CROSS JOIN (VALUES ('size'), ('large'), ('price')) x(spec) GROUP BY 1, 2"""
+
+
+@query("stat25_contrast", sql("profiles", """
+    SELECT spec, n_sites, n_visits, round(estimate, 6) AS estimate, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, round(se, 6) AS se, round(delta_low, 6) AS delta_low, round(delta_high, 6) AS delta_high, n_draws, low > 0 OR high < 0 AS excludes_zero
+    FROM (SELECT spec, count(*) AS n_sites, sum(k) AS n_visits, avg(d) AS estimate, avg(e) AS delta FROM st GROUP BY 1) JOIN (
+      SELECT spec, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, stddev_samp(d) AS se, quantile_cont(e, 0.025) AS delta_low, quantile_cont(e, 0.975) AS delta_high, count(*) AS n_draws FROM dr GROUP BY 1) USING (spec)""",
+    sco=_TRAITS, vis="SELECT profile AS sample, site, profile % 3 AS visit, CASE WHEN profile % 2 = 0 THEN 'even' ELSE 'odd' END AS position, block FROM profiles",
+    pa="SELECT spec, site, block, visit, avg(score) FILTER (position = 'even') AS a, avg(score) FILTER (position = 'odd') AS b FROM sco JOIN vis USING (sample) GROUP BY 1, 2, 3, 4",
+    sd="SELECT spec, site, block, avg(a - b) AS d, count(*) AS k FROM pa WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2, 3",
+    st="SELECT x.*, x.d - r.d AS e FROM sd x LEFT JOIN sd r ON r.site = x.site AND r.spec = 'size'",
+    un="SELECT DISTINCT block AS u FROM st", reps=_BOOT_REPS, boot=_BOOT,
+    dr="SELECT spec, draw, sum(weight * d) / sum(weight * m) AS d, sum(weight * e) / sum(weight * me) AS e FROM boot JOIN (SELECT spec, block, sum(d) AS d, count(*) AS m, sum(e) AS e, count(e) AS me FROM st GROUP BY 1, 2) ON u = block GROUP BY 1, 2"))
+def _(t):
+    """Three ways to weight a trait: difference of two positions within visits, and how far each way is from the first."""
+    ab = t.table("lineitem").groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("genome")).agg(F.sum("l_quantity").alias("w"))
+    p = t.table("part").where("p_partkey % 3 <> 0")
+    size = F.col("p_size").cast("double")
+    specs = {"size": size, "large": F.when(size > 25, 50.0).otherwise(0.0), "price": (F.col("p_retailprice") - 900) / 20}
+    scores = None
+    for name, c in specs.items():
+        one = S.community_weighted(ab, p.select(F.col("p_partkey").alias("genome"), c.alias("x")), ["sample"], "genome", "w", "x")
+        one = one.select("sample", F.lit(name).alias("spec"), (100 * F.col("mapped")).alias("score"))
+        scores = one if scores is None else scores.unionByName(one)
+    k = F.col("profile")
+    visits = t.profiles.select(k.alias("sample"), "site", (k % 3).alias("visit"), F.when(k % 2 == 0, "even").otherwise("odd").alias("position"), "block")
+    return R(S.weighted_contrast(scores, visits, ("even", "odd"), "size", BOOTS))
+
+
 @query("stat26_niche", sql("counts profiles sites", "SELECT feature, round(sum(n * lat) / sum(n), 9) AS niche, count(*) AS n_profiles FROM counts JOIN profiles USING (profile) JOIN sites USING (site) GROUP BY 1"))
 def _(t):
     g = t.profiles.select("profile", "site").join(t.sites.select("site", "lat"), "site").select("profile", "lat")
