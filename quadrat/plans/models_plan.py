@@ -11,11 +11,13 @@ from quadrat.operators import distance as D
 from quadrat.operators import joins as J
 from quadrat.operators import models as M
 from quadrat.operators import networks as NW
+from quadrat.operators import ordination as O
 from quadrat.operators import resample as RS
 from quadrat.operators import stats as S
 from quadrat.operators import windows as W
 from quadrat.plans import stats_plan as SP
 from quadrat.plans.roles import registry, sql
+from quadrat.session import cut
 from quadrat.sources import sinks, text
 
 DRAWS = 999
@@ -57,6 +59,12 @@ def _(t):
     return R(M.pcoa(D.bray_curtis(t.site_brands, "site", "taxon", "n"), 0.8).withColumn("coordinate", F.abs("coordinate")))
 
 
+@query("ml2_pcoa_axes")
+def _(t):
+    """Leading axes of all profiles' Bray-Curtis distances by passes over the pair table."""
+    return R(O.pcoa_axes(D.bray_curtis(t.counts, "profile", "feature", "n"), 4), 4)
+
+
 @query("ml3_elemental_axis")
 def _(t):
     x = t.table("events").groupBy((F.col("user_id") % 25).alias("site"), F.col("event_type").alias("part")).agg(F.avg("value").alias("v"))
@@ -485,6 +493,53 @@ def _(t):
     return inv.agg(F.count(F.lit(1)).alias("profiles"), F.count_if("ok").alias("n_ok"), F.sum("removed").alias("removed"))
 
 
+_SCREEN = {
+    "called": f"""SELECT feature FROM (SELECT feature, count(*) FILTER (is_control) AS a, (SELECT count(*) FROM profiles WHERE is_control) AS r, count(*) AS c, (SELECT count(*) FROM profiles) AS nn FROM counts JOIN profiles USING (profile) GROUP BY 1)
+      WHERE a > 0 AND {_FISHER} < 0.1 AND a / CAST(r AS DOUBLE) > (c - a) / CAST(nn - r AS DOUBLE)""",
+    "marked": "SELECT c.*, called.feature IS NOT NULL AS hit FROM counts c LEFT JOIN called USING (feature)",
+    "per": "SELECT profile, sum(n) AS t, coalesce(sum(n) FILTER (hit), 0) AS gone, count(*) AS rich, count(*) FILTER (NOT hit) AS rich2, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h, ln(sum(n) FILTER (NOT hit)) - sum(n * ln(n)) FILTER (NOT hit) / sum(n) FILTER (NOT hit) AS h2 FROM marked GROUP BY 1",
+    "batches": f"""SELECT feature FROM (SELECT feature, a, c, r, nn FROM (SELECT profile % 2 AS batch, feature, count(*) FILTER (is_control) AS a, count(*) AS c FROM counts JOIN profiles USING (profile) GROUP BY 1, 2)
+      JOIN (SELECT profile % 2 AS batch, count(*) FILTER (is_control) AS r, count(*) AS nn FROM profiles GROUP BY 1) USING (batch)) WHERE r >= 2 AND nn > r AND a > 0 AND a / CAST(r AS DOUBLE) > (c - a) / CAST(nn - r AS DOUBLE) AND least(1.0, {_FISHER}) < 0.1""",
+    "spill": "SELECT role, count(DISTINCT feature) AS n, max(n / CAST(depth AS DOUBLE)) AS m FROM (SELECT *, CASE WHEN profile = 5 THEN 'positive' WHEN profile % 10 = 0 THEN 'negative' ELSE 'sample' END AS role FROM counts JOIN taxonomy USING (feature) JOIN (SELECT profile, sum(n) AS depth FROM counts GROUP BY 1) USING (profile) WHERE r2 IN ('Brand#11', 'Brand#22') AND feature IN (SELECT feature FROM counts WHERE profile = 5)) GROUP BY 1",
+}
+
+
+@query("pl20_screen_and_rebuild", sql("counts profiles taxonomy", """
+    SELECT 'controls' AS step, 'profiles' AS item, CAST(count(*) AS DOUBLE) AS value FROM profiles WHERE is_control
+    UNION ALL SELECT 'screen', 'called', count(*) FROM called
+    UNION ALL SELECT 'screen', 'called within batches', count(DISTINCT feature) FROM batches
+    UNION ALL SELECT 'screen', 'called both ways', count(*) FROM (SELECT feature FROM called INTERSECT SELECT feature FROM batches)
+    UNION ALL SELECT 'spillover ' || role, 'features', n FROM spill UNION ALL SELECT 'spillover ' || role, 'largest share', round(m, 6) FROM spill
+    UNION ALL SELECT 'removal', 'conserved profiles', count(*) FROM per UNION ALL SELECT 'removal', 'reads', sum(gone) FROM per UNION ALL SELECT 'removal', 'mean share of samples', round(avg(gone / CAST(t AS DOUBLE)), 6) FROM per JOIN profiles USING (profile) WHERE NOT is_control
+    UNION ALL SELECT 'headline', 'depth', round(avg(CAST(-gone AS DOUBLE)), 6) FROM per UNION ALL SELECT 'headline', 'richness', round(avg(CAST(rich2 - rich AS DOUBLE)), 6) FROM per UNION ALL SELECT 'headline', 'shannon', round(avg(h2 - h), 6) FROM per""", **_SCREEN))
+def _(t):
+    """Controls screened over all and within batches, spillover of the positive control, removal with its invariants, and
+    what the headline numbers change."""
+    counts = cut(t.counts, "counts")
+    roles = t.profiles.select("profile", "is_control")
+    called = cut(K.contaminant_screen(counts, roles, 0.1).select("feature"), "called")
+    within = K.batch_screen(counts, roles, roles.select("profile", (F.col("profile") % 2).alias("batch"))).where("commoner and in_controls > 0 and p < 0.1").select("feature").distinct()
+    k = F.col("profile")
+    role = t.profiles.select("profile", F.when(k == 5, "positive").when(k % 10 == 0, "negative").otherwise("sample").alias("role"))
+    spill = K.spillover(counts, role, t.taxonomy, ["Brand#11", "Brand#22"], 2).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.max("max_share").alias("m"))
+    _, inv = K.apply_removal(counts, called)
+    share = A.removal_summary(counts.join(roles, "profile"), called, "is_control").where("not is_control")
+    change = K.removal_effect(counts, called).groupBy("metric").agg(F.avg("change").alias("value"))
+    row = lambda df, step, item, value: df.select((F.lit(step) if isinstance(step, str) else step).alias("step"), (F.lit(item) if isinstance(item, str) else item).alias("item"), value.cast("double").alias("value"))
+    n = F.count(F.lit(1))
+    parts = [
+        row(roles.where("is_control").agg(n.alias("n")), "controls", "profiles", F.col("n")), row(called.agg(n.alias("n")), "screen", "called", F.col("n")),
+        row(within.agg(n.alias("n")), "screen", "called within batches", F.col("n")), row(within.join(called, "feature", "left_semi").agg(n.alias("n")), "screen", "called both ways", F.col("n")),
+        row(spill, F.concat(F.lit("spillover "), "role"), "features", F.col("n")), row(spill, F.concat(F.lit("spillover "), "role"), "largest share", F.col("m")),
+        row(inv.where("ok").agg(n.alias("n")), "removal", "conserved profiles", F.col("n")), row(inv.agg(F.sum("removed").alias("n")), "removal", "reads", F.col("n")),
+        row(share, "removal", "mean share of samples", F.col("mean_share")), row(change, "headline", F.col("metric"), F.col("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return R(out)
+
+
 @query("pl22_abundance_graph", sql("counts taxonomy", """
     SELECT rank, count(*) AS n_nodes, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 1 AS rank, profile, r1 AS x, sum(n) AS n FROM counts JOIN taxonomy USING (feature) GROUP BY 1, 2, 3 UNION ALL SELECT 2, profile, r1 || r2, sum(n) FROM counts JOIN taxonomy USING (feature) GROUP BY 1, 2, 3) GROUP BY 1"""))
 def _(t):
@@ -493,9 +548,10 @@ def _(t):
     from quadrat.operators import quality as Q
     from quadrat.operators.keys import stable_id
 
-    ab = A.abundance_by_rank(t.counts, t.taxonomy, 2)
+    ab = cut(A.abundance_by_rank(t.counts, t.taxonomy, 2), "abundance")
     node, run = stable_id("abundance", "profile", "rank", "taxon"), F.concat(F.lit("run/"), F.col("profile").cast("string"))
     g = G.reify(ab, [(node, "type", F.lit("Abundance"), "iri"), (node, "ofRun", run, "iri"), (run, "hasAbundance", node, "iri"), (node, "rank", F.col("rank"), "literal"), (node, "count", F.col("n"), "literal")])
+    g = cut(g, "triples")  # read by three checks and the answer
     if not Q.conservation(ab, t.counts, ["profile"]).isEmpty():
         raise ValueError("counts are not conserved")
     there = G.fingerprint(g.where("p = 'ofRun'").select(F.col("s").alias("x"), F.col("o").alias("y")), ["x", "y"]).first()

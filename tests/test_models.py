@@ -168,3 +168,27 @@ def test_shifts_that_make_the_design_singular_are_left_out(spark):
     all_draws = RS.time_shifts(obs, series, 99, "campaign", "site", "date", 3, 4).collect()
     some = RS.time_shifts(obs, series, 99, "campaign", "site", "date", 3, 4, admit=lambda o: RS.estimable_shifts(obs, series, o, [(1, 3)], ["one", "day"], "campaign")).collect()
     assert 0 < len(some) < len(all_draws) and max(r["shift"] for r in some) < 35 and sorted(r.draw for r in some) == list(range(1, len(some) + 1))
+
+
+@pytest.mark.parametrize("n,dims", [(200, 30), (6, 3)])
+def test_leading_coordinates_equal_the_dense_solution(spark, n, dims):
+    from quadrat.operators import ordination as O
+
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, dims)) * (0.8 ** np.arange(dims))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    if n == 200:
+        d = d**0.9  # not Euclidean any more
+    rows = [(i, j, float(d[i, j])) for i in range(n) for j in range(i + 1, n)]
+    got = O.pcoa_axes(spark.createDataFrame(rows, "a int, b int, d double").repartition(6), 3).collect()
+    j = np.eye(n) - 1 / n
+    b = -0.5 * j @ (d * d) @ j
+    values, vectors = np.linalg.eigh(b)
+    for a in (1, 2, 3):
+        own = {int(r.unit): r.coordinate for r in got if r.axis == a}
+        want = vectors[:, -a] * np.sqrt(values[-a])
+        c = np.array([own[i] for i in range(n)])
+        assert next(r for r in got if r.axis == a).eigenvalue == pytest.approx(values[-a], rel=1e-9)
+        assert next(r for r in got if r.axis == a).share == pytest.approx(values[-a] / np.trace(b), rel=1e-9)
+        assert np.allclose(c * np.sign(c @ want), want, atol=1e-5) and c[np.argmax(np.abs(c))] > 0
+    assert O.pcoa_axes(spark.createDataFrame([], "a int, b int, d double"), 3).count() == 0
