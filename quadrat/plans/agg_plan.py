@@ -39,15 +39,20 @@ def _(t):
     return A.choose_depth(A.alpha_basic(t.counts))
 
 
-@query("agg5_rarefy", sql("counts", """
-    SELECT profile, feature, n FROM (
-      SELECT c.profile, c.feature, CAST(CASE WHEN any_value(t) - 2000 < 2000 THEN any_value(n) - count(spot) ELSE count(spot) END AS BIGINT) AS n
-      FROM laid c LEFT JOIN drawn d ON d.profile = c.profile AND d.spot >= c.start AND d.spot < c.start + c.n GROUP BY 1, 2) WHERE n > 0""",
-    laid="""SELECT *, sum(n) OVER (PARTITION BY profile ORDER BY part, feature) - n AS start, sum(n) OVER (PARTITION BY profile) AS t
-      FROM (SELECT *, CAST('0x' || substr(md5('7|' || feature), 1, 8) AS BIGINT) % 64 AS part FROM counts WHERE n > 0) QUALIFY t >= 2000""",
-    tried="""SELECT profile, k, spot, min(i) AS i FROM (SELECT profile, k, i, CAST('0x' || substr(md5('7|' || profile || '|' || i), 1, 15) AS BIGINT) % t AS spot
-      FROM (SELECT profile, t, least(2000, t - 2000) AS k, unnest(range(1, CAST(2 * least(2000, t - 2000) + 201 AS BIGINT))) AS i FROM (SELECT DISTINCT profile, CAST(t AS BIGINT) AS t FROM laid))) GROUP BY 1, 2, 3""",
-    drawn="SELECT profile, spot FROM tried QUALIFY row_number() OVER (PARTITION BY profile ORDER BY i) <= k"))
+def rarefied_parts(seed: int, depth: int) -> dict[str, str]:
+    """``rarefied`` (profile, feature, n): numbers drawn by md5 over features in order of their part."""
+    return {
+        "laid": f"""SELECT *, sum(n) OVER (PARTITION BY profile ORDER BY part, feature) - n AS start, sum(n) OVER (PARTITION BY profile) AS t
+          FROM (SELECT *, CAST('0x' || substr(md5('{seed}|' || feature), 1, 8) AS BIGINT) % 64 AS part FROM counts WHERE n > 0) QUALIFY t >= {depth}""",
+        "tried": f"""SELECT profile, k, spot, min(i) AS i FROM (SELECT profile, k, i, CAST('0x' || substr(md5('{seed}|' || profile || '|' || i), 1, 15) AS BIGINT) % t AS spot
+          FROM (SELECT profile, t, least({depth}, t - {depth}) AS k, unnest(range(1, CAST(2 * least({depth}, t - {depth}) + 201 AS BIGINT))) AS i FROM (SELECT DISTINCT profile, CAST(t AS BIGINT) AS t FROM laid))) GROUP BY 1, 2, 3""",
+        "drawn": "SELECT profile, spot FROM tried QUALIFY row_number() OVER (PARTITION BY profile ORDER BY i) <= k",
+        "rarefied": f"""SELECT profile, feature, n FROM (SELECT c.profile, c.feature, CAST(CASE WHEN any_value(t) - {depth} < {depth} THEN any_value(n) - count(spot) ELSE count(spot) END AS BIGINT) AS n
+          FROM laid c LEFT JOIN drawn d ON d.profile = c.profile AND d.spot >= c.start AND d.spot < c.start + c.n GROUP BY 1, 2) WHERE n > 0""",
+    }
+
+
+@query("agg5_rarefy", sql("counts", "SELECT * FROM rarefied", **rarefied_parts(7, 2000)))
 def _(t):
     return A.rarefy(t.counts, 2000, seed=7)
 

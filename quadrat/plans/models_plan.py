@@ -411,7 +411,12 @@ def _(t):
     return R(RS.perm_p(null.withColumnRenamed("t", "v").join(obs_t.select("peak", "t", "beta"), "peak"), F.col("t"), "v", ["peak", "t", "beta"], tail="two"))
 
 
-@query("pl8_climate_associations")
+@query("pl8_climate_associations", sql("counts profiles daily", "SELECT pair, n, dof, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("rho", "t", "p", "q", "q_bonferroni")) + f" FROM ({SP.adjusted('pair', 'SELECT * FROM ps')})",
+    clim="SELECT site, avg(m) AS mean_value, avg(s) AS sum_value FROM (SELECT site, round(avg(value), 3) AS m, round(sum(value), 3) AS s FROM daily GROUP BY site, year(date), month(date)) GROUP BY 1",
+    al="SELECT site, avg(h) AS shannon, avg(r) AS richness FROM (SELECT profile, count(*) AS r, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM counts WHERE n > 0 GROUP BY 1) JOIN profiles USING (profile) GROUP BY 1",
+    xy="SELECT a || '~' || b AS pair, CASE a WHEN 'mean_value' THEN mean_value ELSE sum_value END AS x, CASE b WHEN 'shannon' THEN shannon ELSE richness END AS y FROM clim JOIN al USING (site) CROSS JOIN (VALUES ('mean_value'), ('sum_value')) p(a) CROSS JOIN (VALUES ('shannon'), ('richness')) q(b)",
+    rk="SELECT pair, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2.0 AS ry FROM xy",
+    rh="SELECT pair, corr(rx, ry) AS rho, count(*) AS n, count(*) - 2 AS dof FROM rk GROUP BY 1", ts="SELECT *, rho * sqrt(dof / (1 - rho * rho)) AS t FROM rh", ps=f"SELECT *, {SP.p_student('t', 'dof')} AS p FROM ts"))
 def _(t):
     """Site climatology against diversity: rank correlation, interval, adjusted p."""
     clim = A.site_climatology(A.monthly(t.daily, ["value"], ["value"]), ["mean_value", "sum_value"])
@@ -468,7 +473,9 @@ def _(t):
     return R(S.paired_contrasts(a, ["pair"], "arm", [("treated", "control")], "richness", SP.BOOTS))
 
 
-@query("pl16_gradient_signal")
+@query("pl16_gradient_signal", sql("counts profiles sites", SP.MANTEL, un="SELECT feature AS u FROM counts GROUP BY 1 ORDER BY sum(n) DESC, feature LIMIT 40", reps=SP._REPS, perm=SP._PERM,
+    nc="SELECT feature, sum(n * lat) / sum(n) AS v FROM counts JOIN un ON u = feature JOIN profiles USING (profile) JOIN sites USING (site) GROUP BY 1",
+    geo="SELECT x.feature AS a, y.feature AS b, abs(x.v - y.v) AS km FROM nc x JOIN nc y ON x.feature < y.feature", dd="SELECT x.p_partkey AS a, y.p_partkey AS b, abs(x.p_retailprice - y.p_retailprice) AS d FROM part x JOIN part y ON x.p_partkey < y.p_partkey AND x.p_partkey IN (SELECT u FROM un) AND y.p_partkey IN (SELECT u FROM un)"))
 def _(t):
     """Niche differences of common features against a supplied distance table."""
     g = t.profiles.select("profile", "site").join(t.sites.select("site", "lat"), "site").select("profile", "lat")

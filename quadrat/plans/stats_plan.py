@@ -392,10 +392,13 @@ _DD = "SELECT x.u AS a, y.u AS b, sqrt(sum(pow(x.v - y.v, 2))) AS d FROM clr x J
 _GEOM = {"clr": _CLR, "dd": _DD, "km": _KM, "geo": _GEO}
 
 
-@query("stat16_mantel", sql("site_brands sites", """
+MANTEL = """
     SELECT round(r, 6) AS r, round((1 + count(*) FILTER (v >= r - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM (
       SELECT m.draw, corr(m.km, dd.d) AS v FROM (SELECT p.draw, least(p.perm_unit, q.perm_unit) AS a, greatest(p.perm_unit, q.perm_unit) AS b, km FROM geo JOIN perm p ON p.u = a JOIN perm q ON q.u = b AND q.draw = p.draw) m JOIN dd USING (a, b) GROUP BY 1),
-      (SELECT corr(km, d) AS r FROM geo JOIN dd USING (a, b)) GROUP BY r""", **_SITES_U, **_GEOM))
+      (SELECT corr(km, d) AS r FROM geo JOIN dd USING (a, b)) GROUP BY r"""
+
+
+@query("stat16_mantel", sql("site_brands sites", MANTEL, **_SITES_U, **_GEOM))
 def _(t):
     return R(S.mantel(D.geo_pairs(t.sites).withColumnRenamed("km", "d"), D.euclidean(_clr(t), "site", "taxon", "clr"), DRAWS))
 
