@@ -181,8 +181,9 @@ def orbit_design(design: DataFrame, maps: DataFrame) -> DataFrame:
 def skill_null(counts: DataFrame, design: DataFrame, maps: DataFrame, identity, **options) -> DataFrame:
     """Skill of the route as it is against that of all its shifts and reflections: (measure, observed, p, n_null).
 
-    ``identity``: a condition on (shift, reflected) that holds for the route as it is.
+    ``identity``: a condition on (shift, reflected) that holds for the route as it is, a column or SQL text.
     """
+    identity = F.expr(identity) if isinstance(identity, str) else identity
     keys = ["shift", "reflected"]
     every = cut(skill(nested_cv(counts, orbit_design(design, maps), keys=keys, **options), keys), "orbit")
     long = every.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in ("pooled", "equal")))).alias("m")).select(*keys, "m.*")

@@ -15,7 +15,7 @@ from quadrat.plans.roles import registry, sql
 
 QUERIES, query = registry()
 TAXA, ORBIT_TAXA, BLOCKS = 20, 10, 5
-HERE = (F.col("shift") == 0) & (F.col("reflected") == 0)
+HERE = "shift = 0 AND reflected = 0"
 
 
 def _counts(t):
