@@ -379,6 +379,34 @@ def block_checks(triples: DataFrame, kind: str, exact: dict[str, int]) -> DataFr
     return counts.unionByName(gap.select("s", F.lit("gap before").alias("problem")))
 
 
+def block_rules(
+    triples: DataFrame, kind: str, ranges: dict[str, tuple[float, float]] = {}, labels: dict[str, str] = {}, links: dict[str, tuple[str, int]] = {},  # noqa: B006
+) -> DataFrame:
+    """``(s, problem)`` of subjects of a class whose objects break a rule on a predicate.
+
+    ``ranges``: a number from low to high. ``labels``: a pattern. ``links``:
+    what the subject's own number says, as (prefix, digits): the number at the
+    end of ``s`` after the prefix, filled up with zeros to so many digits. All
+    rules read the subjects' triples once; a problem is given once a subject.
+    """
+    members = triples.where((F.col("p") == TYPE) & (F.col("o") == kind)).select("s").distinct()
+    rows = triples.where(F.col("p").isin(*{*ranges, *labels, *links})).select("s", "p", "o").join(members, "s", "left_semi")
+    number, value = F.regexp_extract("s", r"(\d+)$", 1), F.col("o").try_cast("double")
+    flags = [F.when((F.col("p") == p) & ~F.coalesce(value.between(lo, hi), F.lit(False)), F.lit(f"{p} out of range")) for p, (lo, hi) in ranges.items()]
+    flags += [F.when((F.col("p") == p) & ~F.col("o").rlike(pattern), F.lit(f"{p} not as patterned")) for p, pattern in labels.items()]
+    flags += [F.when((F.col("p") == p) & (F.col("o") != F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(digits)), F.lit("0")))), F.lit(f"{p} of another number")) for p, (prefix, digits) in links.items()]
+    return rows.select("s", F.explode(F.array_compact(F.array(*flags))).alias("problem")).distinct()
+
+
+def class_totals(triples: DataFrame, relations: list[tuple[str, int, str]]) -> DataFrame:
+    """``(relation, n_first, n_second, ok)``: there are so many times as many members of the first class as of the second."""
+    names = sorted({c for a, _, b in relations for c in (a, b)})
+    n = triples.where((F.col("p") == TYPE) & F.col("o").isin(*names)).agg(*(F.count_distinct(F.when(F.col("o") == c, F.col("s"))).alias(f"n{i}") for i, c in enumerate(names)))
+    of = {c: F.col(f"n{i}") for i, c in enumerate(names)}
+    cells = F.array(*(F.struct(F.lit(f"{a} = {k} x {b}").alias("relation"), of[a].alias("n_first"), of[b].alias("n_second"), (of[a] == of[b] * k).alias("ok")) for a, k, b in relations))
+    return n.select(F.explode(cells).alias("c")).select("c.*")
+
+
 def fingerprint(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     """Order-independent multiset fingerprint: rows, sum of 32-bit hash halves, and xor of them (md5-based)."""
     key = F.md5(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols)))

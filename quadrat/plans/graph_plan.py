@@ -413,6 +413,25 @@ def _(t):
     return G.block_checks(t.triples, "Customer", {"type": 1, "locatedIn": 1, "label": 1}).groupBy("problem").agg(N())
 
 
+@query("dq13_block_rules", sql("triples", """
+    SELECT 'Part' AS kind, 'size out of range' AS problem, count(*) AS n FROM part WHERE p_size NOT BETWEEN 1 AND 45
+    UNION ALL SELECT 'Order', 'placedBy of another number', count(*) FROM orders WHERE o_custkey <> o_orderkey
+    UNION ALL SELECT 'Supplier', 'label not as patterned', count(*) FROM supplier WHERE NOT regexp_matches(s_name, '^Supplier#[0-9]{8}[0-4]$')"""))
+def _(t):
+    """Numbers within ranges, labels as patterned, and links that the subject's own number gives."""
+    g = t.triples
+    rules = {"Part": {"ranges": {"size": (1, 45)}}, "Order": {"links": {"placedBy": ("customer/", 1)}}, "Supplier": {"labels": {"label": "^Supplier#[0-9]{8}[0-4]$"}, "links": {"label": ("Supplier#", 9)}}}
+    parts = [G.block_rules(g, kind, **r).withColumn("kind", F.lit(kind)) for kind, r in rules.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "problem").agg(N())
+
+
+@query("dq13_class_totals", sql("triples", """
+    SELECT 'Nation = 5 x Region' AS relation, (SELECT count(*) FROM nation) AS n_first, (SELECT count(*) FROM region) AS n_second, (SELECT count(*) FROM nation) = 5 * (SELECT count(*) FROM region) AS ok
+    UNION ALL SELECT 'Customer = 2 x Supplier', (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier), (SELECT count(*) FROM customer) = 2 * (SELECT count(*) FROM supplier)"""))
+def _(t):
+    return G.class_totals(t.triples, [("Nation", 5, "Region"), ("Customer", 2, "Supplier")])
+
+
 @query("dq14_complete", """
     SELECT problem, count(*) AS n FROM (SELECT 'priority missing' AS problem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'priority not allowed' FROM (SELECT o_custkey, min(o_orderpriority) AS p FROM orders GROUP BY 1) WHERE p NOT IN ('1-URGENT')) GROUP BY 1""")
 def _(t):

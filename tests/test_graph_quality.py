@@ -252,3 +252,13 @@ def test_closure_appends_and_counts_by_rule(spark, monkeypatch):
         new[f"pass={p}"] = new.get(f"pass={p}", 0) + n
     assert rows == {"pass=0": len(data)} | new
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("closure_")]
+
+
+def test_block_rules_name_each_problem(spark):
+    data = [("v/1", "type", "V"), ("v/1", "count", "5"), ("v/1", "rank", "genus 1"), ("v/1", "run", "run/01"),
+            ("v/2", "type", "V"), ("v/2", "count", "99"), ("v/2", "rank", "genus x"), ("v/2", "run", "run/03"),
+            ("v/33", "type", "V"), ("v/33", "count", "many"), ("v/33", "count", "200"), ("v/33", "run", "run/33"), ("w/4", "type", "W"), ("w/4", "count", "99")]
+    got = rows(G.block_rules(triples(spark, data), "V", {"count": (0, 10)}, {"rank": "^genus [0-9]$"}, {"run": ("run/", 2)}))
+    assert got == [("v/2", "count out of range"), ("v/2", "rank not as patterned"), ("v/2", "run of another number"), ("v/33", "count out of range")]
+    t = rows(G.class_totals(triples(spark, data), [("V", 3, "W"), ("W", 1, "V")]))
+    assert t == [("V = 3 x W", 3, 1, True), ("W = 1 x V", 1, 3, False)]
