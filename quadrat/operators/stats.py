@@ -160,6 +160,24 @@ def paired_dispersion(df: DataFrame, block: str, diff: str, reps: int, seed: int
     return RS.perm_p(null.join(F.broadcast(obs)), F.col("statistic"), "v", ["statistic", "n_blocks"], tail="two")
 
 
+def location_interval(df: DataFrame, block: str, part: str, diff: str, reps: int, seed: int = 1) -> DataFrame:
+    """Norm of the mean difference vector with its bootstrap interval over blocks, and the norm over the pooled spread of differences."""
+    per = df.groupBy(block, part).agg(F.sum(diff).alias("_d"), F.count(diff).alias("_k"))
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    obs = df.groupBy(part).agg(F.avg(diff).alias("_m"), F.var_samp(diff).alias("_v")).agg(norm("_m").alias("statistic"), ratio(norm("_m"), F.sqrt(F.sum("_v"))).alias("effect"))
+    draws = RS.bootstrap(df.select(block).distinct(), reps, block, seed=seed).join(per, block).groupBy("draw", part).agg(ratio(F.sum(F.col("weight") * F.col("_d")), F.sum(F.col("weight") * F.col("_k"))).alias("_m"))
+    return obs.join(F.broadcast(RS.interval(draws.groupBy("draw").agg(norm("_m").alias("v")), "v").select("low", "high", "se", "n_draws")))
+
+
+def mean_interval(df: DataFrame, block: str, value: str, reps: int, seed: int = 1) -> DataFrame:
+    """Mean of a value with its bootstrap interval over blocks of rows, the mean over the standard deviation, and how many rows and blocks there are."""
+    known = df.where(F.col(value).isNotNull())
+    per = known.groupBy(block).agg(F.sum(value).alias("_d"), F.count(F.lit(1)).alias("_k"))
+    obs = known.agg(F.avg(value).alias("mean"), F.median(value).alias("median"), ratio(F.avg(value), F.stddev(value)).alias("effect"), F.count(F.lit(1)).alias("n"), F.count_distinct(block).alias("n_blocks"))
+    draws = RS.bootstrap(per, reps, block, seed=seed).join(per, block).groupBy("draw").agg(ratio(F.sum(F.col("weight") * F.col("_d")), F.sum(F.col("weight") * F.col("_k"))).alias("v"))
+    return obs.join(F.broadcast(RS.interval(draws, "v").select("low", "high", "se", "n_draws")))
+
+
 def _group_ss(df: DataFrame, by: list[str], group: str, part: str, value: str) -> DataFrame:
     """Total and within-group sums of squares summed over parts, per draw."""
     g = df.groupBy(*by, group, part).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.count(F.lit(1)).alias("k"))

@@ -348,6 +348,30 @@ def _(t):
     return R(S.paired_dispersion(S.paired_differences(d, ["site"], "position", [("A", "N")], "v"), "site", "diff", DRAWS))
 
 
+_CI = "quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, stddev_samp(v) AS se, count(*) AS n_draws"
+_MEAN_CI = f"""SELECT round(mean, 6) AS mean, round(median, 6) AS median, round(effect, 6) AS effect, n, n_blocks, round(low, 6) AS low, round(high, 6) AS high, round(se, 6) AS se, n_draws FROM (
+      SELECT avg(v) AS mean, median(v) AS median, avg(v) / stddev_samp(v) AS effect, count(*) AS n, count(DISTINCT b) AS n_blocks FROM vals), (
+      SELECT {_CI} FROM (SELECT draw, sum(weight * d) / sum(weight * k) AS v FROM boot JOIN (SELECT b, sum(v) AS d, count(*) AS k FROM vals GROUP BY 1) ON u = b GROUP BY 1))"""
+
+
+@query("stat11_location_interval", sql("phyla", f"""
+    SELECT round(statistic, 6) AS statistic, round(effect, 6) AS effect, round(low, 6) AS low, round(high, 6) AS high, round(se, 6) AS se, n_draws FROM (
+      SELECT sqrt(sum(m * m)) AS statistic, sqrt(sum(m * m)) / sqrt(sum(s)) AS effect FROM (SELECT taxon, avg(diff) AS m, var_samp(diff) AS s FROM pd GROUP BY 1)), (
+      SELECT {_CI} FROM (SELECT draw, sqrt(sum(m * m)) AS v FROM (SELECT draw, taxon, sum(weight * diff) / sum(weight) AS m FROM boot JOIN pd ON u = site GROUP BY 1, 2) GROUP BY 1))""",
+    pd=_PD, un="SELECT DISTINCT site AS u FROM pd", reps=_BOOT_REPS, boot=_BOOT))
+def _(t):
+    return R(S.location_interval(_part_diffs(t), "site", "taxon", "diff", BOOTS))
+
+
+@query("stat12_dispersion_interval", sql("phyla", _MEAN_CI,
+    dsp="SELECT position, site, sqrt(sum(c * c)) AS v FROM (SELECT *, n - avg(n) OVER (PARTITION BY position, taxon) AS c FROM phyla) GROUP BY 1, 2",
+    vals="SELECT site AS b, max(v) FILTER (position = 'A') - max(v) FILTER (position = 'N') AS v FROM dsp GROUP BY 1 HAVING max(v) FILTER (position = 'A') - max(v) FILTER (position = 'N') IS NOT NULL",
+    un="SELECT b AS u FROM vals", reps=_BOOT_REPS, boot=_BOOT))
+def _(t):
+    d = D.dispersion(t.phyla, ["position"], ["site"], "taxon", "n").withColumnRenamed("distance", "v")
+    return R(S.mean_interval(S.paired_differences(d, ["site"], "position", [("A", "N")], "v"), "site", "diff", BOOTS))
+
+
 def _ss(by: str, src: str) -> str:
     return f"""SELECT {by} sum(bt) AS bt, sum(wi) AS wi, max(k) AS n, max(g) AS g FROM (SELECT {by} t, sum(s * s / k) - sum(s) * sum(s) / sum(k) AS bt, sum(q) - sum(s * s / k) AS wi, sum(k) AS k, count(*) AS g
       FROM (SELECT {by} block, t, sum(v) AS s, sum(v * v) AS q, CAST(count(*) AS DOUBLE) AS k FROM ({src}) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""
@@ -582,3 +606,16 @@ def _(t):
 
     prod = lambda p: collapse_rank(t.counts_pos.where(F.col("position") == p), t.taxonomy, 2).withColumnRenamed("n", "v")
     return R(S.agreement_by_sample(prod("A"), prod("R"), "profile", "taxon", "v"))
+
+
+_AGREE = f"""SELECT profile, corr(rx, ry) AS rho FROM ({_ranked("SELECT a.profile, a.v AS va, b.v AS vb FROM (SELECT profile, r2, sum(n) AS v FROM counts_pos JOIN taxonomy USING (feature) WHERE position = 'A' GROUP BY 1, 2) a JOIN (SELECT profile, r2, sum(n) AS v FROM counts_pos JOIN taxonomy USING (feature) WHERE position = 'R' GROUP BY 1, 2) b USING (profile, r2)", 'profile', 'va', 'vb')}) GROUP BY 1"""
+
+
+@query("stat5_agreement_interval", sql("counts_pos taxonomy profiles", _MEAN_CI, agree=_AGREE, vals="SELECT site AS b, rho AS v FROM agree JOIN profiles USING (profile) WHERE rho IS NOT NULL", un="SELECT DISTINCT b AS u FROM vals", reps=_BOOT_REPS, boot=_BOOT))
+def _(t):
+    """Agreement of two products' profiles over all samples, with an interval over sites."""
+    from quadrat.operators.agg import collapse_rank
+
+    prod = lambda p: collapse_rank(t.counts_pos.where(F.col("position") == p), t.taxonomy, 2).withColumnRenamed("n", "v")
+    rho = S.agreement_by_sample(prod("A"), prod("R"), "profile", "taxon", "v").join(t.profiles.select("profile", "site"), "profile")
+    return R(S.mean_interval(rho, "site", "rho", BOOTS))
