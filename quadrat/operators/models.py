@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrat.functions.numeric import f_ratio, pdist, ratio, symmetric_solve, tail
+from quadrat.functions.numeric import f_ratio, pdist, ratio, symmetric_solve, t_quantile, tail
 from quadrat.operators import resample as RS
 from quadrat.session import cut
 
@@ -156,6 +156,35 @@ def multivariate_trend(df: DataFrame, unit: str, part: str, value: str, x: Colum
     return RS.perm_p(null.join(F.broadcast(obs)), F.col("f"), "v", ["r2", "f"])
 
 
+def trend_jackknife(df: DataFrame, unit: str, part: str, value: str, x: str) -> DataFrame:
+    """R2 of a quadratic trend in all parts at once, with its delete-one-unit jackknife: (r2, jackknife_mean, se, low, high, n_units).
+
+    Every unit has a value of every part. Sums without a unit are the totals
+    less its own, so all deletions come from one aggregation; the interval is
+    Student's with n - 1 degrees of freedom.
+    """
+    w = Window.partitionBy("t")
+    at = F.col(x) - F.avg(x).over(Window.partitionBy())  # near 0, so powers don't cancel
+    rows = df.select(F.col(unit).alias("u"), F.col(part).alias("t"), F.col(value).cast("double").alias("y"), at.alias("z"))
+    own = {"n": F.lit(1.0), "y0": F.col("y"), "yy": F.col("y") * F.col("y"), **{f"z{i}": F.pow("z", F.lit(i)) for i in range(1, 5)}, "y1": F.col("y") * F.col("z"), "y2": F.col("y") * F.col("z") * F.col("z")}
+
+    def explained(m: dict[str, Column]) -> tuple[Column, Column]:
+        c = lambda top, a, b: m[top] - m[a] * m[b] / m["n"]
+        s11, s12, s22, t1, t2 = c("z2", "z1", "z1"), c("z3", "z1", "z2"), c("z4", "z2", "z2"), c("y1", "z1", "y0"), c("y2", "z2", "y0")
+        return ratio(s22 * t1 * t1 - 2 * s12 * t1 * t2 + s11 * t2 * t2, s11 * s22 - s12 * s12), c("yy", "y0", "y0")
+
+    sums = rows.withColumns({f"_{k}": F.sum(c).over(w) for k, c in own.items()})
+    whole, left = explained({k: F.col(f"_{k}") for k in own}), explained({k: F.col(f"_{k}") - c for k, c in own.items()})
+    per = sums.withColumns({"wb": whole[0], "wt": whole[1], "lb": left[0], "lt": left[1]}).groupBy("u").agg(*(F.sum(c).alias(c) for c in ("wb", "wt", "lb", "lt")))
+    per = per.select(ratio("wb", "wt").alias("r2"), ratio("lb", "lt").alias("l"))
+    n = F.count("l")
+    g = per.agg(F.max("r2").alias("r2"), F.avg("l").alias("jackknife_mean"), F.sqrt((n - 1) * F.var_pop("l")).alias("se"), n.alias("n_units"))
+    free = g.first()["n_units"] - 1
+    t = t_quantile(0.975, free) if free > 0 else None
+    half = F.col("se") * F.lit(t).cast("double")
+    return g.withColumns({"low": F.col("r2") - half, "high": F.col("r2") + half})
+
+
 def nested_test(df: DataFrame, unit: str, part: str, value: str, reduced: list[str], x: str, site: str, reps: int, seed: int = 1) -> DataFrame:
     """Does ``x`` explain the responses beyond ``reduced``? Residuals of the reduced model are exchanged within
     sites (Freedman-Lane); statistic is the explained share of the residual sum of squares."""

@@ -88,6 +88,18 @@ def _(t):
     return R(M.multivariate_trend(d, "site", "taxon", "clr", F.col("position") / 1000, 2, DRAWS))
 
 
+@query("ml4_trend_jackknife", sql("sites site_brands", """
+    SELECT round(max(wb / wt), 6) AS r2, round(avg(lb / lt), 6) AS jackknife_mean, round(sqrt((count(*) - 1) * var_pop(lb / lt)), 6) AS se, count(*) AS n_units FROM (SELECT u, any_value(b) AS wb, any_value(w) AS wt, sum(lb) AS lb, sum(lt) AS lt FROM lo, tot GROUP BY 1)""",
+    un="SELECT DISTINCT site AS u FROM site_brands", km=SP._KM, pos=_POS, clr=SP._CLR, yz="SELECT u, t, v, x FROM clr JOIN pos USING (u)",
+    fit="SELECT t, (var_pop(x * x) * pow(covar_pop(x, v), 2) - 2 * covar_pop(x, x * x) * covar_pop(x, v) * covar_pop(x * x, v) + var_pop(x) * pow(covar_pop(x * x, v), 2)) / (var_pop(x) * var_pop(x * x) - pow(covar_pop(x, x * x), 2)) * count(*) AS b, var_pop(v) * count(*) AS w FROM yz GROUP BY 1",
+    tot="SELECT sum(b) AS b, sum(w) AS w FROM fit",
+    lo="""SELECT d.u, y.t, (var_pop(x * x) * pow(covar_pop(x, v), 2) - 2 * covar_pop(x, x * x) * covar_pop(x, v) * covar_pop(x * x, v) + var_pop(x) * pow(covar_pop(x * x, v), 2)) / (var_pop(x) * var_pop(x * x) - pow(covar_pop(x, x * x), 2)) * count(*) AS lb, var_pop(v) * count(*) AS lt
+      FROM un d JOIN yz y ON y.u <> d.u GROUP BY 1, 2"""))
+def _(t):
+    d = _clr(t).join(C.transect(t.sites).select("site", "position"), "site").withColumn("position", F.col("position") / 1000)
+    return R(M.trend_jackknife(d, "site", "taxon", "clr", "position").drop("low", "high"))
+
+
 @query("ml5_nested_test", sql("sites site_brands", """
     SELECT round(o.v, 6) AS partial_r2, round((1 + count(*) FILTER (d.v >= o.v - 1e-9)) / CAST(1 + count(*) AS DOUBLE), 6) AS p, count(*) AS n_draws FROM sh d, (SELECT * FROM sh WHERE draw = 0) o WHERE d.draw > 0 GROUP BY o.v""",
     clr=SP._CLR, reps=SP._REPS, xs="SELECT site AS u, lon AS x, CAST(block AS DOUBLE) AS k, block FROM sites WHERE site IN (SELECT site FROM site_brands)",
@@ -133,6 +145,14 @@ def _(t):
     return R(M.gee(d, "value", ["one", "day"], "site"), 5)
 
 
+@query("ml8_tests")
+def _(t):
+    """Contrast of two campaigns and a joint test of all of them, with robust errors over sites."""
+    d = C.design(_obs(t).withColumn("day", F.dayofmonth("date").cast("double")), numeric=["day"], factors=["campaign"])
+    x = ["one", "day", *[c for c in d.columns if c.startswith("campaign_is_")]]
+    return R(M.gee_tests(d, "value", x, "site", {f"{x[2]} - {x[3]}": {x[2]: 1.0, x[3]: -1.0}}, {"campaigns": x[2:]}), 5)
+
+
 @query("ml9_block_cv", """
     WITH x AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY p_partkey) - 1) * 5 / (SELECT count(*) FROM part)) AS INTEGER) AS fold FROM part),
     f AS (SELECT o.fold, regr_slope(i.p_retailprice, i.p_size) AS b, regr_intercept(i.p_retailprice, i.p_size) AS a, avg(i.p_retailprice) AS m FROM (SELECT DISTINCT fold FROM x) o JOIN x i ON i.fold <> o.fold GROUP BY 1)

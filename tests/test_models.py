@@ -192,3 +192,23 @@ def test_leading_coordinates_equal_the_dense_solution(spark, n, dims):
         assert next(r for r in got if r.axis == a).share == pytest.approx(values[-a] / np.trace(b), rel=1e-9)
         assert np.allclose(c * np.sign(c @ want), want, atol=1e-5) and c[np.argmax(np.abs(c))] > 0
     assert O.pcoa_axes(spark.createDataFrame([], "a int, b int, d double"), 3).count() == 0
+
+
+def test_trend_jackknife_equals_refits_without_each_unit(spark):
+    rng = np.random.default_rng(8)
+    n, p = 14, 3
+    x = np.sort(rng.uniform(0, 500, n))
+    y = np.outer((x - 200) / 100, [1.0, -0.5, 0.2]) + rng.normal(size=(n, p)) * 0.4 + 50
+
+    def r2(keep):
+        z = np.stack([np.ones(len(keep)), x[keep], x[keep] ** 2], 1)
+        e = y[keep] - z @ np.linalg.lstsq(z, y[keep], rcond=None)[0]
+        return 1 - (e**2).sum() / ((y[keep] - y[keep].mean(0)) ** 2).sum()
+
+    every = np.arange(n)
+    left = np.array([r2(np.delete(every, i)) for i in range(n)])
+    df = spark.createDataFrame([(int(i), f"p{j}", float(y[i, j]), float(x[i])) for i in range(n) for j in range(p)], "unit int, part string, v double, x double")
+    got = M.trend_jackknife(df, "unit", "part", "v", "x").first()
+    se = np.sqrt((n - 1) * left.var())
+    assert (got.r2, got.jackknife_mean, got.se, got.n_units) == pytest.approx((r2(every), left.mean(), se, n))
+    assert got.high - got.r2 == pytest.approx(2.160369 * se, rel=1e-5)
