@@ -604,3 +604,33 @@ def _(t):
     e = J.exposure(obs, d.select(series.alias("site"), "date", "value"), [(1, 3), (4, 7), (8, 14)])
     e = e.withColumn("product", F.substring_index("obs_id", "#", -1))
     return R(e.groupBy("product", "from_lag", "to_lag").agg(N(), F.count("exposure").alias("n_known"), F.avg("exposure").alias("mean"), F.median("exposure").alias("median"), F.max("exposure").alias("high")), 4)
+
+
+@query("pl26_gridded_products", sql("sites", """
+    SELECT product, a AS from_lag, b AS to_lag, count(*) AS n, count(x) AS n_known, round(avg(x), 4) AS mean, round(max(x), 4) AS high, any_value(days) AS n_days FROM e JOIN (SELECT product, count(*) AS days FROM chosen GROUP BY 1) USING (product) GROUP BY 1, 2, 3""",
+    chosen="SELECT DISTINCT event_type AS product, CAST(ts AS DATE) AS date FROM events WHERE day(ts) % 10 <> 3 AND day(ts) % 7 <> 0",
+    grid="SELECT event_type AS product, CAST(ts AS DATE) AS date, user_id % 5 AS i, event_id % 5 AS j, round(sum(value), 2) AS v FROM events GROUP BY 1, 2, 3, 4",
+    cell="""SELECT site, i, j FROM (SELECT site, a.r_regionkey AS i, b.r_regionkey AS j, row_number() OVER (PARTITION BY site ORDER BY abs(lat - a.r_regionkey * 2), a.r_regionkey, abs(lon - b.r_regionkey * 5), b.r_regionkey) AS r
+      FROM sites CROSS JOIN region a CROSS JOIN region b) WHERE r = 1""",
+    d="SELECT product, site, date, v FROM grid JOIN chosen USING (product, date) JOIN cell USING (i, j)",
+    o="SELECT event_id AS obs_id, user_id % 25 AS site, CAST(ts AS DATE) AS date FROM events",
+    e="""SELECT p.product, a, b, obs_id, CASE WHEN count(d.v) = b - a + 1 THEN sum(d.v) END AS x FROM o CROSS JOIN (SELECT DISTINCT product FROM chosen) p CROSS JOIN (VALUES (1, 2), (1, 5)) s(a, b)
+      LEFT JOIN d ON d.product = p.product AND d.site = o.site AND d.date BETWEEN o.date - b AND o.date - a GROUP BY 1, 2, 3, 4"""))
+def _(t):
+    """Gridded products: one file a day is chosen (missing and doubled days are left out), each site takes the cell nearest
+    on both axes, and every observation its trailing exposures from that cell's days."""
+    e = t.table("events").withColumnRenamed("event_type", "product").withColumn("date", F.to_date("ts"))
+    days = e.select("product", "date").distinct().withColumn("key", F.concat_ws("|", "product", F.col("date").cast("string")))
+    copies = F.explode(F.when(F.dayofmonth("date") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    files = days.where("day(date) % 10 <> 3").select("key", copies.alias("i")).select("key", F.concat_ws("_", F.lit("f"), "key", "i").alias("path"))
+    chosen = days.join(text.select_one_per_key(files, days.select("key")).where("status = 'ok'").select("key"), "key").select("product", "date")
+    grid = e.groupBy("product", "date", (F.col("user_id") % 5).alias("i"), (F.col("event_id") % 5).alias("j")).agg(F.round(F.sum("value"), 2).alias("value"))
+    axis = lambda name, step: t.table("region").select(F.col("r_regionkey").alias(name), (F.col("r_regionkey") * step).cast("double").alias("at"))
+    cell = J.nearest_grid(J.nearest_grid(t.sites, axis("i", 2), "site", "lat", "i", "at"), axis("j", 5), "site", "lon", "j", "at").select("site", "i", "j")
+    own = F.concat_ws("/", F.col("product"), F.col("site").cast("string"))
+    series = grid.join(chosen, ["product", "date"]).join(F.broadcast(cell), ["i", "j"]).select(own.alias("site"), "date", "value")
+    obs = _obs(t).join(F.broadcast(chosen.select("product").distinct())).select("product", F.concat_ws("#", "obs_id", "product").alias("obs_id"), own.alias("site"), "date")
+    x = J.exposure(obs, series, [(1, 2), (1, 5)]).withColumn("product", F.substring_index("obs_id", "#", -1))
+    n_days = chosen.groupBy("product").agg(F.count(F.lit(1)).alias("n_days"))
+    g = x.groupBy("product", "from_lag", "to_lag").agg(N(), F.count("exposure").alias("n_known"), F.avg("exposure").alias("mean"), F.max("exposure").alias("high"))
+    return R(g.join(F.broadcast(n_days), "product"), 4)
