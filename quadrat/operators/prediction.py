@@ -172,20 +172,25 @@ def skill(folds: DataFrame, keys: list[str] = ()) -> DataFrame:
     return folds.groupBy(*keys).agg((1 - ratio(F.sum("sse"), F.sum("sst"))).alias("pooled"), F.avg("skill").alias("equal"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def orbit_design(design: DataFrame, maps: DataFrame) -> DataFrame:
-    """The design under every shift and reflection: units keep their counts, sites take the mapped site's place and block."""
-    place = design.select(F.col("site").alias("mapped_site"), "position", "block").distinct()
+def orbit_design(design: DataFrame, maps: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """The design under every shift and reflection: units keep their counts, sites take the mapped site's place and block.
+
+    ``places``: (site, position, block) of the whole route, sites without units
+    too; by default the sites of the design, which then must be the route's.
+    """
+    place = design.select("site", "position", "block").distinct() if places is None else places
+    place = place.select(F.col("site").alias("mapped_site"), "position", "block")
     return design.drop("position", "block").join(maps.select("shift", "reflected", "site", "mapped_site"), "site").join(place, "mapped_site").drop("mapped_site")
 
 
-def skill_null(counts: DataFrame, design: DataFrame, maps: DataFrame, identity, **options) -> DataFrame:
+def skill_null(counts: DataFrame, design: DataFrame, maps: DataFrame, identity, places: DataFrame | None = None, **options) -> DataFrame:
     """Skill of the route as it is against that of all its shifts and reflections: (measure, observed, p, n_null).
 
     ``identity``: a condition on (shift, reflected) that holds for the route as it is, a column or SQL text.
     """
     identity = F.expr(identity) if isinstance(identity, str) else identity
     keys = ["shift", "reflected"]
-    every = cut(skill(nested_cv(counts, orbit_design(design, maps), keys=keys, **options), keys), "orbit")
+    every = cut(skill(nested_cv(counts, orbit_design(design, maps, places), keys=keys, **options), keys), "orbit")
     long = every.select(*keys, F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in ("pooled", "equal")))).alias("m")).select(*keys, "m.*")
     obs = long.where(identity).select("measure", F.col("v").alias("observed"))
     return RS.perm_p(long.where(~identity).join(obs, "measure"), F.col("observed"), "v", ["measure", "observed"])

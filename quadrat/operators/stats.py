@@ -117,10 +117,10 @@ def cliffs_delta(df: DataFrame, group: str, first, second, value: str, by: list[
 
 
 def t_of_rho(rho: str, n: str) -> Column:
-    """Student's t of a correlation; infinite where it is perfect, NULL without freedom."""
+    """Student's t of a correlation; infinite where it is perfect (within 1e-12), NULL without freedom."""
     r, free = F.col(rho).cast("double"), F.col(n) - 2
     t = r * F.sqrt(ratio(free, F.greatest(1 - r * r, F.lit(0.0))))
-    return F.when((free > 0) & (F.abs(r) >= 1), F.signum(r) * F.lit(float("inf"))).when(free > 0, t)
+    return F.when((free > 0) & (F.abs(r) >= 1 - 1e-12), F.signum(r) * F.lit(float("inf"))).when(free > 0, t)
 
 
 def paired_differences(df: DataFrame, block: list[str], position: str, contrasts: list[tuple], value: str) -> DataFrame:

@@ -436,7 +436,7 @@ def _(t):
     al="SELECT site, avg(h) AS shannon, avg(r) AS richness FROM (SELECT profile, count(*) AS r, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM counts WHERE n > 0 GROUP BY 1) JOIN profiles USING (profile) GROUP BY 1",
     xy="SELECT a || '~' || b AS pair, CASE a WHEN 'mean_value' THEN mean_value ELSE sum_value END AS x, CASE b WHEN 'shannon' THEN shannon ELSE richness END AS y FROM clim JOIN al USING (site) CROSS JOIN (VALUES ('mean_value'), ('sum_value')) p(a) CROSS JOIN (VALUES ('shannon'), ('richness')) q(b)",
     rk="SELECT pair, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2.0 AS ry FROM xy",
-    rh="SELECT pair, corr(rx, ry) AS rho, count(*) AS n, count(*) - 2 AS dof FROM rk GROUP BY 1", ts="SELECT *, rho * sqrt(dof / (1 - rho * rho)) AS t FROM rh", ps=f"SELECT *, {SP.p_student('t', 'dof')} AS p FROM ts"))
+    rh="SELECT pair, corr(rx, ry) AS rho, count(*) AS n, count(*) - 2 AS dof FROM rk GROUP BY 1", ts="SELECT *, CASE WHEN abs(rho) >= 1 - 1e-12 THEN sign(rho) * CAST('inf' AS DOUBLE) ELSE rho * sqrt(dof / (1 - rho * rho)) END AS t FROM rh", ps=f"SELECT *, CASE WHEN isinf(t) THEN 0.0 ELSE {SP.p_student('t', 'dof')} END AS p FROM ts"))
 def _(t):
     """Site climatology against diversity: rank correlation, interval, adjusted p."""
     clim = A.site_climatology(A.monthly(t.daily, ["value"], ["value"]), ["mean_value", "sum_value"])

@@ -112,7 +112,7 @@ _SKILL_NULL = {**_ROUTE, **_ORBIT, **_named("", _folds(_ORBIT_MEMBERS, ORBIT_TAX
 
 
 def _skill_null(t):
-    return P.skill_null(_counts(t), _design(t), W.route_maps(_route(t), ["position", "site"]), HERE, k=ORBIT_TAXA)
+    return P.skill_null(_counts(t), _design(t), W.route_maps(_route(t), ["position", "site"]), HERE, _route(t), k=ORBIT_TAXA)
 
 
 @query("ml10_skill_orbit", sql("names sites", _SKILL_P, **_SKILL_NULL))

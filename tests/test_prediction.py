@@ -171,6 +171,16 @@ def test_orbit_of_skill_equals_a_loop_over_the_maps(spark):
     assert r.p == pytest.approx((1 + sum(want[m] >= want[(0, 0)] - 1e-9 for m in want if m != (0, 0))) / 20)
 
 
+def test_orbit_of_a_route_with_sites_that_have_no_units(spark):
+    design, counts = data(6)
+    lost = {r[0] for r in design if r[1] in (3, 7)}
+    d, c = frames(spark, [r for r in design if r[0] not in lost], [r for r in counts if r[0] not in lost])
+    route = frames(spark, design, counts)[0].select("site", "position", "block").distinct()
+    maps = W.route_maps(route, ["position", "site"])
+    moved = P.orbit_design(d, maps, route)
+    assert moved.groupBy("shift", "reflected").count().select("count").distinct().collect()[0][0] == d.count() and moved.count() == 20 * d.count()
+
+
 def test_orbit_of_a_scan_equals_scans_of_moved_series(spark):
     rng = random.Random(4)
     obs = [(i, i % 10, i % 7, rng.random(), 1.0, float(i % 3)) for i in range(120)]
