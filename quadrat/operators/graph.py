@@ -272,7 +272,7 @@ def materialize(asserted: DataFrame, schema: Schema, max_passes: int = 50) -> tu
     """Inferred triples (none of them asserted) at the fixed point, and how many (pass, rule, new) each rule gave in each pass.
 
     Semi-naive: a rule fires on the last pass's new triples joined with all.
-    What is known is one table in buckets of (s, p, o) that every pass appends
+    What is known is one table in buckets of (s, p, o, o_kind) that every pass appends
     its new triples to: nothing is written twice, and the known triples stay in
     their buckets where new ones are held against them. A triple that several
     rules find in one pass counts for the first of them in rule order. Literal
@@ -286,8 +286,8 @@ def materialize(asserted: DataFrame, schema: Schema, max_passes: int = 50) -> tu
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def append(df: DataFrame, number: int) -> None:
-        rows = df.withColumn("pass", F.lit(number)).repartition(buckets, "s", "p", "o")
-        rows.write.format("parquet").mode("append").partitionBy("pass").bucketBy(buckets, "s", "p", "o").option("path", path).saveAsTable(name)
+        rows = df.withColumn("pass", F.lit(number))  # dealt by these columns already, by the distinct or the anti join
+        rows.write.format("parquet").mode("append").partitionBy("pass").bucketBy(buckets, *cols).option("path", path).saveAsTable(name)
 
     append(asserted.select(*cols).distinct().withColumn("rule", F.lit(None).cast("string")), 0)
     start = [(x, TYPE, c, "iri", "one_of") for c, members in schema.one_of for x in members]
