@@ -203,9 +203,7 @@ def _(t):
       LEFT JOIN brands m ON m.profile = p.a AND m.taxon = u.taxon LEFT JOIN brands k ON k.profile = p.b AND k.taxon = u.taxon WHERE m.n IS NOT NULL OR k.n IS NOT NULL) p GROUP BY 1, 2""",
     pairs="SELECT a.profile AS a, b.profile AS b FROM profiles a JOIN profiles b ON a.site = b.site AND a.profile < b.profile"))
 def _(t):
-    from quadrat.operators.joins import pairs
-
-    return R(A.duplicate_audit(t.brands, pairs(t.profiles, "profile", ["site"]), feature="taxon"))
+    return R(A.duplicate_audit(t.brands, t.profiles, "site", feature="taxon"))
 
 
 @query("agg23_numeric_profile", "SELECT event_type, count(value) AS n, min(value) AS low, max(value) AS high, round(sum(value), 2) AS total FROM events GROUP BY 1")
