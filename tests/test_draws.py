@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quadrat.operators import agg as A
+from quadrat.operators import resample as RS
 
 
 def test_rarefy_broadcasts_no_draws(spark):
@@ -14,3 +15,10 @@ def test_rarefy_broadcasts_no_draws(spark):
     logical = got._jdf.queryExecution().optimizedPlan().toString()
     assert logical.count("strategy=merge") >= 2
     assert {r.n for r in got.groupBy("profile").agg(F.sum("n").alias("n")).collect()} == {20}
+
+
+def test_permutations_broadcast_no_draws(spark):
+    units = spark.createDataFrame([(i, i % 3) for i in range(30)], "u int, g int")
+    got = RS.permutations(units, 40, "u", ["g"])
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == got.select("draw", "perm_unit").distinct().count() == 30 * 40
