@@ -27,8 +27,10 @@ def _int(key: Column) -> Column:
 
 
 def _draws(df: DataFrame, reps: int) -> DataFrame:
-    """``df`` once a draw. Spark takes it for as small as ``df``, so its next join is told not to broadcast it."""
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(reps)))).hint("merge")
+    """``df`` once a draw. Spark takes it for as small as ``df``, so its rows are dealt before they
+    are repeated, and its next join is told not to broadcast it."""
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns)
+    return dealt.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(reps)))).hint("merge")
 
 
 def permutations(units: DataFrame, reps: int, unit: str, strata: list[str] = (), seed: int = 1) -> DataFrame:

@@ -22,3 +22,12 @@ def test_permutations_broadcast_no_draws(spark):
     got = RS.permutations(units, 40, "u", ["g"])
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.count() == got.select("draw", "perm_unit").distinct().count() == 30 * 40
+
+
+def test_bootstrap_draws_in_many_tasks(spark):
+    units = spark.createDataFrame([(i,) for i in range(400)], "u int").coalesce(1)
+    draws = RS._draws(units, 5)
+    assert draws.groupBy(F.spark_partition_id().alias("p")).count().count() == 4
+    got = RS.bootstrap(units, 7, "u").groupBy("draw").agg(F.sum("weight").alias("n"))
+    assert {r.n for r in got.collect()} == {400}
+    assert "BroadcastHashJoin" not in RS.bootstrap(units, 7, "u")._jdf.queryExecution().executedPlan().toString()
