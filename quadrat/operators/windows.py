@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrat.functions.numeric import ratio
+from quadrat.operators.tiles import pair_tiles
 
 
 def rank_taxa(rel: DataFrame, total: int | Column, prevalence: float, taxon: str = "taxon", unit: str = "profile", value: str = "rel") -> DataFrame:
@@ -104,12 +109,53 @@ def top_k(df: DataFrame, k: int, by: list[Column]) -> DataFrame:
 
 
 def best_pair(df: DataFrame, site: str, run: str, analyte: str, value: str) -> DataFrame:
-    """Per site, the pair of runs whose values over shared analytes correlate best (ties: smaller runs)."""
-    left = df.select(site, F.col(run).alias("a"), analyte, F.col(value).cast("double").alias("va"))
-    right = df.select(site, F.col(run).alias("b"), analyte, F.col(value).cast("double").alias("vb"))
-    r = left.join(right, [site, analyte]).where("a < b").groupBy(site, "a", "b").agg(
-        F.when((F.stddev_pop("va") > 0) & (F.stddev_pop("vb") > 0), F.corr("va", "vb")).alias("r"), F.count(F.lit(1)).alias("n_shared")
-    )
+    """Per site, the pair of runs whose values over shared analytes correlate best (ties: smaller runs).
+
+    Sums of all pairs are made in tiles of a site's runs, and only a tile's best
+    pair leaves it. ``r`` is NULL where a run is constant over what is shared;
+    NULL and NaN values count as shared, and not in ``r``.
+    """
+    rows = df.select(F.col(site).alias("g"), F.col(run).alias("u"), F.col(analyte).alias("t"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v"))
+    centre = rows.groupBy("g", "u").agg(F.avg("v").alias("m"))  # near a run's own mean, sums of squares lose nothing
+    rows = rows.join(centre, ["g", "u"]).select("g", "u", "t", (F.col("v") - F.col("m")).alias("v"))
+    far = np.inf
+
+    def of(rule):
+        return lambda x, y: np.where(np.isnan(x) | np.isnan(y), 0.0, rule(x, y))
+
+    def ends(rule, empty):
+        return lambda x, y: np.where(np.isnan(x) | np.isnan(y), empty, rule(x, y))
+
+    first, second = (lambda x, y: x), (lambda x, y: y)
+    sums = {
+        "n": (np.add, 0, np.int32, lambda x, y: np.int32(1)), "k": (np.add, 0, np.float64, of(lambda x, y: 1.0)),
+        "x": (np.add, 0, np.float64, of(first)), "y": (np.add, 0, np.float64, of(second)), "xy": (np.add, 0, np.float64, of(np.multiply)),
+        "xx": (np.add, 0, np.float64, of(lambda x, y: x * x)), "yy": (np.add, 0, np.float64, of(lambda x, y: y * y)),
+        "low_x": (np.minimum, far, np.float64, ends(first, far)), "high_x": (np.maximum, -far, np.float64, ends(first, -far)),
+        "low_y": (np.minimum, far, np.float64, ends(second, far)), "high_y": (np.maximum, -far, np.float64, ends(second, -far)),
+    }
+    g, u = rows.schema["g"].dataType.simpleString(), rows.schema["u"].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"g {g}, a {u}, b {u}, r double, n_shared bigint")
+
+    def finish(tile):
+        best = None
+        for i, j in tile.strips():
+            s = {c: v[i, j] for c, v in tile.sums.items()}
+            known = (s["k"] > 0) & (s["high_x"] > s["low_x"]) & (s["high_y"] > s["low_y"])
+            with np.errstate(all="ignore"):
+                r = (s["xy"] - s["x"] * s["y"] / s["k"]) / np.sqrt((s["xx"] - s["x"] ** 2 / s["k"]) * (s["yy"] - s["y"] ** 2 / s["k"]))
+            known &= np.isfinite(r)
+            r = np.clip(r, -1, 1)
+            key = np.where(s["n"] == 0, -9.0, np.where(known, np.round(r, 9), -3.0))
+            top = int(np.argmax(key))  # the first of them: strips go by (a, b)
+            if key[top] > -9 and (best is None or key[top] > best[0]):
+                best = (key[top], i[top], j[top], float(r[top]) if known[top] else None, int(s["n"][top]))
+        if best is not None:
+            i, j = pa.array([best[1]]), pa.array([best[2]])
+            field = lambda h, f, k: pc.struct_field(h, f).take(k)
+            yield pa.RecordBatch.from_arrays([field(tile.first, "g", i), field(tile.first, "u", i), field(tile.second, "u", j), pa.array([best[3]], pa.float64()), pa.array([best[4]])], names=schema.names)
+
+    r = pair_tiles(rows, "u", "t", "v", sums, finish, schema, ["g"], largest=1024).withColumnRenamed("g", site)
     rank = F.row_number().over(Window.partitionBy(site).orderBy(F.round("r", 9).desc_nulls_last(), "a", "b"))
     return r.withColumn("_k", rank).where("_k = 1").drop("_k")
 
