@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 
 class RuleError(ValueError):
@@ -233,20 +233,39 @@ def compare_golden(actual: DataFrame, expected: DataFrame, cats: list[str], nums
     for i, v in enumerate(values):
         rows = tolerance_windows(rows, group, v, abs_tol, rel_tol, f"_w{i}")
         group = [*cats, *kinds, f"_w{i}"]
-    schema = StructType([*(rows.schema[c] for c in cats), *(StructField(c, LongType()) for c in ("n_actual", "n_expected", "n_matched"))])
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["_a"] > 0], pdf[pdf["_e"] > 0]
-        found = matching(x[values].to_numpy(), y[values].to_numpy(), x["_a"].tolist(), y["_e"].tolist(), abs_tol, rel_tol)
-        return pd.DataFrame([[*key[: len(cats)], int(pdf["_a"].sum()), int(pdf["_e"].sum()), found]], columns=schema.names)
+    def solved(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        numbers, n_a, n_e = pdf[values].to_numpy(), pdf["_a"].to_numpy(), pdf["_e"].to_numpy()
+        found = []
+        for s, z in zip(starts, [*starts[1:], len(pdf)]):
+            x, y = s + np.flatnonzero(n_a[s:z] > 0), s + np.flatnonzero(n_e[s:z] > 0)
+            found.append(matching(numbers[x], numbers[y], n_a[x].tolist(), n_e[y].tolist(), abs_tol, rel_tol))
+        return pd.DataFrame({last: pdf[last].to_numpy()[starts], "n_matched": np.array(found, "int64")})
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Windows follow each other in a sorted partition, so many small ones are solved at a time."""
+        held = None
+        for pdf in parts:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            starts = np.flatnonzero(np.append(True, np.diff(pdf[last].to_numpy()) != 0))
+            if len(starts) > 1:
+                yield solved(pdf.iloc[: starts[-1]].reset_index(drop=True), starts[:-1])
+            held = pdf.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield solved(held, np.array([0]))
 
     # a window of one distinct row, or of one side only, needs no task of its own
     own = Window.partitionBy(*group)
     rows = rows.withColumns({"_m": F.count(F.lit(1)).over(own), "_sa": F.sum("_a").over(own), "_se": F.sum("_e").over(own)})
     hard = (F.col("_m") > 1) & (F.col("_sa") > 0) & (F.col("_se") > 0)
     easy = rows.where(~hard).select(*cats, F.col("_a").alias("n_actual"), F.col("_e").alias("n_expected"), F.when(F.col("_m") == 1, F.least("_a", "_e")).otherwise(F.lit(0).cast("bigint")).alias("n_matched"))
-    met = rows.where(hard).groupBy(*group).applyInPandas(solve, schema)
-    sums = easy.unionByName(met).groupBy(*cats).agg(*(F.sum(c).alias(c) for c in ("n_actual", "n_expected", "n_matched")))
+    last = f"_w{len(nums) - 1}"  # its numbers go through all groups, so they name a window alone
+    if nums:
+        met = rows.where(hard).select(*values, last, "_a", "_e").repartition(last).sortWithinPartitions(last).mapInPandas(solve, f"{last} bigint, n_matched bigint")
+        known = rows.where(hard).groupBy(last).agg(*(F.first(c).alias(c) for c in cats), F.sum("_a").alias("n_actual"), F.sum("_e").alias("n_expected"))
+        easy = easy.unionByName(known.join(met, last).drop(last))
+    sums = easy.groupBy(*cats).agg(*(F.sum(c).alias(c) for c in ("n_actual", "n_expected", "n_matched")))
     return sums.where("n_matched < greatest(n_actual, n_expected)")
 
 
