@@ -262,3 +262,15 @@ def test_block_rules_name_each_problem(spark):
     assert got == [("v/2", "count out of range"), ("v/2", "rank not as patterned"), ("v/2", "run of another number"), ("v/33", "count out of range")]
     t = rows(G.class_totals(triples(spark, data), [("V", 3, "W"), ("W", 1, "V")]))
     assert t == [("V = 3 x W", 3, 1, True), ("W = 1 x V", 1, 3, False)]
+
+
+def test_small_windows_are_matched_many_at_a_time(spark):
+    from quadrat.operators import quality as Q
+
+    n = 3000
+    act = [(None if i % 3 else 2**60 + 1, float(i), float(k)) for i in range(n) for k in (1, 5)]
+    exp = [(None if i % 3 else 2**60 + 1, i + 0.01, 1.0 if k == 1 or i % 3 == 0 else 5.0) for i in range(n) for k in (1, 5)]
+    got = Q.compare_golden(spark.createDataFrame(act, "c bigint, x double, y double"), spark.createDataFrame(exp, "c bigint, x double, y double"), ["c"], ["x", "y"], 0.1, 0.0)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(2**60 + 1, 2000, 2000, 1000)]
+    assert Q.compare_golden(spark.createDataFrame(act, "c bigint, x double, y double").select("c"), spark.createDataFrame(exp, "c bigint, x double, y double").select("c"), ["c"], []).isEmpty()
