@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -298,30 +302,68 @@ def residual_trend(df: DataFrame, part: str, value: str, x: str, out: str = "res
     return df.withColumn(out, F.col(value) - F.avg(value).over(w) - slope * (F.col(x) - F.avg(x).over(w)))
 
 
-def adjacency_delta(pairs: DataFrame, adjacent: Column, strata: list[str], value: str) -> DataFrame:
-    """Weighted mean over strata of the difference between adjacent and other pairs."""
-    g = pairs.groupBy(*strata).agg(F.avg(F.when(adjacent, F.col(value))).alias("m1"), F.avg(F.when(~adjacent, F.col(value))).alias("m0"), F.count_if(adjacent).alias("n1")).where("m1 is not null and m0 is not null")
-    return g.agg(ratio(F.sum(F.col("n1") * (F.col("m1") - F.col("m0"))), F.sum("n1")).alias("delta"), F.sum("n1").alias("n_adjacent"), F.count(F.lit(1)).alias("n_strata"))
+def pair_kinds(units: DataFrame, kinds: list[str]) -> DataFrame:
+    """``(x, y, n)``: how many pairs of units, each taken in both orders, are of kinds x and y (structs)."""
+    g = units.groupBy(F.struct(*kinds).alias("x")).agg(F.count(F.lit(1)).alias("_n"))
+    both = g.crossJoin(g.toDF("y", "_m"))
+    return both.select("x", "y", (F.col("_n") * F.col("_m") - F.when(F.col("x").eqNullSafe(F.col("y")), F.col("_n")).otherwise(0)).alias("n"))
 
 
-def adjacency_test(pairs: DataFrame, rank: DataFrame, unit: str, gap: int, strata: list[str], value: str, reps: int, seed: int = 1) -> DataFrame:
-    """``adjacency_delta`` with ranks shuffled over the units for its null."""
-    def marked(ranks: DataFrame, keys: list[str]) -> DataFrame:
-        a = ranks.select(*keys, F.col(unit).alias("a"), F.col("rank").alias("ra"))
-        b = ranks.select(*keys, F.col(unit).alias("b"), F.col("rank").alias("rb"))
-        return pairs.join(a, "a").join(b, [*keys, "b"]).withColumn("adj", F.abs(F.col("ra") - F.col("rb")) <= gap)
+def near_pairs(ranks: DataFrame, unit: str, gap: float, by: list[str] = ()) -> DataFrame:
+    """``(*by, a, b)``: units a < b whose ranks differ by at most ``gap``; an equi join on cells of the rank."""
+    cell = F.floor(F.col("rank") / max(gap, 1))
+    a = ranks.select(*by, F.col(unit).alias("a"), F.col("rank").alias("ra"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
+    b = ranks.select(*by, F.col(unit).alias("b"), F.col("rank").alias("rb"), cell.alias("_c"))
+    return a.hint("merge").join(b, [*by, "_c"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ra") - F.col("rb")) <= gap)).select(*by, "a", "b")
 
-    obs = adjacency_delta(marked(rank, []), F.col("adj"), strata, value)
-    perm = RS.permutations(rank, reps, unit, seed=seed).join(rank.withColumnRenamed(unit, "perm_unit"), "perm_unit").select("draw", unit, "rank")
-    g = marked(perm, ["draw"]).groupBy("draw", *strata).agg(F.avg(F.when(F.col("adj"), F.col(value))).alias("m1"), F.avg(F.when(~F.col("adj"), F.col(value))).alias("m0"), F.count_if("adj").alias("n1")).where("m1 is not null and m0 is not null")
-    null = g.groupBy("draw").agg(ratio(F.sum(F.col("n1") * (F.col("m1") - F.col("m0"))), F.sum("n1")).alias("v"))
-    return RS.perm_p(null.join(F.broadcast(obs)), F.col("delta"), "v", ["delta", "n_adjacent", "n_strata"])
 
+def adjacency_test(
+    pairs: DataFrame, units: DataFrame, rank: DataFrame, unit: str, gap: float, strata: dict[str, Callable[[Column, Column], Column]], value: str, reps: int, seed: int = 1, rest: float = 1.0,
+) -> DataFrame:
+    """Weighted mean over strata of the difference between adjacent and other pairs of ``units``, with ranks shuffled over the units for its null.
 
-def neighbour_excess(pairs: DataFrame, adjacent: Column, value: str) -> DataFrame:
-    """Per unit: mean value to adjacent units minus mean to the others."""
-    ends = pairs.withColumn("_adj", adjacent).select(F.explode(F.array("a", "b")).alias("unit"), "_adj", value)
-    return ends.groupBy("unit").agg((F.avg(F.when(F.col("_adj"), F.col(value))) - F.avg(F.when(~F.col("_adj"), F.col(value)))).alias("excess"))
+    ``pairs`` (a < b) need not hold every pair: what it lacks has the value
+    ``rest``. ``strata`` are rules of two units' other columns that don't depend
+    on their order. Only adjacent pairs meet the draws; the others are a stratum's
+    sum less theirs, and pairs are counted by kinds of units.
+    """
+    pairs = cut(pairs.select("a", "b", F.col(value).alias("_v")), "pairs")
+    shuffled = RS.permutations(rank, reps, unit, seed=seed).join(rank.withColumnRenamed(unit, "perm_unit"), "perm_unit").select("draw", unit, "rank")
+    ranks = cut(rank.select(F.lit(0).alias("draw"), unit, "rank").unionByName(shuffled), "ranks")
+    kinds = [c for c in units.columns if c != unit]
+    what = units.select(F.col(unit).alias("_u"), F.struct(*kinds).alias("_k"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        both = df.join(what.toDF("a", "x"), "a").join(what.toDF("b", "y"), "b")
+        return both.withColumns({k: rule(F.col("x"), F.col("y")) for k, rule in strata.items()})
+
+    known = rank.select(unit).distinct()
+    of = pair_kinds(units.join(known, unit, "left_semi"), kinds)
+    counted = of.withColumns({k: rule(F.col("x"), F.col("y")) for k, rule in strata.items()}).groupBy(*strata).agg((F.sum("n") / 2).alias("n"), F.lit(0.0).alias("more"))
+    listed = marked(pairs).groupBy(*strata).agg(F.lit(0.0).alias("n"), F.sum(F.col("_v") - rest).alias("more"))
+    total = counted.unionByName(listed).groupBy(*strata).agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
+    near = near_pairs(ranks, unit, gap, ["draw"]).join(pairs, ["a", "b"], "left")
+    g = marked(near).groupBy("draw", *strata).agg(F.count(F.lit(1)).alias("n1"), F.sum(F.coalesce("_v", F.lit(rest))).alias("s1"))
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"t.{k}")) for k in strata]
+    m1, m0 = F.col("s1") / F.col("n1"), (F.col("n") * rest + F.col("more") - F.col("s1")) / (F.col("n") - F.col("n1"))
+    j = g.alias("g").join(F.broadcast(total.alias("t")), reduce(and_, same)).where("n > n1").select("draw", "n1", (m1 - m0).alias("_d"))
+    deltas = j.groupBy("draw").agg(ratio(F.sum(F.col("n1") * F.col("_d")), F.sum("n1")).alias("v"), F.sum("n1").alias("n_adjacent"), F.count(F.lit(1)).alias("n_strata"))
+    deltas = cut(deltas, "deltas")
+    obs = deltas.where("draw = 0").select(F.col("v").alias("delta"), "n_adjacent", "n_strata")
+    return RS.perm_p(deltas.where("draw > 0").select("draw", "v").join(F.broadcast(obs)), F.col("delta"), "v", ["delta", "n_adjacent", "n_strata"])
+
+
+def neighbour_excess(pairs: DataFrame, rank: DataFrame, unit: str, gap: float, value: str, rest: float = 1.0) -> DataFrame:
+    """Per unit: mean value to units at most ``gap`` ranks away minus mean to the others; pairs that ``pairs`` (a < b) lacks have the value ``rest``."""
+    pairs = cut(pairs.select("a", "b", F.col(value).alias("_v")), "pairs")
+    ends = F.explode(F.array("a", "b")).alias("unit")
+    more = pairs.select(ends, "_v").groupBy("unit").agg(F.sum(F.col("_v") - rest).alias("more"))
+    near = near_pairs(rank, unit, gap).join(pairs, ["a", "b"], "left")
+    near = near.select(ends, F.coalesce("_v", F.lit(rest)).alias("_v")).groupBy("unit").agg(F.count(F.lit(1)).alias("n1"), F.sum("_v").alias("s1"))
+    others = rank.agg((F.count(F.lit(1)) - 1).alias("n"))
+    u = rank.select(F.col(unit).alias("unit")).join(F.broadcast(others)).where("n > 0").join(more, "unit", "left").join(near, "unit", "left")
+    m0 = ratio(F.col("n") * rest + F.coalesce("more", F.lit(0.0)) - F.col("s1"), F.col("n") - F.col("n1"))
+    return u.select("unit", (F.col("s1") / F.col("n1") - m0).alias("excess"))
 
 
 def method_agreement(df: DataFrame, by: str, a: str, b: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quadrat.functions.numeric import ratio
 from quadrat.operators.tiles import pair_tiles
+from quadrat.session import cut
 
 
 def rank_taxa(rel: DataFrame, total: int | Column, prevalence: float, taxon: str = "taxon", unit: str = "profile", value: str = "rel") -> DataFrame:
@@ -86,6 +87,41 @@ def distance_class(df: DataFrame, d: str, k: int, out: str = "class") -> DataFra
     return df.join(F.broadcast(edges)).withColumn(out, cls).drop(*(f"_e{i}" for i in range(k - 1)))
 
 
+BINS = 1 << 14  # bins of a unit of value
+
+
+def _ranked(df: DataFrame, by: list[str], order: str, weight: str) -> DataFrame:
+    """Rows with the weight before (``_before``) and up to (``_upto``) them, and their group's (``n``)."""
+    w = Window.partitionBy(*by)
+    upto = F.sum(weight).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumns({"_upto": upto, "_before": upto - F.col(weight), "n": F.sum(weight).over(w)})
+
+
+def middle_bins(hist: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, n, _low, _high, _skip)`` from counts of bins (``bin``, ``w``): the bins of the two middle values and the weight before the first."""
+    first, second = F.expr("(n - 1) div 2"), F.expr("n div 2")
+    c = _ranked(hist.groupBy(*by, "bin").agg(F.sum("w").alias("w")), by, "bin", "w")
+    has = lambda at: (F.col("_before") <= at) & (at < F.col("_upto"))
+    out = c.groupBy(*by).agg(F.max("n").alias("n"), F.max(F.when(has(first), F.col("bin"))).alias("_low"), F.max(F.when(has(second), F.col("bin"))).alias("_high"), F.max(F.when(has(first), F.col("_before"))).alias("_skip"))
+    return out.where("n > 0")
+
+
+def middle_of(values: DataFrame, middle: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``(*by, median, n)`` from the values (weight ``w``) of the middle bins."""
+    c = _ranked(values.groupBy(*by, value).agg(F.sum("w").alias("w")), by, value, "w").drop("n").join(middle, by)
+    at = lambda k: F.max(F.when((F.col("_before") + F.col("_skip") <= k) & (k < F.col("_upto") + F.col("_skip")), F.col(value)))
+    return c.groupBy(*by, "n").agg(((at(F.expr("(n - 1) div 2")) + at(F.expr("n div 2"))) / 2).alias("median")).select(*by, "median", "n")
+
+
+def median(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """``(*by, median, n)``: the exact median of values with whole weights. Bins are counted first, so
+    a group's task holds its bins and the values of the middle one, never all values."""
+    binned = df.where(F.col(value).isNotNull()).select(*by, F.col(value), F.floor(F.col(value) * BINS).alias("bin"), F.col(weight).alias("w"))
+    middle = cut(middle_bins(binned, by), "middle")
+    near = binned.join(middle.select(*by, "_low", "_high"), by).where("bin = _low or bin = _high")
+    return middle_of(near, middle, by, value)
+
+
 def cumulative_share(df: DataFrame, value: str, order: list[Column], target: float) -> DataFrame:
     w = Window.orderBy(*order)
     cum = ratio(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum(value).over(Window.partitionBy()))
