@@ -87,3 +87,28 @@ def test_pairs_are_not_exploded(counts, ranks):
     assert "MapInArrow" not in plan
     kinds = S.pair_kinds(ranks.withColumn("k", F.col("u") % 2), ["k"]).agg(F.sum("n")).first()[0]
     assert kinds == 17 * 16
+
+
+def test_tiled_medians_hand_on_no_pairs(spark, monkeypatch):
+    from quadrat.operators import tiles
+
+    monkeypatch.setattr(tiles, "SMALLEST", 3)
+    monkeypatch.setattr(tiles, "BLOCKS", 4)
+    rows = [(g, u, t, float(draw.randint(0, 4) if u != 2 else 0)) for g in range(3) for u in range(11) for t in draw.sample(range(5), draw.randint(1, 5))]
+    rows += [(7, 0, t, 2.0) for t in range(5)] + [(7, 1, t, 1.0) for t in range(5)] + [(8, 0, 1, 2.0)]
+    rows = [r for r in rows if r[:2] != (1, 4)] + [(1, 4, 99, 3.0)]  # shares nothing
+    df = spark.createDataFrame(rows, "grp int, u int, t int, v double")
+    got = {r.grp: (r.median, r.n) for r in D.tiled_medians(df, ["grp"], "u", "t", "v").collect()}
+    want = {}
+    for g in (0, 1, 2, 7):
+        units = {}
+        for k, u, t, v in rows:
+            if k == g:
+                units.setdefault(u, {})[t] = v
+        d = []
+        for a, b in itertools.combinations(sorted(units), 2):
+            total = sum(units[a].values()) + sum(units[b].values())
+            if set(units[a]) & set(units[b]) and total:
+                d.append(1 - 2 * sum(min(v, units[b].get(t, 0)) for t, v in units[a].items()) / total)
+        want[g] = (pytest.approx(statistics.median(d), abs=1e-12), len(d))
+    assert got == want
