@@ -10,6 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrat.session import cut
+
+RANGE = 100_000  # rows of a range of tolerance_windows, which a window holds at a time
+
 
 class RuleError(ValueError):
     pass
@@ -143,10 +147,9 @@ def tolerance_windows(df: DataFrame, group: list[str], value: str, abs_tol: floa
     The order is dealt by ranges; a range learns the last row before it and the
     runs before it from a table of one row a range, so no group sits in one task.
     """
-    from quadrat.session import cut
-
-    order = [*group, value]
-    ranged = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    order, plain = [*group, value], cut(df, "plain")
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plain.count() // RANGE)
+    ranged = cut(plain.repartitionByRange(ranges, *order).withColumn("_p", F.spark_partition_id()), "ranged")
     w, ranges = Window.partitionBy("_p").orderBy(*order), Window.orderBy("_p")
     last = ranged.groupBy("_p").agg(F.max(F.struct(*order)).alias("_z"))
     last = F.broadcast(last.select("_p", F.lag("_z").over(ranges).alias("_z")))
@@ -258,6 +261,7 @@ def compare_golden(actual: DataFrame, expected: DataFrame, cats: list[str], nums
     # a window of one distinct row, or of one side only, needs no task of its own
     own = Window.partitionBy(*group)
     rows = rows.withColumns({"_m": F.count(F.lit(1)).over(own), "_sa": F.sum("_a").over(own), "_se": F.sum("_e").over(own)})
+    rows = cut(rows, "windows") if nums else rows
     hard = (F.col("_m") > 1) & (F.col("_sa") > 0) & (F.col("_se") > 0)
     easy = rows.where(~hard).select(*cats, F.col("_a").alias("n_actual"), F.col("_e").alias("n_expected"), F.when(F.col("_m") == 1, F.least("_a", "_e")).otherwise(F.lit(0).cast("bigint")).alias("n_matched"))
     last = f"_w{len(nums) - 1}"  # its numbers go through all groups, so they name a window alone

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from quadrat.operators import graph as G
 from quadrat.operators import quality as Q
@@ -274,3 +275,18 @@ def test_small_windows_are_matched_many_at_a_time(spark):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [(2**60 + 1, 2000, 2000, 1000)]
     assert Q.compare_golden(spark.createDataFrame(act, "c bigint, x double, y double").select("c"), spark.createDataFrame(exp, "c bigint, x double, y double").select("c"), ["c"], []).isEmpty()
+
+
+def test_ranges_of_tolerance_windows_stay_small(spark, monkeypatch):
+    kept = {}
+
+    def keeping(df, name, cut=Q.cut):
+        kept[name] = cut(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(Q, "RANGE", 50)
+    monkeypatch.setattr(Q, "cut", keeping)
+    df = spark.range(3000).select(F.lit("a").alias("g"), (F.col("id") + F.when(F.col("id") % 3 == 0, 0.99).otherwise(0.0)).alias("x"))
+    got = Q.tolerance_windows(df, ["g"], "x", 0.05, 0.0, "w")
+    assert got.agg(F.count_distinct("w")).first()[0] == 2000 and got.count() == 3000
+    assert kept["ranged"].groupBy("_p").count().agg(F.max("count")).first()[0] <= 200
