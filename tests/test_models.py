@@ -194,6 +194,21 @@ def test_leading_coordinates_equal_the_dense_solution(spark, n, dims):
     assert O.pcoa_axes(spark.createDataFrame([], "a int, b int, d double"), 3).count() == 0
 
 
+def test_axes_settle_where_values_lie_close(spark):
+    from quadrat.operators import ordination as O
+
+    n = 400
+    d = np.triu(np.random.default_rng(4).uniform(0.9, 1, (n, n)), 1)
+    d += d.T
+    rows = [(i, j, float(d[i, j])) for i in range(n) for j in range(i + 1, n)]
+    got = {r.axis: r.eigenvalue for r in O.pcoa_axes(spark.createDataFrame(rows, "a int, b int, d double"), 4).collect()}
+    centred = -0.5 * d * d
+    centred = centred - centred.mean(0)
+    centred = centred - centred.mean(1)[:, None]
+    want = np.linalg.eigvalsh(centred)[::-1]
+    assert [got[i + 1] for i in range(4)] == pytest.approx(list(want[:4]), rel=1e-9)
+
+
 def test_trend_jackknife_equals_refits_without_each_unit(spark):
     rng = np.random.default_rng(8)
     n, p = 14, 3
