@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,6 +117,11 @@ def parse_date(col: Column | str, formats: tuple[str, ...], as_of: str) -> Colum
     return F.struct(F.when(~late, day).alias("day"), status.alias("status"))
 
 
+def _once(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once a row, however often ``then`` names it."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def parse_formula(col: Column | str) -> Column:
     """Array of (element, count) of a chemical formula, in element order, divided by the common divisor.
 
@@ -133,18 +139,17 @@ def parse_formula(col: Column | str) -> Column:
             ),
         )
 
-    every = F.flatten(F.transform(parts, atoms))
-    elements = F.array_sort(F.array_distinct(F.transform(every, lambda a: a["element"])))
-    summed = F.transform(
-        elements,
-        lambda e: F.struct(
-            e.alias("element"),
-            F.aggregate(F.filter(every, lambda a: a["element"] == e), F.lit(0), lambda acc, a: acc + a["n"]).alias("n"),
-        ),
-    )
-    low = F.array_min(F.transform(summed, lambda a: a["n"]))
-    divisor = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(low, F.lit(1))), lambda d: F.forall(summed, lambda a: a["n"] % d == 0)))
-    return F.when(F.size(summed) > 0, F.transform(summed, lambda a: F.struct(a["element"].alias("element"), (a["n"] / divisor).cast("int").alias("n"))))
+    def summed(every: Column) -> Column:
+        elements = F.array_sort(F.array_distinct(F.transform(every, lambda a: a["element"])))
+        count = lambda e: F.aggregate(F.filter(every, lambda a: a["element"] == e), F.lit(0), lambda acc, a: acc + a["n"])
+        return F.transform(elements, lambda e: F.struct(e.alias("element"), count(e).alias("n")))
+
+    def reduced(every: Column) -> Column:
+        low = F.array_min(F.transform(every, lambda a: a["n"]))
+        divisor = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(low, F.lit(1))), lambda d: F.forall(every, lambda a: a["n"] % d == 0)))
+        return F.when(F.size(every) > 0, _once(divisor, lambda d: F.transform(every, lambda a: F.struct(a["element"].alias("element"), (a["n"] / d).cast("int").alias("n")))))
+
+    return _once(_once(F.flatten(F.transform(parts, atoms)), summed), reduced)
 
 
 def analyte_kind(col: Column | str) -> Column:

@@ -246,3 +246,10 @@ def test_rarefying_counts_of_a_billion(spark):
     assert sum(v for (p, _), v in got.items() if p == "p") == 5 and ("q", "a") not in got and got[("r", "a")] == 5
     many = {(r.profile, r.feature): r.n for r in A.rarefy(c, 4000, seed=3).collect()}
     assert many[("p", "a")] + many[("p", "b")] == 4000 and many[("p", "b")] == pytest.approx(3000, abs=120)
+
+
+def test_a_formula_is_parsed_once_a_row(spark):
+    df = spark.createDataFrame([("CaSO4.2H2O",), ("C6H12O6",), ("",), ("2H2O.NaCl",), (None,)], "f string").select(K.parse_formula("f").alias("p"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+    got = [r.p and [tuple(x) for x in r.p] for r in df.collect()]
+    assert got == [[("Ca", 1), ("H", 4), ("O", 6), ("S", 1)], [("C", 1), ("H", 2), ("O", 1)], None, [("Cl", 1), ("H", 4), ("Na", 1), ("O", 2)], None]
