@@ -212,13 +212,16 @@ def scan(y: DataFrame, exposures: DataFrame, obs: str, response: str, key: str |
 
     The nuisance projection is shared: cross products of every exposure with
     the nuisance columns and the residual response come from one aggregation.
+    Rows of ``y`` with one ``obs`` (say a site's observations of a day) share
+    their exposure and meet it as one row of sums.
     """
     k, by = len(nuisance), [key] if isinstance(key, str) else key
     inv = np.linalg.pinv(unpack_gram(gram(y, nuisance).first(), k), hermitian=True)
     ry = residualize(y, [response], nuisance).select(obs, F.col(f"r_{response}").alias("ry"), *nuisance)
     n, syy = ry.agg(F.count(F.lit(1)), F.sum(F.col("ry") * F.col("ry"))).first()
-    j = exposures.join(ry, obs).groupBy(*by).agg(
-        *(F.sum(F.col(value) * F.col(c)).alias(f"a{i}") for i, c in enumerate(nuisance)), F.sum(F.col(value) * F.col(value)).alias("xx"), F.sum(F.col(value) * F.col("ry")).alias("xy")
+    met = ry.groupBy(obs).agg(*(F.sum(c).alias(f"_s{i}") for i, c in enumerate(nuisance)), F.sum("ry").alias("_sy"), F.count(F.lit(1)).alias("_rows"))
+    j = exposures.join(met, obs).groupBy(*by).agg(
+        *(F.sum(F.col(value) * F.col(f"_s{i}")).alias(f"a{i}") for i in range(k)), F.sum(F.col(value) * F.col(value) * F.col("_rows")).alias("xx"), F.sum(F.col(value) * F.col("_sy")).alias("xy")
     )
     quad = sum((F.col(f"a{i}") * F.col(f"a{m}") * float(inv[i, m]) for i in range(k) for m in range(k)), F.lit(0.0))
     j = j.withColumn("sxx", F.col("xx") - quad).withColumn("beta", F.when(F.col("sxx") > 1e-9, F.col("xy") / F.col("sxx")))

@@ -39,6 +39,12 @@ def _obs(t, before: int = 0, after: int = 0):
     return e.select(F.col("event_id").alias("obs_id"), (F.col("user_id") % 25).alias("site"), F.to_date("ts").alias("date"), "value", (F.col("user_id") % 5).alias("campaign"))
 
 
+def _by_day(obs):
+    """``obs`` with its site and day as ``obs_id``, and one row for each of them: all that exposures depend on."""
+    obs = obs.withColumn("obs_id", F.concat_ws("|", "site", "date"))
+    return obs, obs.select("obs_id", "site", "date").distinct()
+
+
 # ---- models ----
 
 
@@ -128,8 +134,8 @@ _FUTURE = {"low": "obs.date + a", "high": "obs.date + b"}
 
 @query("ml6_scan", sql("daily", _SCAN.format(more=""), obs=_SCAN_OBS.format(before=14, after=0), ry=_SCAN_RY, ex=_WINDOW.format(key="a || '-' || b", spans="(1, 3), (4, 7), (8, 14)", **_PAST)))
 def _(t):
-    obs = _obs(t, 14).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
-    e = J.exposure(obs, t.daily, [(1, 3), (4, 7), (8, 14)]).withColumn("key", F.concat_ws("-", "from_lag", "to_lag")).where("exposure is not null")
+    obs, days = _by_day(_obs(t, 14).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")}))
+    e = J.exposure(days, t.daily, [(1, 3), (4, 7), (8, 14)]).withColumn("key", F.concat_ws("-", "from_lag", "to_lag")).where("exposure is not null")
     return R(M.scan(obs, e, "obs_id", "value", "key", "exposure", ["one", "day"]))
 
 
@@ -408,9 +414,9 @@ def _(t):
     ex=_WINDOW.format(key="'past ' || a", spans="(1, 3), (4, 7), (8, 9)", **_PAST) + " UNION ALL " + _WINDOW.format(key="'future ' || a", spans="(1, 3), (4, 7), (8, 9)", **_FUTURE)))
 def _(t):
     """Antecedent windows: exposures, partial scan, past against future placebo."""
-    obs = _obs(t, 9, 9).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
+    obs, days = _by_day(_obs(t, 9, 9).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")}))
     spans = [(1, 3), (4, 7), (8, 9)]
-    past, future = J.exposure(obs, t.daily, spans), J.exposure(obs, t.daily, spans, future=True)
+    past, future = J.exposure(days, t.daily, spans), J.exposure(days, t.daily, spans, future=True)
     both = past.withColumn("key", F.concat(F.lit("past "), "from_lag")).unionByName(future.withColumn("key", F.concat(F.lit("future "), "from_lag")))
     fits = M.scan(obs, both.where("exposure is not null"), "obs_id", "value", "key", "exposure", ["one", "day"])
     return R(S.mde(fits, "se"))
@@ -419,8 +425,8 @@ def _(t):
 @query("pl7_pulse_response")
 def _(t):
     """Pulse kernels over daily lags, scanned over peaks, with lag-rotation nulls."""
-    obs = _obs(t, 14).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
-    lags = J.lag_matrix(obs, t.daily, 14).where("value is not null")
+    obs, days = _by_day(_obs(t, 14).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")}))
+    lags = J.lag_matrix(days, t.daily, 14).where("value is not null")
     peaks = [1.0, 3.0, 7.0]
     fit = lambda table, key: M.scan(obs, table, "obs_id", "value", key, "exposure", ["one", "day"])
     shifts = t.spark.range(1, 14).select(F.col("id").cast("int").alias("shift"))

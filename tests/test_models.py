@@ -1,5 +1,7 @@
 """Models against direct matrix computations."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,25 @@ def test_scan_is_a_partial_regression(spark):
     assert M.scan(df, e, "i", "y", "key", "v", ["one", "x"]).first()["beta"] == pytest.approx(b[2])
 
 
+def test_scan_by_shared_exposures_equals_scan_by_rows(spark):
+    _, _, _, df = data(spark)
+    df = df.withColumn("cell", F.floor("x"))
+    e = df.select("cell", F.col("cell").cast("double").alias("v")).distinct().withColumn("key", F.lit("k"))
+    by_cell = M.scan(df, e, "cell", "y", "key", "v", ["one", "x"]).first()
+    by_row = M.scan(df, df.select("i", F.lit("k").alias("key"), F.col("cell").cast("double").alias("v")), "i", "y", "key", "v", ["one", "x"]).first()
+    assert [by_cell[c] for c in ("beta", "se", "t", "partial_r2")] == pytest.approx([by_row[c] for c in ("beta", "se", "t", "partial_r2")])
+
+
+def test_scans_of_daily_exposures_join_days_not_observations(spark):
+    """Observations of one site and day meet an exposure as one row, so lags are never repeated for every observation."""
+    from quadrat.plans import models_plan, roles
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    obs, days = models_plan._by_day(models_plan._obs(roles.Roles(spark, "/root/testdata/sf0.001")))
+    assert days.count() == obs.select("site", "date").distinct().count() < obs.count()
+
+
 def test_pcoa_recovers_a_line(spark):
     pts = [0.0, 1.0, 3.0, 7.0]
     pairs = spark.createDataFrame([(i, j, abs(pts[i] - pts[j])) for i in range(4) for j in range(i + 1, 4)], "a int, b int, d double")
