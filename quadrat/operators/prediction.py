@@ -202,6 +202,7 @@ def scan_orbit(y: DataFrame, exposures: DataFrame, maps: DataFrame, fit: Callabl
     ``exposures``: (site, date, key, value). Each observation takes the series
     of the mapped site; ``fit`` scans (obs, shift, reflected, key, value), so
     the cross products of all members and keys come from one aggregation.
+    ``y`` needs one row for each site and day only, if ``fit`` scans by those.
     """
     keys = ["shift", "reflected"]
     moved = y.join(maps.select(*keys, site, "mapped_site"), site).join(exposures.withColumnRenamed(site, "mapped_site"), ["mapped_site", date])

@@ -10,7 +10,7 @@ from quadrat.operators import models as M
 from quadrat.operators import prediction as P
 from quadrat.operators import windows as W
 from quadrat.plans import stats_plan as SP
-from quadrat.plans.models_plan import _SCAN_RY, R, _obs
+from quadrat.plans.models_plan import _SCAN_RY, R, _by_day, _obs
 from quadrat.plans.roles import registry, sql
 
 QUERIES, query = registry()
@@ -136,12 +136,12 @@ _SPANS = [(1, 3), (4, 7)]
     ex="SELECT o.site, o.date, a || '-' || b AS key, sum(d.value) AS x FROM daily o CROSS JOIN (VALUES (1, 3), (4, 7)) s(a, b) JOIN daily d ON d.site = o.site AND d.date BETWEEN o.date - b AND o.date - a GROUP BY 1, 2, 3, a, b HAVING count(*) = b - a + 1"))
 def _(t):
     """The strongest exposure of a scan, for every shift and reflection of the route that the series come from."""
-    obs = _obs(t).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")})
+    obs, own = _by_day(_obs(t).withColumns({"one": F.lit(1.0), "day": F.dayofmonth("date").cast("double")}))
     days = t.daily.select("site", "date", F.concat_ws("|", "site", "date").alias("obs_id"))
     e = J.exposure(days, t.daily, _SPANS).where("exposure is not null").withColumn("key", F.concat_ws("-", "from_lag", "to_lag"))
     e = e.join(days, "obs_id").select("site", "date", "key", F.col("exposure").alias("x"))
     fit = lambda rows, keys: M.scan(obs, rows.select("obs_id", *keys, "key", "x"), "obs_id", "value", [*keys, "key"], "x", ["one", "day"])
-    return R(P.scan_orbit(obs, e, W.route_maps(_route(t), ["position", "site"]), fit))
+    return R(P.scan_orbit(own, e, W.route_maps(_route(t), ["position", "site"]), fit))
 
 
 @query("pl5_geographic_prediction", sql("names sites", f"""
