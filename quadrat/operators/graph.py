@@ -157,7 +157,7 @@ def rdf_lists(triples: DataFrame, first: str = "first", rest: str = "rest", nil:
     for k, j in enumerate(jumps):
         on = j.where("state = 'on'").select("cell", "to")
         further = placed.join(on, "cell").select("list", F.col("to").alias("cell"), (F.col("position") + (1 << k)).alias("position"))
-        placed = cut(placed.unionByName(further), "places")
+        placed = placed.unionByName(cut(further, "places"))  # each place is written once
     fine = placed.join(cells, "cell").select("list", "position", "member")
     return fine.unionByName(wrong.unionByName(headless).select("list", "position", F.lit(None).cast("string").alias("member")))
 

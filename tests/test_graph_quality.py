@@ -290,3 +290,21 @@ def test_ranges_of_tolerance_windows_stay_small(spark, monkeypatch):
     got = Q.tolerance_windows(df, ["g"], "x", 0.05, 0.0, "w")
     assert got.agg(F.count_distinct("w")).first()[0] == 2000 and got.count() == 3000
     assert kept["ranged"].groupBy("_p").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_places_of_a_list_are_written_once(spark, monkeypatch):
+    from quadrat.operators import graph
+
+    cells = [(f"c{i}", p, o) for i in range(9) for p, o in (("first", f"m{i}"), ("rest", f"c{i + 1}" if i < 8 else "nil"))]
+    written, plain = [], graph.cut
+
+    def counted(df, name="cut"):
+        out = plain(df, name)
+        if name == "places":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    got = graph.rdf_lists(spark.createDataFrame(cells, "s string, p string, o string")).collect()
+    assert sorted((r.position, r.member) for r in got) == [(i + 1, f"m{i}") for i in range(9)]
+    assert sum(written) == 8
