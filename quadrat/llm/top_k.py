@@ -17,7 +17,10 @@ block of queries meets a block of candidates in one task:
    go, and each block hands on its k best; ties go to the smaller id.
 
 Only k entries for each (query, block) leave a task. Query blocks, the smaller
-side, travel to the candidates. The more candidates there are, the higher the
+side, travel to the candidates, each once to every part of the candidates; a part is a
+number of blocks, and there are a few parts a core however many blocks there are. Spark
+takes a side for as small as it was before it was repeated, so joins say that
+nothing is broadcast. The more candidates there are, the higher the
 cutoff and the fewer blocks phase 2 meets.
 
 Scores are exact for all finite components: products run in float32 or float64
@@ -46,6 +49,7 @@ from quadrat.session import cut
 
 K, EVERY, SLICES = 20, 20, 2
 QUERY_BLOCK, BLOCK, WIDE_BLOCK = 512, 4096, 64
+PARTS = 4  # parts of the candidates a core, at most
 _MOST = (1 << 63) - 1
 
 
@@ -198,10 +202,11 @@ def phases(
     asked = good.where(F.col("id") % every == 0)
     n, m = good.agg(F.count(F.lit(1)), F.count(F.when(F.col("id") % every == 0, 1))).first()
     shape = "d int, wide boolean, ids binary, raw binary"
-    n_blocks, n_queries = max(1, -(-n // block)), max(1, -(-m // query_block))
-    ways = max(1, min(n_queries, 2 * vectors.sparkSession.sparkContext.defaultParallelism // n_blocks))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_parts, n_queries = max(1, min(-(-n // block), PARTS * cores)), max(1, -(-m // query_block))
+    ways = max(1, min(n_queries, 2 * cores // n_parts))
     blocks = cut(
-        good.repartition(n_blocks).mapInArrow(_pack(block, scale), shape)
+        good.repartition(n_parts).mapInArrow(_pack(block, scale), shape)
         .withColumns({"cn": F.spark_partition_id(), "blk": F.monotonically_increasing_id()}),
         "candidates",
     )
@@ -212,14 +217,17 @@ def phases(
         "queries",
     )
     each_block = blocks.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    each_query = queries.withColumn("cn", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    lists = cut(each_block.join(each_query, ["cn", "way", "d"]).mapInArrow(_gather(k, slices, scale), _LISTS), "lists")
+    each_query = queries.withColumn("cn", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    lists = cut(each_block.join(each_query.hint("merge"), ["cn", "way", "d"]).mapInArrow(_gather(k, slices, scale), _LISTS), "lists")
     scores = lists.select("qb", "at", F.explode("best.score").alias("score"))
     ranked = scores.withColumn("r", F.row_number().over(Window.partitionBy("qb", "at").orderBy(F.desc("score")))).where(f"r <= {k}")
     cutoffs = ranked.groupBy("qb", "at").agg(F.min("score").alias("cutoff"), F.count(F.lit(1)).alias("found")).where(f"found = {k}").drop("found")
-    known = cut(lists.join(cutoffs, ["qb", "at"], "left").withColumn("open", F.coalesce(F.col("bound") >= F.coalesce("cutoff", F.lit(-_MOST)), F.lit(False))), "known")
-    again = known.where("open").groupBy("qb", "blk").agg(F.collect_list(F.struct("at", "cutoff")).alias("asked"))
-    met = again.join(queries.drop("way", "d"), "qb").join(blocks, "blk")
+    known = lists.join(cutoffs, ["qb", "at"], "left").withColumn("open", F.coalesce(F.col("bound") >= F.coalesce("cutoff", F.lit(-_MOST)), F.lit(False)))
+    near = F.filter("best", lambda e: F.coalesce(e.score >= F.col("cutoff"), F.lit(True)))  # others are not among the query's k best
+    known = cut(known.withColumn("best", near), "known")
+    again = known.where("open").groupBy("qb", F.shiftright("blk", 33).cast("int").alias("cn")).agg(F.collect_list(F.struct("blk", "at", "cutoff")).alias("asked"))
+    met = again.join(queries.drop("way").hint("merge"), "qb").hint("merge").join(blocks, ["cn", "d"])
+    met = met.withColumn("asked", F.filter("asked", lambda a: a.blk == F.col("blk"))).where(F.size("asked") > 0)
     return known.where(~F.col("open")), known.where("open"), met.mapInArrow(_resolve(k, slices, scale), _LISTS)
 
 

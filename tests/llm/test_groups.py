@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from quadrat.llm import near_dedup, top_k
+from quadrat.llm import hard_negatives, near_dedup, top_k
 
 DOCS = "doc_id bigint, text string, kept string, component_id int"
 
@@ -152,3 +152,25 @@ def test_blocks_under_the_cutoff_are_not_resolved_again(spark):
     s[np.arange(20), np.arange(0, 6_000, 300)] = -(1 << 60)
     want = [(300 * a, r + 1, int(j), int(s[a, j])) for a in range(20) for r, j in enumerate(np.lexsort((np.arange(6_000), -s[a]))[:3])]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["lists", "positives"])
+def test_repeated_blocks_are_not_broadcast(spark, monkeypatch, name):
+    """Spark takes a table for as small as it was before its rows were repeated."""
+    module, plans = {"lists": top_k, "positives": hard_negatives}[name], {}
+    kept = module.cut
+
+    def cut(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name)
+
+    monkeypatch.setattr(module, "cut", cut)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 0.2, 6).tolist(), i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    if name == "lists":
+        got = top_k.exact_top_k(df, k=4, every=5, block=10, query_block=8)
+        assert sorted(map(tuple, got.collect())) == brute_top([r[:2] for r in rows], 4, 5)
+    else:
+        assert hard_negatives.hard_negatives(df, every=5, block=10, anchor_block=8).count() > 0
+    assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
