@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrat.llm.top_k import BLOCK, QUERY_BLOCK, WIDE_BLOCK, _fitted, _integers, _kept, _partial
+from quadrat.llm.top_k import BLOCK, PARTS, QUERY_BLOCK, WIDE_BLOCK, _fitted, _integers, _kept, _partial
 from quadrat.session import cut
 
 EVERY, SCALE = 50, 256
@@ -202,10 +202,11 @@ def hard_negatives(
         F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), v.cast("array<double>").alias("v")
     )
     n, m = good.agg(F.count(F.lit(1)), F.count(F.when(F.col("id") % every == 0, 1))).first()
-    n_blocks, n_anchors = max(1, -(-n // block)), max(1, -(-m // anchor_block))
-    ways = max(1, min(n_anchors, 2 * spark.sparkContext.defaultParallelism // n_blocks))
+    cores = spark.sparkContext.defaultParallelism
+    n_parts, n_anchors = max(1, min(-(-n // block), PARTS * cores)), max(1, -(-m // anchor_block))
+    ways = max(1, min(n_anchors, 2 * cores // n_parts))
     blocks = cut(
-        good.repartition(n_blocks).mapInArrow(_pack(block, scale), _SHAPE)
+        good.repartition(n_parts).mapInArrow(_pack(block, scale), _SHAPE)
         .withColumns({"cn": F.spark_partition_id(), "blk": F.monotonically_increasing_id()}),
         "candidates",
     )
@@ -216,12 +217,12 @@ def hard_negatives(
         "anchors",
     )
     each_block = blocks.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("cn")
-    met = each_block.join(anchors.select("*", everywhere), ["cn", "way", "d"])
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("cn")
+    met = each_block.join(anchors.select("*", everywhere).hint("merge"), ["cn", "way", "d"])  # Spark takes repeated anchors for as small as they were
     place = F.row_number().over(Window.partitionBy("qb", "at").orderBy(F.desc("score"), "vec_id"))
     best = cut(met.mapInArrow(_positives(scale, positives), _PAIRS).withColumn("r", place).where(F.col("r") <= positives).drop("r"), "positives")
     asked = best.groupBy("qb").agg(F.collect_list(F.struct("at", "score")).alias("asked"))  # at most anchor_block x positives
-    again = each_block.join(anchors.join(asked, "qb").select("*", everywhere), ["cn", "way", "d"])
+    again = each_block.join(anchors.join(asked, "qb").select("*", everywhere).hint("merge"), ["cn", "way", "d"])
     others = again.mapInArrow(_negatives(scale, negatives, low, high), _PAIRS)
     pairs = best.withColumn("side", F.lit(0)).unionByName(others.withColumn("side", F.lit(1)))
     keyed = pairs.select("qb", "at", "score", "side", "vec_id", "anchor_id").rdd.map(lambda r: (packed(*r[:5]), r[5]))
