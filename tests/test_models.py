@@ -230,6 +230,34 @@ def test_axes_settle_where_values_lie_close(spark):
     assert [got[i + 1] for i in range(4)] == pytest.approx(list(want[:4]), rel=1e-9)
 
 
+def test_axes_take_one_job_a_pass(spark):
+    from quadrat.operators import ordination as O
+
+    n = 240
+    d = np.triu(np.random.default_rng(5).uniform(0.9, 1, (n, n)), 1)
+    df = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(n) for j in range(i + 1, n)], "a int, b int, d double")
+    spark.sparkContext.setJobGroup("axes", "axes")
+    O.pcoa_axes(df, 4)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("axes"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs < 40
+
+
+def test_blocks_keep_no_mean(monkeypatch):
+    """The uncentred table's own largest value, along the mean, is some hundred times the others."""
+    from quadrat.operators import ordination as O
+
+    n = 900
+    d = np.triu(np.random.default_rng(6).uniform(0.95, 1, (n, n)), 1)
+    table = -0.5 * (d + d.T) ** 2
+    centred = table - table.mean(0)
+    centred = centred - centred.mean(1)[:, None]
+    monkeypatch.setattr(O, "_product", lambda strips, n, x: (y := table @ x) - y.mean(0))
+    values, vectors = O._leading(None, n, 4, float(np.trace(centred)), 1)
+    assert values == pytest.approx(np.linalg.eigvalsh(centred)[::-1][:4], rel=1e-9)
+    assert np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-9)
+
+
 def test_trend_jackknife_equals_refits_without_each_unit(spark):
     rng = np.random.default_rng(8)
     n, p = 14, 3
