@@ -79,20 +79,33 @@ def estimable_shifts(
 ) -> DataFrame:
     """Candidate shifts (campaign, shift) under which the design of nuisance columns and shifted exposures keeps its rank.
 
-    Exposures of all candidates come from the same prefix sums, and their cross
+    A campaign's observations of one site and day have one exposure, so they meet
+    the shifts as one row of sums: what is made grows with the days, not with the observations.
+    Exposures of all candidates come from the same prefix sums, each day's once, and their cross
     products from one aggregation; only the ranks of small matrices are left.
     Observations whose window leaves the series don't count.
     """
     from quadrat.operators.joins import exposure
-    from quadrat.operators.models import gram, unpack_gram
+    from quadrat.operators.models import unpack_gram
 
-    moved = obs.join(F.broadcast(options), campaign).withColumns({day: F.date_add(day, F.col("shift")), "_id": F.concat_ws("|", F.col(obs_id), F.col("shift"))})
-    e = exposure(moved.select("_id", site, day), daily, spans, site, day, value, "_id")
-    names = [f"_x{i}" for i in range(len(spans))]
-    wide = e.groupBy("_id").agg(*(F.max(F.when((F.col("from_lag") == a) & (F.col("to_lag") == b), F.col("exposure"))).alias(n) for (a, b), n in zip(spans, names)))
+    p, names = len(nuisance), [f"_x{i}" for i in range(len(spans))]
     columns = [*nuisance, *names]
-    whole = moved.join(wide.dropna(), "_id")
-    sums = gram(whole, columns, [campaign, "shift"])
+    places = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    c = [F.col(n).cast("double") for n in nuisance]
+    own = [F.sum(c[i]).alias(f"_s{i}") for i in range(p)] + [F.sum(c[i] * c[j]).alias(f"_q{i}_{j}") for i, j in places if j < p]
+    cells = obs.groupBy(campaign, site, day).agg(F.count(F.lit(1)).alias("_n"), *own)
+    moved = cells.join(F.broadcast(options), campaign).withColumn(day, F.date_add(day, F.col("shift")))
+    asked = moved.select(site, day).distinct().withColumn("_id", F.struct(F.col(site).alias("s"), F.col(day).alias("d")))
+    e = exposure(asked, daily, spans, site, day, value, "_id")
+    wide = e.groupBy("_id").agg(*(F.max(F.when((F.col("from_lag") == a) & (F.col("to_lag") == b), F.col("exposure"))).alias(n) for (a, b), n in zip(spans, names)))
+    whole = moved.join(wide.dropna().select(F.col("_id.s").alias(site), F.col("_id.d").alias(day), *names), [site, day])
+
+    def product(i: int, j: int) -> Column:
+        if j < p:
+            return F.col(f"_q{i}_{j}")
+        return F.col(columns[j]) * (F.col(f"_s{i}") if i < p else F.col("_n") * F.col(columns[i]))
+
+    sums = whole.groupBy(campaign, "shift").agg(*(F.sum(product(i, j)).alias(f"m_{i}_{j}") for i, j in places))
 
     def ranked(parts):
         for pdf in parts:

@@ -230,6 +230,35 @@ def test_axes_settle_where_values_lie_close(spark):
     assert [got[i + 1] for i in range(4)] == pytest.approx(list(want[:4]), rel=1e-9)
 
 
+def test_shifts_meet_days_not_observations(spark):
+    """Many observations of a day are one row when shifts are tried, and count as many."""
+    import datetime
+
+    from quadrat.operators import resample as RS
+
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(days=k) for k in range(40)]
+    rng = np.random.default_rng(3)
+    series = spark.createDataFrame([(s, d, float(rng.integers(0, 9))) for s in (0, 1) for d in days], "site int, date date, value double")
+    rows = [(k, 0, k % 2, days[10 + k % 3], 1.0, float(k % 3)) for k in range(600)] + [(600 + k, 1, 0, days[12], 1.0, 2.0) for k in range(50)]
+    obs = spark.createDataFrame(rows, "obs_id int, campaign int, site int, date date, one double, day double")
+    options = spark.createDataFrame([(c, s) for c in (0, 1) for s in range(-6, 30)], "campaign int, shift int")
+    plan = RS.estimable_shifts(obs, series, options, [(1, 3), (4, 6)], ["one", "day"], "campaign")
+    made = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "obs_id" not in made.split("LogicalRDD")[0]
+    value = {(r.site, r.date): r.value for r in series.collect()}
+    want = []
+    for c in (0, 1):
+        for shift in range(-6, 30):
+            x = []
+            for _, k, s, d, one, day in rows:
+                at = [[d + datetime.timedelta(days=shift - lag) for lag in lags] for lags in ((1, 2, 3), (4, 5, 6))]
+                if k == c and all((s, q) in value for lags in at for q in lags):
+                    x.append([one, day, *(sum(value[s, q] for q in lags) for lags in at)])
+            if x and np.linalg.matrix_rank(np.array(x) / np.maximum(np.sqrt((np.array(x) ** 2).sum(0)), 1e-150), tol=1e-5) == 4:
+                want.append((c, shift))
+    assert sorted((r.campaign, r["shift"]) for r in plan.collect()) == want and 5 < len(want)
+
+
 def test_axes_take_one_job_a_pass(spark):
     from quadrat.operators import ordination as O
 
