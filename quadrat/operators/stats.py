@@ -329,6 +329,28 @@ def adjacency_test(
     sum less theirs, and pairs are counted by kinds of units.
     """
     pairs = cut(pairs.select("a", "b", F.col(value).alias("_v")), "pairs")
+
+    def known(near: DataFrame, marked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        return marked(pairs).select(*strata, (F.col("_v") - rest).alias("more")), pairs
+
+    return _adjacency(known, units, rank, unit, gap, strata, reps, seed, rest)
+
+
+def adjacency_by_parts(
+    df: DataFrame, part: str, n: str, units: DataFrame, rank: DataFrame, unit: str, gap: float, strata: dict[str, Callable[[Column, Column], Column]], reps: int, seed: int = 1,
+) -> DataFrame:
+    """``adjacency_test`` of the Bray-Curtis of all pairs of ``df``'s units, of which no pair but the adjacent becomes a row."""
+    from quadrat.operators.blocks import shared_sums
+
+    def known(near: DataFrame, marked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        sums, d = shared_sums(df, unit, part, n, near, units)
+        return sums.withColumns({k: rule(F.col("x"), F.col("y")) for k, rule in strata.items()}).select(*strata, "more"), d.withColumnRenamed("d", "_v")
+
+    return _adjacency(known, units, rank, unit, gap, strata, reps, seed, 1.0)
+
+
+def _adjacency(known: Callable, units: DataFrame, rank: DataFrame, unit: str, gap: float, strata: dict, reps: int, seed: int, rest: float) -> DataFrame:
+    """``known``: from adjacent pairs to (strata, more), what pairs are from ``rest``, and the values ``_v`` of pairs (a, b) that are not at ``rest``."""
     shuffled = RS.permutations(rank, reps, unit, seed=seed).join(rank.withColumnRenamed(unit, "perm_unit"), "perm_unit").select("draw", unit, "rank")
     ranks = cut(rank.select(F.lit(0).alias("draw"), unit, "rank").unionByName(shuffled), "ranks")
     kinds = [c for c in units.columns if c != unit]
@@ -338,13 +360,12 @@ def adjacency_test(
         both = df.join(what.toDF("a", "x"), "a").join(what.toDF("b", "y"), "b")
         return both.withColumns({k: rule(F.col("x"), F.col("y")) for k, rule in strata.items()})
 
-    known = rank.select(unit).distinct()
-    of = pair_kinds(units.join(known, unit, "left_semi"), kinds)
+    of = pair_kinds(units.join(rank.select(unit).distinct(), unit, "left_semi"), kinds)
     counted = of.withColumns({k: rule(F.col("x"), F.col("y")) for k, rule in strata.items()}).groupBy(*strata).agg((F.sum("n") / 2).alias("n"), F.lit(0.0).alias("more"))
-    listed = marked(pairs).groupBy(*strata).agg(F.lit(0.0).alias("n"), F.sum(F.col("_v") - rest).alias("more"))
-    total = counted.unionByName(listed).groupBy(*strata).agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
-    near = near_pairs(ranks, unit, gap, ["draw"]).join(pairs, ["a", "b"], "left")
-    g = marked(near).groupBy("draw", *strata).agg(F.count(F.lit(1)).alias("n1"), F.sum(F.coalesce("_v", F.lit(rest))).alias("s1"))
+    near = near_pairs(ranks, unit, gap, ["draw"])
+    listed, pairs = known(near, marked)
+    total = counted.unionByName(listed.groupBy(*strata).agg(F.lit(0.0).alias("n"), F.sum("more").alias("more"))).groupBy(*strata).agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
+    g = marked(near.join(pairs, ["a", "b"], "left")).groupBy("draw", *strata).agg(F.count(F.lit(1)).alias("n1"), F.sum(F.coalesce("_v", F.lit(rest))).alias("s1"))
     same = [F.col(f"g.{k}").eqNullSafe(F.col(f"t.{k}")) for k in strata]
     m1, m0 = F.col("s1") / F.col("n1"), (F.col("n") * rest + F.col("more") - F.col("s1")) / (F.col("n") - F.col("n1"))
     j = g.alias("g").join(F.broadcast(total.alias("t")), reduce(and_, same)).where("n > n1").select("draw", "n1", (m1 - m0).alias("_d"))
@@ -357,10 +378,22 @@ def adjacency_test(
 def neighbour_excess(pairs: DataFrame, rank: DataFrame, unit: str, gap: float, value: str, rest: float = 1.0) -> DataFrame:
     """Per unit: mean value to units at most ``gap`` ranks away minus mean to the others; pairs that ``pairs`` (a < b) lacks have the value ``rest``."""
     pairs = cut(pairs.select("a", "b", F.col(value).alias("_v")), "pairs")
-    ends = F.explode(F.array("a", "b")).alias("unit")
-    more = pairs.select(ends, "_v").groupBy("unit").agg(F.sum(F.col("_v") - rest).alias("more"))
-    near = near_pairs(rank, unit, gap).join(pairs, ["a", "b"], "left")
-    near = near.select(ends, F.coalesce("_v", F.lit(rest)).alias("_v")).groupBy("unit").agg(F.count(F.lit(1)).alias("n1"), F.sum("_v").alias("s1"))
+    more = pairs.select(F.explode(F.array("a", "b")).alias("unit"), "_v").groupBy("unit").agg(F.sum(F.col("_v") - rest).alias("more"))
+    return _excess(more, pairs, near_pairs(rank, unit, gap), rank, unit, rest)
+
+
+def excess_by_parts(df: DataFrame, part: str, n: str, rank: DataFrame, unit: str, gap: float) -> DataFrame:
+    """``neighbour_excess`` of the Bray-Curtis of all pairs of ``df``'s units, of which no pair but the near becomes a row."""
+    from quadrat.operators.blocks import shared_sums
+
+    near = near_pairs(rank, unit, gap)
+    more, d = shared_sums(df, unit, part, n, near)
+    return _excess(more, d.withColumnRenamed("d", "_v"), near, rank, unit, 1.0)
+
+
+def _excess(more: DataFrame, pairs: DataFrame, near: DataFrame, rank: DataFrame, unit: str, rest: float) -> DataFrame:
+    near = near.join(pairs, ["a", "b"], "left")
+    near = near.select(F.explode(F.array("a", "b")).alias("unit"), F.coalesce("_v", F.lit(rest)).alias("_v")).groupBy("unit").agg(F.count(F.lit(1)).alias("n1"), F.sum("_v").alias("s1"))
     others = rank.agg((F.count(F.lit(1)) - 1).alias("n"))
     u = rank.select(F.col(unit).alias("unit")).join(F.broadcast(others)).where("n > 0").join(more, "unit", "left").join(near, "unit", "left")
     m0 = ratio(F.col("n") * rest + F.coalesce("more", F.lit(0.0)) - F.col("s1"), F.col("n") - F.col("n1"))

@@ -112,3 +112,32 @@ def test_tiled_medians_hand_on_no_pairs(spark, monkeypatch):
                 d.append(1 - 2 * sum(min(v, units[b].get(t, 0)) for t, v in units[a].items()) / total)
         want[g] = (pytest.approx(statistics.median(d), abs=1e-12), len(d))
     assert got == want
+
+
+@pytest.mark.parametrize("cells,at_once,table,named", [(1 << 20, 1 << 18, 1 << 24, False), (9, 4, 0, True), (9, 3, 1 << 24, False)])
+def test_sums_by_blocks_equal_sums_of_pairs(spark, counts, ranks, monkeypatch, cells, at_once, table, named):
+    from quadrat.operators import blocks
+
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    monkeypatch.setattr(blocks, "AT_ONCE", at_once)
+    monkeypatch.setattr(blocks, "TABLE", table)
+    df = counts.withColumn("t", F.concat(F.lit("p"), "t")) if named else counts
+    pairs = D.sharing(counts, "u", "t", "n")
+    want = {r.unit: r.excess for r in S.neighbour_excess(pairs, ranks, "u", 4, "d").collect()}
+    got = {r.unit: r.excess for r in S.excess_by_parts(df, "t", "n", ranks, "u", 4).collect()}
+    assert got == pytest.approx(want) and len(got) == 17
+    units = spark.createDataFrame([(u, u % 3 if u != 7 else None) for u in UNITS if u != 5], "u int, block int")
+    same = {"same": lambda x, y: x["block"] == y["block"]}
+    want = S.adjacency_test(pairs, units, ranks, "u", 4, same, "d", 9).first()
+    assert tuple(S.adjacency_by_parts(df, "t", "n", units, ranks, "u", 4, same, 9).first()) == pytest.approx(tuple(want))
+
+
+@pytest.mark.parametrize("name", ["stat20_neighbour_excess", "stat19_adjacency", "pl18_library_adjacency"])
+def test_no_pair_is_a_row(spark, monkeypatch, name):
+    from quadrat import plans
+
+    def sharing(*args):
+        raise AssertionError("pairs became rows")
+
+    monkeypatch.setattr(D, "sharing", sharing)
+    assert plans.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
